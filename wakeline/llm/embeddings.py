@@ -16,6 +16,8 @@ COSINE = 0.95
 #: Reference points, drawn from a sample of vectors; nearest ones that describe a vector; shared ones that make a candidate.
 PIVOTS, NEAREST, SHARED = 192, 6, 3
 SAMPLE = 4096
+#: Largest cosine between two pivots.
+APART = 0.7
 #: Members of an inverted list compared in one task; longer lists are compared block against block.
 BLOCK = 2048
 #: Runs of up to so many rows are compared all at once.
@@ -38,6 +40,8 @@ def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE
     chosen, near = [0], x @ x[0]
     while len(chosen) < min(pivots, len(x)):
         at = int(near.argmin())
+        if near[at] > APART:  # pivots close together would order a cluster's members at random
+            break
         chosen.append(at)
         near = np.maximum(near, x @ x[at])
     return x[chosen]
@@ -162,7 +166,7 @@ def near_vectors(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
                     yield from links_of(room)
                     room = []
                 last = tuple(marks[lo])
-                if room or i == len(cut) - 2 or hi - lo > SHORT:
+                if room or i == len(cut) - 2 or hi - lo > SHORT or marks[lo, 2]:  # block against block is never short
                     room.append(batch.slice(lo, hi - lo))
                 else:
                     small.append(np.arange(lo, hi))

@@ -200,7 +200,7 @@ class Forest:
                 if not hints:
                     f[at, tags + N_HINTS] = 1
                 seen.append(up | hints)
-                for h in up:
+                for h in up | hints:
                     f[at, tags + N_HINTS + 1 + h] = 1
                 at += 1
         share = below_links / np.maximum(below, 1)
@@ -334,7 +334,7 @@ def labelled_pages(n: int = 1200, seed: int = 5) -> tuple[list[Page], list[np.nd
                     f"<blockquote>{words(5, 50)}</blockquote>", f"<pre>{words(3, 30)}</pre>", f"<table><tr><td>{words(1, 6)}</td><td>{words(1, 6)}</td></tr></table>", f"<figure><figcaption>{words(3, 14)}</figcaption></figure>", f"<div>{words(10, 90)}</div>", f"<section><h3>{words(1, 6)}</h3><p>{words(9, 80)}</p></section>",
                 )
             )
-            if inner and odds(0.08):
+            if inner and odds(0.2):
                 out.append("\x00" + pick(advert, side, form, notice)() + "\x01")
         return "".join(out)
 

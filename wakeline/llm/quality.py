@@ -15,6 +15,8 @@ EMBED, STRIDE, CHUNK, HOP = 8, 4, 256, 128
 FILTERS, HIDDEN = 32, 16
 #: The training sample: documents at most, and chunks of each.
 TRAIN_DOCS, TRAIN_CHUNKS = 6000, 8
+#: Steps of training at least, however few labels there are.
+LEAST_STEPS = 400
 THRESHOLD = 0.7
 #: How much dearer it is to reject a good document than to keep a bad one.
 FAVOUR = 3.0
@@ -73,6 +75,7 @@ def train(chunks: np.ndarray, doc: np.ndarray, label: np.ndarray, epochs: int =
     first = np.searchsorted(doc, np.arange(len(label) + 1))
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     weight = np.where(label == 1, FAVOUR * 0.5 / max(label.mean(), 1e-3), 0.5 / max(1 - label.mean(), 1e-3)).astype(np.float32)
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(label)))
     step, steps, half = 0, max(1, epochs * -(-len(label) // batch)), STRIDE * EMBED
     positions = CHUNK // STRIDE
     for _ in range(epochs):
