@@ -1,8 +1,1038 @@
-"""All queries of the engine by name, with the SQL that checks them."""
+"""All queries of the engine by name, each with the SQL that checks it where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from wakeline.functions import calendar, naming, scores, spatial
+from wakeline.operators import binning, joins, regions, reshape, scoring, stats, tracks, windows
+from wakeline.sources import tables
+from wakeline.sources.fixtures import binned, fixes, meta, predictions
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+SQL_PARTS = {
+    "fixes": """SELECT user_id AS id, ts, event_id, -75 + CAST((event_id * 37) % 5000 AS DOUBLE) / CAST(100 AS DOUBLE) AS lat,
+      -180 + CAST((event_id * 101) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) AS lon, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, event_type AS lc FROM events""",
+    "meta": "SELECT c_custkey AS id, c_mktsegment AS species, c_acctbal AS weight FROM customer",
+    "binned": "SELECT id, CAST(floor(epoch(ts) / 21600) AS INT) AS time_idx, avg(lat) AS lat, avg(lon) AS lon, avg(value) AS value, avg(k) AS k FROM fixes GROUP BY ALL",
+    "centred": """SELECT id, time_idx, value AS actual, lag(value) OVER (PARTITION BY id ORDER BY time_idx) AS centre,
+      CAST(row_number() OVER (PARTITION BY id ORDER BY time_idx) % 28 AS INT) AS time_step FROM binned""",
+    "predictions": """SELECT id, time_idx, time_step, actual, q AS quantile, centre + d AS prediction FROM centred,
+      (VALUES (0.025::DOUBLE, -30::DOUBLE), (0.05, -20), (0.25, -10), (0.5, 0), (0.75, 10), (0.95, 20), (0.975, 30)) v(q, d) WHERE centre IS NOT NULL""",
+    "intervals": """SELECT id, time_idx, time_step, any_value(actual) AS actual, c AS confidence, max(prediction) FILTER (WHERE abs(quantile - (1 - c) / 2) < 1e-9) AS lo,
+      max(prediction) FILTER (WHERE abs(quantile - (1 + c) / 2) < 1e-9) AS hi FROM predictions, (VALUES (0.5::DOUBLE), (0.9), (0.95)) w(c) GROUP BY id, time_idx, time_step, c""",
+    "scored": "SELECT *, hi - lo AS length, CAST(actual BETWEEN lo AND hi AS INT) AS covered FROM intervals",
+    "steps": """SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 8.64e10 AS dt, lag(radians(lat)) OVER w AS lat1, lag(radians(lon)) OVER w AS lon1,
+      radians(lat) AS lat2, radians(lon) AS lon2 FROM fixes WINDOW w AS (PARTITION BY id ORDER BY ts)""",
+    "dense": """SELECT id, unnest(generate_series(time_idx, coalesce(nxt - 1, time_idx)))::INT AS time_idx, time_idx AS src, value, k FROM
+      (SELECT *, lead(time_idx) OVER (PARTITION BY id ORDER BY time_idx) AS nxt FROM binned)""",
+}
+NEEDS = {"binned": ["fixes"], "centred": ["binned"], "predictions": ["centred"], "intervals": ["predictions"], "scored": ["intervals"], "steps": ["fixes"], "dense": ["binned"]}
+RADIUS = "6378.137::DOUBLE"
+
+
+def _with(parts: str, body: str) -> str:
+    order: list[str] = []
+
+    def need(p: str) -> None:
+        for q in NEEDS.get(p, []):
+            need(q)
+        if p not in order:
+            order.append(p)
+
+    for p in parts.split():
+        need(p)
+    ctes = ", ".join(f"{p} AS ({SQL_PARTS[p]})" for p in order)
+    if body.lstrip().startswith(","):
+        return f"WITH {ctes}{body}"
+    return f"WITH {ctes} {body}" if ctes else body
+
+
+def query(parts: str = "", sql: str = ""):
+    """Register a query under its function's name; `parts` are the shared tables its SQL starts from."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = _with(parts, sql)
+        return f
+
+    return keep
+
+
+def r(c: Column | str, digits: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+
+
+def rad(df: DataFrame) -> DataFrame:
+    return df.withColumns({"lat": F.radians("lat"), "lon": F.radians("lon")})
+
+
+def gcd(a: str, b: str, c: str, d: str) -> str:
+    return f"2 * asin(sqrt(least(1.0::DOUBLE, greatest(0.0::DOUBLE, pow(sin(({c} - {a}) / 2), 2) + cos({a}) * cos({c}) * pow(sin(({d} - {b}) / 2), 2)))))"
+
+
+STEP = f"{gcd('lat1', 'lon1', 'lat2', 'lon2')} * {RADIUS}"
+
+
+# Spatial and calendar expressions.
+@query("steps", f"SELECT id, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS bin, round(avg({STEP}), 3) + 0.0 AS mean_step_km, round(avg({STEP} / nullif(dt * 24, 0)), 3) + 0.0 AS mean_speed, count(*) AS n FROM steps WHERE dt IS NOT NULL GROUP BY ALL")
+def gcd_step(spark: SparkSession, d: str) -> DataFrame:
+    """Mean step and speed by track and six-hour bin."""
+    s = tracks.with_speed(tracks.with_steps(fixes(spark, d))).where("dt is not null")
+    out = s.groupBy("id", F.window("ts", "6 hours").alias("w")).agg(r(F.avg("step_km"), 3).alias("mean_step_km"), r(F.avg("speed"), 3).alias("mean_speed"), F.count("*").alias("n"))
+    return out.select("id", F.col("w.start").alias("bin"), "mean_step_km", "mean_speed", "n")
+
+
+@query("fixes", f"SELECT event_id, round({RADIUS} * radians(lon), 3) + 0.0 AS x, round({RADIUS} * ln(tan(pi() / 4 + radians(lat) / 2)), 3) + 0.0 AS y, round(lat, 6) + 0.0 AS lat_back, round(lon, 6) + 0.0 AS lon_back FROM fixes")
+def mercator_roundtrip(spark, d):
+    """P9, P10."""
+    x, y = spatial.mercator(F.radians("lat"), F.radians("lon"))
+    own = fixes(spark, d).select("event_id", x.alias("x"), y.alias("y"))
+    lat, lon = spatial.mercator_inverse(F.col("x"), F.col("y"))
+    return own.select("event_id", r("x", 3).alias("x"), r("y", 3).alias("y"), r(F.degrees(lat)).alias("lat_back"), r(F.degrees(lon)).alias("lon_back"))
+
+
+@query("fixes", "SELECT event_id, round(cos(radians(lat)) * cos(radians(lon)), 9) + 0.0 AS x, round(cos(radians(lat)) * sin(radians(lon)), 9) + 0.0 AS y, round(sin(radians(lat)), 9) + 0.0 AS z, round(lat, 6) + 0.0 AS lat_back FROM fixes")
+def cartesian_roundtrip(spark, d):
+    """P7, P8."""
+    v = spatial.to_cartesian(F.radians("lat"), F.radians("lon"))
+    return fixes(spark, d).select("event_id", *[r(c, 9).alias(n) for c, n in zip(v, "xyz")], r(F.degrees(spatial.to_spherical(v)[0])).alias("lat_back"))
+
+
+@query(
+    "fixes",
+    """, p AS (SELECT avg(radians(lat)) AS a, avg(radians(lon)) AS b FROM fixes),
+    v AS (SELECT event_id, a, b, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z, cos(a) * cos(b) AS px, cos(a) * sin(b) AS py, sin(a) AS pz FROM fixes, p),
+    u AS (SELECT *, px * x + py * y + pz * z AS c, x - (px * x + py * y + pz * z) * px AS ux, y - (px * x + py * y + pz * z) * py AS uy, z - (px * x + py * y + pz * z) * pz AS uz FROM v),
+    w AS (SELECT *, atan2(sqrt(ux * ux + uy * uy + uz * uz), c) / sqrt(ux * ux + uy * uy + uz * uz) AS k FROM u)
+    SELECT event_id, round(k * (ux * sin(a) * cos(b) + uy * sin(a) * sin(b) - uz * cos(a)), 6) + 0.0 AS sn, round(k * (-ux * sin(b) + uy * cos(b)), 6) + 0.0 AS we FROM w""",
+)
+def logmap_sn_we(spark, d):
+    """Tangent coordinates about the mean position."""
+    f = fixes(spark, d)
+    own = f.join(F.broadcast(tables.reference_point(f)))  # one row
+    sn, we = spatial.log_map_from(F.col("lat0"), F.col("lon0"), F.radians("lat"), F.radians("lon"))
+    return own.select("event_id", r(sn).alias("sn"), r(we).alias("we"))
+
+
+@query("fixes", "SELECT event_id, round(lat, 5) + 0.0 AS lat_back, round(cos(radians(lon)), 6) + 0.0 AS cos_lon FROM fixes WHERE event_id % 2 = 0")
+def expmap_roundtrip(spark, d):
+    """Back from tangent coordinates to the position."""
+    own = fixes(spark, d).where("event_id % 2 = 0")
+    lat0, lon0 = F.lit(-0.8), F.lit(0.4)
+    sn, we = spatial.log_map_from(lat0, lon0, F.radians("lat"), F.radians("lon"))
+    own = own.select("event_id", sn.alias("sn"), we.alias("we"))
+    lat, lon = spatial.exp_map_from(lat0, lon0, F.col("sn"), F.col("we"))
+    return own.select("event_id", r(F.degrees(lat), 5).alias("lat_back"), r(F.cos(lon)).alias("cos_lon"))
+
+
+@query(
+    "steps",
+    f""", g AS (SELECT event_id, i, i / 4.0::DOUBLE AS s, {gcd('lat1', 'lon1', 'lat2', 'lon2')} AS a, lat1, lon1, lat2, lon2 FROM steps, (VALUES (1), (2), (3)) t(i) WHERE dt IS NOT NULL)
+    SELECT event_id, i AS step, round(degrees(asin(least(1.0, greatest(-1.0, (sin((1 - s) * a) * sin(lat1) + sin(s * a) * sin(lat2)) / sin(a))))), 4) + 0.0 AS lat FROM g WHERE a > 0.001 AND a < 3.1""",
+)
+def geodesic_path(spark, d):
+    """Inner points of the geodesic of every step."""
+    w = tracks.along()
+    pairs = fixes(spark, d).select("event_id", F.lag("lat").over(w).alias("lat1"), F.lag("lon").over(w).alias("lon1"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).where("lat1 is not null")
+    a = spatial.great_circle(*[F.radians(c) for c in ("lat1", "lon1", "lat2", "lon2")])
+    return tracks.geodesics(pairs.where((a > 0.001) & (a < 3.1)), 3).select("event_id", "step", r("lat", 4).alias("lat"))
+
+
+@query(
+    "fixes",
+    """, o AS (SELECT *, first_value(radians(lat)) OVER w AS a, first_value(radians(lon)) OVER w AS b FROM fixes WINDOW w AS (PARTITION BY id ORDER BY ts)),
+    v AS (SELECT event_id, a, cos(radians(lat)) * cos(radians(lon) - b) AS p, cos(radians(lat)) * sin(radians(lon) - b) AS q, sin(radians(lat)) AS z FROM o)
+    SELECT event_id, round(p * cos(a) + z * sin(a), 6) + 0.0 AS x, round(q, 6) + 0.0 AS y, round(z * cos(a) - p * sin(a), 6) + 0.0 AS z FROM v""",
+)
+def shift_to_origin(spark, d):
+    """Every track turned so that it starts at (1, 0, 0)."""
+    w = tracks.along()
+    own = fixes(spark, d).withColumns({"lat0": F.first(F.radians("lat")).over(w), "lon0": F.first(F.radians("lon")).over(w)})
+    v = spatial.shift_to_origin(spatial.to_cartesian(F.radians("lat"), F.radians("lon")), F.col("lat0"), F.col("lon0"))
+    return own.select("event_id", *[r(c).alias(n) for c, n in zip(v, "xyz")])
+
+
+DAY_SQL = "(dayofyear(ts) - 1 + (hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts))) / 86400.0::DOUBLE)"
+
+
+@query("fixes", f"SELECT event_id, round(sin(2 * pi() * {DAY_SQL} / 366), 6) + 0.0 AS sin_t, round(cos(2 * pi() * {DAY_SQL} / 366), 6) + 0.0 AS cos_t, round({DAY_SQL}, 8) + 0.0 AS day FROM fixes")
+def periodic_features(spark, d):
+    """The day on the circle of its year (2024 is a leap year)."""
+    day = calendar.day_of_year(F.col("ts"))
+    own = fixes(spark, d).select("event_id", spatial.periodic(F.radians("lat"), F.radians("lon"), day, F.year("ts"))[3].alias("s"), spatial.periodic(F.radians("lat"), F.radians("lon"), day, F.year("ts"))[4].alias("c"), F.year("ts").alias("year"))
+    one = F.lit(1.0)
+    back = spatial.undo_periodic((one, one, one), F.col("s"), F.col("c"), F.col("year"))[2]
+    return own.select("event_id", r("s").alias("sin_t"), r("c").alias("cos_t"), r(back, 8).alias("day"))
+
+
+@query("", "SELECT o_orderkey, CAST(floor((dayofyear(o_orderdate) - 1) / 31.0) AS INT) AS month_index, CASE WHEN floor((dayofyear(o_orderdate) - 1) / 31.0) IN (11, 0, 1) THEN 'winter' WHEN floor((dayofyear(o_orderdate) - 1) / 31.0) <= 4 THEN 'spring' WHEN floor((dayofyear(o_orderdate) - 1) / 31.0) <= 7 THEN 'summer' ELSE 'autumn' END AS season FROM orders")
+def season_month(spark, d):
+    """T11."""
+    m = calendar.month_index(calendar.day_of_year(F.col("o_orderdate")))
+    return tables_of(spark, d, "orders").select("o_orderkey", m.alias("month_index"), calendar.season(m).alias("season"))
+
+
+def tables_of(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+@query("fixes", "SELECT lc, round(atan2(avg(sin(radians(lon))), avg(cos(radians(lon)))), 6) + 0.0 AS lon FROM fixes GROUP BY lc")
+def circular_mean_lon(spark, d):
+    """T10."""
+    return fixes(spark, d).groupBy("lc").agg(r(calendar.circular_mean(F.radians("lon"))).alias("lon"))
+
+
+@query("fixes", "SELECT event_id, CASE WHEN lon >= 0 THEN lon ELSE lon + 360 END AS lon360 FROM fixes")
+def wrapped_lon(spark, d):
+    """P32."""
+    return fixes(spark, d).select("event_id", F.when(F.col("lon") >= 0, F.col("lon")).otherwise(F.col("lon") + 360).alias("lon360"))
+
+
+@query("steps", f"""SELECT id, round(count(*) FILTER (WHERE {STEP} > 5000) / count(*)::DOUBLE, 6) AS far, round(max({STEP}), 3) + 0.0 AS longest FROM steps WHERE dt IS NOT NULL GROUP BY id""")
+def far_steps(spark, d):
+    """The arctangent form of the distance."""
+    w = tracks.along()
+    own = rad(fixes(spark, d)).select("id", spatial.great_circle_atan(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")).alias("a")).where("a is not null")
+    km = F.col("a") * spatial.EARTH_RADIUS
+    return own.groupBy("id").agg(F.round(F.avg((km > 5000).cast("int")), 6).alias("far"), r(F.max(km), 3).alias("longest"))
+
+
+@query("fixes", f"SELECT event_id, round(-2 * {RADIUS} * (value + k) * (1 / (1 + exp(2 * (value + 300) / {RADIUS})) - 1 / (1 + exp(2 * value / {RADIUS}))), 3) + 0.0 AS area FROM fixes")
+def rectangle_area(spark, d):
+    """P26."""
+    a = spatial.mercator_rectangle_area(F.lit(0.0), F.col("value") + F.col("k"), F.col("value"), F.col("value") + 300)
+    return fixes(spark, d).select("event_id", r(a, 3).alias("area"))
+
+
+@query("fixes", f"SELECT event_id, round(abs(-2 * {RADIUS} * (value + k) * (1 / (1 + exp(2 * (value + 300) / {RADIUS})) - 1 / (1 + exp(2 * value / {RADIUS})))), 2) + 0.0 AS area, round((value + k) * 300, 2) + 0.0 AS planar FROM fixes")
+def polygon_area(spark, d):
+    """A rectangle's area edge by edge, on the sphere and on the plane."""
+    ring = scores.rectangle(F.lit(0.0), F.col("value") + F.col("k"), F.col("value"), F.col("value") + 300)
+    own = fixes(spark, d).select("event_id", ring.alias("ring"))
+    return own.select("event_id", r(spatial.ring_area_on_sphere(F.col("ring")), 2).alias("area"), r(spatial.ring_area(F.col("ring")), 2).alias("planar"))
+
+
+@query("fixes", """, l AS (SELECT event_id, 200.0::DOUBLE AS a, value + 1 AS b, k * 5 AS d FROM fixes),
+    m AS (SELECT *, least(1.0, greatest(-1.0, (d * d + a * a - b * b) / nullif(2 * d * a, 0))) AS p, least(1.0, greatest(-1.0, (d * d + b * b - a * a) / nullif(2 * d * b, 0))) AS q FROM l)
+    SELECT event_id, round(CASE WHEN d >= a + b THEN 0 WHEN d <= abs(a - b) THEN pi() * least(a, b) * least(a, b)
+      ELSE a * a * acos(p) + b * b * acos(q) - 0.5 * sqrt(greatest(0.0, (-d + a + b) * (d + a - b) * (d - a + b) * (d + a + b))) END, 3) + 0.0 AS area FROM m""")
+def max_area_lens(spark, d):
+    """P29, P31."""
+    return fixes(spark, d).select("event_id", r(spatial.lens_area(F.lit(200.0), F.col("value") + 1, F.col("k") * 5), 3).alias("area"))
+
+
+@query("", "SELECT CAST(range AS INT) AS step, (range + 1) / 4.0::DOUBLE AS days, round(pi() * pow(240 * (range + 1) / 4.0::DOUBLE, 2), 3) AS area FROM range(28)")
+def max_area_forecast(spark, d):
+    """P30, P31, T13."""
+    days = calendar.step_to_days(F.col("step"))
+    return spark.range(28).select(F.col("id").cast("int").alias("step")).select("step", days.alias("days"), F.round(spatial.max_area_forecast(days), 3).alias("area"))
+
+
+SQUARE = ((-60.0, -70.0), (60.0, -70.0), (60.0, -35.0), (-60.0, -35.0))
+
+
+@query("fixes", "SELECT event_id, CASE WHEN (lon IN (-60, 60) AND lat BETWEEN -70 AND -35) OR (lat IN (-70, -35) AND lon BETWEEN -60 AND 60) THEN 2 WHEN lon BETWEEN -60 AND 60 AND lat BETWEEN -70 AND -35 THEN 1 ELSE 0 END::INT AS inside FROM fixes")
+def point_in_polygon(spark, d):
+    """P25."""
+    return fixes(spark, d).select("event_id", spatial.point_in_polygon(F.col("lon"), F.col("lat"), SQUARE).alias("inside"))
+
+
+@query(
+    "fixes",
+    """, n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts) AS n, lon BETWEEN -60 AND 60 AND lat BETWEEN -70 AND -35 AS f FROM fixes),
+    g AS (SELECT *, n - sum(f::INT) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING) AS g FROM n),
+    i AS (SELECT id, g, min(n) AS lo, max(n) AS hi FROM g WHERE f GROUP BY id, g),
+    b AS (SELECT id, lo, hi FROM i QUALIFY row_number() OVER (PARTITION BY id ORDER BY hi - lo DESC, lo) = 1)
+    SELECT event_id, id FROM n JOIN b USING (id) WHERE n BETWEEN lo AND hi""",
+)
+def longest_inside_run(spark, d):
+    """The longest stay of each track inside a polygon."""
+    return tracks.inside_polygon_run(fixes(spark, d), SQUARE).select("event_id", "id")
+
+
+@query("steps", ", c AS (SELECT *, CASE WHEN dt >= 0.01 THEN dt END AS g FROM steps) SELECT event_id, round(CASE WHEN dt IS NULL OR dt >= 0.01 THEN dt ELSE coalesce(avg(g) OVER (PARTITION BY id), 0.11) END, 8) + 0.0 AS dt FROM c")
+def dt_zero_replaced(spark, d):
+    """T5, T6."""
+    return tracks.replace_zero_dt(tracks.with_steps(fixes(spark, d)), threshold=0.01).select("event_id", r("dt", 8).alias("dt"))
+
+
+@query(
+    "steps",
+    """, c AS (SELECT *, CASE WHEN dt >= 0.01 THEN dt END AS g FROM steps),
+    e AS (SELECT *, last_value(g IGNORE NULLS) OVER (PARTITION BY id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, first_value(g IGNORE NULLS) OVER (PARTITION BY id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM c)
+    SELECT event_id, round(CASE WHEN dt IS NULL OR dt >= 0.01 THEN dt ELSE coalesce(CASE WHEN a IS NULL OR b IS NULL THEN coalesce(b, a) ELSE (a + b) / 2 END, 0.11) END, 8) + 0.0 AS dt FROM e""",
+)
+def dt_closest_replaced(spark, d):
+    """T5."""
+    return tracks.replace_zero_dt(tracks.with_steps(fixes(spark, d)), "closest", 0.01).select("event_id", r("dt", 8).alias("dt"))
+
+
+@query("steps", f"SELECT event_id, round({STEP}, 3) + 0.0 AS step_km, round(({STEP}) / nullif(dt * 24, 0), 3) + 0.0 AS speed FROM steps WHERE dt > 0.001")
+def speed_norm(spark, d):
+    """P1, F6."""
+    s = tracks.with_speed(tracks.with_steps(fixes(spark, d))).where("dt > 0.001")
+    return s.select("event_id", r("step_km", 3).alias("step_km"), r("speed", 3).alias("speed"))
+
+
+@query(
+    "steps",
+    """, v AS (SELECT *, cos(lat1) * cos(lat2) * cos(lon2 - lon1) + sin(lat1) * sin(lat2) AS c, cos(lat2) * sin(lon2 - lon1) AS e, sin(lat2) * cos(lat1) - cos(lat2) * sin(lat1) * cos(lon2 - lon1) AS n FROM steps WHERE dt > 0.001)
+    SELECT event_id, round(atan2(sqrt(e * e + n * n), c) * n / nullif(sqrt(e * e + n * n), 0) / dt, 4) + 0.0 AS v_sn, round(atan2(sqrt(e * e + n * n), c) * e / nullif(sqrt(e * e + n * n), 0) / dt, 4) + 0.0 AS v_we FROM v""",
+)
+def speed_components(spark, d):
+    """Velocity to the north and to the east."""
+    w = tracks.along()
+    s = rad(tracks.with_steps(fixes(spark, d))).withColumns({"lat1": F.lag("lat").over(w), "lon1": F.lag("lon").over(w)}).where("dt > 0.001")
+    sn, we = spatial.spherical_velocity(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"), F.col("dt"))
+    return s.select("event_id", r(sn, 4).alias("v_sn"), r(we, 4).alias("v_we"))
+
+
+@query("steps", ", s AS (SELECT *, sum((coalesce(dt, 0) > 2)::INT) OVER (PARTITION BY id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM steps) SELECT event_id, CASE WHEN max(n) OVER (PARTITION BY id) > 0 THEN n END::INT AS section FROM s")
+def trajectory_chunks(spark, d):
+    """N4."""
+    return tracks.chunks(fixes(spark, d), 2).select("event_id", "section")
+
+
+@query("steps", ", s AS (SELECT *, sum((coalesce(dt, 0) > 2)::INT) OVER (PARTITION BY id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM steps), t AS (SELECT *, (epoch_us(ts) - first_value(epoch_us(ts)) OVER (PARTITION BY id, c ORDER BY ts)) / 8.64e10 * 24 / 6 AS t FROM s) SELECT event_id, c::BIGINT AS chunk_num, floor(t)::INT AS time_step FROM t WHERE t < 4")
+def time_steps(spark, d):
+    """N5."""
+    return tracks.time_steps(fixes(spark, d), most=4).select("event_id", "chunk_num", "time_step")
+
+
+@query()
+def undersample(spark, d):
+    """Greedy thinning as a fold over sorted times."""
+    return tracks.thin_native(fixes(spark, d), 1.0).select("event_id", "id")
+
+
+ORACLES["undersample"] = f"""WITH RECURSIVE fixes AS ({SQL_PARTS['fixes']}), k(id, ts) AS (SELECT id, min(ts) FROM fixes GROUP BY id UNION ALL
+  SELECT k.id, (SELECT min(f.ts) FROM fixes f WHERE f.id = k.id AND epoch_us(f.ts) - epoch_us(k.ts) >= 86400000000) FROM k WHERE k.ts IS NOT NULL)
+  SELECT event_id, id FROM fixes JOIN k USING (id, ts)"""
+
+
+@query("fixes meta", """, a AS (SELECT f.*, species, count(*) OVER (PARTITION BY id) AS n, (max(epoch_us(ts)) OVER (PARTITION BY id) - min(epoch_us(ts)) OVER (PARTITION BY id)) / 8.64e10 AS days FROM fixes f JOIN meta USING (id) WHERE species IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')),
+    b AS (SELECT *, CASE species WHEN 'BUILDING' THEN 'HOUSE' WHEN 'HOUSEHOLD' THEN 'HOUSE' ELSE species END AS label FROM a WHERE n > 40 AND days > 5)
+    SELECT event_id, label AS species FROM b WHERE label IN (SELECT label FROM (SELECT DISTINCT id, label FROM b) GROUP BY label HAVING count(*) >= 3)""")
+def prune_tracks(spark, d):
+    """W1, A8."""
+    own = tracks.prune(fixes(spark, d), meta(spark, d), ["BUILDING", "MACHINERY", "HOUSEHOLD"], 40, 5, 3, mapping={"BUILDING": "HOUSE", "HOUSEHOLD": "HOUSE"})
+    return own.select("event_id", "species")
+
+
+# Bins and splits.
+@query(
+    "fixes",
+    f""", a AS (SELECT *, {DAY_SQL} AS day FROM fixes), e AS (SELECT min(day) AS lo, max(day) AS hi FROM a),
+    c AS (SELECT *, greatest(ceil((day - lo) / ((hi - lo) / 1460)) - 1, 0) AS code FROM a, e), m AS (SELECT *, code - min(code) OVER () AS t FROM c)
+    SELECT id, t::INT AS time_idx, round(avg(lat), 6) + 0.0 AS lat, round(avg(value), 6) + 0.0 AS value FROM m GROUP BY ALL""",
+)
+def time_bin_mean(spark, d):
+    """A1, A2."""
+    out = binning.mean_by_bin(binning.year_bins(fixes(spark, d)), ["lat", "value"])
+    return out.select("id", "time_idx", r("lat").alias("lat"), r("value").alias("value"))
+
+
+@query(
+    "fixes",
+    """SELECT id, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS bin, round(avg(lat), 6) + 0.0 AS lat,
+      round(CASE WHEN min(lon) < 0 AND max(lon) > 0 THEN quantile_cont(lon, 0.5) ELSE avg(lon) END, 6) + 0.0 AS lon, arg_min(lc, ts) AS lc, count(*) AS n FROM fixes GROUP BY ALL""",
+)
+def calendar_bin_6h(spark, d):
+    """A4."""
+    return binning.calendar_bins(fixes(spark, d)).select("id", "bin", r("lat").alias("lat"), r("lon").alias("lon"), "lc", "n")
+
+
+@query("binned", "SELECT floor(quantile_cont(time_idx, 0.8))::INT AS cut0, floor(quantile_cont(time_idx, 0.9))::INT AS cut1, max(time_idx)::INT AS cut2 FROM binned")
+def split_cutoffs(spark, d):
+    """A5."""
+    return binning.cutoffs(binned(spark, d))
+
+
+@query("binned", ", c AS (SELECT floor(quantile_cont(time_idx, 0.8)) AS a, floor(quantile_cont(time_idx, 0.9)) AS b FROM binned) SELECT id, count(*) FILTER (WHERE time_idx <= a) AS train, count(*) FILTER (WHERE time_idx > a AND time_idx <= b) AS val, count(*) FILTER (WHERE time_idx > b) AS test FROM binned, c GROUP BY id")
+def split_counts(spark, d):
+    """W7, A9, M7."""
+    return binning.split_counts(binning.split(binned(spark, d)))
+
+
+@query("binned", ", c AS (SELECT floor(quantile_cont(time_idx, 0.8)) AS a FROM binned) SELECT id FROM binned, c GROUP BY id HAVING count(*) FILTER (WHERE time_idx <= a) >= 20 AND count(*) FILTER (WHERE time_idx > a) >= 3 AND (max(time_idx) - min(time_idx)) / 4.0 >= 10")
+def eligible_ids(spark, d):
+    """W8."""
+    own = binned(spark, d)
+    two = binning.split(own, (0.8, 1.0, 1.0)).replace({"val": "test"}, subset=["split"])
+    return binning.eligible(two, {"train": 20, "test": 3}, 10)
+
+
+@query("", "WITH y AS (SELECT o_custkey AS id, year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY ALL) SELECT id, arg_max(year, n * 10000 - year)::INT AS year FROM y GROUP BY id")
+def mode_year(spark, d):
+    """A7."""
+    return binning.commonest_year(tables_of(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("ts")))
+
+
+@query("fixes", ", p AS (SELECT id, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 8.64e10 AS days FROM fixes GROUP BY id) SELECT count(*) AS tracks, round(avg(n), 6) AS mean_fixes, round(avg(days), 6) AS mean_days, round(avg(days * 24 / nullif(n - 1, 0)), 6) AS mean_hours FROM p")
+def dataset_stats(spark, d):
+    """A10, A11."""
+    return binning.dataset_stats(fixes(spark, d)).select("tracks", *[F.round(c, 6).alias(c) for c in ("mean_fixes", "mean_days", "mean_hours")])
+
+
+@query("binned", "SELECT id, time_idx, (time_idx % 366)::INT AS day, CASE WHEN floor((time_idx % 366) / 31.0) IN (11, 0, 1) THEN 'winter' WHEN floor((time_idx % 366) / 31.0) <= 4 THEN 'spring' WHEN floor((time_idx % 366) / 31.0) <= 7 THEN 'summer' ELSE 'autumn' END AS season, round(cos(2 * pi() * (time_idx % 366) / 366), 6) + 0.0 AS cos_t FROM binned")
+def calendar_features(spark, d):
+    """T11, T12."""
+    own = binned(spark, d).select("id", "time_idx", (F.col("time_idx") % 366).alias("day"))
+    return binning.calendar_features(own, "day").select("id", "time_idx", "day", "season", r("cos_t").alias("cos_t"))
+
+
+@query("fixes", "SELECT event_id, CASE WHEN (epoch_us(max(ts) OVER (PARTITION BY id)) - epoch_us(ts)) / 8.64e10 < 7 THEN 'test' ELSE 'train' END AS split FROM fixes")
+def last_days_holdout(spark, d):
+    """D9."""
+    return binning.holdout(fixes(spark, d)).select("event_id", "split")
+
+
+@query("fixes", ", a AS (SELECT *, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY id))) / 8.64e10 AS t FROM fixes), b AS (SELECT *, floor(t / 10)::INT AS block, t - floor(t / 10) * 10 >= 8 AS f FROM a) SELECT event_id, block, CASE WHEN f AND count(*) OVER (PARTITION BY id, block, f) >= 8 THEN 'test' ELSE 'train' END AS split FROM b")
+def alternating_blocks(spark, d):
+    """D9."""
+    return binning.alternating_blocks(fixes(spark, d), 8, 2, 8).select("event_id", "block", "split")
+
+
+@query("fixes", ", t AS (SELECT * FROM fixes WHERE id % 2 = 0 AND event_id % 5 = 0), e AS (SELECT id, max(ts) AS m FROM fixes WHERE id NOT IN (SELECT id FROM t) GROUP BY id) SELECT id, ts FROM t UNION ALL SELECT id, m + INTERVAL 4 HOUR FROM e UNION ALL SELECT id, m + INTERVAL 8 HOUR FROM e")
+def prediction_times(spark, d):
+    """D10, J11."""
+    f = fixes(spark, d)
+    return binning.prediction_times(f, f.where("id % 2 = 0 and event_id % 5 = 0"))
+
+
+# Gaps, runs and flags.
+@query("dense", "SELECT id, time_idx, round(value, 6) AS value, time_idx <> src AS missing FROM dense")
+def densify_gaps(spark, d):
+    """N7."""
+    return tracks.densify(binned(spark, d), ["value"]).select("id", "time_idx", F.round("value", 6).alias("value"), "missing")
+
+
+@query("dense", "SELECT id, time_idx, coalesce(row_number() OVER w > 1 AND value IS NOT DISTINCT FROM lag(value) OVER w AND k IS NOT DISTINCT FROM lag(k) OVER w, false) AS repeated FROM dense WINDOW w AS (PARTITION BY id ORDER BY time_idx)")
+def missing_flags(spark, d):
+    """F7, F14."""
+    return tracks.repeated_flags(tracks.densify(binned(spark, d), ["value", "k"]), ["value", "k"]).select("id", "time_idx", "repeated")
+
+
+@query("dense", ", f AS (SELECT id, time_idx <> src OR value > 60 AS f, row_number() OVER (PARTITION BY id ORDER BY time_idx) AS n FROM dense) SELECT id, (max(n) - coalesce(max(n) FILTER (WHERE NOT f), 0))::INT AS trailing, round(avg(f::INT), 6) AS share, count(*) AS length FROM f GROUP BY id")
+def trailing_missing_run(spark, d):
+    """F8, F9, F10, F11, N8."""
+    own = tracks.densify(binned(spark, d), ["value"]).withColumn("f", F.col("missing") | (F.col("value") > 60))
+    return tracks.trailing_run(own, "f").select("id", "trailing", F.round("share", 6).alias("share"), "length")
+
+
+@query("dense", ", m AS (SELECT id, time_idx, CASE WHEN time_idx = src AND value < 80 THEN value END AS v FROM dense) SELECT id, time_idx, round(coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY id ORDER BY time_idx ROWS UNBOUNDED PRECEDING), first_value(v IGNORE NULLS) OVER (PARTITION BY id ORDER BY time_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS v FROM m")
+def fill_both_ways(spark, d):
+    """N6."""
+    own = tracks.densify(binned(spark, d), ["value"]).select("id", "time_idx", F.when(~F.col("missing") & (F.col("value") < 80), F.col("value")).alias("v"))
+    return tracks.fill_both_ways(own, ["v"]).select("id", "time_idx", F.round("v", 6).alias("v"))
+
+
+@query(
+    "binned",
+    """, c AS (SELECT id, time_idx, count(*) OVER (PARTITION BY id) AS n, CASE WHEN count(*) OVER w = 7 THEN corr(value, k) OVER w END AS r FROM binned WINDOW w AS (PARTITION BY id ORDER BY time_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
+    SELECT id, time_idx, round(CASE WHEN n < 6 THEN 0 ELSE coalesce(r, first_value(r IGNORE NULLS) OVER (PARTITION BY id ORDER BY time_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+      last_value(r IGNORE NULLS) OVER (PARTITION BY id ORDER BY time_idx ROWS UNBOUNDED PRECEDING)) END, 6) + 0.0 AS rho FROM c""",
+)
+def rolling_corr(spark, d):
+    """N3."""
+    return stats.rolling_correlation(binned(spark, d), "value", "k", 3).select("id", "time_idx", r("rho").alias("rho"))
+
+
+@query("fixes", ", x AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC) AS z, avg(value) OVER (PARTITION BY id ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS m FROM fixes) SELECT event_id, round(CASE WHEN z = 1 THEN m ELSE value END, 6) AS value FROM x")
+def fill_last_value(spark, d):
+    """N2."""
+    last = F.lead(F.lit(1)).over(tracks.along()).isNull()
+    own = fixes(spark, d).withColumn("value", F.when(~last, F.col("value")))
+    return tracks.fill_last(own, "value").select("event_id", F.round("value", 6).alias("value"))
+
+
+@query("fixes", ", m AS (SELECT *, value AS x, k AS y, value - lag(value) OVER w AS dx, k - lag(k) OVER w AS dy FROM fixes WINDOW w AS (PARTITION BY id ORDER BY ts)) SELECT id, round(arg_max(x, ts) - arg_min(x, ts), 6) + 0.0 AS net_x, round(sum(abs(dx)), 4) + 0.0 AS path_x, round(sum(abs(dy)), 4) + 0.0 AS path_y, round(avg(atan2(dy, dx)), 6) + 0.0 AS direction, count(*) AS length FROM m GROUP BY id")
+def track_shape(spark, d):
+    """F1, F2, F3, F5, F11."""
+    own = tracks.shape(fixes(spark, d).select("id", "ts", F.col("value").alias("x"), F.col("k").alias("y")))
+    return own.select("id", r("net_x").alias("net_x"), r("path_x", 4).alias("path_x"), r("path_y", 4).alias("path_y"), r("direction").alias("direction"), "length")
+
+
+@query("fixes", f"SELECT a.id AS id_a, b.id AS id_b, round(min({gcd('radians(a.lat)', 'radians(a.lon)', 'radians(b.lat)', 'radians(b.lon)')} * {RADIUS}), 2) + 0.0 AS least_km FROM fixes a JOIN fixes b ON a.id < b.id AND a.id < 12 AND b.id < 12 GROUP BY ALL")
+def track_pair_min_distance(spark, d):
+    """The tracks of a stated set of ids against each other."""
+    few = fixes(spark, d).where("id < 12")
+    return tracks.track_distances(few, few).select("id_a", "id_b", r("least_km", 2).alias("least_km"))
+
+
+@query("fixes", "SELECT event_id, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY id ORDER BY ts)) / 1e6 > 3600, true) AS keep FROM fixes")
+def dup_dates(spark, d):
+    """W14."""
+    return tracks.duplicate_times(fixes(spark, d), 3600).select("event_id", "keep")
+
+
+@query("fixes", ", o AS (SELECT event_id, (['3','2','1','0','A','B','Z','G','GL'])[event_id % 9 + 1] AS c, CASE WHEN event_id % 4 > 0 THEN event_id % 3 END AS a, CASE WHEN event_id % 5 > 0 THEN 1 END AS s FROM fixes) SELECT event_id, CASE WHEN a IS NOT NULL AND a <> 0 THEN 'KF' WHEN c = 'G' THEN 'GPS' WHEN c = 'GL' AND s IS NOT NULL THEN 'GL' WHEN c NOT IN ('G', 'GL') OR a IS NOT NULL THEN 'LS' END AS kind FROM o")
+def obs_type(spark, d):
+    """W14."""
+    lc = F.get(F.array(*[F.lit(c) for c in ("3", "2", "1", "0", "A", "B", "Z", "G", "GL")]), (F.col("event_id") % 9).cast("int"))
+    a = F.when(F.col("event_id") % 4 > 0, (F.col("event_id") % 3).cast("double"))
+    s = F.when(F.col("event_id") % 5 > 0, F.lit(1.0))
+    return fixes(spark, d).select("event_id", tracks.observation_type(lc, a, a, a, s, s).alias("kind"))
+
+
+@query()
+def speed_outliers(spark, d):
+    """The sequential filter in passes."""
+    return tracks.speed_outliers(fixes(spark, d), v_max=2000.0, passes=2).select("event_id", "keep")
+
+
+# Joins.
+@query("binned meta", "SELECT id, time_idx, species, weight FROM binned LEFT JOIN meta USING (id)")
+def static_join(spark, d):
+    """J1, J2, J3."""
+    return joins.with_static(binned(spark, d), meta(spark, d), ["species", "weight"]).select("id", "time_idx", "species", "weight")
+
+
+BASE = ", l AS (SELECT * FROM fixes WHERE event_id % 7 = 0), b AS (SELECT * FROM fixes WHERE event_id % 3 = 0)"
+
+
+@query(
+    "fixes",
+    BASE + """, n AS (SELECT l.event_id, avg(b.value) AS near FROM l JOIN b ON b.id = l.id AND b.ts < l.ts AND epoch_us(b.ts) > epoch_us(l.ts) - 25200000000 GROUP BY l.event_id),
+    p AS (SELECT l.event_id, b.value AS prev, (epoch_us(l.ts) - epoch_us(b.ts)) / 3.6e9 AS gap FROM l ASOF JOIN b ON l.id = b.id AND l.ts > b.ts)
+    SELECT l.event_id, round(coalesce(near, prev), 6) AS value_base, round(gap, 6) AS gap FROM l LEFT JOIN n USING (event_id) LEFT JOIN p USING (event_id)""",
+)
+def asof_baseline(spark, d):
+    """J6."""
+    f = fixes(spark, d)
+    out = joins.asof(f.where("event_id % 7 = 0"), f.where("event_id % 3 = 0"), ["value"], 6)
+    return out.select("event_id", F.round("value_base", 6).alias("value_base"), F.round("base_gap_hours", 6).alias("gap"))
+
+
+@query(
+    "fixes",
+    BASE + """, n AS (SELECT l.event_id, avg(b.value) AS near FROM l JOIN b ON b.id = l.id AND b.ts > l.ts AND epoch_us(b.ts) < epoch_us(l.ts) + 25200000000 GROUP BY l.event_id),
+    p AS (SELECT l.event_id, b.value AS nxt FROM l ASOF JOIN b ON l.id = b.id AND l.ts < b.ts)
+    SELECT l.event_id, round(coalesce(near, nxt), 6) AS value_base FROM l LEFT JOIN n USING (event_id) LEFT JOIN p USING (event_id)""",
+)
+def asof_forward(spark, d):
+    """J7."""
+    f = fixes(spark, d)
+    out = joins.asof(f.where("event_id % 7 = 0"), f.where("event_id % 3 = 0"), ["value"], 6, forward=True)
+    return out.select("event_id", F.round("value_base", 6).alias("value_base"))
+
+
+KEY = "round(epoch(date_trunc('second', ts)) / 3600) AS h, round(lat / 25) AS i, CAST(round(lon / 30) AS INT) AS j0"
+
+
+@query("fixes", f", g AS (SELECT h, i, ((j0 % 12) + 12) % 12 AS j, avg(value) AS v FROM (SELECT value, {KEY} FROM fixes WHERE event_id % 2 = 1) GROUP BY ALL), f AS (SELECT event_id, {KEY} FROM fixes WHERE event_id % 2 = 0) SELECT event_id, round(v, 6) AS v FROM f LEFT JOIN g ON f.h = g.h AND f.i = g.i AND ((f.j0 % 12) + 12) % 12 = g.j")
+def nearest_grid(spark, d):
+    """Grid values by rounded hour and cell."""
+    f = fixes(spark, d)
+    key = {"h": F.round(F.unix_timestamp("ts") / 3600).cast("long"), "i": F.round(F.col("lat") / 25).cast("int"), "j": F.pmod(F.round(F.col("lon") / 30).cast("int"), F.lit(12))}
+    grid = f.where("event_id % 2 = 1").withColumns(key).groupBy("h", "i", "j").agg(F.avg("value").alias("v"))
+    return f.where("event_id % 2 = 0").withColumns(key).join(grid, ["h", "i", "j"], "left").select("event_id", F.round("v", 6).alias("v"))
+
+
+@query("fixes", "SELECT event_id FROM fixes WHERE id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def semi_valid_ids(spark, d):
+    """J10, J13, W13."""
+    return joins.only_with(fixes(spark, d), meta(spark, d).where("species = 'BUILDING'")).select("event_id")
+
+
+@query("fixes", "SELECT DISTINCT id FROM fixes WHERE event_id % 2 = 0 AND id NOT IN (SELECT id FROM fixes WHERE event_id % 53 = 0)")
+def anti_train_only(spark, d):
+    """J11."""
+    f = fixes(spark, d)
+    return joins.only_without(f.where("event_id % 2 = 0").select("id").distinct(), f.where("event_id % 53 = 0").select("id").distinct())
+
+
+@query("fixes", "SELECT event_id, CASE lc WHEN 'click' THEN 1.5 WHEN 'view' THEN 2.0 END::DOUBLE AS factor FROM fixes")
+def error_factors(spark, d):
+    """J12, J14."""
+    emf = spark.createDataFrame([("click", 1.5), ("view", 2.0)], "lc string, factor double")
+    return joins.lookup(fixes(spark, d), emf, ["lc"]).select("event_id", "factor")
+
+
+@query("fixes", "SELECT event_id, CASE WHEN value >= 0 AND value <= 10 THEN 0 WHEN value > 10 AND value <= 50 THEN 1 WHEN value > 50 AND value <= 100 THEN 2 END::INT AS bin FROM fixes")
+def fitted_edges(spark, d):
+    """J20."""
+    return joins.by_edges(fixes(spark, d), [0.0, 10.0, 50.0, 100.0], "value", "bin").select("event_id", "bin")
+
+
+@query("fixes", f", c AS (SELECT CAST(round(lat / 5) AS INT) AS i, CAST(round(lon / 5) AS INT) AS j, count(*) AS n FROM fixes WHERE event_id % 2 = 0 GROUP BY ALL) SELECT event_id, n FROM (SELECT event_id, CAST(round(lat / 5) AS INT) AS i, CAST(round(lon / 5) AS INT) AS j FROM fixes) LEFT JOIN c USING (i, j)")
+def nearest_pmf_cell(spark, d):
+    """J17."""
+    f = fixes(spark, d)
+    cells = f.where("event_id % 2 = 0").groupBy((F.round(F.col("lat") / 5) * 5).alias("lat"), (F.round(F.col("lon") / 5) * 5).alias("lon")).agg(F.count("*").alias("n"))
+    return joins.nearest_cell(f.select("event_id", "lat", "lon"), cells, "lat", "lon", 5.0, 5.0).select("event_id", "n")
+
+
+# Windows.
+E_, D_ = 16, 4
+INDEX = f", lastb AS (SELECT id, max(time_idx) AS last FROM binned GROUP BY id), idx AS (SELECT b.id, time_idx AS start FROM binned b JOIN lastb USING (id) WHERE time_idx + {E_ + D_ - 1} <= last)"
+
+
+@query("binned", INDEX + f" SELECT id, start, start + {E_ - 1} AS encoder_end, start + {E_ + D_ - 1} AS decoder_end FROM idx")
+def window_index(spark, d):
+    """D5, N11."""
+    return windows.forecast_index(binned(spark, d), E_, D_)
+
+
+@query()
+def window_starts_non_overlapping(spark, d):
+    """Greedy starts, one track at a time."""
+    return windows.forecast_index(binned(spark, d), E_, D_, "non-overlapping").select("id", "start")
+
+
+ORACLES["window_starts_non_overlapping"] = _with("binned", INDEX + f""", k(id, start) AS (SELECT id, min(start) FROM idx GROUP BY id UNION ALL
+  SELECT k.id, (SELECT min(i.start) FROM idx i WHERE i.id = k.id AND i.start - k.start > {E_ + D_}) FROM k WHERE k.start IS NOT NULL)
+  SELECT id, start FROM k WHERE start IS NOT NULL""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "binned",
+    INDEX + f""", g AS (SELECT idx.*, (SELECT max(time_idx) FROM binned b WHERE b.id = idx.id AND b.time_idx <= start + {E_ - 1}) AS e, (SELECT min(time_idx) FROM binned b WHERE b.id = idx.id AND b.time_idx > start + {E_ - 1}) AS d0,
+      (SELECT max(time_idx) FROM binned b WHERE b.id = idx.id AND b.time_idx <= start + {E_ + D_ - 1}) AS d1, (SELECT min(time_idx) FROM binned b WHERE b.id = idx.id AND b.time_idx > start + {E_ + D_ - 1}) AS f FROM idx)
+    SELECT id, start, coalesce(d0 - e - 1, -1)::INT AS decoder_gap, coalesce(f - d1 - 1, -1)::INT AS future_gap FROM g""",
+)
+def window_gaps(spark, d):
+    """W5."""
+    b = binned(spark, d)
+    return windows.with_gaps(windows.forecast_index(b, E_, D_), b).select("id", "start", "decoder_gap", "future_gap")
+
+
+@query("binned", INDEX + f" SELECT idx.id, start, count(b.time_idx)::INT AS n_future FROM idx LEFT JOIN binned b ON b.id = idx.id AND b.time_idx BETWEEN start + {E_ + D_} AND start + {2 * E_ + D_ - 1} GROUP BY ALL")
+def future_obs_count(spark, d):
+    """W6."""
+    b = binned(spark, d)
+    return windows.future_counts(windows.forecast_index(b, E_, D_), b, E_).select("id", "start", "n_future")
+
+
+@query("binned", ", g AS (SELECT id, time_idx + 1 AS gap_start, lead(time_idx) OVER (PARTITION BY id ORDER BY time_idx) - time_idx - 1 AS gap_length FROM binned) SELECT id, gap_start, gap_length FROM g WHERE gap_length BETWEEN 1 AND 4")
+def imputation_gaps(spark, d):
+    """N10, D4."""
+    return windows.gap_windows(binned(spark, d), 4)
+
+
+POINTS = INDEX + f""", densed AS (SELECT id, unnest(generate_series(time_idx, coalesce(nxt - 1, time_idx)))::INT AS time_idx, value FROM (SELECT *, lead(time_idx) OVER (PARTITION BY id ORDER BY time_idx) AS nxt FROM binned)),
+  pts AS (SELECT idx.id, start, d.time_idx - start AS s, value FROM idx JOIN densed d ON d.id = idx.id AND d.time_idx BETWEEN start AND start + {E_ + D_ - 1})"""
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    b = binned(spark, d)
+    return windows.window_points(windows.forecast_index(b, E_, D_), b, ["value"], E_, D_)
+
+
+@query("binned", POINTS + f" SELECT id, start, round(avg(value), 9) AS center, round(stddev_samp(value), 9) AS scale FROM pts WHERE s < {E_} GROUP BY ALL")
+def encoder_scale(spark, d):
+    """D1, D6."""
+    return windows.window_scale(_points(spark, d), ["value"]).select("id", "start", F.round("value_center", 9).alias("center"), F.round("value_scale", 9).alias("scale"))
+
+
+@query("binned", POINTS + f" SELECT id, start, round(arg_max(value, s), 6) AS value FROM pts WHERE s < {E_} GROUP BY ALL")
+def naive_last_obs(spark, d):
+    """D11, D50."""
+    return windows.naive_last(_points(spark, d), ["value"]).select("id", "start", F.round("value", 6).alias("value"))
+
+
+@query("binned", POINTS + f", e AS (SELECT id, start, max(value) FILTER (WHERE s = {E_ - 1}) AS a, max(value) FILTER (WHERE s = {E_ + D_ - 1}) AS b FROM pts GROUP BY ALL) SELECT id, start, i::INT AS step, round(a + (b - a) * (i + 1) / {D_}.0::DOUBLE, 9) + 0.0 AS value FROM e, range({D_ - 1}) t(i)")
+def naive_line(spark, d):
+    """The last step of the window stands for the first future one."""
+    p = _points(spark, d).withColumn("role", F.when((F.col("role") == "decoder") & (F.col("step") == D_ - 1), "future").otherwise(F.col("role")))
+    return windows.naive_line(p, ["value"], D_ - 1).select("id", "start", "step", r("value", 9).alias("value"))
+
+
+@query("binned", ", l AS (SELECT id, unnest([1, 2, 3]) AS horizon, unnest([value - lag(value, 1) OVER w, value - lag(value, 2) OVER w, value - lag(value, 3) OVER w]) AS d FROM binned WINDOW w AS (PARTITION BY id ORDER BY time_idx)) SELECT id, horizon, round(avg(d), 9) + 0.0 AS mean, round(avg(abs(d)), 9) + 0.0 AS mean_abs, count(*) AS n FROM l WHERE d IS NOT NULL GROUP BY ALL")
+def lagged_displacements(spark, d):
+    """D13, D47."""
+    return windows.lag_displacements(binned(spark, d), "value", 3).select("id", "horizon", r("mean", 9).alias("mean"), r("mean_abs", 9).alias("mean_abs"), "n")
+
+
+@query("binned", ", dd AS (SELECT id, unnest(generate_series(time_idx, coalesce(nxt - 1, time_idx)))::INT AS time_idx, time_idx AS src, value FROM (SELECT *, lead(time_idx) OVER (PARTITION BY id ORDER BY time_idx) AS nxt FROM binned)) SELECT id, time_idx, round(CASE WHEN time_idx = src THEN value WHEN time_idx % 2 = 0 THEN -1 END, 6) AS value FROM dd")
+def stitched_imputation(spark, d):
+    """D43."""
+    b = binned(spark, d)
+    filled = tracks.densify(b, ["value"]).where("missing and time_idx % 2 = 0").select("id", "time_idx", F.lit(-1.0).alias("value"))
+    return windows.stitch(b, filled, ["value"]).select("id", "time_idx", F.round("value", 6).alias("value"))
+
+
+# Scores.
+@query("predictions", "SELECT time_step, quantile, round(avg((actual <= prediction)::INT), 6) AS coverage, count(*) AS n FROM predictions GROUP BY ALL")
+def quantile_coverage(spark, d):
+    """D15."""
+    return scoring.quantile_coverage(predictions(spark, d)).select("time_step", "quantile", F.round("coverage", 6).alias("coverage"), "n")
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.intervals(predictions(spark, d), ["id", "time_idx", "time_step"])
+
+
+@query("scored", "SELECT id, time_idx, confidence, round(length, 6) AS length, covered FROM scored")
+def interval_coverage(spark, d):
+    """D15, Q16."""
+    return _scored(spark, d).select("id", "time_idx", "confidence", F.round("length", 6).alias("length"), "covered")
+
+
+@query("scored", f"SELECT time_step, confidence, round(avg(covered * covered), 6) AS covered, round(avg(-2 * {RADIUS} * (hi - lo) * (1 / (1 + exp(2 * hi / {RADIUS})) - 1 / (1 + exp(2 * lo / {RADIUS})))), 3) + 0.0 AS area FROM scored GROUP BY ALL")
+def region_coverage_area(spark, d):
+    """Rectangles of the interval with itself."""
+    s = _scored(spark, d)
+    out = scoring.by_step(scoring.regions(s, s, ["id", "time_idx", "time_step"]))
+    return out.select("time_step", "confidence", F.round("covered", 6).alias("covered"), r("area", 3).alias("area"))
+
+
+@query("binned", """, e AS (SELECT id, time_idx, value AS x, k AS y, lag(value) OVER w AS xr, lag(k) OVER w AS yr, c FROM binned, (VALUES (0.5::DOUBLE), (0.9), (0.95)) t(c) WINDOW w AS (PARTITION BY id, c ORDER BY time_idx))
+    SELECT id, time_idx, c AS confidence, (pow((xr - x) / (20 * sqrt(-2 * ln(1 - c))), 2) + pow((yr - y) / (15 * sqrt(-2 * ln(1 - c))), 2) <= 1)::INT AS covered, round(pi() * 300 * -2 * ln(1 - c), 3) AS area FROM e WHERE xr IS NOT NULL""")
+def ellipse_coverage(spark, d):
+    """D37, Q17, Q19."""
+    w = tracks.along(order="time_idx")
+    own = binned(spark, d).select("id", "time_idx", F.col("value").alias("x"), F.col("k").alias("y"), F.lag("value").over(w).alias("x_real"), F.lag("k").over(w).alias("y_real"), F.lit(20.0).alias("x_se"), F.lit(15.0).alias("y_se")).where("x_real is not null")
+    return regions.ellipse_scores(own).select("id", "time_idx", "confidence", "covered", F.round("area", 3).alias("area"))
+
+
+@query("predictions", ", m AS (SELECT *, max(prediction) FILTER (WHERE quantile = 0.5) OVER (PARTITION BY id, time_idx) AS med FROM predictions) SELECT id, time_idx, quantile, round(med + (prediction - med) * 1.25, 6) + 0.0 AS prediction FROM m")
+def expanded_quantiles(spark, d):
+    """Q15, J14."""
+    med = F.max(F.when(F.col("quantile") == 0.5, F.col("prediction"))).over(Window.partitionBy("id", "time_idx"))
+    own = predictions(spark, d).withColumn("med", med)
+    return own.select("id", "time_idx", "quantile", r(scores.expand_about(F.col("prediction"), F.col("med"), F.lit(0.25))).alias("prediction"))
+
+
+CALIBRATION = """, f AS (SELECT confidence, time_step, m AS factor, avg((actual > lo - abs(lo) * m AND actual < hi + abs(hi) * m)::INT) AS c FROM scored, (VALUES (0.0::DOUBLE), (0.25), (0.5), (1.0), (2.0)) t(m) GROUP BY ALL),
+  q AS (SELECT confidence, factor, sqrt(avg(pow(c - confidence, 2))) AS rmse FROM f GROUP BY ALL)"""
+FACTORS = (0.0, 0.25, 0.5, 1.0, 2.0)
+
+
+@query("scored", CALIBRATION + " SELECT confidence, factor, round(rmse, 6) AS rmse FROM q")
+def calibration_grid(spark, d):
+    """D18, A17, Q14."""
+    return scoring.calibration_grid(_scored(spark, d), FACTORS).select("confidence", "factor", F.round("rmse", 6).alias("rmse"))
+
+
+@query("scored", CALIBRATION + " SELECT confidence, factor, round(rmse, 3) AS rmse FROM q QUALIFY row_number() OVER (PARTITION BY confidence ORDER BY round(rmse, 3), abs(factor), factor) = 1")
+def best_calibration(spark, d):
+    """O5, D19."""
+    return scoring.best_factor(scoring.calibration_grid(_scored(spark, d), FACTORS))
+
+
+@query("scored", CALIBRATION + " SELECT factor, round(avg(rmse), 6) AS value, round(stddev_samp(rmse), 6) AS std FROM q GROUP BY factor ORDER BY round(value, 4), std, factor LIMIT 1")
+def best_model(spark, d):
+    """O4, D28."""
+    g = scoring.calibration_grid(_scored(spark, d), FACTORS).groupBy("factor").agg(F.round(F.avg("rmse"), 6).alias("value"), F.round(F.stddev_samp("rmse"), 6).alias("std"))
+    return scoring.best_model(g, highest=False)
+
+
+def _areas(spark: SparkSession, d: str) -> DataFrame:
+    s = _scored(spark, d)
+    return scoring.with_quality(s.withColumns({"area": F.col("length") * F.col("length") * 30, "area_ref": F.lit(1000.0) + F.col("time_step") * 10, "area_max": F.lit(500000.0)}))
+
+
+QUALITY = """, z AS (SELECT *, length * length * 30 AS area, 1000.0::DOUBLE + time_step * 10 AS ref FROM scored), a AS (SELECT *, 1 - ln(least(greatest(area, ref), 500000) / ref) / ln(500000 / ref) AS q_area FROM z)"""
+QC = "CASE WHEN 1 - c < 1 - confidence THEN 1 ELSE 1 - abs(ln((1 - c) / (1 - confidence)) / ln(1 - confidence)) END"
+
+
+@query("scored", QUALITY + " SELECT id, time_idx, confidence, round(q_area, 6) + 0.0 AS q_area FROM a")
+def area_quality(spark, d):
+    """Q4, D22, J15."""
+    return _areas(spark, d).select("id", "time_idx", "confidence", r("q_area").alias("q_area"))
+
+
+@query("scored", f", c AS (SELECT time_step, confidence, avg(covered) AS c FROM scored GROUP BY ALL) SELECT time_step, confidence, round({QC}, 6) + 0.0 AS q FROM c")
+def coverage_quality(spark, d):
+    """Q5."""
+    own = _scored(spark, d).groupBy("time_step", "confidence").agg(F.avg("covered").alias("c"))
+    return own.select("time_step", "confidence", r(scores.coverage_quality(F.col("c"), F.col("confidence"))).alias("q"))
+
+
+def _quality_sql(by: str) -> str:
+    cols = f"{by}, " if by else ""
+    return QUALITY + f", p AS (SELECT {cols}confidence, avg(covered) AS c, avg(q_area) AS qa FROM a GROUP BY ALL), q AS (SELECT {cols}avg({QC}) AS qc, avg(qa) AS qa FROM p {'GROUP BY ' + by if by else ''}) SELECT {cols}round(qc, 6) + 0.0 AS q_coverage, round(qa, 6) + 0.0 AS q_area, round(qc * qa, 6) + 0.0 AS quality FROM q"
+
+
+@query("scored", _quality_sql("time_step"))
+def quality_sample(spark, d):
+    """A18, D24."""
+    return scoring.quality(_areas(spark, d), ["time_step"]).select("time_step", r("q_coverage").alias("q_coverage"), r("q_area").alias("q_area"), r("quality").alias("quality"))
+
+
+@query("scored", _quality_sql("id"))
+def quality_by_animal(spark, d):
+    """A18."""
+    return scoring.quality(_areas(spark, d), ["id"]).select("id", r("q_coverage").alias("q_coverage"), r("q_area").alias("q_area"), r("quality").alias("quality"))
+
+
+@query("scored", _quality_sql(""))
+def model_quality(spark, d):
+    """One row a model."""
+    return scoring.quality(_areas(spark, d), []).select(r("q_coverage").alias("q_coverage"), r("q_area").alias("q_area"), r("quality").alias("quality"))
+
+
+@query("scored", ", p AS (SELECT confidence, time_step, avg(length * actual) AS v FROM scored GROUP BY ALL) SELECT confidence, round(avg(v), 4) AS v FROM p GROUP BY confidence")
+def macro_mean(spark, d):
+    """A11, A13, A12."""
+    own = _scored(spark, d).withColumn("v", F.col("length") * F.col("actual"))
+    return scoring.macro(own, "v", ["confidence", "time_step"], ["confidence"]).select("confidence", F.round("v", 4).alias("v"))
+
+
+@query("scored", ", p AS (SELECT confidence, time_step, id, avg(actual) AS v FROM scored GROUP BY ALL), q AS (SELECT confidence, time_step, avg(v) AS v FROM p GROUP BY ALL), s AS (SELECT confidence, avg(v) AS v FROM q GROUP BY ALL) SELECT round(avg(v), 5) AS v FROM s")
+def micro_mean(spark, d):
+    """A16."""
+    own = _scored(spark, d).withColumn("v", F.col("actual")).select("confidence", "time_step", "id", "v")
+    return scoring.nested_mean(own, "v", ["confidence", "time_step", "id"]).select(F.round("v", 5).alias("v"))
+
+
+@query("scored", ", p AS (SELECT time_step, avg(actual) AS m FROM scored GROUP BY ALL) SELECT time_step, round(m / sum(m) OVER (), 6) AS share, round(sum(m) OVER (ORDER BY time_step) / sum(m) OVER (), 6) AS running FROM p")
+def normalised_mean(spark, d):
+    """A14, N9."""
+    own = scoring.normalised_mean(_scored(spark, d), "actual")
+    return own.select("time_step", F.round("share", 6).alias("share"), F.round("running", 6).alias("running"))
+
+
+@query("predictions", "SELECT quantile, round(avg(2 * greatest((quantile - 1) * (actual - prediction), quantile * (actual - prediction))), 5) AS loss FROM predictions GROUP BY quantile")
+def pinball_loss(spark, d):
+    """A20, Q6, Q9."""
+    return scoring.quantile_loss(predictions(spark, d), ["quantile"]).select("quantile", F.round("loss", 5).alias("loss"))
+
+
+@query("predictions", f""", p AS (SELECT id, time_step, actual AS x, actual * 2 AS y, prediction AS px, prediction * 2 AS py FROM predictions WHERE quantile = 0.5)
+    SELECT time_step, round(avg((abs(px - x) + abs(py - y)) / 2), 4) AS mae, round(sqrt(avg((pow(px - x, 2) + pow(py - y, 2)) / 2)), 4) AS rmse,
+      round(avg({gcd(f'(2 * atan(exp(y / {RADIUS})) - pi() / 2)', f'x / {RADIUS}', f'(2 * atan(exp(py / {RADIUS})) - pi() / 2)', f'px / {RADIUS}')} * {RADIUS}), 3) AS km FROM p GROUP BY time_step""")
+def mae_rmse(spark, d):
+    """D20, Q8, Q10, D25."""
+    own = predictions(spark, d).where("quantile = 0.5").select("id", "time_step", F.col("actual").alias("x"), (F.col("actual") * 2).alias("y"), F.col("prediction").alias("px"), (F.col("prediction") * 2).alias("py"))
+    e = scoring.point_errors(own)
+    return e.groupBy("time_step").agg(F.round(F.avg("mae"), 4).alias("mae"), F.round(F.sqrt(F.avg(F.col("rmse") * F.col("rmse"))), 4).alias("rmse"), F.round(F.avg("km"), 3).alias("km"))
+
+
+@query("predictions", ", w AS (SELECT id, time_idx, max(prediction) FILTER (WHERE quantile = 0.05) AS lo, max(prediction) FILTER (WHERE quantile = 0.75) AS hi, max(prediction) FILTER (WHERE quantile = 0.5) AS m FROM predictions GROUP BY ALL) SELECT id, time_idx, round(greatest(hi - m, m - lo) / nullif(least(hi - m, m - lo), 0), 6) AS asymmetry, hi - m > m - lo AS right_tail FROM w")
+def asymmetry(spark, d):
+    """A26."""
+    at = lambda q: F.max(F.when(F.col("quantile") == q, F.col("prediction")))
+    own = predictions(spark, d).groupBy("id", "time_idx").agg(at(0.05).alias("lo"), at(0.75).alias("hi"), at(0.5).alias("median"))
+    return scoring.asymmetry(own).select("id", "time_idx", F.round("asymmetry", 6).alias("asymmetry"), "right_tail")
+
+
+@query("scored", ", z AS (SELECT id, time_idx, confidence, length * length AS area FROM scored) SELECT id, time_idx, round(max(area) FILTER (WHERE confidence = 0.95) / nullif(max(area) FILTER (WHERE confidence = 0.5), 0), 6) AS growth FROM z GROUP BY ALL")
+def area_growth(spark, d):
+    """A25."""
+    own = _scored(spark, d).withColumn("area", F.col("length") * F.col("length"))
+    return scoring.area_growth(own, ["id", "time_idx"]).select("id", "time_idx", F.round("growth", 6).alias("growth"))
+
+
+@query("scored", ", p AS (SELECT confidence, time_step, avg(covered) AS c FROM scored GROUP BY ALL) SELECT confidence, round(avg(abs(confidence - c) / confidence), 6) AS arae FROM p GROUP BY confidence")
+def coverage_criterion(spark, d):
+    """A19, Q3."""
+    return scoring.criterion(_scored(spark, d), "arae").select("confidence", F.round("arae", 6).alias("arae"))
+
+
+@query("scored", ", p AS (SELECT time_step, avg(abs(actual - (lo + hi) / 2)) AS v FROM scored WHERE confidence = 0.9 GROUP BY ALL), s AS (SELECT time_step, round(v, 6) AS value, round(v * 0.9, 6) AS lo, round(v * 1.1, 6) AS hi FROM p) SELECT time_step, value, value = min(value) OVER () AS best, lo <= arg_min(hi, value) OVER () AND hi >= arg_min(lo, value) OVER () AS tied FROM s")
+def tied_models(spark, d):
+    """O8."""
+    v = F.avg(F.abs(F.col("actual") - (F.col("lo") + F.col("hi")) / 2))
+    own = _scored(spark, d).where("confidence = 0.9").groupBy("time_step").agg(v.alias("v")).select("time_step", F.round("v", 6).alias("value"), F.round(F.col("v") * 0.9, 6).alias("lo"), F.round(F.col("v") * 1.1, 6).alias("hi"))
+    return scoring.tied_with_best(own, "value", "lo", "hi", highest=False).select("time_step", "value", "best", "tied")
+
+
+# Statistics.
+@query("binned", "SELECT 'value' AS a, 'k' AS b, round(corr(value, k), 6) + 0.0 AS r, count(*) AS n FROM binned UNION ALL SELECT 'value', 'lat', round(corr(value, lat), 6) + 0.0, count(*) FROM binned UNION ALL SELECT 'k', 'lat', round(corr(k, lat), 6) + 0.0, count(*) FROM binned")
+def corr_matrix(spark, d):
+    """A22."""
+    return stats.correlations(binned(spark, d), ["value", "k", "lat"]).select("a", "b", r("r").alias("r"), "n")
+
+
+@query("binned", ", k AS (SELECT id, rank() OVER (PARTITION BY id ORDER BY value) + (count(*) OVER (PARTITION BY id, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY id ORDER BY k) + (count(*) OVER (PARTITION BY id, k) - 1) / 2.0 AS b FROM binned) SELECT id, round(corr(a::DOUBLE, b::DOUBLE), 6) + 0.0 AS r, count(*) AS n FROM k GROUP BY id HAVING count(*) > 5")
+def spearman(spark, d):
+    """A21."""
+    return stats.spearman(binned(spark, d), ["value", "k"], ["id"]).where("n > 5").select("id", r("r").alias("r"), "n")
+
+
+@query("binned", ", c AS (SELECT id, corr(value, k) AS r, count(*) AS n FROM binned GROUP BY id HAVING count(*) > 10), p AS (SELECT id, round(1 / (1 + abs(r) * sqrt(n)), 9) AS p FROM c), k AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS n FROM p) SELECT id, p, round(least(1.0, min(p * n / k) OVER (ORDER BY k DESC)), 9) AS p_adjusted FROM k")
+def bh_fdr(spark, d):
+    """Adjustment of a stand-in p."""
+    own = stats.correlations(binned(spark, d), ["value", "k"], ["id"]).where("n > 10").select("id", F.round(1 / (1 + F.abs("r") * F.sqrt("n")), 9).alias("p"))
+    return stats.benjamini_hochberg(own).select("id", "p", F.round("p_adjusted", 9).alias("p_adjusted"))
+
+
+@query("fixes", ", b AS (SELECT greatest(ceil((lat + 75) / 10) - 1, 0)::INT AS i, greatest(ceil((lon + 180) / 60) - 1, 0)::INT AS j, value FROM fixes WHERE lat BETWEEN -75 AND -25 AND lon BETWEEN -180 AND 180) SELECT i, j, round(avg(value), 6) AS mean, count(*) AS n, -70.0::DOUBLE + i * 10 AS x, -150.0::DOUBLE + j * 60 AS y FROM b GROUP BY ALL")
+def heatmap_2d(spark, d):
+    """A23, D41."""
+    out = stats.heatmap(fixes(spark, d), "lat", "lon", "value", (-75.0, -25.0, 5), (-180.0, 180.0, 6))
+    return out.select("i", "j", F.round("mean", 6).alias("mean"), "n", "x", "y")
+
+
+@query("fixes", "SELECT least(floor(value / 12.5), 39)::INT AS bin, count(*) AS n FROM fixes WHERE value BETWEEN 0 AND 500 GROUP BY ALL")
+def histogram(spark, d):
+    """A24."""
+    return stats.histogram(fixes(spark, d), "value", 0.0, 500.0, 40)
+
+
+@query("scored", "SELECT time_step, round(avg(length) FILTER (WHERE confidence = 0.5), 6) AS c50, round(avg(length) FILTER (WHERE confidence = 0.9), 6) AS c90, round(avg(length) FILTER (WHERE confidence = 0.95), 6) AS c95 FROM scored GROUP BY time_step")
+def pivot_ci(spark, d):
+    """R1, R4."""
+    own = _scored(spark, d).groupBy("time_step", F.concat(F.lit("c"), F.round(F.col("confidence") * 100).cast("int")).alias("c")).agg(F.round(F.avg("length"), 6).alias("v"))
+    return reshape.pivot(own, ["time_step"], "c", ["c50", "c90", "c95"], "v")
+
+
+@query("scored", "SELECT time_step, confidence, round(avg(length), 6) AS length, round(avg(covered), 6) AS covered FROM scored GROUP BY ALL")
+def unpivot_ci(spark, d):
+    """Wide columns named by confidence back to rows."""
+    cells = [F.round(F.avg(F.when(F.col("confidence") == c, F.col(m))), 6).alias(f"{m}_{c}") for m in ("length", "covered") for c in scores.CONFIDENCES]
+    return reshape.magnitudes_long(_scored(spark, d).groupBy("time_step").agg(*cells), ["time_step"], ["length", "covered"]).select("time_step", "confidence", "length", "covered")
+
+
+@query("fixes", ", c AS (SELECT id, lc, count(*) AS n FROM fixes GROUP BY ALL) SELECT a.id, b.lc, n FROM (SELECT DISTINCT id FROM c) a CROSS JOIN (SELECT DISTINCT lc FROM c) b LEFT JOIN c ON c.id = a.id AND c.lc = b.lc")
+def full_index(spark, d):
+    """R6."""
+    return reshape.full_index(fixes(spark, d).groupBy("id", "lc").agg(F.count("*").alias("n")), ["id", "lc"]).select("id", "lc", "n")
+
+
+@query("fixes", "SELECT event_id, round(value + coalesce(CASE WHEN k > 50 THEN k END, 0), 6) AS total, round(value - k, 6) + 0.0 AS diff, round(abs(value - k), 6) AS diff_abs FROM fixes")
+def feature_group_sum(spark, d):
+    """R8, R10."""
+    own = reshape.group_sum(fixes(spark, d).withColumn("k50", F.when(F.col("k") > 50, F.col("k"))), ["value", "k50"], "total")
+    own = reshape.past_future_difference(own, {"x": ("value", "k")})
+    return own.select("event_id", F.round("total", 6).alias("total"), r("encoder_future_diff_x").alias("diff"), F.round("encoder_future_diff_abs_x", 6).alias("diff_abs"))
+
+
+@query("fixes", "SELECT event_id, k FROM fixes")
+def nan_column_prune(spark, d):
+    """A column mostly null goes."""
+    own = fixes(spark, d).select("event_id", "k", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("sparse"))
+    return stats.drop_sparse(own, 0.6)
+
+
+@query("fixes", "SELECT event_id, CASE WHEN k = 0 THEN (SELECT max(value / k) FROM fixes WHERE k <> 0) ELSE value / k END AS ratio FROM fixes")
+def inf_fill(spark, d):
+    """W11."""
+    ratio = F.when(F.col("k") == 0, F.lit(float("inf"))).otherwise(F.try_divide("value", "k"))
+    return stats.fill_infinite(fixes(spark, d).select("event_id", ratio.alias("ratio")), ["ratio"])
+
+
+@query("fixes", "SELECT id, lc, count(*) AS n FROM fixes GROUP BY ALL ORDER BY n DESC, id, lc LIMIT 5")
+def top_k_features(spark, d):
+    """O2, O3, O6, O7."""
+    own = fixes(spark, d).groupBy("id", "lc").agg(F.count("*").alias("n"))
+    return own.orderBy(F.desc("n"), "id", "lc").limit(5)
+
+
+@query("fixes", "SELECT id, ts FROM fixes WHERE event_id % 3 = 0 UNION SELECT id, ts FROM fixes WHERE event_id % 5 = 0")
+def union_partitions(spark, d):
+    """S8, R7, O9."""
+    f = fixes(spark, d)
+    return tables.union_parts(f.where("event_id % 3 = 0").select("id", "ts"), f.where("event_id % 5 = 0").select("id", "ts"))
+
+
+@query("fixes", "SELECT year(ts)::INT AS year, month(ts)::INT AS month, greatest(min(lat) - 0.25, -90) AS south, least(max(lat) + 0.25, 90) AS north, greatest(min(lon) - 0.25, -180) AS west, least(max(lon) + 0.25, 180) AS east FROM fixes GROUP BY ALL")
+def bounding_boxes(spark, d):
+    """S15."""
+    return tables.bounding_boxes(fixes(spark, d))
+
+
+@query("fixes", ", c AS (SELECT round(value / (20.0::DOUBLE * 0.05::DOUBLE)) AS g, count(*) AS n FROM fixes GROUP BY ALL) SELECT p AS \"at\", round(sum(n * exp(-pow((p - g * (20.0::DOUBLE * 0.05::DOUBLE)) / 20, 2) / 2)) / (sum(n) * 20 * sqrt(2 * pi())), 9) AS density FROM c, (VALUES (10.0::DOUBLE), (50.0), (200.0)) t(p) GROUP BY p")
+def kernel_density(spark, d):
+    """A29."""
+    return stats.kernel_density(fixes(spark, d), "value", [10.0, 50.0, 200.0], 20.0).select("at", F.round("density", 9).alias("density"))
+
+
+@query("fixes", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'future' ELSE '' END AS period, CASE WHEN event_id % 3 = 0 THEN 'loc' ELSE '' END AS statistic, lc AS base FROM fixes")
+def feature_names(spark, d):
+    """X1."""
+    name = F.concat(F.when(F.col("event_id") % 2 == 0, "future_").otherwise(""), F.col("lc"), F.when(F.col("event_id") % 3 == 0, "_loc").otherwise(""))
+    p = naming.feature_parts(name)
+    return fixes(spark, d).select("event_id", p["period"].alias("period"), p["statistic"].alias("statistic"), p["base"].alias("base"))
+
+
+@query("fixes", ", p AS (SELECT id, avg(value) AS m FROM fixes GROUP BY id) SELECT id, printf('%.2f ([%.2f, %.2f])', round(m, 2), round(m - 1, 2), round(m + 1, 2)) AS label FROM p")
+def formatted_interval(spark, d):
+    """X3, X9."""
+    own = fixes(spark, d).groupBy("id").agg(F.avg("value").alias("m"))
+    return own.select("id", naming.with_interval(F.round("m", 2), F.round(F.col("m") - 1, 2), F.round(F.col("m") + 1, 2)).alias("label"))
+
+
+# Operators that SQL cannot express: random draws, geometry in numpy, models.
+@query()
+def bootstrap_ci(spark, d):
+    """Whole tracks resampled."""
+    return stats.bootstrap(_scored(spark, d), "covered", ["confidence"], "id", R=400)
+
+
+@query()
+def reference_area(spark, d):
+    """D23."""
+    x, y = spatial.mercator(F.radians("lat"), F.radians("lon"))
+    own = binned(spark, d).select("id", F.col("time_idx").alias("ts"), (x / 100).alias("x"), (y / 100).alias("y"))
+    w = tracks.along()
+    return regions.reference_areas(own.withColumns({"dx": F.col("x") - F.lag("x").over(w), "dy": F.col("y") - F.lag("y").over(w)}), 4, draws=200)
+
+
+@query()
+def region_hulls(spark, d):
+    """Hulls of one axis with itself."""
+    p = predictions(spark, d).where("time_step < 2")
+    return regions.evaluate(regions.quantile_arrays(p, p, ["id", "time_idx"]), ["id", "time_idx"], (0.5, 0.9), samples=150).select("id", "time_idx", "confidence", "area", "covered")
+
+
+@query()
+def distribution_points(spark, d):
+    """D30, D32, D53."""
+    p = predictions(spark, d).where("time_step < 2")
+    return regions.point_predictions(regions.quantile_arrays(p, p, ["id", "time_idx"]), ["id", "time_idx"])
+
+
+@query()
+def hurst_exponent(spark, d):
+    """F4."""
+    return tracks.hurst_by(fixes(spark, d), "value")
+
+
+@query()
+def reanchored_tracks(spark, d):
+    """P17, P23."""
+    return tracks.reanchor(fixes(spark, d)).select("event_id", "lat", "lon")
+
+
+@query()
+def association_rules(spark, d):
+    """A27."""
+    items = stats.quantile_items(fixes(spark, d), ["value", "k", "lat"], "event_id", 2)
+    own = stats.rules(items, "value=p50 - p100", 0.02, 0.3)
+    return own.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+
+
+@query()
+def mutual_information(spark, d):
+    """A28."""
+    return stats.mutual_information(fixes(spark, d), "value", "k")
+
+
+@query()
+def stratified_folds(spark, d):
+    """D39."""
+    return stats.folds(fixes(spark, d), "value", "event_id").select("event_id", "fold")
+
+
+@query()
+def subsampled_tracks(spark, d):
+    """D8."""
+    return binning.subsample(fixes(spark, d), 0.5).select("event_id", "id")
+
+
+@query()
+def imputation_windows(spark, d):
+    """D3, D4."""
+    return windows.imputation_index(binned(spark, d), 8, 4)
+
+
+@query()
+def variable_response(spark, d):
+    """D45."""
+    return scoring.variable_response(fixes(spark, d), ["lat", "lon"], "value", "k", 21)
+
+
+@query()
+def solar_hour_angle(spark, d):
+    """T9."""
+    return fixes(spark, d).select("event_id", calendar.hour_angle(F.col("ts"), F.col("lon")).alias("hour_angle"))
