@@ -98,24 +98,34 @@ def keys(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
+def middle(f: np.ndarray) -> int:
+    """The member nearest to the majority of the members' bits; copies of one original lie around it."""
+    count = np.zeros(64, np.int64)
+    for lo in range(0, len(f), 1 << 14):
+        count += np.unpackbits(f[lo : lo + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    major = np.packbits(2 * count > len(f)).view(">u8")[0].astype(np.uint64)
+    return int(np.bitwise_count(f ^ major).argmin())
+
+
 def bucket_pairs(t: np.ndarray, f: np.ndarray, small: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one bucket. A small one is compared throughout; in a larger one every member meets two
-    hubs: the member nearest to the bits' majority, which copies of one original lie around, and that of least id."""
+    """Candidate pairs of one bucket. A small one is compared throughout. In a larger one the middle member meets
+    all that are near it, and the rest do the same among themselves, so a member is in one pair at least
+    if any hub is near it, and a bucket gives fewer pairs than it has members."""
     order = np.argsort(t)
     t, f = t[order], f[order]
     if len(t) <= small:
         i, j = np.triu_indices(len(t), 1)
-    else:
-        count = np.zeros(64, np.int64)
-        for lo in range(0, len(f), 1 << 14):
-            count += np.unpackbits(f[lo : lo + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        middle = np.packbits(2 * count > len(f)).view(">u8")[0].astype(np.uint64)
-        hub = int(np.bitwise_count(f ^ middle).argmin())
-        every = np.arange(len(t))
-        i, j = np.concatenate([np.full(len(t), hub), np.zeros(len(t), int)]), np.concatenate([every, every])
-    near = (t[i] != t[j]) & (np.bitwise_count(f[i] ^ f[j]) <= NEAR_BITS)
-    i, j = i[near], j[near]
-    return np.minimum(t[i], t[j]), np.maximum(t[i], t[j])
+        near = (t[i] != t[j]) & (np.bitwise_count(f[i] ^ f[j]) <= NEAR_BITS)
+        return t[i[near]], t[j[near]]
+    a, b = [], []
+    while len(t) > 1:
+        hub = middle(f)
+        near = np.bitwise_count(f ^ f[hub]) <= NEAR_BITS
+        own = t[near & (t != t[hub])]
+        a.append(np.minimum(own, t[hub]))
+        b.append(np.maximum(own, t[hub]))
+        t, f = t[~near], f[~near]
+    return np.concatenate(a), np.concatenate(b)
 
 
 def candidates(classes: DataFrame) -> DataFrame:
