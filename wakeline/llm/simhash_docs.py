@@ -82,19 +82,19 @@ def lanes(wide: np.ndarray) -> np.ndarray:
 
 
 def keys(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): codewords near a segment together with twelve exact bits of either side of the next one.
+    """(row, key): codewords near a segment together with twelve exact bits of another one.
 
-    Sixteen tables of 24-bit keys; at 9 % of differing bits one table in five has a pair in one bucket.
+    Three tables a segment, 24 in all, with keys of 24 bits; at 9 % of differing bits one table in five has a
+    pair in one bucket.
     """
     part = lanes(wide)
     rows, out = [], []
     for lane in range(LANES):
         row, code = golay().keys(part[:, lane].astype(np.uint32))
-        after = part[row, (lane + 1) % LANES]
-        for side in (0, 1):
-            exact = after >> 11 if side else after & 0xFFF
+        for table, (ahead, shift) in enumerate(((1, 11), (1, 0), (3, 5))):
+            exact = part[row, (lane + ahead) % LANES] >> shift & 0xFFF
             rows.append(row)
-            out.append((lane * 2 + side) << 24 | exact << 12 | code.astype(np.int64))
+            out.append((lane * 3 + table) << 24 | exact << 12 | code.astype(np.int64))
     return np.concatenate(rows), np.concatenate(out)
 
 
