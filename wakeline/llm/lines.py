@@ -48,7 +48,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str =
     gone = lines.join(maybe_broadcast(flagged, flagged.count()), "h").groupBy("_t").agg(F.collect_set("pos").alias("_gone"))
     gone = durable(gone)
     docs = docs.drop("n_lines", "n_removed", "_t", "_gone").withColumn("_t", F.xxhash64("text"))
-    out = docs.join(maybe_broadcast(gone, gone.count(), 50_000), "_t", "left")
+    # What to remove grows with the documents, so this is a shuffle at every size; hot texts are split by AQE.
+    out = docs.join(gone.hint("merge"), "_t", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda l, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     out = out.withColumn("n_lines", n_lines.cast("long")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
