@@ -37,13 +37,15 @@ class TrieCounter:
     costs time and changes no count.
     """
 
-    def __init__(self, pieces: dict[str, float], max_nodes: int = 300_000):
-        self.pieces, self.max_nodes = pieces, max_nodes
-        self.longest = max(map(len, pieces), default=1)
+    def __init__(self, pieces: dict[str, float], max_nodes: int = 600_000):
+        self.max_nodes = max_nodes
+        #: Every ending of a piece, with the score of those that are pieces: a longer ending than these is none.
+        self.endings: dict[str, float | None] = {p[i:]: None for p in pieces for i in range(len(p))}
+        self.endings.update(pieces)
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}  # by node << 21 | code point
         self.best = [0.0]
         self.tokens = [0]
         self.terminal: dict[str, int] = {}
@@ -55,20 +57,24 @@ class TrieCounter:
         if len(self.best) > self.max_nodes:
             self.clear()
         marked = SPACE + word
-        node, path, child, pieces = 0, [0], self.child, self.pieces
+        node, path, child, endings = 0, [0], self.child, self.endings
         for depth, char in enumerate(marked, 1):
-            at = child.get((node, char))
+            edge = node << 21 | ord(char)
+            at = child.get(edge)
             if at is None:
-                top, least = self.best[node] + UNKNOWN * (n := len(char.encode("utf-8", "replace"))), self.tokens[node] + n
-                for start in range(max(0, depth - self.longest), depth):
-                    score = pieces.get(marked[start:depth])
-                    if score is not None:
-                        from_node = path[start]
-                        score += self.best[from_node]
-                        used = self.tokens[from_node] + 1
-                        if score > top or score == top and used < least:
-                            top, least = score, used
-                at = child[(node, char)] = len(self.best)
+                n = len(char.encode("utf-8", "replace"))
+                top, least = self.best[node] + UNKNOWN * n, self.tokens[node] + n
+                for start in range(depth - 1, -1, -1):
+                    score = endings.get(marked[start:depth], 0.0)
+                    if score is None:
+                        continue
+                    if score == 0.0:
+                        break
+                    from_node = path[start]
+                    score += self.best[from_node]
+                    if score > top or score == top and self.tokens[from_node] + 1 < least:
+                        top, least = score, self.tokens[from_node] + 1
+                at = child[edge] = len(self.best)
                 self.best.append(top)
                 self.tokens.append(least)
             path.append(at)
