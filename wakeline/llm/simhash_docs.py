@@ -20,9 +20,9 @@ LANES, SEGMENT, FEATURE_WIDTH = 8, 23, 3
 #: Bits by which the first 64 of similar documents may differ: similarity 0.8 has a mean of 6 and 99 % under 13.
 NEAR_BITS = 16
 #: Tables whose hubs are middle members; the other tables' hubs are those of least id.
-CENTRED = 3
+CENTRED = 2
 #: Buckets of so many members are compared throughout.
-SMALL = 4
+SMALL = 3
 #: Bins of the sketch that screens candidates, and the least estimate: 0.8 less four standard errors.
 BINS, SCREEN = 128, 0.66
 
@@ -88,17 +88,17 @@ def lanes(wide: np.ndarray) -> np.ndarray:
 def keys(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key): codewords near a segment together with twelve exact bits of another one.
 
-    Three tables a segment, 24 in all, with keys of 24 bits; at 9 % of differing bits one table in five has a
+    Two tables a segment, 16 in all, with keys of 24 bits; at 9 % of differing bits one table in five has a
     pair in one bucket.
     """
     part = lanes(wide)
     rows, out = [], []
     for lane in range(LANES):
         row, code = golay().keys(part[:, lane].astype(np.uint32))
-        for table, (ahead, shift) in enumerate(((1, 11), (1, 0), (3, 5))):
+        for table, (ahead, shift) in enumerate(((1, 11), (1, 0))):
             exact = part[row, (lane + ahead) % LANES] >> shift & 0xFFF
             rows.append(row)
-            out.append((lane * 3 + table) << 24 | exact << 12 | code.astype(np.int64))
+            out.append((lane * 2 + table) << 24 | exact << 12 | code.astype(np.int64))
     return np.concatenate(rows), np.concatenate(out)
 
 
