@@ -19,8 +19,6 @@ SIMILARITY, VERIFY_WIDTH = 0.8, 5
 LANES, SEGMENT, FEATURE_WIDTH = 8, 23, 3
 #: Bits by which the first 64 of similar documents may differ: similarity 0.8 has a mean of 6 and 99 % under 13.
 NEAR_BITS = 16
-#: Tables whose hubs are middle members; the other tables' hubs are those of least id.
-CENTRED = 2
 #: Buckets of so many members are compared throughout.
 SMALL = 3
 #: Bins of the sketch that screens candidates, and the least estimate: 0.8 less four standard errors.
@@ -111,11 +109,10 @@ def middle(f: np.ndarray) -> int:
     return int(np.bitwise_count(f ^ major).argmin())
 
 
-def bucket_pairs(t: np.ndarray, f: np.ndarray, centred: bool, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one bucket. A small one is compared throughout. In a larger one a hub meets all that are
-    near it, and the rest do the same among themselves, so a member is in one pair at least if any hub is near
-    it, and a bucket gives fewer pairs than it has members. The hub is the middle member if `centred`, else that
-    of least id, which is the same one in most buckets of a group and so makes few different pairs."""
+def bucket_pairs(t: np.ndarray, f: np.ndarray, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one bucket. A small one is compared throughout. In a larger one the middle member meets
+    all that are near it, and the rest do the same among themselves, so a member is in one pair at least
+    if any hub is near it, and a bucket gives fewer pairs than it has members."""
     order = np.argsort(t)
     t, f = t[order], f[order]
     if len(t) <= small:
@@ -124,7 +121,7 @@ def bucket_pairs(t: np.ndarray, f: np.ndarray, centred: bool, small: int = SMALL
         return t[i[near]], t[j[near]]
     a, b = [], []
     while len(t) > 1:
-        hub = middle(f) if centred else 0
+        hub = middle(f)
         near = np.bitwise_count(f ^ f[hub]) <= NEAR_BITS
         own = t[near & (t != t[hub])]
         a.append(np.minimum(own, t[hub]))
@@ -167,7 +164,7 @@ def candidates(classes: DataFrame) -> DataFrame:
                 a.append(np.minimum(u[:-step][hit], u[step:][hit]))
                 b.append(np.maximum(u[:-step][hit], u[step:][hit]))
             for lo, n in zip(start[size > SMALL], size[size > SMALL]):
-                x, y = bucket_pairs(t[lo : lo + n], f[lo : lo + n], key[lo] >> 24 < CENTRED)
+                x, y = bucket_pairs(t[lo : lo + n], f[lo : lo + n])
                 a.append(x)
                 b.append(y)
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
