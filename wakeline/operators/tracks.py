@@ -307,15 +307,15 @@ def reanchor(points: DataFrame, order: str = "ts") -> DataFrame:
     return points.groupBy("id").applyInPandas(rule, points.schema)
 
 
-def track_distances(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Least and mean distance in km between all points of each two tracks; meant for few and short tracks.
+def track_distances(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Least and mean distance in km between all points of the tracks of each stated pair (id_a, id_b).
 
-    The product of points is aggregated on the map side, one partial row a pair of tracks and task.
+    The product of two tracks' points is aggregated on the map side, one partial row a pair and task.
     """
     left = a.select(F.col("id").alias("id_a"), F.radians("lat").alias("lat_a"), F.radians("lon").alias("lon_a"))
     right = b.select(F.col("id").alias("id_b"), F.radians("lat").alias("lat_b"), F.radians("lon").alias("lon_b"))
     d = spatial.great_circle(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) * spatial.EARTH_RADIUS
-    return left.join(right, F.col("id_a") < F.col("id_b")).groupBy("id_a", "id_b").agg(F.min(d).alias("least_km"), F.avg(d).alias("mean_km"))
+    return pairs.join(left, "id_a").join(right, "id_b").groupBy("id_a", "id_b").agg(F.min(d).alias("least_km"), F.avg(d).alias("mean_km"))
 
 
 def geodesics(pairs: DataFrame, steps: int) -> DataFrame:

@@ -121,10 +121,10 @@ def logmap_sn_we(spark, d):
     return own.select("event_id", r(sn).alias("sn"), r(we).alias("we"))
 
 
-@query("fixes", "SELECT event_id, round(lat, 5) + 0.0 AS lat_back, round(cos(radians(lon)), 6) + 0.0 AS cos_lon FROM fixes WHERE event_id % 2 = 0")
+@query("fixes", "SELECT event_id, round(lat, 5) + 0.0 AS lat_back, round(cos(radians(lon)), 6) + 0.0 AS cos_lon FROM fixes")
 def expmap_roundtrip(spark, d):
     """Back from tangent coordinates to the position."""
-    own = fixes(spark, d).where("event_id % 2 = 0")
+    own = fixes(spark, d)
     lat0, lon0 = F.lit(-0.8), F.lit(0.4)
     sn, we = spatial.log_map_from(lat0, lon0, F.radians("lat"), F.radians("lon"))
     own = own.select("event_id", sn.alias("sn"), we.alias("we"))
@@ -400,11 +400,11 @@ def alternating_blocks(spark, d):
     return binning.alternating_blocks(fixes(spark, d), 8, 2, 8).select("event_id", "block", "split")
 
 
-@query("fixes", ", t AS (SELECT * FROM fixes WHERE id % 2 = 0 AND event_id % 5 = 0), e AS (SELECT id, max(ts) AS m FROM fixes WHERE id NOT IN (SELECT id FROM t) GROUP BY id) SELECT id, ts FROM t UNION ALL SELECT id, m + INTERVAL 4 HOUR FROM e UNION ALL SELECT id, m + INTERVAL 8 HOUR FROM e")
+@query("fixes", ", t AS (SELECT * FROM fixes WHERE id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')), e AS (SELECT id, max(ts) AS m FROM fixes WHERE id NOT IN (SELECT id FROM t) GROUP BY id) SELECT id, ts FROM t UNION ALL SELECT id, m + INTERVAL 4 HOUR FROM e UNION ALL SELECT id, m + INTERVAL 8 HOUR FROM e")
 def prediction_times(spark, d):
-    """D10, J11."""
+    """One species is the test set."""
     f = fixes(spark, d)
-    return binning.prediction_times(f, f.where("id % 2 = 0 and event_id % 5 = 0"))
+    return binning.prediction_times(f, joins.only_with(f, meta(spark, d).where("species = 'BUILDING'")))
 
 
 # Gaps, runs and flags.
@@ -460,11 +460,12 @@ def track_shape(spark, d):
     return own.select("id", r("net_x").alias("net_x"), r("path_x", 4).alias("path_x"), r("path_y", 4).alias("path_y"), r("direction").alias("direction"), "length")
 
 
-@query("fixes", f"SELECT a.id AS id_a, b.id AS id_b, round(min({gcd('radians(a.lat)', 'radians(a.lon)', 'radians(b.lat)', 'radians(b.lon)')} * {RADIUS}), 2) + 0.0 AS least_km FROM fixes a JOIN fixes b ON a.id < b.id AND a.id < 12 AND b.id < 12 GROUP BY ALL")
+@query("fixes", f"SELECT a.id AS id_a, b.id AS id_b, round(min({gcd('radians(a.lat)', 'radians(a.lon)', 'radians(b.lat)', 'radians(b.lon)')} * {RADIUS}), 2) + 0.0 AS least_km FROM fixes a JOIN fixes b ON b.id = a.id + 1 GROUP BY ALL")
 def track_pair_min_distance(spark, d):
-    """The tracks of a stated set of ids against each other."""
-    few = fixes(spark, d).where("id < 12")
-    return tracks.track_distances(few, few).select("id_a", "id_b", r("least_km", 2).alias("least_km"))
+    """Every track against the one of the next id."""
+    f = fixes(spark, d)
+    following = f.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b")).distinct()
+    return tracks.track_distances(f, f, following).select("id_a", "id_b", r("least_km", 2).alias("least_km"))
 
 
 @query("fixes", "SELECT event_id, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY id ORDER BY ts)) / 1e6 > 3600, true) AS keep FROM fixes")
@@ -495,7 +496,7 @@ def static_join(spark, d):
     return joins.with_static(binned(spark, d), meta(spark, d), ["species", "weight"]).select("id", "time_idx", "species", "weight")
 
 
-BASE = ", l AS (SELECT * FROM fixes WHERE event_id % 7 = 0), b AS (SELECT * FROM fixes WHERE event_id % 3 = 0)"
+BASE = ", l AS (SELECT * FROM fixes), b AS (SELECT * FROM fixes)"
 
 
 @query(
@@ -507,7 +508,7 @@ BASE = ", l AS (SELECT * FROM fixes WHERE event_id % 7 = 0), b AS (SELECT * FROM
 def asof_baseline(spark, d):
     """J6."""
     f = fixes(spark, d)
-    out = joins.asof(f.where("event_id % 7 = 0"), f.where("event_id % 3 = 0"), ["value"], 6)
+    out = joins.asof(f, f, ["value"], 6)
     return out.select("event_id", F.round("value_base", 6).alias("value_base"), F.round("base_gap_hours", 6).alias("gap"))
 
 
@@ -520,20 +521,20 @@ def asof_baseline(spark, d):
 def asof_forward(spark, d):
     """J7."""
     f = fixes(spark, d)
-    out = joins.asof(f.where("event_id % 7 = 0"), f.where("event_id % 3 = 0"), ["value"], 6, forward=True)
+    out = joins.asof(f, f, ["value"], 6, forward=True)
     return out.select("event_id", F.round("value_base", 6).alias("value_base"))
 
 
 KEY = "round(epoch(date_trunc('second', ts)) / 3600) AS h, round(lat / 25) AS i, CAST(round(lon / 30) AS INT) AS j0"
 
 
-@query("fixes", f", g AS (SELECT h, i, ((j0 % 12) + 12) % 12 AS j, avg(value) AS v FROM (SELECT value, {KEY} FROM fixes WHERE event_id % 2 = 1) GROUP BY ALL), f AS (SELECT event_id, {KEY} FROM fixes WHERE event_id % 2 = 0) SELECT event_id, round(v, 6) AS v FROM f LEFT JOIN g ON f.h = g.h AND f.i = g.i AND ((f.j0 % 12) + 12) % 12 = g.j")
+@query("fixes", f", g AS (SELECT h, i, ((j0 % 12) + 12) % 12 AS j, avg(value) AS v FROM (SELECT value, {KEY} FROM fixes) GROUP BY ALL), f AS (SELECT event_id, {KEY} FROM fixes) SELECT event_id, round(v, 6) AS v FROM f LEFT JOIN g ON f.h = g.h AND f.i = g.i AND ((f.j0 % 12) + 12) % 12 = g.j")
 def nearest_grid(spark, d):
     """Grid values by rounded hour and cell."""
     f = fixes(spark, d)
     key = {"h": F.round(F.unix_timestamp("ts") / 3600).cast("long"), "i": F.round(F.col("lat") / 25).cast("int"), "j": F.pmod(F.round(F.col("lon") / 30).cast("int"), F.lit(12))}
-    grid = f.where("event_id % 2 = 1").withColumns(key).groupBy("h", "i", "j").agg(F.avg("value").alias("v"))
-    return f.where("event_id % 2 = 0").withColumns(key).join(grid, ["h", "i", "j"], "left").select("event_id", F.round("v", 6).alias("v"))
+    grid = f.withColumns(key).groupBy("h", "i", "j").agg(F.avg("value").alias("v"))
+    return f.withColumns(key).join(grid, ["h", "i", "j"], "left").select("event_id", F.round("v", 6).alias("v"))
 
 
 @query("fixes", "SELECT event_id FROM fixes WHERE id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -542,11 +543,10 @@ def semi_valid_ids(spark, d):
     return joins.only_with(fixes(spark, d), meta(spark, d).where("species = 'BUILDING'")).select("event_id")
 
 
-@query("fixes", "SELECT DISTINCT id FROM fixes WHERE event_id % 2 = 0 AND id NOT IN (SELECT id FROM fixes WHERE event_id % 53 = 0)")
+@query("fixes", "SELECT DISTINCT id FROM fixes WHERE id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def anti_train_only(spark, d):
     """J11."""
-    f = fixes(spark, d)
-    return joins.only_without(f.where("event_id % 2 = 0").select("id").distinct(), f.where("event_id % 53 = 0").select("id").distinct())
+    return joins.only_without(fixes(spark, d).select("id").distinct(), meta(spark, d).where("species = 'BUILDING'").select("id"))
 
 
 @query("fixes", "SELECT event_id, CASE lc WHEN 'click' THEN 1.5 WHEN 'view' THEN 2.0 END::DOUBLE AS factor FROM fixes")
@@ -562,11 +562,11 @@ def fitted_edges(spark, d):
     return joins.by_edges(fixes(spark, d), [0.0, 10.0, 50.0, 100.0], "value", "bin").select("event_id", "bin")
 
 
-@query("fixes", f", c AS (SELECT CAST(round(lat / 5) AS INT) AS i, CAST(round(lon / 5) AS INT) AS j, count(*) AS n FROM fixes WHERE event_id % 2 = 0 GROUP BY ALL) SELECT event_id, n FROM (SELECT event_id, CAST(round(lat / 5) AS INT) AS i, CAST(round(lon / 5) AS INT) AS j FROM fixes) LEFT JOIN c USING (i, j)")
+@query("fixes", f", c AS (SELECT CAST(round(lat / 5) AS INT) AS i, CAST(round(lon / 5) AS INT) AS j, count(*) AS n FROM fixes GROUP BY ALL) SELECT event_id, n FROM (SELECT event_id, CAST(round(lat / 5) AS INT) AS i, CAST(round(lon / 5) AS INT) AS j FROM fixes) LEFT JOIN c USING (i, j)")
 def nearest_pmf_cell(spark, d):
     """J17."""
     f = fixes(spark, d)
-    cells = f.where("event_id % 2 = 0").groupBy((F.round(F.col("lat") / 5) * 5).alias("lat"), (F.round(F.col("lon") / 5) * 5).alias("lon")).agg(F.count("*").alias("n"))
+    cells = f.groupBy((F.round(F.col("lat") / 5) * 5).alias("lat"), (F.round(F.col("lon") / 5) * 5).alias("lon")).agg(F.count("*").alias("n"))
     return joins.nearest_cell(f.select("event_id", "lat", "lon"), cells, "lat", "lon", 5.0, 5.0).select("event_id", "n")
 
 
@@ -651,11 +651,11 @@ def lagged_displacements(spark, d):
     return windows.lag_displacements(binned(spark, d), "value", 3).select("id", "horizon", r("mean", 9).alias("mean"), r("mean_abs", 9).alias("mean_abs"), "n")
 
 
-@query("binned", ", dd AS (SELECT id, unnest(generate_series(time_idx, coalesce(nxt - 1, time_idx)))::INT AS time_idx, time_idx AS src, value FROM (SELECT *, lead(time_idx) OVER (PARTITION BY id ORDER BY time_idx) AS nxt FROM binned)) SELECT id, time_idx, round(CASE WHEN time_idx = src THEN value WHEN time_idx % 2 = 0 THEN -1 END, 6) AS value FROM dd")
+@query("binned", ", dd AS (SELECT id, unnest(generate_series(time_idx, coalesce(nxt - 1, time_idx)))::INT AS time_idx, time_idx AS src, value FROM (SELECT *, lead(time_idx) OVER (PARTITION BY id ORDER BY time_idx) AS nxt FROM binned)) SELECT id, time_idx, round(CASE WHEN time_idx = src THEN value ELSE -1 END, 6) AS value FROM dd")
 def stitched_imputation(spark, d):
     """D43."""
     b = binned(spark, d)
-    filled = tracks.densify(b, ["value"]).where("missing and time_idx % 2 = 0").select("id", "time_idx", F.lit(-1.0).alias("value"))
+    filled = tracks.densify(b, ["value"]).where("missing").select("id", "time_idx", F.lit(-1.0).alias("value"))
     return windows.stitch(b, filled, ["value"]).select("id", "time_idx", F.round("value", 6).alias("value"))
 
 
@@ -918,11 +918,11 @@ def top_k_features(spark, d):
     return own.orderBy(F.desc("n"), "id", "lc").limit(5)
 
 
-@query("fixes", "SELECT id, ts FROM fixes WHERE event_id % 3 = 0 UNION SELECT id, ts FROM fixes WHERE event_id % 5 = 0")
+@query("fixes", "SELECT id, ts FROM fixes UNION SELECT o_custkey, o_orderdate FROM orders")
 def union_partitions(spark, d):
     """S8, R7, O9."""
-    f = fixes(spark, d)
-    return tables.union_parts(f.where("event_id % 3 = 0").select("id", "ts"), f.where("event_id % 5 = 0").select("id", "ts"))
+    more = tables_of(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    return tables.union_parts(fixes(spark, d).select("id", "ts"), more)
 
 
 @query("fixes", "SELECT year(ts)::INT AS year, month(ts)::INT AS month, greatest(min(lat) - 0.25, -90) AS south, least(max(lat) + 0.25, 90) AS north, greatest(min(lon) - 0.25, -180) AS west, least(max(lon) + 0.25, 180) AS east FROM fixes GROUP BY ALL")
@@ -971,14 +971,14 @@ def reference_area(spark, d):
 @query()
 def region_hulls(spark, d):
     """Hulls of one axis with itself."""
-    p = predictions(spark, d).where("time_step < 2")
+    p = predictions(spark, d)
     return regions.evaluate(regions.quantile_arrays(p, p, ["id", "time_idx"]), ["id", "time_idx"], (0.5, 0.9), samples=150).select("id", "time_idx", "confidence", "area", "covered")
 
 
 @query()
 def distribution_points(spark, d):
     """D30, D32, D53."""
-    p = predictions(spark, d).where("time_step < 2")
+    p = predictions(spark, d)
     return regions.point_predictions(regions.quantile_arrays(p, p, ["id", "time_idx"]), ["id", "time_idx"])
 
 
