@@ -21,6 +21,8 @@ LANES, SEGMENT, FEATURE_WIDTH = 8, 23, 3
 NEAR_BITS = 16
 #: Bins of the sketch that screens candidates, and the least estimate: 0.8 less four standard errors.
 BINS, SCREEN = 128, 0.66
+#: Tables of keys searched before and after the first groups are known, and members of a bucket compared throughout.
+FIRST, REST, SMALL = range(4), range(4, 3 * LANES), 6
 
 
 def mixed(h: np.ndarray, turn: int) -> np.ndarray:
@@ -81,20 +83,21 @@ def lanes(wide: np.ndarray) -> np.ndarray:
     return (bits.astype(np.int64) << np.arange(SEGMENT - 1, -1, -1)).sum(2)
 
 
-def keys(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): codewords near a segment together with twelve exact bits of another one.
+def keys(wide: np.ndarray, tables: range) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): codewords near a segment together with ten exact bits of another one.
 
-    Three tables a segment, 24 in all, with keys of 24 bits; at 9 % of differing bits one table in five has a
-    pair in one bucket.
+    Three tables a segment, 24 in all, with keys of 22 bits; 0.2 % of pairs at similarities from 0.8 share no
+    bucket. Table n takes segment n % 8, so that any run of tables spreads over the segments.
     """
     part = lanes(wide)
+    near = {lane: golay().keys(part[:, lane].astype(np.uint32)) for lane in {n % LANES for n in tables}}
     rows, out = [], []
-    for lane in range(LANES):
-        row, code = golay().keys(part[:, lane].astype(np.uint32))
-        for table, (ahead, shift) in enumerate(((1, 11), (1, 0), (3, 5))):
-            exact = part[row, (lane + ahead) % LANES] >> shift & 0xFFF
-            rows.append(row)
-            out.append((lane * 3 + table) << 24 | exact << 12 | code.astype(np.int64))
+    for n in tables:
+        lane, (ahead, shift) = n % LANES, ((1, 13), (1, 0), (3, 6))[n // LANES]
+        row, code = near[lane]
+        exact = part[row, (lane + ahead) % LANES] >> shift & 0x3FF
+        rows.append(row)
+        out.append(n << 22 | exact << 12 | code.astype(np.int64))
     return np.concatenate(rows), np.concatenate(out)
 
 
@@ -107,41 +110,41 @@ def middle(f: np.ndarray) -> int:
     return int(np.bitwise_count(f ^ major).argmin())
 
 
-def bucket_pairs(t: np.ndarray, f: np.ndarray, small: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one bucket. A small one is compared throughout. In a larger one the middle member meets
-    all that are near it, and the rest do the same among themselves, so a member is in one pair at least
-    if any hub is near it, and a bucket gives fewer pairs than it has members."""
+def bucket_pairs(t: np.ndarray, f: np.ndarray, c: np.ndarray, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one bucket, between components only. A small bucket is compared throughout. In a larger
+    one the middle member meets all that are near it, and the rest do the same among themselves, so a member is
+    in one pair at least if any hub of another component is near it, and a bucket gives fewer pairs than it has members."""
     order = np.argsort(t)
-    t, f = t[order], f[order]
+    t, f, c = t[order], f[order], c[order]
     if len(t) <= small:
         i, j = np.triu_indices(len(t), 1)
-        near = (t[i] != t[j]) & (np.bitwise_count(f[i] ^ f[j]) <= NEAR_BITS)
+        near = (c[i] != c[j]) & (np.bitwise_count(f[i] ^ f[j]) <= NEAR_BITS)
         return t[i[near]], t[j[near]]
-    a, b = [], []
-    while len(t) > 1:
+    a, b = [t[:0]], [t[:0]]
+    while len(t) > 1 and (c != c[0]).any():
         hub = middle(f)
         near = np.bitwise_count(f ^ f[hub]) <= NEAR_BITS
-        own = t[near & (t != t[hub])]
+        own = t[near & (c != c[hub])]
         a.append(np.minimum(own, t[hub]))
         b.append(np.maximum(own, t[hub]))
-        t, f = t[~near], f[~near]
+        t, f, c = t[~near], f[~near], c[~near]
     return np.concatenate(a), np.concatenate(b)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) of classes (t, wide)."""
+def candidates(classes: DataFrame, tables: range) -> DataFrame:
+    """Distinct candidate pairs (a, b) of classes (t, wide, c) that share a bucket of the tables and differ in c."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = batch.column(0).to_numpy(zero_copy_only=False)
+            t, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 24)
             f = np.ascontiguousarray(wide[:, :8]).view(">u8").ravel().astype(np.uint64).view(np.int64)
             for lo in range(0, len(t), 4096):
-                row, key = keys(wide[lo : lo + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(t[lo + row]), pa.array(f[lo + row])], ["key", "t", "f"])
+                row, key = keys(wide[lo : lo + 4096], tables)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(x[lo + row]) for x in (t, f, c))], ["key", "t", "f", "c"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 3
+        rest = [np.zeros(0, np.int64)] * 4
         for batch in _with_end(batches):
             if batch is None:
                 own = rest
@@ -149,26 +152,26 @@ def candidates(classes: DataFrame) -> DataFrame:
                 own = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest)]
                 at = int(np.searchsorted(own[0], own[0][-1])) if len(own[0]) else 0
                 rest, own = [x[at:] for x in own], [x[:at] for x in own]
-            key, t, f = own[0], own[1], own[2].view(np.uint64)
+            key, t, f, c = own[0], own[1], own[2].view(np.uint64), own[3]
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
             size = np.diff(np.append(start, len(key)))
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            short = np.repeat(size <= 6, size)
-            k, u, g = key[short], t[short], f[short]
-            for step in range(1, 6):
+            short = np.repeat(size <= SMALL, size)
+            k, u, g, d = key[short], t[short], f[short], c[short]
+            for step in range(1, SMALL):
                 if len(k) <= step:
                     break
-                hit = (k[:-step] == k[step:]) & (u[:-step] != u[step:]) & (np.bitwise_count(g[:-step] ^ g[step:]) <= NEAR_BITS)
+                hit = (k[:-step] == k[step:]) & (d[:-step] != d[step:]) & (np.bitwise_count(g[:-step] ^ g[step:]) <= NEAR_BITS)
                 a.append(np.minimum(u[:-step][hit], u[step:][hit]))
                 b.append(np.maximum(u[:-step][hit], u[step:][hit]))
-            for lo, n in zip(start[size > 6], size[size > 6]):
-                x, y = bucket_pairs(t[lo : lo + n], f[lo : lo + n])
+            for lo, n in zip(start[size > SMALL], size[size > SMALL]):
+                x, y = bucket_pairs(*(z[lo : lo + n] for z in (t, f, c)))
                 a.append(x)
                 b.append(y)
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    rows = classes.select("t", "wide").mapInArrow(index, "key bigint, t bigint, f bigint")
+    rows = classes.select("t", "wide", "c").mapInArrow(index, "key bigint, t bigint, f bigint, c bigint")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint")
     return met.distinct()
@@ -223,23 +226,21 @@ def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, x, rows, component) of every distinct row: equal components are near-duplicates.
 
     Exact copies up to case and white space form one class. Pairs of classes that meet in a bucket are
-    screened by sketches; each class's best pair is verified first, then all pairs that still join
-    different groups.
+    screened by sketches and verified. A few tables of keys come first and join most of each group; the
+    others then look for links between different groups only, since a link inside a group changes nothing.
     """
     rows = durable(features(docs))
     classes = durable(rows.groupBy("t").agg(F.min("wide").alias("wide"), F.min("bins").alias("bins"), F.min("x").alias("x")))
-    pairs = durable(screened(candidates(classes), classes))
     texts = classes.select("t", "x")
-    best = pairs.groupBy("b").agg(F.max(F.struct("guess", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    sure = durable(verified(durable(best), docs, texts))
-    comp = durable(components(sure))
-    named = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-    open_pairs = pairs.select("a", "b").join(durable(best), ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
-    open_pairs = open_pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    more = verified(durable(open_pairs), docs, texts)
-    comp = durable(components(sure.unionByName(more)))
-    named_rows = rows.groupBy("doc_id", "x", "t").agg(F.count("*").alias("rows")).join(comp, F.col("t") == F.col("node"), "left")
-    return durable(named_rows.select("doc_id", "x", "rows", F.coalesce("component", "t").alias("component")))
+    links, found = None, classes.withColumn("c", F.col("t"))
+    for tables in (FIRST, REST):
+        new = verified(durable(screened(candidates(found, tables), classes)), docs, texts)
+        links = durable(new if links is None else links.unionByName(new))
+        comp = durable(components(links))
+        named = F.coalesce("component", "t")
+        found = durable(classes.join(comp, F.col("t") == F.col("node"), "left").select("t", "wide", named.alias("c")))
+    named_rows = rows.groupBy("doc_id", "x", "t").agg(F.count("*").alias("rows")).join(found.select("t", "c"), "t")
+    return durable(named_rows.select("doc_id", "x", "rows", F.col("c").alias("component")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
