@@ -252,6 +252,22 @@ def test_keep_one(spark, docs):
     assert simhash_docs.keep_one(empty(spark)).count() == 0
 
 
+def test_bucket_pairs_join_components_only():
+    rng = np.random.default_rng(5)
+    centre = rng.integers(0, 2**63, 4, dtype=np.uint64)
+    for n in (2, 6, 7, 60):
+        t, c = np.arange(n) * 3, np.arange(n) % 5
+        f = centre[np.arange(n) % 4] ^ (np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64))
+        a, b = simhash_docs.bucket_pairs(t, f, c)
+        i, j = a // 3, b // 3
+        assert (c[i] != c[j]).all() and (i % 4 == j % 4).all() and (a < b).all()
+        if n <= simhash_docs.SMALL:
+            assert len(a) == sum(c[x] != c[y] and x % 4 == y % 4 for y in range(n) for x in range(y))
+        else:
+            assert 0 < len(a) < n
+        assert not len(simhash_docs.bucket_pairs(t, f, np.zeros(n, int))[0])
+
+
 def test_lines(spark):
     sites = [f"s{i}" for i in range(30)]
     rows = [(i, f"own {i}\n  common line \nnear {i % 9}\n\nten{i % 3 == 0}", sites[i]) for i in range(30)] + [(40, None, "s1"), (41, "", "s1"), (42, "common line", None), (42, "common line", None), (None, "common line\nrest", "s3")]
