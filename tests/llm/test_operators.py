@@ -268,6 +268,32 @@ def test_bucket_pairs_join_components_only():
         assert not len(simhash_docs.bucket_pairs(t, f, np.zeros(n, int))[0])
 
 
+def test_buckets_are_compared_throughout():
+    rng = np.random.default_rng(6)
+    n = 3000  # copies of copies: many are near each other and far from the middle
+    f = np.zeros(n, np.uint64)
+    for i in range(1, n):
+        f[i] = f[rng.integers(i)] ^ (np.uint64(1) << rng.integers(64, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(64, dtype=np.uint64))
+    t, c = rng.permutation(n), np.arange(n) % 7
+    a, b = simhash_docs.bucket_pairs(t, f, c)
+    near = np.triu((np.bitwise_count(f[:, None] ^ f[None]) <= simhash_docs.NEAR_BITS) & (c[:, None] != c[None]), 1)
+    i, j = np.nonzero(near)
+    want = set(zip(np.minimum(t[i], t[j]).tolist(), np.maximum(t[i], t[j]).tolist()))
+    assert len(a) == len(want) and set(zip(a.tolist(), b.tolist())) == want
+
+
+def test_copies_of_copies_are_one_group(spark):
+    rng = random.Random(2)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(200)]]
+    while len(texts) < 600:
+        w = list(rng.choice(texts))
+        for _ in range(3):
+            w[rng.randrange(200)] = f"w{rng.randrange(5000)}"
+        texts.append(w)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert [r.doc_id for r in simhash_docs.keep_one(df).collect()] == [0]
+
+
 def test_lines(spark):
     sites = [f"s{i}" for i in range(30)]
     rows = [(i, f"own {i}\n  common line \nnear {i % 9}\n\nten{i % 3 == 0}", sites[i]) for i in range(30)] + [(40, None, "s1"), (41, "", "s1"), (42, "common line", None), (42, "common line", None), (None, "common line\nrest", "s3")]

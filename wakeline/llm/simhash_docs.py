@@ -21,8 +21,10 @@ LANES, SEGMENT, FEATURE_WIDTH = 8, 23, 3
 NEAR_BITS = 16
 #: Bins of the sketch that screens candidates, and the least estimate: 0.8 less four standard errors.
 BINS, SCREEN = 128, 0.66
-#: Tables of keys searched before and after the first groups are known, and members of a bucket compared throughout.
-FIRST, REST, SMALL = range(4), range(4, 3 * LANES), 6
+#: Tables of keys whose hubs are met first and second, before all tables are compared throughout.
+FIRST, REST, ALL = range(4), range(4, 3 * LANES), range(3 * LANES)
+#: Members of a bucket compared by offsets, and members compared at once; more are compared block against block.
+SHORT, SMALL = 6, 1024
 
 
 def mixed(h: np.ndarray, turn: int) -> np.ndarray:
@@ -110,29 +112,42 @@ def middle(f: np.ndarray) -> int:
     return int(np.bitwise_count(f ^ major).argmin())
 
 
-def bucket_pairs(t: np.ndarray, f: np.ndarray, c: np.ndarray, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one bucket, between components only. A small bucket is compared throughout. In a larger
-    one the middle member meets all that are near it, and the rest do the same among themselves, so a member is
-    in one pair at least if any hub of another component is near it, and a bucket gives fewer pairs than it has members."""
+def block_pairs(t: np.ndarray, f: np.ndarray, c: np.ndarray, small: int = SMALL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of one bucket within NEAR_BITS and between components, block against block."""
+    if not (c != c[:1]).any():
+        return
     order = np.argsort(t)
     t, f, c = t[order], f[order], c[order]
-    if len(t) <= small:
-        i, j = np.triu_indices(len(t), 1)
-        near = (c[i] != c[j]) & (np.bitwise_count(f[i] ^ f[j]) <= NEAR_BITS)
-        return t[i[near]], t[j[near]]
-    a, b = [t[:0]], [t[:0]]
+    for lo in range(0, len(t), small):
+        for hi in range(lo, len(t), small):
+            x, y = slice(lo, lo + small), slice(hi, hi + small)
+            near = (c[x, None] != c[None, y]) & (np.bitwise_count(f[x, None] ^ f[None, y]) <= NEAR_BITS)
+            i, j = np.nonzero(np.triu(near, 1) if lo == hi else near)
+            if len(i):
+                yield t[x][i], t[y][j]
+
+
+def bucket_pairs(t: np.ndarray, f: np.ndarray, c: np.ndarray, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
+    """All of block_pairs."""
+    blocks = [(t[:0], t[:0]), *block_pairs(t, f, c, small)]
+    return np.concatenate([a for a, _ in blocks]), np.concatenate([b for _, b in blocks])
+
+
+def hub_pairs(t: np.ndarray, f: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some pairs of one bucket, fewer than it has members: the middle member meets all that are near it, and the
+    rest do the same among themselves. They join most of a group at little cost; links they leave out are found later."""
     while len(t) > 1 and (c != c[0]).any():
         hub = middle(f)
         near = np.bitwise_count(f ^ f[hub]) <= NEAR_BITS
         own = t[near & (c != c[hub])]
-        a.append(np.minimum(own, t[hub]))
-        b.append(np.maximum(own, t[hub]))
+        yield np.minimum(own, t[hub]), np.maximum(own, t[hub])
         t, f, c = t[~near], f[~near], c[~near]
-    return np.concatenate(a), np.concatenate(b)
 
 
-def candidates(classes: DataFrame, tables: range) -> DataFrame:
-    """Distinct candidate pairs (a, b) of classes (t, wide, c) that share a bucket of the tables and differ in c."""
+def candidates(classes: DataFrame, tables: range, throughout: bool = True) -> DataFrame:
+    """Distinct candidate pairs (a, b) of classes (t, wide, c) that share a bucket of the tables and differ in c:
+    all within NEAR_BITS, or with larger buckets' hubs only."""
+    meeting = block_pairs if throughout else hub_pairs
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,6 +158,10 @@ def candidates(classes: DataFrame, tables: range) -> DataFrame:
                 row, key = keys(wide[lo : lo + 4096], tables)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(x[lo + row]) for x in (t, f, c))], ["key", "t", "f", "c"])
 
+    def out(a: list, b: list) -> pa.RecordBatch:
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64)] * 4
         for batch in _with_end(batches):
@@ -156,20 +175,24 @@ def candidates(classes: DataFrame, tables: range) -> DataFrame:
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
             size = np.diff(np.append(start, len(key)))
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            short = np.repeat(size <= SMALL, size)
+            short = np.repeat(size <= SHORT, size)
             k, u, g, d = key[short], t[short], f[short], c[short]
-            for step in range(1, SMALL):
+            for step in range(1, SHORT):
                 if len(k) <= step:
                     break
                 hit = (k[:-step] == k[step:]) & (d[:-step] != d[step:]) & (np.bitwise_count(g[:-step] ^ g[step:]) <= NEAR_BITS)
                 a.append(np.minimum(u[:-step][hit], u[step:][hit]))
                 b.append(np.maximum(u[:-step][hit], u[step:][hit]))
-            for lo, n in zip(start[size > SMALL], size[size > SMALL]):
-                x, y = bucket_pairs(*(z[lo : lo + n] for z in (t, f, c)))
-                a.append(x)
-                b.append(y)
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            held = 0
+            for lo, n in zip(start[size > SHORT], size[size > SHORT]):
+                for x, y in meeting(*(z[lo : lo + n] for z in (t, f, c))):
+                    a.append(x)
+                    b.append(y)
+                    held += len(x)
+                    if held >= SMALL * SMALL // 2:
+                        yield out(a, b)
+                        a, b, held = a[:1], b[:1], 0
+            yield out(a, b)
 
     rows = classes.select("t", "wide", "c").mapInArrow(index, "key bigint, t bigint, f bigint, c bigint")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -226,15 +249,19 @@ def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, x, rows, component) of every distinct row: equal components are near-duplicates.
 
     Exact copies up to case and white space form one class. Pairs of classes that meet in a bucket are
-    screened by sketches and verified. A few tables of keys come first and join most of each group; the
-    others then look for links between different groups only, since a link inside a group changes nothing.
+    screened by sketches and verified. Hubs of large buckets come first and join most of each group; then every
+    pair of every bucket is compared that is in different groups, since a link inside a group changes nothing.
     """
     rows = durable(features(docs))
     classes = durable(rows.groupBy("t").agg(F.min("wide").alias("wide"), F.min("bins").alias("bins"), F.min("x").alias("x")))
     texts = classes.select("t", "x")
     links, found = None, classes.withColumn("c", F.col("t"))
-    for tables in (FIRST, REST):
-        new = verified(durable(screened(candidates(found, tables), classes)), docs, texts)
+    tried = None
+    for tables, throughout in ((FIRST, False), (REST, False), (ALL, True)):
+        pairs = candidates(found, tables, throughout)
+        pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = verified(durable(screened(pairs, classes)), docs, texts)
         links = durable(new if links is None else links.unionByName(new))
         comp = durable(components(links))
         named = F.coalesce("component", "t")
