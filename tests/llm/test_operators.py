@@ -294,6 +294,17 @@ def test_copies_of_copies_are_one_group(spark):
     assert [r.doc_id for r in simhash_docs.keep_one(df).collect()] == [0]
 
 
+def test_fingerprints_ignore_repeats():
+    rng = random.Random(7)
+    for n, m, times in ((200, 10, 30), (200, 10, 10), (400, 12, 20)):
+        text, line = (" ".join(f"w{rng.randrange(5000)}" for _ in range(k)) for k in (n, m))
+        f = []
+        for k in (1, times):
+            h = simhash.shingle_hashes("\n".join([text, *[line] * k]), simhash_docs.FEATURE_WIDTH)
+            f.append(np.frombuffer(simhash_docs.wide_fingerprint(h)[:8], ">u8"))
+        assert np.bitwise_count(f[0] ^ f[1])[0] <= simhash_docs.NEAR_BITS // 2
+
+
 def test_lines(spark):
     sites = [f"s{i}" for i in range(30)]
     rows = [(i, f"own {i}\n  common line \nnear {i % 9}\n\nten{i % 3 == 0}", sites[i]) for i in range(30)] + [(40, None, "s1"), (41, "", "s1"), (42, "common line", None), (42, "common line", None), (None, "common line\nrest", "s3")]

@@ -36,7 +36,8 @@ def mixed(h: np.ndarray, turn: int) -> np.ndarray:
 
 
 def wide_fingerprint(h: np.ndarray) -> bytes:
-    """192 bits by majority; the first 64 are the plain fingerprint."""
+    """192 bits by majority over the distinct hashes, as similarity is of sets."""
+    h = np.unique(h)
     if not len(h):
         return bytes(24)
     count = np.zeros(192, np.int64)
