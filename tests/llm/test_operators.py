@@ -140,6 +140,21 @@ def test_html_blocks():
     assert html.extract_texts(["", "   ", "<p", "<!-- x", "</div></p>"], tree) == [""] * 5
 
 
+def test_html_hidden_elements():
+    read = lambda body: "".join(t for _, t in html.Page(body).pieces).split()
+    for attrs in ('title="the hidden valley"', 'class="post hidden gem"', "data-x='display: none'", 'data-aria-hidden="true"', 'alt="aria-hidden=true"'):
+        assert read(f"<div {attrs}>text</div> on") == ["text", "on"]
+    for attrs in ("hidden", 'class=a hidden=""', "aria-hidden=true", 'style="color:red; DISPLAY : none"', "hidden='until-found'"):
+        assert read(f"<div {attrs}>x <div>y</div> z</div> on") == ["on"]
+    assert read("<p>a<p hidden>x<p>b<p>c") == ["a", "b", "c"]
+    assert read("<ul><li>a<li hidden>x<ul><li>y<li>z</ul>v<li>b</ul>c") == ["a", "b", "c"]
+    assert read("<table><tr><td hidden>x<td>a<tr hidden><td>y<tr><td>b</table>c") == ["a", "b", "c"]
+    assert read("<dl><dt hidden>x<dd>a<dd hidden>y</dl>b") == ["a", "b"]
+    assert read("<div><p hidden>x</div>a<p hidden>y<div>b</div>c") == ["a", "b", "c"]
+    assert read("<div hidden><script>'</div>'</script>x<!-- </div> --><img title='</div>'>y</div>a") == ["a"]
+    assert read("<div><button>x</div>a") == ["a"]
+
+
 def test_html_accuracy_on_held_out_layouts():
     pages, labels = html.labelled_pages(150, 1234)
     content = html.TreeModel.marginals(html.model(), html.Forest(pages)) > 0.5

@@ -43,7 +43,8 @@ N_HINTS = len(HINTS)
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 PIECES = re.compile(r"[a-z]+")
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 N_FEATURES = len(BLOCK) + 2 * (N_HINTS + 1) + 9
 
@@ -84,12 +85,17 @@ class Page:
                 continue
             attrs = m.group(3)
             empty = attrs.endswith("/")
-            if name in SKIP or attrs and HIDDEN.search(attrs) and name not in VOID:
+            if name in SKIP or attrs and name not in VOID and self.hidden(attrs):
                 if name in RAW:
                     close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                     at = at if empty and name == "svg" else close.end() if close else end if name in ("script", "style", "textarea", "title") else at
                 elif not empty:
-                    at = self.after(source, at, name)
+                    if name in CLOSES_P:
+                        self.close(stack, {"p"})
+                    if name in CLOSED_BY:
+                        self.close(stack, CLOSED_BY[name])
+                    at = self.after(source, at, name, stack)
+                    linked = sum(s[0] == "a" for s in stack)
                 self.gap(stack[-1][1])
                 continue
             if name in VOID:
@@ -118,15 +124,60 @@ class Page:
                 linked += name == "a"
 
     @staticmethod
-    def after(source: str, at: int, name: str) -> int:
-        """Where the element that starts here ends, nested ones of its name included."""
-        depth = 1
-        for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(source, at):
-            depth += -1 if m.group(1) else 1
-            if not depth:
-                return m.end()
-        body = re.compile(r"<body\b", re.I).search(source, at) if name == "head" else None
-        return body.start() if body else at if name == "head" else len(source)
+    def hidden(attrs: str) -> bool:
+        """Whether attributes, by their names, hide the element."""
+        for name, *values in ATTR.findall(attrs):
+            name, value = name.lower(), entities.unescape("".join(values))
+            if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and UNSEEN.search(value):
+                return True
+        return False
+
+    @classmethod
+    def after(cls, source: str, at: int, name: str, stack: list) -> int:
+        """Where the element that starts here ends: at its end tag, at a tag that implies the end, or at the end of an
+        element around it. Open elements are kept as for visible ones."""
+        if name == "head":
+            m = re.compile(r"</head\s*>|<body\b", re.I).search(source, at)
+            return at if not m else m.end() if m.group()[1] == "/" else m.start()
+        own = [*((s, 0) for s, _ in stack), (name, 0)]
+        base = len(stack)
+        while m := TAG.search(source, at):
+            tag, at = (m.group(2) or "").lower(), m.end()
+            if not tag:
+                continue
+            if m.group(1):
+                depth = next((i for i in range(len(own) - 1, 0, -1) if own[i][0] == tag), 0)
+                if depth and not (tag not in BLOCK_ID and any(s[0] in BLOCK_ID for s in own[depth + 1 :])):
+                    if depth < base:
+                        return m.start()
+                    del own[depth:]
+                    if depth == base:
+                        return m.end()
+                elif tag in ("body", "html"):
+                    return m.start()
+                continue
+            if tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                if not (m.group(3).endswith("/") and tag == "svg"):
+                    at = end.end() if end else len(source) if tag in ("script", "style", "textarea", "title") else at
+                continue
+            if tag in VOID and tag != "hr":
+                continue
+            if tag in CLOSES_P:
+                cls.close(own, {"p"})
+            if tag in CLOSED_BY:
+                cls.close(own, CLOSED_BY[tag])
+            if tag == "tr":  # the cell ended above; now its row
+                cls.close(own, {"tr"})
+            if tag in ("option", "optgroup") and own[-1][0] == "option":
+                own.pop()
+            if tag[0] == "h" and tag[1:].isdigit() and own[-1][0][0] == "h" and own[-1][0][1:].isdigit():
+                own.pop()
+            if len(own) <= base:
+                return m.start()
+            if tag not in VOID and tag not in ("html", "body") and (tag in BLOCK_ID or not m.group(3).endswith("/")):
+                own.append((tag, 0))
+        return len(source)
 
     @staticmethod
     def close(stack: list, names: set) -> None:
