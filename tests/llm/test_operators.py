@@ -90,6 +90,14 @@ def test_sharding_cuts_fewer_links(spark):
     assert cut("shard") < 60
 
 
+def test_sharding_follows_all_shared_lines(spark):
+    rng = random.Random(9)
+    rows = [(i * 10 + k, "\n".join([f"line of group {i}", *(text_of(rng, 5) for _ in range(40))]), "en", "a", 0, 0.0, 0, "") for i in range(60) for k in range(6)]
+    out = sharding.place(spark.createDataFrame(rows, DOC), shards=4).collect()
+    cut = lambda name: sum(len({r[name] for r in out if r.doc_id // 10 == i}) - 1 for i in range(60))
+    assert cut("shard") < cut("start_shard") / 2, (cut("shard"), cut("start_shard"))
+
+
 def brute_vectors(rows):
     ok = {}
     for n, (vid, v) in enumerate(rows):

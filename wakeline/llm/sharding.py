@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import dense_rank_rows, discard, durable
+from wakeline.llm.common import dense_rank_rows, discard, durable, maybe_broadcast
 
 SHARDS = 8
-ROUNDS = 4
-#: Links of a document: the least hashes of its lines, a MinHash of the line set.
-LINKS = 4
+#: Rounds end when two on end admit no more than one row in this many, or as many as fewest do before STALL on end.
+FEW, STALL = 1000, 4
 #: Buckets by hash in which rows are numbered side by side.
 BUCKETS = 4096
 
 
-def nodes(docs: DataFrame, links: int) -> DataFrame:
-    """doc_id, size, text_crc32 and link keys of every row; the text goes no further."""
+def nodes(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32 and the hashes of all lines of every row; the text goes no further."""
     text = F.coalesce(F.col("text"), F.lit(""))
     hashed = F.transform(F.filter(F.split(text, "\n"), lambda l: F.trim(l) != ""), lambda l: F.xxhash64(F.trim(l)))
     return docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.slice(F.array_sort(F.array_distinct(hashed)), 1, links).alias("keys")
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.array_sort(F.array_distinct(hashed)).alias("keys")
     )
 
 
@@ -37,7 +36,18 @@ def start(rows: DataFrame, shards: int, buckets: int) -> DataFrame:
     return out.withColumn("shard", shard.cast("int"))
 
 
-def propose(state: DataFrame, turn: int) -> DataFrame:
+def linked(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with only those keys that another row has too, and how many such keys there are."""
+    ends = rows.select("pos", F.explode("keys").alias("key"))
+    shared = durable(ends.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    n = shared.count()
+    links = ends.join(maybe_broadcast(shared, n), "key").groupBy("pos").agg(F.collect_list("key").alias("links"))
+    out = durable(rows.join(links, "pos", "left").withColumn("keys", F.coalesce("links", F.array().cast("array<bigint>"))).drop("links"))
+    discard(shared)
+    return out, n
+
+
+def propose(state: DataFrame, turn: int, keys: int) -> DataFrame:
     """(pos, shard, target, gain) of rows that a move would bring nearer to their neighbours.
 
     A key's label is its commonest shard, its strength the share of the key's rows there. A row
@@ -47,7 +57,7 @@ def propose(state: DataFrame, turn: int) -> DataFrame:
     votes = ends.groupBy("key", "shard").agg(F.count("*").alias("n"))
     label = votes.groupBy("key").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("top"), F.sum("n").alias("all")).where("all > 1")
     label = label.select("key", (-F.col("top.s")).alias("target"), (F.col("top.n") / F.col("all")).alias("w"))
-    weighed = ends.join(label, "key").groupBy("pos", "shard", "target").agg(F.sum("w").alias("w"))
+    weighed = ends.join(maybe_broadcast(label, keys), "key").groupBy("pos", "shard", "target").agg(F.sum("w").alias("w"))
     own = F.sum(F.when(F.col("target") == F.col("shard"), F.col("w")).otherwise(0.0)).alias("own")
     best = weighed.groupBy("pos", "shard").agg(F.max(F.struct("w", (-F.col("target")).alias("t"))).alias("top"), own)
     best = best.select("pos", "shard", (-F.col("top.t")).alias("target"), (F.col("top.w") - F.col("own")).alias("gain"))
@@ -68,19 +78,28 @@ def admit(moves: DataFrame, turn: int, levels: int = 16, salts: int = 64) -> Dat
     return ranked.join(quotas, ["shard", "target"]).where("rank < quota").select("pos", "target")
 
 
-def place(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, links: int = LINKS, buckets: int = BUCKETS) -> DataFrame:
+def place(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and start_shard of every row.
 
-    Documents are linked that share one of the `links` least hashes of their lines (equal texts share all).
-    Shards start as equal ranges of rows, counts at most one apart, and every round of label
-    propagation swaps equal numbers between each two shards, so law `rows` holds throughout.
+    Documents are linked that share a line (equal texts share all). Shards start as equal ranges of
+    rows, counts at most one apart, and every round of label propagation swaps equal numbers between
+    each two shards, so law `rows` holds throughout. Rounds go on until few moves are left, or `rounds`.
     A null text counts as empty; repeated rows and null ids are rows like any others; texts
     without lines have no links and stay; an empty table gives none; other columns are ignored.
     """
-    state = durable(start(durable(nodes(docs, links)), shards, buckets).withColumn("start_shard", F.col("shard")))
-    for turn in range(rounds):
-        moves = durable(propose(state, turn))
-        moved = admit(moves, turn)
+    first = durable(start(durable(nodes(docs)), shards, buckets).withColumn("start_shard", F.col("shard")))
+    state, keys = linked(first)
+    discard(first)
+    few, least, quiet, stalled, turn = state.count() // FEW, float("inf"), 0, 0, 0
+    while quiet < 2 and stalled < STALL and turn != rounds:
+        moves = durable(propose(state, turn, keys))
+        moved = durable(admit(moves, turn))
+        n = moved.count()
+        quiet = quiet + 1 if n <= few else 0
+        stalled = 0 if n < least else stalled + 1
+        least, turn = min(least, n), turn + 1
+        if not n:
+            continue
         new = state.join(moved, "pos", "left").withColumn("shard", F.coalesce("target", "shard")).drop("target")
         new = durable(new)
         discard(state)
