@@ -252,3 +252,19 @@ def test_plans_push_down_and_share_a_shuffle(spark):
         assert "GreaterThan(value,5.0)" in plan and "event_type" not in plan.split("ReadSchema")[1].split("\n")[0]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_reference_areas_take_the_full_sample(spark):
+    from wakeline.plans import catalog
+
+    rows = [("a", i, float(x), float(y)) for i, (x, y) in enumerate(np.random.default_rng(1).normal(size=(300, 2)))]
+    df = spark.createDataFrame(rows, "id string, ts int, dx double, dy double").withColumn("y", F.lit(0.0))
+    steps = np.array([r[2:] for r in rows])
+    picks = np.random.default_rng(0).integers(0, 300, (10000, 28))
+    paths, side = steps[picks].cumsum(1), 1 - np.sqrt(0.95)
+    lo, hi = np.quantile(paths, [side / 2, 1 - side / 2], axis=0)
+    got = {r.time_step: r.area_ref for r in regions.reference_areas(df, 28, (0.05, 0.95)).where("confidence = 0.95").collect()}
+    assert sorted(got) == list(range(28))
+    for t in range(28):
+        assert got[t] == pytest.approx(np.prod(hi[t] - lo[t]), rel=0.01)
+    assert catalog.QUERIES["reference_area"](spark, "/root/testdata/sf0.001").agg(F.max("time_step")).first()[0] == 27

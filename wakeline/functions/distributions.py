@@ -279,10 +279,10 @@ def normal_ppf(p: np.ndarray) -> np.ndarray:
     return np.vectorize(NormalDist().inv_cdf, otypes=[float])(p)
 
 
-def reference_box(steps: np.ndarray, horizon: int, alpha: float, draws: int = 1000, seed: int = 0, replace: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Percentile boxes of resampled, summed steps: (lo, hi) of each horizon."""
+def reference_box(steps: np.ndarray, horizon: int, alpha: float | np.ndarray, draws: int = 10000, seed: int = 0, replace: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Percentile boxes of resampled, summed steps: (lo, hi) of each horizon (D23), first by alpha if that is an array."""
     rng = np.random.default_rng(seed)
     picks = rng.integers(0, len(steps), (draws, horizon)) if replace else np.stack([rng.permutation(len(steps))[:horizon] for _ in range(draws)])
     paths = np.cumsum(steps[picks], axis=1)
-    side = 1 - math.sqrt(1 - alpha)
+    side = 1 - np.sqrt(1 - np.asarray(alpha))
     return np.quantile(paths, side / 2, axis=0), np.quantile(paths, 1 - side / 2, axis=0)

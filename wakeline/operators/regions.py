@@ -80,7 +80,7 @@ def point_predictions(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return own.mapInPandas(work, f"{kinds}, x_mean double, x_median double, x_mode double, y_mean double, y_median double, y_mode double")
 
 
-def reference_areas(steps: DataFrame, horizon: int, confidences: Sequence[float] = scores.CONFIDENCES, draws: int = 500, replace: bool = True) -> DataFrame:
+def reference_areas(steps: DataFrame, horizon: int, confidences: Sequence[float] = scores.CONFIDENCES, draws: int = 10000, replace: bool = True) -> DataFrame:
     """area_ref by id, time_step and confidence: boxes of resampled own steps (dx, dy) about the last position y0."""
     lists = steps.where("dx is not null and dy is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ts", "dx", "dy"))).alias("s"), F.max_by("y", "ts").alias("y0"))
     own = lists.select("id", "y0", F.transform("s", lambda s: s["dx"]).alias("dx"), F.transform("s", lambda s: s["dy"]).alias("dy"))
@@ -92,8 +92,8 @@ def reference_areas(steps: DataFrame, horizon: int, confidences: Sequence[float]
                 d = np.stack([np.asarray(row.dx), np.asarray(row.dy)], 1)
                 if len(d) < (2 if replace else horizon):
                     continue
-                for c in confidences:
-                    lo, hi = D.reference_box(d, horizon, 1 - c, draws, 0, replace)
+                boxes = D.reference_box(d, horizon, 1 - np.array(confidences, float), draws, 0, replace)
+                for c, lo, hi in zip(confidences, *boxes):
                     g = lambda y: 1 / (1 + np.exp(2 * (row.y0 + y) / spatial.EARTH_RADIUS))  # noqa: E731, B023
                     area = -2 * spatial.EARTH_RADIUS * (hi[:, 0] - lo[:, 0]) * (g(hi[:, 1]) - g(lo[:, 1]))
                     out += [[row.id, t, float(c), float(a)] for t, a in enumerate(area)]

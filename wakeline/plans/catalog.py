@@ -965,7 +965,7 @@ def reference_area(spark, d):
     x, y = spatial.mercator(F.radians("lat"), F.radians("lon"))
     own = binned(spark, d).select("id", F.col("time_idx").alias("ts"), (x / 100).alias("x"), (y / 100).alias("y"))
     w = tracks.along()
-    return regions.reference_areas(own.withColumns({"dx": F.col("x") - F.lag("x").over(w), "dy": F.col("y") - F.lag("y").over(w)}), 4, draws=200)
+    return regions.reference_areas(own.withColumns({"dx": F.col("x") - F.lag("x").over(w), "dy": F.col("y") - F.lag("y").over(w)}), 28)
 
 
 @query()
