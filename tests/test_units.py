@@ -268,3 +268,14 @@ def test_reference_areas_take_the_full_sample(spark):
     for t in range(28):
         assert got[t] == pytest.approx(np.prod(hi[t] - lo[t]), rel=0.01)
     assert catalog.QUERIES["reference_area"](spark, "/root/testdata/sf0.001").agg(F.max("time_step")).first()[0] == 27
+
+
+def test_region_hulls_have_the_true_area(spark):
+    levels = np.linspace(0.001, 0.999, 201)
+    q = D.normal_ppf(levels) * 100
+    row = [(1, levels.tolist(), q.tolist(), q.tolist(), 0.0, 0.0)]
+    df = spark.createDataFrame(row, "id long, levels array<double>, qx array<double>, qy array<double>, x double, y double")
+    for r in regions.evaluate(df, ["id"], (0.5, 0.9)).collect():
+        assert r.area == pytest.approx(-2 * math.pi * 100**2 * math.log(1 - r.confidence), rel=0.04)
+    p = np.random.default_rng(4).normal(size=(20000, 2)) * [3, 0.01]
+    assert {tuple(v) for v in D.convex_hull(p)} == {tuple(v) for part in (D.convex_hull(np.vstack([D.convex_hull(x) for x in np.array_split(p, 25)])),) for v in part}

@@ -134,9 +134,28 @@ def highest_density_interval(dist, alpha: float, n: int = 2001, compat: bool = F
     return (float(kept[0]), float(kept[-1])) if compat else (float(kept.min()), float(kept.max()))
 
 
+def outer(p: np.ndarray, ways: int = 64) -> np.ndarray:
+    """Points without those well inside the polygon of the outermost ones in some directions; no vertex of the hull goes."""
+    turn = 2 * np.pi * np.arange(ways) / ways
+    size = np.maximum(np.ptp(p, axis=0), 1e-300)
+    unit = (p - p.min(0)) / size - 0.5
+    sides = np.stack([np.cos(turn), np.sin(turn)])
+    ring = unit[np.unique([np.argmax(unit @ sides[:, k]) for k in range(ways)])]
+    ring = convex_hull(ring)
+    if len(ring) < 3:
+        return p
+    inside = np.ones(len(p), bool)
+    for a, b in zip(ring, np.roll(ring, -1, 0)):
+        inside &= (b[0] - a[0]) * (unit[:, 1] - a[1]) - (b[1] - a[1]) * (unit[:, 0] - a[0]) > 1e-9
+    return p[~inside]
+
+
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Counter-clockwise hull, the first vertex not repeated (monotone chain)."""
-    p = np.unique(np.asarray(points, float), axis=0)
+    p = np.asarray(points, float)
+    if len(p) > 1000:
+        p = outer(p)
+    p = np.unique(p, axis=0)
     if len(p) < 3:
         return p
 
@@ -211,6 +230,8 @@ class Bivariate:
 
     def pdf(self, points: np.ndarray) -> np.ndarray:
         px, py = self.x.pdf(points[:, 0]), self.y.pdf(points[:, 1])
+        if not self.rho:
+            return px * py
         u, v = (normal_ppf(np.clip(d.cdf(points[:, i]), 1e-6, 1 - 1e-6)) for i, d in enumerate((self.x, self.y)))
         r = self.rho
         copula = np.exp(-(r * r * (u * u + v * v) - 2 * r * u * v) / (2 * (1 - r * r))) / math.sqrt(1 - r * r)
@@ -218,8 +239,13 @@ class Bivariate:
 
     def hull(self, confidence: float, n: int = 1000, seed: int = 0) -> np.ndarray:
         """Hull of the densest part of a sample."""
+        return self.hulls([confidence], n, seed)[0]
+
+    def hulls(self, confidences, n: int = 1000, seed: int = 0) -> list[np.ndarray]:
+        """Hulls of the densest parts of one sample."""
         s = self.sample(n, seed)
-        return convex_hull(s[np.argsort(-self.pdf(s), kind="stable")][: max(3, int(confidence * n))])
+        s = s[np.argsort(-self.pdf(s), kind="stable")]
+        return [convex_hull(s[: max(3, int(c * n))]) for c in confidences]
 
     def level(self, confidence: float, n: int = 1000, seed: int = 0) -> float:
         """Density of the contour that holds a share of the mass."""
