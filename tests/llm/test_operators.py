@@ -275,34 +275,101 @@ def test_keep_one(spark, docs):
     assert simhash_docs.keep_one(empty(spark)).count() == 0
 
 
-def test_bucket_pairs_join_components_only():
-    rng = np.random.default_rng(5)
-    centre = rng.integers(0, 2**63, 4, dtype=np.uint64)
-    for n in (2, 6, 7, 60):
-        t, c = np.arange(n) * 3, np.arange(n) % 5
-        f = centre[np.arange(n) % 4] ^ (np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64))
-        a, b = simhash_docs.bucket_pairs(t, f, c)
-        i, j = a // 3, b // 3
-        assert (c[i] != c[j]).all() and (i % 4 == j % 4).all() and (a < b).all()
-        if n <= simhash_docs.SMALL:
-            assert len(a) == sum(c[x] != c[y] and x % 4 == y % 4 for y in range(n) for x in range(y))
-        else:
-            assert 0 < len(a) < n
-        assert not len(simhash_docs.bucket_pairs(t, f, np.zeros(n, int))[0])
-
-
-def test_buckets_are_compared_throughout():
-    rng = np.random.default_rng(6)
-    n = 3000  # copies of copies: many are near each other and far from the middle
-    f = np.zeros(n, np.uint64)
-    for i in range(1, n):
-        f[i] = f[rng.integers(i)] ^ (np.uint64(1) << rng.integers(64, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(64, dtype=np.uint64))
-    t, c = rng.permutation(n), np.arange(n) % 7
-    a, b = simhash_docs.bucket_pairs(t, f, c)
+def bucket(t, f, c):
+    n = np.full(len(t), 100)
+    return simhash_docs.Members(t, f, c, n, n, np.ones((len(t), simhash_docs.BINS), np.uint8))
+
+
+def near_pairs(t, f, c):
     near = np.triu((np.bitwise_count(f[:, None] ^ f[None]) <= simhash_docs.NEAR_BITS) & (c[:, None] != c[None]), 1)
-    i, j = np.nonzero(near)
-    want = set(zip(np.minimum(t[i], t[j]).tolist(), np.maximum(t[i], t[j]).tolist()))
-    assert len(a) == len(want) and set(zip(a.tolist(), b.tolist())) == want
+    return set(zip(*(x.tolist() for x in np.nonzero(near))))
+
+
+@pytest.mark.parametrize("small", [1024, 7])
+def test_buckets_are_compared_throughout(small):
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 7, 400):
+        f = np.zeros(n, np.uint64)  # copies of copies: many are near each other and far from the middle
+        for i in range(1, n):
+            f[i] = f[rng.integers(i)] ^ (np.uint64(1) << rng.integers(64, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(64, dtype=np.uint64))
+        t, c = rng.permutation(n), np.arange(n) % 7
+        own = bucket(t, f, c)
+        got = [(i, j) for a, b, _ in simhash_docs.block_pairs(own, small=small) for i, j in zip(a.tolist(), b.tolist())]
+        assert len(got) == len(set(got)) and set(got) == near_pairs(t, f, c)
+        half = n // 2
+        across = {(i, half + j) for a, b, _ in simhash_docs.block_pairs(own[:half], own[half:], small=small) for i, j in zip(a.tolist(), b.tolist())}
+        assert across == {(i, j) for i, j in near_pairs(t, f, c) if i < half <= j}
+        assert not list(simhash_docs.block_pairs(bucket(t, f, np.zeros(n, int))))
+        full = np.bitwise_count(f[:, None] ^ f[None]) <= simhash_docs.NEAR_BITS
+        assert (simhash_docs.has_neighbour(f) == (full.sum(1) > 1)).all()
+
+
+def test_bound_on_shared_shingles_is_sound():
+    rng = np.random.default_rng(1)
+    zero = np.zeros(2, np.uint64)
+    for _ in range(300):
+        a = set(rng.choice(60, rng.integers(1, 40), replace=False).tolist())
+        b = {x for x in a if rng.random() < 0.9} | set(rng.choice(60, rng.integers(0, 6)).tolist()) or {0}
+        rest = {x for x in range(60) if rng.random() < 0.3}
+        v = [len(a & (b | rest)), len(b & (a | rest))]
+        m = simhash_docs.Members(np.arange(2), zero, np.arange(2), np.array([len(a), len(b)]), np.array(v), np.ones((2, 128), np.uint8))
+        if len(a & b) >= 0.8 * len(a | b):
+            assert simhash_docs.possible(m[:1], m[1:]).all()
+
+
+def test_best_partners():
+    t = np.array([50, 40, 30, 20])
+    i, j, share = simhash_docs.kept(t, np.array([0, 0, 1]), np.array([1, 2, 3]), np.array([0.9, 0.9, 0.95]))
+    assert sorted(zip(i.tolist(), j.tolist(), share.tolist())) == [(0, 2, 0.9), (1, 3, 0.95)]
+
+
+def test_sketches_keep_similar_sets():
+    rng = np.random.default_rng(2)
+    missed = tried = 0
+    for n in (6, 30, 150, 600, 5000):
+        for _ in range(200):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = np.concatenate([a[: len(a) - n // 10], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)])  # 0.81 or more
+            bins = np.stack([np.frombuffer(simhash_docs.sketch(z), np.uint8) for z in (a, b)])
+            size = np.array([n, n])
+            m = simhash_docs.Members(size, size, size, size, size, bins)
+            missed += not simhash_docs.guesses(m[:1], m[1:])[1][0]
+            tried += 1
+    assert missed == 0, (missed, tried)
+
+
+def test_pairs_come_from_their_first_bucket():
+    rng = np.random.default_rng(3)
+    wide = np.repeat(rng.integers(0, 256, (1, 24), np.uint8), 60, 0)
+    for row in wide[1:]:
+        for bit in rng.integers(0, 192, rng.integers(0, 25)):
+            row[bit // 8] ^= 1 << bit % 8
+    own = defaultdict(set)
+    for row, key in zip(*simhash_docs.keys(wide)):
+        own[row].add(int(key))
+    i, j = np.triu_indices(60, 1)
+    want = [min(own[p] & own[q], default=-1) for p, q in zip(i, j)]
+    assert simhash_docs.Codes(wide).first(i, j).tolist() == want and -1 in want and max(want) > -1
+
+
+@pytest.mark.parametrize("throughout", [True, False])
+def test_crowded_buckets_are_split(spark, throughout):
+    rng = random.Random(4)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(60)] for _ in range(3)]
+    rows = []
+    for i in range(240):
+        w = list(texts[i % 3])
+        w[rng.randrange(60)] = f"x{rng.randrange(5000)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = common.durable(simhash_docs.features(df))
+    alive = rows.select("t", "wide", F.lit(bytes([1]) * simhash_docs.BINS).alias("bins"), F.lit(60).cast("long").alias("n"), F.lit(60).cast("long").alias("v"), F.col("t").alias("c"))
+    found = [[tuple(r) for r in simhash_docs.candidates(alive, throughout, block).collect()] for block in (4096, 16)]
+    whole, split = map(set, found)
+    if throughout:
+        assert len(found[0]) == len(whole) == len(found[1]) and whole == split and len(whole) > 3 * 80 * 79 / 2 * 0.9
+    else:  # partners are sought within a block
+        assert {x for p in whole for x in p} == {x for p in split for x in p}
 
 
 def test_copies_of_copies_are_one_group(spark):

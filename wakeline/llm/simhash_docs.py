@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import components, durable, maybe_broadcast
+from wakeline.llm.common import components, durable, free_name, maybe_broadcast, scratch
 from wakeline.llm.simhash import _with_end, golay, shingle_hashes
 
 #: Similar documents share this part of their distinct shingles of five words.
@@ -19,12 +19,11 @@ SIMILARITY, VERIFY_WIDTH = 0.8, 5
 LANES, SEGMENT, FEATURE_WIDTH = 8, 23, 3
 #: Bits by which the first 64 of similar documents may differ: similarity 0.8 has a mean of 6 and 99 % under 13.
 NEAR_BITS = 16
-#: Bins of the sketch that screens candidates, and the least estimate: 0.8 less four standard errors.
-BINS, SCREEN = 128, 0.66
-#: Tables of keys whose hubs are met first and second, before all tables are compared throughout.
-FIRST, REST, ALL = range(4), range(4, 3 * LANES), range(3 * LANES)
-#: Members of a bucket compared by offsets, and members compared at once; more are compared block against block.
-SHORT, SMALL = 6, 1024
+#: Bins of the sketch that screens candidates, and the standard errors by which an estimate may fall short of 0.8.
+BINS, ERRORS = 256, 5.0
+TABLES = range(3 * LANES)
+#: Members of a bucket compared by offsets, rows compared at once, and rows of a bucket that one task compares.
+SHORT, SMALL, BLOCK = 6, 1024, 4096
 
 
 def mixed(h: np.ndarray, turn: int) -> np.ndarray:
@@ -51,33 +50,29 @@ def wide_fingerprint(h: np.ndarray) -> bytes:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """One-permutation MinHash: a byte of the least hash in each bin, 0 for an empty bin."""
-    h = np.unique(mixed(h, 2))
-    bin_of = (h >> np.uint64(57)).astype(np.int64)
-    first = np.searchsorted(bin_of, np.arange(BINS))
-    full = first < len(h)
+    """One-permutation MinHash of distinct hashes: a byte of the least hash in each bin, 0 for an empty bin."""
+    h = np.sort(mixed(h, 2))
+    bin_of = (h >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], bin_of[1:] != bin_of[:-1]])) if len(h) else np.zeros(0, int)
     out = np.zeros(BINS, np.uint8)
-    at = np.flatnonzero(full)
-    at = at[bin_of[first[at]] == at]
-    out[at] = (h[first[at]] >> np.uint64(8)).astype(np.uint8) | 1
+    out[bin_of[first]] = (h[first] >> np.uint64(8)).astype(np.uint8) | 1
     return out.tobytes()
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, x (hash of the text), t (hash of its words), the wide fingerprint and the sketch of every row."""
+    """doc_id, x (hash of the text), t (hash of its words) and the wide fingerprint of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, wide, bins = [], [], []
+            t, wide = [], []
             for value in batch.column(2):
                 text = value.as_py() or ""
                 t.append(xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "replace").lower().split()), 7))
                 wide.append(wide_fingerprint(shingle_hashes(text, FEATURE_WIDTH)))
-                bins.append(sketch(shingle_hashes(text, VERIFY_WIDTH)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(t, np.uint64).view(np.int64)), pa.array(wide, pa.binary()), pa.array(bins, pa.binary())], ["doc_id", "x", "t", "wide", "bins"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(t, np.uint64).view(np.int64)), pa.array(wide, pa.binary())], ["doc_id", "x", "t", "wide"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("x"), "text").mapInArrow(scan, f"doc_id {kind}, x bigint, t bigint, wide binary, bins binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("x"), "text").mapInArrow(scan, f"doc_id {kind}, x bigint, t bigint, wide binary")
 
 
 def lanes(wide: np.ndarray) -> np.ndarray:
@@ -86,7 +81,11 @@ def lanes(wide: np.ndarray) -> np.ndarray:
     return (bits.astype(np.int64) << np.arange(SEGMENT - 1, -1, -1)).sum(2)
 
 
-def keys(wide: np.ndarray, tables: range) -> tuple[np.ndarray, np.ndarray]:
+#: How far ahead of a table's fuzzy segment its exact one lies, and which ten bits of it count.
+EXACT = ((1, 13), (1, 0), (3, 6))
+
+
+def keys(wide: np.ndarray, tables: range = TABLES) -> tuple[np.ndarray, np.ndarray]:
     """(row, key): codewords near a segment together with ten exact bits of another one.
 
     Three tables a segment, 24 in all, with keys of 22 bits; 0.2 % of pairs at similarities from 0.8 share no
@@ -96,7 +95,7 @@ def keys(wide: np.ndarray, tables: range) -> tuple[np.ndarray, np.ndarray]:
     near = {lane: golay().keys(part[:, lane].astype(np.uint32)) for lane in {n % LANES for n in tables}}
     rows, out = [], []
     for n in tables:
-        lane, (ahead, shift) = n % LANES, ((1, 13), (1, 0), (3, 6))[n // LANES]
+        lane, (ahead, shift) = n % LANES, EXACT[n // LANES]
         row, code = near[lane]
         exact = part[row, (lane + ahead) % LANES] >> shift & 0x3FF
         rows.append(row)
@@ -104,6 +103,36 @@ def keys(wide: np.ndarray, tables: range) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
+class Codes:
+    """The keys of rows of fingerprints by table, to tell which bucket two rows meet in first."""
+
+    def __init__(self, wide: np.ndarray):
+        part = lanes(wide)
+        self.exact = np.stack([part[:, (n % LANES + EXACT[n // LANES][0]) % LANES] >> EXACT[n // LANES][1] & 0x3FF for n in TABLES], 1)
+        self.code = np.full((len(wide), LANES, 6), -1, np.int16)
+        for lane in range(LANES):
+            row, code = golay().keys(part[:, lane].astype(np.uint32))
+            order = np.argsort(row, kind="stable")
+            row, code = row[order], code[order]
+            at = np.arange(len(row)) - np.searchsorted(row, row)
+            self.code[row, lane, at] = code
+
+    def first(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The least key that rows i and j have in common."""
+        out = np.full(len(i), -1, np.int64)
+        for lo in range(0, len(i), 1 << 14):
+            p, q = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+            a = self.code[p]
+            same = (a[:, :, :, None] == self.code[q][:, :, None, :]).any(3) & (a >= 0)
+            code = np.where(same, a, 1 << 12).min(2)
+            shared = (self.exact[p] == self.exact[q]) & (code < 1 << 12)[:, np.array(TABLES) % LANES]
+            n = shared.argmax(1)
+            at = np.arange(len(p))
+            key = n << 22 | self.exact[p, n] << 12 | code[at, n % LANES].astype(np.int64)
+            out[lo : lo + (1 << 14)] = np.where(shared.any(1), key, -1)
+        return out
+
+
 def middle(f: np.ndarray) -> int:
     """The member nearest to the majority of the members' bits; copies of one original lie around it."""
     count = np.zeros(64, np.int64)
@@ -113,134 +142,248 @@ def middle(f: np.ndarray) -> int:
     return int(np.bitwise_count(f ^ major).argmin())
 
 
-def block_pairs(t: np.ndarray, f: np.ndarray, c: np.ndarray, small: int = SMALL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every pair of one bucket within NEAR_BITS and between components, block against block."""
-    if not (c != c[:1]).any():
+def has_neighbour(f: np.ndarray) -> np.ndarray:
+    """Which members of a bucket have another one within NEAR_BITS. The middle settles most; the rest are compared with all."""
+    out = np.bitwise_count(f ^ f[middle(f)]) <= NEAR_BITS
+    out &= out.sum() > 1
+    rest = np.flatnonzero(~out)
+    for lo in range(0, len(rest), SMALL):
+        some = rest[lo : lo + SMALL]
+        n = np.zeros(len(some), np.int64)
+        for at in range(0, len(f), SMALL):
+            n += (np.bitwise_count(f[some, None] ^ f[None, at : at + SMALL]) <= NEAR_BITS).sum(1)
+        out[some] = n > 1
+    return out
+
+
+class Members:
+    """Rows of a bucket, side by side: class, first 64 bits, group, shingles, shingles that others may share, sketch."""
+
+    def __init__(self, t: np.ndarray, f: np.ndarray, c: np.ndarray, n: np.ndarray, v: np.ndarray, bins: np.ndarray):
+        self.t, self.f, self.c, self.n, self.v, self.bins = t, f, c, n, v, bins
+
+    def __getitem__(self, at) -> Members:
+        return Members(*(x[at] for x in (self.t, self.f, self.c, self.n, self.v, self.bins)))
+
+    def __len__(self) -> int:
+        return len(self.t)
+
+
+def possible(a: Members, b: Members) -> np.ndarray:
+    """Which pairs are in different groups, within NEAR_BITS, and can reach the similarity by what they may share: an
+    intersection is no larger than either side's shared shingles, and that bound loses nothing."""
+    share = np.minimum(a.v, b.v)
+    return (a.c != b.c) & (np.bitwise_count(a.f ^ b.f) <= NEAR_BITS) & (share >= SIMILARITY * (a.n + b.n - share) - 1e-9)
+
+
+def guesses(x: Members, y: Members) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated similarity, whether it leaves room for the one asked for) of rows side by side.
+
+    Each filled bin shows one shingle of the union, none twice, so the error at the similarity asked for is that of
+    drawing `some` of the union's shingles without putting any back. A match of bytes by chance only adds to it.
+    """
+    some = np.maximum(((x.bins | y.bins) > 0).sum(1), 1)
+    share = ((x.bins == y.bins) & (x.bins > 0)).sum(1) / some
+    union = (x.n + y.n) / (1 + SIMILARITY)
+    error = np.sqrt(SIMILARITY * (1 - SIMILARITY) / some * np.maximum(1 - (some - 1) / np.maximum(union, 1), 0))
+    return share, share >= SIMILARITY - ERRORS * error - 1 / some - 1e-9
+
+
+def block_pairs(x: Members, y: Members | None = None, small: int = SMALL) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, guess) of every pair of a bucket's rows, or of rows of two of its blocks, that may be a link."""
+    if y is None and not (x.c != x.c[:1]).any():
         return
-    order = np.argsort(t)
-    t, f, c = t[order], f[order], c[order]
-    for lo in range(0, len(t), small):
-        for hi in range(lo, len(t), small):
-            x, y = slice(lo, lo + small), slice(hi, hi + small)
-            near = (c[x, None] != c[None, y]) & (np.bitwise_count(f[x, None] ^ f[None, y]) <= NEAR_BITS)
-            i, j = np.nonzero(np.triu(near, 1) if lo == hi else near)
-            if len(i):
-                yield t[x][i], t[y][j]
-
-
-def bucket_pairs(t: np.ndarray, f: np.ndarray, c: np.ndarray, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
-    """All of block_pairs."""
-    blocks = [(t[:0], t[:0]), *block_pairs(t, f, c, small)]
-    return np.concatenate([a for a, _ in blocks]), np.concatenate([b for _, b in blocks])
-
-
-def hub_pairs(t: np.ndarray, f: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Some pairs of one bucket, fewer than it has members: the middle member meets all that are near it, and the
-    rest do the same among themselves. They join most of a group at little cost; links they leave out are found later."""
-    while len(t) > 1 and (c != c[0]).any():
-        hub = middle(f)
-        near = np.bitwise_count(f ^ f[hub]) <= NEAR_BITS
-        own = t[near & (c != c[hub])]
-        yield np.minimum(own, t[hub]), np.maximum(own, t[hub])
-        t, f, c = t[~near], f[~near], c[~near]
-
-
-def candidates(classes: DataFrame, tables: range, throughout: bool = True) -> DataFrame:
-    """Distinct candidate pairs (a, b) of classes (t, wide, c) that share a bucket of the tables and differ in c:
-    all within NEAR_BITS, or with larger buckets' hubs only."""
-    meeting = block_pairs if throughout else hub_pairs
+    other = x if y is None else y
+    for lo in range(0, len(x), small):
+        a = x[lo : lo + small]
+        for hi in range(lo if y is None else 0, len(other), small):
+            b = other[hi : hi + small]
+            near = possible(a[:, None], b[None])
+            i, j = np.nonzero(np.triu(near, 1) if y is None and lo == hi else near)
+            for at in range(0, len(i), 1 << 16):
+                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                share, keep = guesses(a[p], b[q])
+                if keep.any():
+                    yield lo + p[keep], hi + q[keep], share[keep]
+
+
+def kept(t: np.ndarray, i: np.ndarray, j: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (i, j) of rows those that are the best guess of either end; t breaks ties."""
+    end, other, guess = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([share, share])
+    order = np.lexsort((t[other], -guess, end))
+    first = order[np.concatenate([[True], end[order][1:] != end[order][:-1]])] if len(order) else order
+    at = np.unique(first % max(len(i), 1))
+    return i[at], j[at], share[at]
+
+
+def runs(batches: Iterator[pa.RecordBatch], marks: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(columns, starts, sizes) of whole runs of equal first `marks` columns; rows come sorted by them, and a run
+    that goes on in the next batch is kept until it ends."""
+    rest: list[np.ndarray] | None = None
+    for batch in _with_end(batches):
+        if batch is None:
+            own = rest
+        else:
+            if not batch.num_rows:
+                continue
+            own = [np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1) if pa.types.is_binary(col.type) else col.to_numpy(zero_copy_only=False) for col in batch.columns]
+            own = own if rest is None else [np.concatenate([r, x]) for r, x in zip(rest, own)]
+            last = np.flatnonzero(np.any([x[1:] != x[:-1] for x in own[:marks]], axis=0)) if len(own[0]) > 1 else []
+            at = int(last[-1]) + 1 if len(last) else 0
+            rest, own = [x[at:] for x in own], [x[:at] for x in own]
+        if own is not None and len(own[0]):
+            start = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in own[:marks]], axis=0)]))
+            yield own, start, np.diff(np.append(start, len(own[0])))
+
+
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def members(classes: DataFrame) -> DataFrame:
+    """The distinct classes `t` that share a bucket with another one within NEAR_BITS: all ends of candidate pairs."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            t = batch.column(0).to_numpy(zero_copy_only=False)
             wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 24)
             f = np.ascontiguousarray(wide[:, :8]).view(">u8").ravel().astype(np.uint64).view(np.int64)
             for lo in range(0, len(t), 4096):
-                row, key = keys(wide[lo : lo + 4096], tables)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(x[lo + row]) for x in (t, f, c))], ["key", "t", "f", "c"])
-
-    def out(a: list, b: list) -> pa.RecordBatch:
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 4
-        for batch in _with_end(batches):
-            if batch is None:
-                own = rest
-            else:
-                own = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest)]
-                at = int(np.searchsorted(own[0], own[0][-1])) if len(own[0]) else 0
-                rest, own = [x[at:] for x in own], [x[:at] for x in own]
-            key, t, f, c = own[0], own[1], own[2].view(np.uint64), own[3]
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-            size = np.diff(np.append(start, len(key)))
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            short = np.repeat(size <= SHORT, size)
-            k, u, g, d = key[short], t[short], f[short], c[short]
+                row, key = keys(wide[lo : lo + 4096], TABLES)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(t[lo + row]), pa.array(f[lo + row])], ["key", "t", "f"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, t, f), start, size in runs(batches, 1):
+            f = f.view(np.uint64)
+            hit = np.zeros(len(t), bool)
+            short = np.flatnonzero(np.repeat((size > 1) & (size <= SHORT), size))
+            k, g = key[short], f[short]
             for step in range(1, SHORT):
-                if len(k) <= step:
-                    break
-                hit = (k[:-step] == k[step:]) & (d[:-step] != d[step:]) & (np.bitwise_count(g[:-step] ^ g[step:]) <= NEAR_BITS)
-                a.append(np.minimum(u[:-step][hit], u[step:][hit]))
-                b.append(np.maximum(u[:-step][hit], u[step:][hit]))
-            held = 0
+                near = np.flatnonzero((k[:-step] == k[step:]) & (np.bitwise_count(g[:-step] ^ g[step:]) <= NEAR_BITS)) if len(k) > step else []
+                hit[short[near]] = hit[short[near] + step] = True
             for lo, n in zip(start[size > SHORT], size[size > SHORT]):
-                for x, y in meeting(*(z[lo : lo + n] for z in (t, f, c))):
-                    a.append(x)
-                    b.append(y)
-                    held += len(x)
-                    if held >= SMALL * SMALL // 2:
-                        yield out(a, b)
-                        a, b, held = a[:1], b[:1], 0
-            yield out(a, b)
-
-    rows = classes.select("t", "wide", "c").mapInArrow(index, "key bigint, t bigint, f bigint, c bigint")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint")
-    return met.distinct()
-
-
-def screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, guess): pairs whose sketches leave room for the similarity."""
-    a = classes.select(F.col("t").alias("a"), F.col("bins").alias("bins_a"))
-    b = classes.select(F.col("t").alias("b"), F.col("bins").alias("bins_b"))
-
-    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
-            some = np.maximum(((x | y) > 0).sum(1), 1)
-            share = ((x == y) & (x > 0)).sum(1) / some
-            # Few full bins say little: the room for error grows as they get fewer.
-            keep = share >= SIMILARITY - (SIMILARITY - SCREEN) * np.sqrt(BINS / some)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(share[keep])], ["a", "b", "guess"])
+                hit[lo : lo + n] = has_neighbour(f[lo : lo + n])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(t[hit]))], ["t"])
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "bins_a", "bins_b").mapInArrow(guess, "a bigint, b bigint, guess double")
+    rows = classes.select("t", "wide").mapInArrow(index, "key bigint, t bigint, f bigint")
+    return rows.repartition(partitions(rows), "key").sortWithinPartitions("key").mapInArrow(mark, "t bigint").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that share the part of shingles asked for. texts: (t, x) of one text of each class."""
-    wanted = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
-    wanted = durable(texts.join(wanted, "t", "left_semi"))
-    wanted_x = maybe_broadcast(wanted.select(F.col("x").alias("_x"), "t"), wanted.count())
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(t, s): distinct shingle hashes of the wanted classes (t, x), in order; x is the text hash of one of its rows."""
+    wanted = wanted.select(F.col("x").alias("_x"), "t")
+    rows = docs.select(F.xxhash64("text").alias("_x"), "text").join(maybe_broadcast(wanted, wanted.count()), "_x").select("t", "text")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.unique(shingle_hashes(v.as_py(), VERIFY_WIDTH)).view(np.int64).tobytes() for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["t", "s"])
+            for lo in range(0, batch.num_rows, 256):
+                own = [np.unique(shingle_hashes(v.as_py(), VERIFY_WIDTH)).view(np.int64) for v in batch.column(1).slice(lo, 256)]
+                ends = pa.array(np.cumsum([0, *map(len, own)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 256), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own), pa.int64()))], ["t", "s"])
+
+    # Equal texts have equal sets: one of each goes on, before any set is shuffled where copies lie together.
+    return rows.mapInArrow(shingles, "t bigint, s array<bigint>").groupBy("t").agg(F.first("s").alias("s"))
+
+
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """(t, n, v): shingles of every class, and how many of them some other class has too."""
+    ends = sets.select("t", F.explode("s").alias("h"))
+    alone = ends.groupBy("h").agg(F.count("*").alias("k"), F.first("t").alias("t")).where("k = 1").groupBy("t").agg(F.count("*").alias("u"))
+    sized = sets.select("t", F.size("s").cast("long").alias("n"))
+    return sized.join(alone, "t", "left").select("t", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("v"))
+
+
+def sketches(sized: DataFrame) -> DataFrame:
+    """(t, n, v, bins) of classes (t, n, v, s)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = [sketch(s.values.to_numpy(zero_copy_only=False).view(np.uint64)) for s in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bins, pa.binary())], ["t", "n", "v", "bins"])
+
+    return sized.select("t", "n", "v", "s").mapInArrow(scan, "t bigint, n bigint, v bigint, bins binary")
+
+
+def candidates(alive: DataFrame, throughout: bool = True, block: int = BLOCK) -> DataFrame:
+    """Distinct candidate pairs (a, b) of classes (t, wide, bins, n, v, c) that share a bucket and are in different groups c:
+    all that may be links, or only the likeliest partner of each class in each bucket.
+
+    A bucket of over `block` rows is compared block against block in as many tasks. A pair comes from one bucket only.
+    """
+    rest = ["t", "wide", "c", "n", "v", "bins"]
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 24)
+            for lo in range(0, len(wide), 1024):
+                row, key = keys(wide[lo : lo + 1024])
+                at = pa.array(lo + row)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(x.take(at) for x in batch.columns)], ["key", *rest])
+
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def offered(x: Members, marks: list[np.ndarray], start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, guess) of rows that may be links, bucket by bucket."""
+        key, lo_block, hi_block, own = marks
+        short = np.flatnonzero(np.repeat((size > 1) & (size <= SHORT), size) & (lo_block == hi_block))
+        some, k = x[short], key[short]
+        for step in range(1, min(SHORT, len(short))):
+            p = np.flatnonzero((k[:-step] == k[step:]) & possible(some[:-step], some[step:]))
+            share, keep = guesses(some[p], some[p + step])
+            yield short[p[keep]], short[p[keep] + step], share[keep]
+        for lo, n in zip(start, size):
+            if lo_block[lo] != hi_block[lo]:
+                left, right = (lo + np.flatnonzero(own[lo : lo + n] == z) for z in (lo_block[lo], hi_block[lo]))
+                yield from ((left[i], right[j], g) for i, j, g in block_pairs(x[left], x[right]))
+            elif n > SHORT:
+                yield from ((lo + i, lo + j, g) for i, j, g in block_pairs(x[lo : lo + n]))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (*marks, t, wide, c, n, v, bins), start, size in runs(batches, 3):
+            x = Members(t, np.ascontiguousarray(wide[:, :8]).view(">u8").ravel().astype(np.uint64), c, n, v, bins)
+            codes = Codes(wide)
+            room = [(z := np.zeros(0, np.int64), z, np.zeros(0))]
+            for i, j, g in offered(x, marks, start, size):
+                once = codes.first(i, j) == marks[0][i]  # a pair counts in the first bucket it shares
+                room.append((i[once], j[once], g[once]))
+                if sum(len(z[0]) for z in room) >= SMALL * SMALL:
+                    i, j, g = (np.concatenate(z) for z in zip(*room))
+                    if throughout:
+                        yield out(t[i], t[j])
+                    room = room[:1] if throughout else [kept(t, i, j, g)]
+            i, j, g = (np.concatenate(z) for z in zip(*room))
+            i, j, _ = (i, j, g) if throughout else kept(t, i, j, g)
+            yield out(t[i], t[j])
+
+    rows = alive.select(*rest).mapInArrow(index, "key bigint, t bigint, wide binary, c bigint, n bigint, v bigint, bins binary")
+    heavy = durable(rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > block))
+    if n_heavy := heavy.count():
+        rows = rows.join(maybe_broadcast(heavy, n_heavy), "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("rows") / block), F.lit(1)).cast("int"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("t"), "blocks").cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if throughout else F.col("own"))
+        rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", *rest)
+    else:
+        zero = F.lit(0)
+        rows = rows.select("key", zero.alias("lo"), zero.alias("hi"), zero.alias("own"), *rest)
+    return rows.repartition(partitions(rows), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(meet, "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that share the part of shingles asked for."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for p, q in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(z.as_buffer(), np.int64) for z in (p, q))
+                x, y = (z.values.to_numpy(zero_copy_only=False) for z in (p, q))
                 n = len(x) + len(y)
                 both = n - len(np.unique(np.concatenate([x, y])))
                 keep.append(both >= SIMILARITY * (n - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
-    rows = docs.select(F.xxhash64("text").alias("_x"), "text").join(wanted_x, "_x").select("t", "text")
-    sets = durable(rows.mapInArrow(shingles, "t bigint, s binary").groupBy("t").agg(F.min("s").alias("s")))  # one of equal texts
     a = sets.select(F.col("t").alias("a"), F.col("s").alias("s_a"))
     b = sets.select(F.col("t").alias("b"), F.col("s").alias("s_b"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a bigint, b bigint")
@@ -249,49 +392,51 @@ def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, x, rows, component) of every distinct row: equal components are near-duplicates.
 
-    Exact copies up to case and white space form one class. Pairs of classes that meet in a bucket are
-    screened by sketches and verified. Hubs of large buckets come first and join most of each group; then every
-    pair of every bucket is compared that is in different groups, since a link inside a group changes nothing.
+    Exact copies up to case and white space form one class. Classes that meet another one in a bucket are kept, and of
+    these the ones that share enough shingles with others at all: more than a fifth of shingles of its own
+    rules a class out. The likeliest partners come first and join most of each group; then every pair of
+    every bucket is compared that is in different groups, since a link inside a group changes nothing.
     """
-    rows = durable(features(docs))
-    classes = durable(rows.groupBy("t").agg(F.min("wide").alias("wide"), F.min("bins").alias("bins"), F.min("x").alias("x")))
-    texts = classes.select("t", "x")
-    links, found = None, classes.withColumn("c", F.col("t"))
-    tried = None
-    for tables, throughout in ((FIRST, False), (REST, False), (ALL, True)):
-        pairs = candidates(found, tables, throughout)
-        pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = verified(durable(screened(pairs, classes)), docs, texts)
-        links = durable(new if links is None else links.unionByName(new))
-        comp = durable(components(links))
-        named = F.coalesce("component", "t")
-        found = durable(classes.join(comp, F.col("t") == F.col("node"), "left").select("t", "wide", named.alias("c")))
-    named_rows = rows.groupBy("doc_id", "x", "t").agg(F.count("*").alias("rows")).join(found.select("t", "c"), "t")
-    return durable(named_rows.select("doc_id", "x", "rows", F.col("c").alias("component")))
+    with scratch() as keep:
+        rows = durable(features(docs))
+        classes = durable(rows.groupBy("t").agg(F.min("wide").alias("wide"), F.min("x").alias("x")))
+        near = durable(members(classes))
+        sets = durable(shingle_sets(docs, durable(classes.select("t", "x").join(near, "t"))))
+        room = shared_counts(sets).where((F.col("n") > 0) & (F.col("v") >= SIMILARITY * F.col("n") - 1e-9))
+        alive = durable(sketches(sets.join(room, "t")).join(classes.drop("x"), "t"))
+        links, tried, found = None, None, alive.withColumn("c", F.col("t"))
+        for throughout in (False, True):
+            pairs = candidates(found, throughout)
+            pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            new = durable(verified(pairs, sets))
+            links = new if links is None else links.unionByName(new)
+            comp = components(links)
+            found = durable(alive.join(comp, F.col("t") == F.col("node"), "left").withColumn("c", F.coalesce("component", "t")).drop("node", "component"))
+        grouped = rows.groupBy("doc_id", "x", "t").agg(F.count("*").alias("rows")).join(found.select("t", "c"), "t", "left")
+        return keep(grouped.select("doc_id", "x", "rows", F.coalesce("c", "t").alias("component")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates, the one of least doc_id, with its columns.
 
     Null and empty texts are one group; repeated rows are one document; a null id stays only where
-    no other is in the group; an empty table gives none.
+    no other is in the group; an empty table gives none; columns of any other name pass through.
     """
     own = groups(docs)
+    d, x = free_name(docs, "d"), free_name(docs, "x")
     rank = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "x")
-    first = own.groupBy("component").agg(F.min(rank).alias("m")).select(F.col("m.doc_id").alias("_d"), F.col("m.x").alias("_x"))
-    first = durable(first)
-    same = lambda l: (l["doc_id"].eqNullSafe(F.col("_d"))) & (l["x"] == F.col("_x"))
-    gone = durable(own.join(first, same(own), "left_anti").select(F.col("doc_id").alias("_d"), F.col("x").alias("_x")))
+    first = durable(own.groupBy("component").agg(F.min(rank).alias("m")).select(F.col("m.doc_id").alias(d), F.col("m.x").alias(x)))
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("x") == F.col(x))
+    gone = durable(own.select("doc_id", "x").join(first, same, "left_anti").select(F.col("doc_id").alias(d), F.col("x").alias(x)))
     n_first, n_gone = first.count(), gone.count()
-    match = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_x"))
+    match = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(x))
     if n_gone <= n_first:  # the shorter list
         left = docs.join(maybe_broadcast(gone, n_gone), match, "left_anti")
     else:
         left = docs.join(maybe_broadcast(first, n_first), match, "left_semi")
-    twice = durable(own.where("rows > 1").select(F.col("doc_id").alias("_d"), F.col("x").alias("_x")))
+    twice = durable(own.where("rows > 1").select(F.col("doc_id").alias(d), F.col("x").alias(x)))
     if not (n := twice.count()):
         return left
-    match = left["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(left["text"]) == F.col("_x"))
     often = maybe_broadcast(twice, n)
     return left.join(often, match, "left_anti").unionByName(left.join(often, match, "left_semi").dropDuplicates(["doc_id", "text"]))
