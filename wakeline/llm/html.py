@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object textarea select title noembed noframes canvas audio video xmp".split())
-#: Elements that are never prose, whatever surrounds them.
-SKIP = RAW | frozenset("head button option datalist".split())
+#: Elements whose content is text up to their end tag, and is never prose: scripts, styles, the page's title, form fields.
+RAW = frozenset("script style title textarea template".split())
+#: Choices of a form; without an end tag they go on while options do.
+CHOICE = frozenset("select datalist".split())
 BLOCK = (
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption "
     "header footer nav aside form fieldset address details summary dialog center hgroup menu search caption"
@@ -23,30 +24,73 @@ BLOCK = (
 BLOCK_ID = {name: i for i, name in enumerate(BLOCK)}
 CLOSES_P = frozenset(BLOCK) - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+ROWS = frozenset("tr tbody thead tfoot".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPE = frozenset("ul ol dl table html body article section div main aside nav form header footer menu".split())
 
 #: Words in class, id and role that hint at either side.
 HINTS = (
     ("nav menu navbar breadcrumb breadcrumbs toolbar tabs pager pagination skip", 0),
-    ("header masthead banner topbar hero logo branding", 1),
-    ("footer foot copyright legal colophon bottom imprint", 2),
-    ("sidebar aside rail widget related recommended popular trending tags", 3),
+    ("header masthead banner topbar logo branding", 1),
+    ("footer copyright legal colophon imprint", 2),
+    ("sidebar aside widget related recommended", 3),
     ("ad ads advert advertisement sponsor sponsored promo promotion promoted", 4),
-    ("comment comments reply replies discussion disqus respond reader", 5),
-    ("notice cookie cookies consent gdpr alert popup modal overlay dialog paywall message", 6),
-    ("form search login signup subscribe newsletter share social sharing follow", 7),
-    ("article post entry story content main body text prose page", 8),
+    ("comment comments reply replies discussion disqus respond", 5),
+    ("notice cookie cookies consent gdpr alert popup modal overlay dialog paywall", 6),
+    ("form search login signup subscribe newsletter share social sharing", 7),
+    ("article post entry story content main body text prose", 8),
 )
 HINT = {word: group for words, group in HINTS for word in words.split()}
 N_HINTS = len(HINTS)
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: Comments, declarations, CDATA, stray ends, tags. A quotation mark opens a value only after an equals sign.
+TAG = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</(?:>|[^a-zA-Z>][^>]*>?)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S
+)
+NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 PIECES = re.compile(r"[a-z]+")
-ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
-UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+OPTIONS = re.compile(r"(?:[^<]|<(?:/?(?:option|optgroup|hr)\b[^>]*>|!--.*?-->|[^a-zA-Z/!?]))*", re.I | re.S)
 
-N_FEATURES = len(BLOCK) + 2 * (N_HINTS + 1) + 9
+N_FEATURES = len(BLOCK) + 2 * (N_HINTS + 1) + 10
+
+
+class Open:
+    """The open elements, with the places of each name, so that no tag walks through all of them."""
+
+    __slots__ = ("blocks", "items", "places")
+
+    def __init__(self):
+        self.items: list[tuple[str, int]] = [("#top", 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of block elements
+
+    def push(self, name: str, block: int) -> None:
+        self.places.setdefault(name, []).append(len(self.items))
+        if name in BLOCK_ID:
+            self.blocks.append(len(self.items))
+        self.items.append((name, block))
+
+    def cut(self, to: int) -> None:
+        while len(self.items) > to:
+            name, _ = self.items.pop()
+            self.places[name].pop()
+            if name in BLOCK_ID:
+                self.blocks.pop()
+
+    def last(self, names) -> int:
+        """Place of the innermost open element of these names, 0 if there is none."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+
+    def close(self, names: set) -> None:
+        """End the nearest open element of these names within the present scope."""
+        at = self.last(names)
+        if at > self.last(SCOPE) and ("tr" in names or at > self.last(ROWS)):
+            self.cut(at)
+
+    @property
+    def linked(self) -> bool:
+        return bool(self.places.get("a"))
 
 
 class Page:
@@ -57,137 +101,65 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.name, self.links, self.own = [-1], [("body", frozenset())], [0], [0]
         self.pieces: list[tuple[int, str]] = []
-        stack: list[tuple[str, int]] = [("#top", 0)]
-        at, end, linked = 0, len(source), 0
+        opened, at, end, unended = Open(), 0, len(source), set()
         while at < end:
             m = TAG.search(source, at)
             stop = m.start() if m else end
+            block = opened.items[-1][1]
             if stop > at:
-                self.text(stack[-1][1], source[at:stop], linked)
+                self.text(block, source[at:stop], opened.linked)
             if not m:
                 break
-            at = m.end()
-            name = m.group(2)
+            at, name = m.end(), m.group(2)
             if name is None:
                 if m.group().startswith("<![CDATA["):
-                    self.text(stack[-1][1], m.group()[9:].removesuffix("]]>"), linked)
+                    self.text(block, m.group()[9:].removesuffix("]]>"), opened.linked)
                 continue
             name = name.lower()
             if m.group(1):
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-                if name == "p" and not depth or name == "br":
-                    self.gap(stack[-1][1])
-                if depth and not (name not in BLOCK_ID and any(s[0] in BLOCK_ID for s in stack[depth + 1 :])):
-                    del stack[depth:]
+                depth = opened.last((name,))
+                if name == "br" or name == "p" and not depth:
+                    self.gap(block)
+                if depth and (name in BLOCK_ID or depth > (opened.blocks[-1] if opened.blocks else 0)):
+                    opened.cut(depth)
                 if name in BLOCK_ID:
-                    self.gap(stack[-1][1])
-                linked = sum(s[0] == "a" for s in stack)
+                    self.gap(opened.items[-1][1])
                 continue
             attrs = m.group(3)
-            empty = attrs.endswith("/")
-            if name in SKIP or attrs and name not in VOID and self.hidden(attrs):
-                if name in RAW:
-                    close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                    at = at if empty and name == "svg" else close.end() if close else end if name in ("script", "style", "textarea", "title") else at
-                elif not empty:
-                    if name in CLOSES_P:
-                        self.close(stack, {"p"})
-                    if name in CLOSED_BY:
-                        self.close(stack, CLOSED_BY[name])
-                    at = self.after(source, at, name, stack)
-                    linked = sum(s[0] == "a" for s in stack)
-                self.gap(stack[-1][1])
-                continue
-            if name in VOID:
-                if name in ("br", "hr", "img"):
-                    self.gap(stack[-1][1]) if name != "img" else None
-                continue
-            if name in BLOCK_ID:
+            if name in RAW or name in CHOICE:
+                close = None if name in unended else re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+                if close:
+                    at = close.end()
+                elif name in CHOICE:
+                    unended.add(name)
+                    at = OPTIONS.match(source, at).end()
+                elif name != "template":
+                    at = end
+                self.gap(block)
+            elif name == "head":
+                close = re.compile(r"</head\s*>|<body\b", re.I).search(source, at)
+                at = at if not close else close.end() if close.group()[1] == "/" else close.start()
+            elif name in VOID:
+                if name in ("br", "hr"):
+                    self.gap(block)
+            elif name in ("html", "body"):
+                opened.close({"p"})
+            elif name in BLOCK_ID:
                 if name in CLOSES_P:
-                    self.close(stack, {"p"})
+                    opened.close({"p"})
                 if name in CLOSED_BY:
-                    self.close(stack, CLOSED_BY[name])
-                if name in ("html", "body"):
-                    continue
-                if name[0] == "h" and name[1:].isdigit() and stack[-1][0][0] == "h" and stack[-1][0][1:].isdigit():
-                    stack.pop()
-                self.parent.append(stack[-1][1])
+                    opened.close(CLOSED_BY[name])
+                if name in HEADINGS and opened.items[-1][0] in HEADINGS:
+                    opened.cut(len(opened.items) - 1)
+                self.parent.append(opened.items[-1][1])
                 self.name.append((name, self.hints(attrs)))
                 self.links.append(0)
                 self.own.append(0)
                 block = len(self.parent) - 1
                 self.gap(block)
-                stack.append((name, block))
-                linked = sum(s[0] == "a" for s in stack)
-            elif not empty:
-                stack.append((name, stack[-1][1]))
-                linked += name == "a"
-
-    @staticmethod
-    def hidden(attrs: str) -> bool:
-        """Whether attributes, by their names, hide the element."""
-        for name, *values in ATTR.findall(attrs):
-            name, value = name.lower(), entities.unescape("".join(values))
-            if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and UNSEEN.search(value):
-                return True
-        return False
-
-    @classmethod
-    def after(cls, source: str, at: int, name: str, stack: list) -> int:
-        """Where the element that starts here ends: at its end tag, at a tag that implies the end, or at the end of an
-        element around it. Open elements are kept as for visible ones."""
-        if name == "head":
-            m = re.compile(r"</head\s*>|<body\b", re.I).search(source, at)
-            return at if not m else m.end() if m.group()[1] == "/" else m.start()
-        own = [*((s, 0) for s, _ in stack), (name, 0)]
-        base = len(stack)
-        while m := TAG.search(source, at):
-            tag, at = (m.group(2) or "").lower(), m.end()
-            if not tag:
-                continue
-            if m.group(1):
-                depth = next((i for i in range(len(own) - 1, 0, -1) if own[i][0] == tag), 0)
-                if depth and not (tag not in BLOCK_ID and any(s[0] in BLOCK_ID for s in own[depth + 1 :])):
-                    if depth < base:
-                        return m.start()
-                    del own[depth:]
-                    if depth == base:
-                        return m.end()
-                elif tag in ("body", "html"):
-                    return m.start()
-                continue
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                if not (m.group(3).endswith("/") and tag == "svg"):
-                    at = end.end() if end else len(source) if tag in ("script", "style", "textarea", "title") else at
-                continue
-            if tag in VOID and tag != "hr":
-                continue
-            if tag in CLOSES_P:
-                cls.close(own, {"p"})
-            if tag in CLOSED_BY:
-                cls.close(own, CLOSED_BY[tag])
-            if tag == "tr":  # the cell ended above; now its row
-                cls.close(own, {"tr"})
-            if tag in ("option", "optgroup") and own[-1][0] == "option":
-                own.pop()
-            if tag[0] == "h" and tag[1:].isdigit() and own[-1][0][0] == "h" and own[-1][0][1:].isdigit():
-                own.pop()
-            if len(own) <= base:
-                return m.start()
-            if tag not in VOID and tag not in ("html", "body") and (tag in BLOCK_ID or not m.group(3).endswith("/")):
-                own.append((tag, 0))
-        return len(source)
-
-    @staticmethod
-    def close(stack: list, names: set) -> None:
-        """End the nearest open element of these names within the present scope."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in SCOPE or stack[i][0] in ("tr", "tbody", "thead", "tfoot") and "tr" not in names:
-                return
+                opened.push(name, block)
+            elif not attrs.endswith("/"):
+                opened.push(name, block)
 
     @staticmethod
     def hints(attrs: str) -> frozenset:
@@ -199,7 +171,7 @@ class Page:
     def gap(self, block: int) -> None:
         self.pieces.append((block, " "))
 
-    def text(self, block: int, raw: str, linked: int) -> None:
+    def text(self, block: int, raw: str, linked: bool) -> None:
         if "&" in raw:
             raw = entities.unescape(raw)
         self.pieces.append((block, raw))
@@ -213,6 +185,10 @@ class Page:
         return " ".join("".join(t if content[b] else " " for b, t in self.pieces).split())
 
 
+#: Depth up to which a forest's blocks are worked level by level.
+DEEP = 64
+
+
 class Forest:
     """The trees of many pages laid end to end, with features of every block."""
 
@@ -230,10 +206,17 @@ class Forest:
             for i in range(1, len(own)):
                 d[i] = d[own[i]] + 1
             depth[lo : lo + len(own)] = d
-        self.levels = [np.flatnonzero(depth == k) for k in range(1, depth.max(initial=0) + 1)]
+        # Shallow blocks go level by level; what lies deeper is few and goes one by one, children after parents.
+        order = np.argsort(depth, kind="stable")
+        cut = np.searchsorted(depth[order], np.arange(1, min(int(depth.max(initial=0)), DEEP) + 2))
+        self.levels = [order[lo:hi] for lo, hi in zip(cut[:-1], cut[1:])]
+        self.deep = np.sort(order[cut[-1] :]).tolist()
         own = np.concatenate([np.array(p.own, float) for p in pages])
         links = np.concatenate([np.array(p.links, float) for p in pages])
         below, below_links = own.copy(), links.copy()
+        for i in reversed(self.deep):
+            below[self.parent[i]] += below[i]
+            below_links[self.parent[i]] += below_links[i]
         for level in reversed(self.levels):
             np.add.at(below, self.parent[level], below[level])
             np.add.at(below_links, self.parent[level], below_links[level])
@@ -241,7 +224,11 @@ class Forest:
         tags, at = len(BLOCK), 0
         for p in pages:
             seen: list[frozenset] = []
+            inside: list[bool] = []
+            marked = any(name in ("article", "main") for name, _ in p.name)
             for i, (name, hints) in enumerate(p.name):
+                inside.append(name in ("article", "main") or i > 0 and inside[p.parent[i]])
+                f[at, -1] = marked and not inside[i]
                 f[at, BLOCK_ID[name]] = 1
                 up = seen[p.parent[i]] if i else frozenset()
                 if name in ROLE:
@@ -283,6 +270,9 @@ class TreeModel:
         unary = np.stack([np.zeros_like(z), z], 1).astype(float)
         up = unary.copy()  # a block's own potential and its children's messages
         sent = np.zeros_like(unary)
+        for i in reversed(forest.deep):
+            sent[i] = np.logaddexp(self.pair[:, 0] + up[i, 0], self.pair[:, 1] + up[i, 1])
+            up[forest.parent[i]] += sent[i]
         for level in reversed(forest.levels):
             sent[level] = np.logaddexp(self.pair[:, 0] + up[level, :1], self.pair[:, 1] + up[level, 1:])
             np.add.at(up, forest.parent[level], sent[level])
@@ -291,6 +281,9 @@ class TreeModel:
             above = forest.parent[level]
             rest = up[above] + down[above] - sent[level]
             down[level] = np.logaddexp(rest[:, :1] + self.pair[0], rest[:, 1:] + self.pair[1])
+        for i in forest.deep:
+            rest = up[forest.parent[i]] + down[forest.parent[i]] - sent[i]
+            down[i] = np.logaddexp(rest[0] + self.pair[0], rest[1] + self.pair[1])
         both = up + down
         return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -500, 500)))
 
@@ -441,8 +434,8 @@ def extract_texts(sources: list[str], tree: TreeModel) -> list[str]:
 def extract(pages: DataFrame, columns: tuple[str, ...] = ("page_id", "url"), source: str = "html") -> DataFrame:
     """The given columns, text and n_chars (code points) of every page.
 
-    A null or empty page, or one without an article, has an empty text; broken or cut markup is read
-    as far as it goes; repeated rows are read one by one; an empty table gives none; other columns
+    A null or empty page, or one without an article, has an empty text; hidden elements are text like others; broken or
+    cut markup is read as far as it goes, and so is nesting of any depth; repeated rows are read one by one; an empty table gives none; other columns
     are ignored. The model is trained once, on the driver, from generated labelled pages.
     """
     weights, pair = model().weights, model().pair
