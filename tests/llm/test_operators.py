@@ -108,8 +108,10 @@ def brute_vectors(rows):
             ok[n] = x / np.linalg.norm(x)
     pairs = [(a, b) for a in ok for b in ok if a < b and len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] >= 0.95]
     links = Counter(x for p in pairs for x in p)
-    comp = union_find([(rows[a][0], rows[b][0]) for a, b in pairs], {r[0] for r in rows if r[0] is not None})
-    return Counter((rows[n][0], links[n], comp.get(rows[n][0]), rows[n][0] is None or comp[rows[n][0]] == rows[n][0]) for n in range(len(rows)))
+    comp, least = union_find(pairs, range(len(rows))), {}
+    for n, c in comp.items():
+        least[c] = min(least.get(c, rows[n][0]), rows[n][0]) if n in ok else rows[n][0]
+    return Counter((rows[n][0], links[n], least[comp[n]], rows[n][0] is None or least[comp[n]] == rows[n][0]) for n in range(len(rows)))
 
 
 @pytest.mark.parametrize("block", [2048, 16])
@@ -122,6 +124,8 @@ def test_vectors(spark, monkeypatch, block):
         rows += [(c * 100 + i, (centre + rng.normal(size=16) * 0.09).tolist()) for i in range(40 if c == 0 else 4)]
     rows += [(5000 + i, rng.normal(size=16).tolist()) for i in range(60)]
     rows += [(6000 + i, rows[3][1]) for i in range(30)] + [(7000, [0.0] * 16), (7001, None), (7002, [float("nan")] * 16), (7003, [1.0, None]), (7004, []), (None, [1.0] * 16), (7005, [1e30, -0.0] * 8), (7006, [1e-30, 0.0] * 8), (7007, [1.0, 0.0]), (7007, [1.0, 0.0])]
+    other = rng.normal(size=16)
+    rows += [(102, other.tolist()), (8001, (other + 0.01).tolist()), (8000, (other - 0.01).tolist()), (8001, rng.normal(size=16).tolist())]  # ids of two vectors
     df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<float>, label int, key string").repartition(6)
     got = Counter(tuple(r) for r in embeddings.near_vectors(df).select("vec_id", "n_links", "component_id", "kept").collect())
     want = brute_vectors(rows)
@@ -132,11 +136,20 @@ def test_vectors(spark, monkeypatch, block):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
-def test_vector_recall_on_table(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
-    got = Counter(tuple(r) for r in embeddings.near_vectors(df).collect())
-    assert sum((got & brute_vectors(rows)).values()) >= 0.9 * len(rows)
+@pytest.mark.parametrize("cosine", [0.9501, 0.96, 0.98, 0.99])
+def test_vector_recall(spark, cosine):
+    rng = np.random.default_rng(8)
+    x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("embedding").collect()], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    near = cosine * x + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    rows = [(2 * i + k, v.tolist()) for i, pair in enumerate(zip(x, near)) for k, v in enumerate(pair)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    found = sum(r.n_links for r in got)
+    assert 0.9 * len(rows) <= found <= len(rows), found / len(rows)
+    assert all(r.component_id == r.vec_id // 2 * 2 for r in got if r.n_links)
+    print(f"recall at {cosine}: {found / len(rows):.4f}")
 
 
 def test_html_blocks():

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import components, durable
+from wakeline.llm.common import components, durable, scratch
 
 COSINE = 0.95
 #: Reference points, drawn from a sample of vectors; nearest ones that describe a vector; shared ones that make a candidate.
@@ -32,7 +32,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
     """Reference points from the `sample` vectors of least hash: each next one is the farthest from those chosen."""
-    rows = vectors.orderBy(F.xxhash64("cid", F.lit(3)), "cid").limit(sample).select("v").collect()
+    rows = vectors.orderBy("class", "v").limit(sample).select("v").collect()
     if not rows:
         return np.zeros((0, 1))
     length = max(len(r.v) for r in rows)
@@ -116,17 +116,23 @@ def near_vectors(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null vec_id, link
     with nothing: n_links 0, component_id their vec_id, kept. Vectors of different lengths do not link.
-    Equal vectors form one class with a count, so copies are not paired; repeated rows count
-    as vectors of their own. An empty table gives none; other columns are ignored.
+    Equal vectors form one class with a count, so copies are not paired; repeated rows, and rows that share a vec_id,
+    count as vectors of their own. An empty table gives none; other columns are ignored.
     """
+    with scratch() as keep:
+        return keep(searched(embeddings, least))
+
+
+def searched(embeddings: DataFrame, least: float) -> DataFrame:
+    """near_vectors, reading tables that end with it."""
     exact = embeddings.schema["embedding"].dataType.simpleString() in ("array<float>", "array<double>")
     rows = clean(embeddings.select("vec_id", (F.col("embedding") if exact else F.col("embedding").cast("array<double>")).alias("embedding")))
-    kind = rows.schema["vec_id"].dataType.simpleString()
     part = rows.schema["embedding"].dataType.elementType.simpleString()
     same = F.transform("embedding", lambda e: (e + F.lit(0.0)).cast(part))  # -0.0 is 0.0
     members = durable(rows.where("ok").select("vec_id", same.alias("v")).withColumn("class", F.xxhash64("v")))
-    classes = members.groupBy("class", "v").agg(F.min("vec_id").alias("cid"), F.count("*").alias("mult"))
-    classes = durable(classes.select("cid", "mult", "v"))
+    classes = members.groupBy("class", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"))
+    # A class has a number of its own: two vectors may share a vec_id. The number holds once it is written.
+    classes = durable(classes.select(F.monotonically_increasing_id().alias("cid"), "least", "mult", "class", "v"))
     pivots = choose_pivots(classes)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,13 +148,13 @@ def near_vectors(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
                 tops = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * top.shape[1], pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([cid.take(pa.array(at[row])), pa.array(key), tops], ["cid", "key", "top"])
 
-    lists = durable(classes.select("cid", "v").mapInArrow(index, f"cid {kind}, key bigint, top array<int>"))
+    lists = durable(classes.select("cid", "v").mapInArrow(index, "cid bigint, key bigint, top array<int>"))
     sizes = durable(lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     met = lists.join(sizes, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cid", "top")
-    met = met.join(classes, "cid")
+    met = met.join(classes.select("cid", "mult", "v"), "cid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links within each (key, lo, hi); rows come sorted, a group is at most two blocks."""
@@ -219,13 +225,14 @@ def near_vectors(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
         yield from packed(cid[hit], links[hit], np.concatenate(a), np.concatenate(b))
 
     spots = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    found = durable(spots.select("key", "lo", "hi", "own", F.col("cid").cast("long"), "top", "mult", "v").mapInArrow(compare, "cid bigint, links bigint, a bigint, b bigint"))
+    found = durable(spots.select("key", "lo", "hi", "own", "cid", "top", "mult", "v").mapInArrow(compare, "cid bigint, links bigint, a bigint, b bigint"))
     links = found.where("cid is not null").groupBy("cid").agg(F.sum("links").alias("links"))
     comp = components(found.where("a is not null").select("a", "b"))
-    named = classes.select(F.col("cid").cast("long").alias("cid"), "mult", "v").join(links, "cid", "left").join(comp, F.col("cid") == F.col("node"), "left")
-    named = named.select("v", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
-    named = durable(named.withColumn("class", F.xxhash64("v")))
-    linked = members.join(named, ["class", "v"]).select("vec_id", F.col("n_links").cast("long"), F.col("component_id").cast(kind).alias("component_id"))
+    named = classes.join(links, "cid", "left").join(comp, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("component", "cid"))
+    named = durable(named.select("class", "v", "least", "root", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links")))
+    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(roots, "root").drop("root", "least")
+    linked = members.join(named, ["class", "v"]).select("vec_id", F.col("n_links").cast("long"), "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
@@ -256,4 +263,3 @@ def spanning(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
                 nxt += l.tolist()
             front = np.array(nxt, int)
     return (np.concatenate(a), np.concatenate(b)) if a else (left[:0], right[:0])
-
