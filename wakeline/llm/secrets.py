@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
+import keyword
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,34 +23,57 @@ KINDS = ("assign", "access", "hex", "novel")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 CONTEXT = re.compile(r"(?ai)passw|passwd|pwd|secret|token|api.?key|private.?key|access.?key|credential|authori[sz]|bearer|login")
 
-#: Identifier and code dictionary that primes the compressor.
-DICTIONARY = b"""
-import export return function class public private static const final void string int float bool true false null none
-self this def lambda yield await async for while if else switch case break continue try catch except finally raise throw
+#: Marginal bytes for each byte of a candidate from which it is reported.
+NOVEL = 0.92
+#: What a measured block ends with; the dictionary has it.
+FILLER = b" timestamp checksum sha256 md5 abcdefghijklmnopqrstuvwxyz 0123456789 aaaaaaaaaaaaaaaa 0000000000000000 "
+
+#: Words of configuration and addresses that surround secrets.
+WORDS = """
 config settings environment variable header request response client server session user username email address name id
 password passwd secret token api_key apikey access_key private_key public_key authorization bearer credential login
 http https www com org net example localhost host port path query version license update timestamp checksum sha256 md5
-abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 aaaaaaaaaaaaaaaa 0000000000000000 ================
+import export return function class public private static const final void string int float bool true false null none ================
 """
+#: Modules whose identifiers prime the compressor.
+MODULES = "builtins string os os.path sys re json logging http.client urllib.parse email.message socket ssl hashlib datetime collections threading subprocess unittest configparser argparse sqlite3".split()
+
+
+def dictionary() -> bytes:
+    """Identifiers of code in lower case: those of common modules and of their classes, keywords, the words they are made of, and WORDS."""
+    names = set(keyword.kwlist) | set(sys.stdlib_module_names)
+    for module in MODULES:
+        own = importlib.import_module(module)
+        for name in dir(own):
+            names.add(name)
+            if isinstance(value := getattr(own, name), type):
+                names.update(dir(value))
+    own = " ".join(sorted(n for n in names if len(n) > 3))
+    parts = sorted({w.lower() for w in re.findall("[A-Z]?[a-z]{3,}", own)})
+    return (own.lower() + WORDS.lower() + " ".join(parts)).encode() + FILLER
 
 
 class Novelty:
     """Marginal compressed bytes of a candidate within its surroundings, per candidate byte."""
 
-    def __init__(self, around: int = 256, level: int = 3):
+    def __init__(self, words: bytes | None = None, around: int = 256, level: int = 9):
         self.around = around
-        data = zstandard.ZstdCompressionDict(DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data = zstandard.ZstdCompressionDict(dictionary() if words is None else words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(level=level)
         self.packer = zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False)
 
-    def size(self, data: bytes) -> int:
-        return len(self.packer.compress(data))
-
     def __call__(self, text: str, start: int, end: int) -> float:
-        before = text[max(0, start - self.around) : start].encode("utf-8", "replace")
-        after = text[end : end + self.around].encode("utf-8", "replace")
-        own = text[start:end].encode("utf-8", "replace")
-        # The candidate comes last, so it may refer to both sides of its surroundings.
-        return (self.size(before + after + own) - self.size(before + after)) / max(1, len(own))
+        # In lower case, as identifiers come in any: what is left of a random string is as novel.
+        before, after, own = (x.lower().encode("utf-8", "replace") for x in (text[max(0, start - self.around) : start], text[end : end + self.around], text[start:end]))
+        return (self.block(before + after, own + FILLER) - self.block(before + after, FILLER)) / max(1, len(own))
+
+    def block(self, history: bytes, data: bytes) -> int:
+        """Bytes of data in a block of its own, which may refer to the history and to the dictionary. With a filler that
+        the dictionary holds, a block is never left uncompressed for its size, nor are its few literals coded."""
+        frame = self.packer.compressobj()
+        frame.compress(history)
+        frame.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)
+        return len(frame.compress(data)) + len(frame.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -75,16 +101,16 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, t
     return found
 
 
-def find_secrets(docs: DataFrame, threshold: float = 0.62, window: int = 48) -> DataFrame:
+def find_secrets(docs: DataFrame, threshold: float = NOVEL, window: int = 48) -> DataFrame:
     """Every span of every document: doc_id and an array of (kind, start, end, novelty).
 
     Offsets are code points, the end exclusive. A null text is empty, an empty text has no span,
     repeated rows are scanned one by one, an empty table gives none; other columns are ignored.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, words = docs.schema["doc_id"].dataType.simpleString(), dictionary()  # one dictionary for all executors
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(words)
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
