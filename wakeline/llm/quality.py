@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wakeline.llm.common import free_name
+
 #: Bytes embedded at a time, bytes between window starts, bytes of a chunk, bytes between chunks.
 EMBED, STRIDE, CHUNK, HOP = 8, 4, 256, 128
 FILTERS, HIDDEN = 32, 16
-#: The training sample: documents at most, and chunks of each.
-TRAIN_DOCS, TRAIN_CHUNKS = 6000, 8
+#: The training sample: documents at most, and the bytes of a text up to which a labelled row may be in it.
+TRAIN_DOCS, TRAIN_BYTES = 4000, 1 << 15
 #: Steps of training at least, however few labels there are.
-LEAST_STEPS = 400
+LEAST_STEPS = 300
 THRESHOLD = 0.7
 #: How much dearer it is to reject a good document than to keep a bad one.
 FAVOUR = 3.0
@@ -50,12 +52,9 @@ def padded(data: bytes) -> np.ndarray:
     return out
 
 
-def pick_chunks(data: bytes, most: int) -> np.ndarray:
-    """Chunks spread evenly over the whole document, for training."""
-    own = padded(data)
-    last = (len(own) - CHUNK) // HOP
-    at = np.unique(np.linspace(0, last, min(most, last + 1)).round().astype(int)) * HOP
-    return np.stack([own[i : i + CHUNK] for i in at])
+def chunks_of(data: bytes) -> np.ndarray:
+    """All chunks of a whole text, as a view."""
+    return np.lib.stride_tricks.sliding_window_view(padded(data), CHUNK)[::HOP]
 
 
 def with_short(chunks: np.ndarray, doc: np.ndarray, label: np.ndarray, rng: np.random.Generator) -> tuple:
@@ -168,59 +167,53 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(pooled @ self.p["w2"].astype(np.float64) + float(self.p["b2"][0]), -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, most_chunks: int = TRAIN_CHUNKS) -> dict[str, np.ndarray]:
-    """Train on a bounded sample of labelled rows that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> dict[str, np.ndarray]:
+    """Train on all chunks of a bounded sample of labelled rows that are not held out.
 
-    Half of the sample's room is for either label, each filled in the order of a hash of doc_id, so the
-    sample is the same at every run. Documents with contradicting labels teach nothing. Executors cut
-    the chunks; the driver gets `most_docs * most_chunks * CHUNK` bytes at most.
+    Rows whose text has over `most_bytes` bytes are not in the sample. Half of its room is for either label, each filled
+    in the order of a hash of doc_id, so the sample is the same at every run. Documents with contradicting
+    labels teach nothing, and of rows that share a doc_id one does. The driver gets `most_docs * most_bytes` bytes at most.
     """
     known = (
         labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("_y")).where("y = _y").drop("_y")
     )
     mixed = F.xxhash64("doc_id", F.lit(1))
-    picked = known.where("y = 0").orderBy(mixed, "doc_id").limit(most_docs // 2).unionByName(known.where("y = 1").orderBy(mixed, "doc_id").limit(most_docs // 2))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [pick_chunks((t or "").encode("utf-8", "replace"), most_chunks).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(out, pa.binary())], ["doc_id", "y", "chunks"])
-
-    joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most `most_docs` rows
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = joined.select("doc_id", "y", "text").mapInArrow(cut, f"doc_id {kind}, y int, chunks binary").collect()
-    rows = list({r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, bytes(r.chunks)))}.values())
+    sized = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes)
+    small = known.join(sized.select("doc_id"), "doc_id", "left_semi")
+    half = lambda y: small.where(F.col("y") == y).orderBy(mixed, "doc_id").limit(most_docs // 2)
+    picked = half(0).unionByName(half(1))
+    joined = sized.join(F.broadcast(picked), "doc_id")  # at most `most_docs` rows
+    rows = joined.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    rows = sorted(rows, key=lambda r: (str(r.doc_id), r.text))
     if len({r.y for r in rows}) < 2:
         p = init()
         p["w2"][:] = 0
         p["b2"][:] = np.float32(8 if not rows or rows[0].y == 1 else -8)  # nothing to tell apart
         return p
-    chunks = [np.frombuffer(bytes(r.chunks), np.uint8).reshape(-1, CHUNK) for r in rows]
+    chunks = [chunks_of(r.text.encode("utf-8", "replace")) for r in rows]
     doc = np.repeat(np.arange(len(rows)), [len(c) for c in chunks])
     return train(np.concatenate(chunks), doc, np.array([r.y for r in rows], np.float32))
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray], columns: list[str] | None = None) -> DataFrame:
-    """All given columns plus score (double). Scores depend on the text alone; a null text scores as an empty one."""
-    docs = docs.select(*(columns or docs.columns))
+def score(docs: DataFrame, model: dict[str, np.ndarray], name: str = "score") -> DataFrame:
+    """All columns plus a score (double) of a `name` they don't have. Scores depend on the text alone; a null text scores as an empty one."""
     at = docs.columns.index("text")
-    keep = [c for c in docs.columns if c != "_score"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            texts, out, room = batch.column(at), [], []
-            for value in texts:
+            out, room, held = [], [], 0
+            for value in batch.column(at):
                 room.append((value.as_py() or "").encode("utf-8", "replace"))
-                if sum(map(len, room[-1:])) + len(room) * CHUNK > 1 << 20 or len(room) == 256:
+                held += len(room[-1]) + CHUNK
+                if held > 1 << 20:
                     out.append(scorer(room))
-                    room = []
+                    room, held = [], 0
             out.append(scorer(room))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(np.concatenate(out))], [*keep, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], [*batch.schema.names, name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -230,10 +223,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     two kinds of labels every document gets the one label there is (1 if there is none); an empty
     table gives none; other columns are ignored.
     """
-    scored = score(docs, fit(docs, labels), ["doc_id", "text"])
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with their columns."""
-    return score(docs, fit(docs, labels)).where(F.col("_score") >= THRESHOLD).drop("_score")
+    """The documents that the classifier accepts, with their columns, whatever these are named."""
+    name = free_name(docs, "score")
+    return score(docs, fit(docs, labels), name).where(F.col(name) >= THRESHOLD).drop(name)
