@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -543,6 +544,35 @@ def test_secrets(spark, tmp_path):
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
+def opaque(rng):
+    n, letters = rng.randrange(20, 48), string.ascii_letters + string.digits
+    draw = lambda k, of: "".join(rng.choice(of) for _ in range(k))
+    return rng.choice([lambda: draw(n, letters), lambda: draw(n, letters + "+/"), lambda: "ghp_" + draw(36, letters), lambda: "sk-" + draw(n, letters), lambda: "-".join(draw(k, "0123456789abcdef") for k in (8, 4, 4, 4, 12))])()
+
+
+def identifier(rng):
+    words = "user account session client server request handler update config value index number version field table column record login access private public service manager provider factory".split()
+    w = lambda n: [rng.choice(words) for _ in range(n)]
+    return rng.choice(
+        [lambda: "_".join(w(3)) + str(rng.randrange(100)), lambda: "".join(x.title() for x in w(3)) + str(rng.randrange(10)), lambda: "/".join(w(3)) + "/v2", lambda: f"2024-01-{rng.randrange(10, 28)}-" + "-".join(w(2)), lambda: rng.choice("a1x0") * rng.randrange(16, 30) + "1a", lambda: "-".join(w(3)) + f"-{rng.randrange(1000)}"]
+    )()
+
+
+def test_novel_secrets_precision_and_recall():
+    rng, novelty = random.Random(99), secrets.Novelty()
+    hit, wrong = [], []
+    for _ in range(500):
+        for draw, out in ((opaque, hit), (identifier, wrong)):
+            around, value = " ".join(identifier(rng) for _ in range(rng.randrange(12))), draw(rng)
+            text = f"{around} {rng.choice(['the secret of it is', 'Authorization Bearer', 'login with', 'private key', 'credential'])} {value} {around}"
+            at = text.index(value)
+            spans = [*secrets.base_spans(text), *secrets.novel_spans(text, [], novelty, secrets.NOVEL, 48)]
+            out.append(any(s < at + len(value) and at < e for s, _, e in spans))
+    recall, precision = sum(hit) / len(hit), sum(hit) / (sum(hit) + sum(wrong))
+    print(f"novel spans: recall {recall:.3f}, precision {precision:.3f}")
+    assert recall > 0.9 and precision > 0.9, (recall, precision)
+
+
 def test_quality_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -595,11 +625,23 @@ def brute_tokens(word, pieces):
 
 def test_tokens(spark, docs):
     pieces = tokens.load_pieces(f"{tokens.VOCAB_DIR}/{tokens.VOCAB_FILE}")
-    want = Counter((r[0], len((r[1] or "").split()), sum(brute_tokens(w, pieces) for w in (r[1] or "").split() if len(w) < 100)) for r in corpus() if not r[1] or "xxxx" not in r[1])
-    got = Counter(tuple(r) for r in tokens.count_tokens(docs).collect())
-    assert not want - got
+    want = Counter((r[0], len((r[1] or "").split()), sum(brute_tokens(w, pieces) for w in (r[1] or "").split())) for r in corpus())
+    assert Counter(tuple(r) for r in tokens.count_tokens(docs).collect()) == want
     assert tokens.count_tokens(empty(spark)).count() == 0
     small = tokens.TrieCounter(pieces, max_nodes=5)
     big = tokens.TrieCounter(pieces)
-    for w in ["straße", "hello", "helmet", "🎉🎉", "help", "hello"]:
+    rng = random.Random(3)
+    for w in ["straße", "hello", "helmet", "🎉🎉", "help", "hello", *("".join(rng.choice("thesaéin🎉") for _ in range(n)) for n in (62, 63, 64, 65, 300, 3000))]:
         assert small.count(w) == big.count(w) == brute_tokens(w, pieces)
+
+
+def test_tokens_of_a_very_long_word_take_bounded_memory():
+    import tracemalloc
+
+    trie = tokens.TrieCounter(tokens.load_pieces(f"{tokens.VOCAB_DIR}/{tokens.VOCAB_FILE}"))
+    word = "abcdefghij" * 200_000  # a text of twenty MB without a space takes ten times as long, and no more room
+    tracemalloc.start()
+    assert trie.count(word[:1_000_000]) > 0
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
+    assert len(trie.best) < 100

@@ -34,14 +34,18 @@ class TrieCounter:
     Each trie node holds the best score of the prefix it ends and how many tokens that takes, so a
     prefix is scored once for all words. A character no piece covers costs one byte token for each of
     its UTF-8 bytes. Equal scores prefer fewer tokens. Past `max_nodes` the trie starts anew, which
-    costs time and changes no count.
+    costs time and changes no count. Words of over `LONG` characters share no prefix worth keeping: they are scored
+    with the last few prefixes only, so memory is bounded however long a word is.
     """
 
+    LONG = 64
+
     def __init__(self, pieces: dict[str, float], max_nodes: int = 600_000):
         self.max_nodes = max_nodes
         #: Every ending of a piece, with the score of those that are pieces: a longer ending than these is none.
         self.endings: dict[str, float | None] = {p[i:]: None for p in pieces for i in range(len(p))}
         self.endings.update(pieces)
+        self.longest = max(map(len, pieces), default=1)
         self.clear()
 
     def clear(self) -> None:
@@ -57,6 +61,8 @@ class TrieCounter:
         if len(self.best) > self.max_nodes:
             self.clear()
         marked = SPACE + word
+        if len(marked) > self.LONG:
+            return self.count_long(marked)
         node, path, child, endings = 0, [0], self.child, self.endings
         for depth, char in enumerate(marked, 1):
             edge = node << 21 | ord(char)
@@ -79,10 +85,29 @@ class TrieCounter:
                 self.tokens.append(least)
             path.append(at)
             node = at
-        if len(marked) <= 64:
-            self.terminal[word] = self.tokens[node]
+        self.terminal[word] = self.tokens[node]
         return self.tokens[node]
 
+    def count_long(self, marked: str) -> int:
+        """The same recurrence; a ring holds the prefixes that a piece may still start at."""
+        room, endings = self.longest + 1, self.endings
+        best, tokens = [0.0] * room, [0] * room
+        for depth, char in enumerate(marked, 1):
+            n = len(char.encode("utf-8", "replace"))
+            top, least = best[(depth - 1) % room] + UNKNOWN * n, tokens[(depth - 1) % room] + n
+            for start in range(depth - 1, -1, -1):
+                score = endings.get(marked[start:depth], 0.0)
+                if score is None:
+                    continue
+                if score == 0.0:
+                    break
+                at = start % room
+                score += best[at]
+                if score > top or score == top and tokens[at] + 1 < least:
+                    top, least = score, tokens[at] + 1
+            best[depth % room], tokens[depth % room] = top, least
+        return tokens[len(marked) % room]
+
 
 def count_tokens(docs: DataFrame, vocab: str = f"{VOCAB_DIR}/{VOCAB_FILE}") -> DataFrame:
     """doc_id, n_words and n_tokens of every whole text; words are split at white space.
