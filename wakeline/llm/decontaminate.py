@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import durable, maybe_broadcast
+from wakeline.llm.common import durable, free_name, maybe_broadcast, scratch
 
 WIDTH = 5
 CONTAINMENT = 0.8
@@ -53,8 +55,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT
 
     Containment is the share of an item's distinct five-word shingles that the document has. Items of
     one to four words are one shingle of their own length; items without words match nothing, nor
-    do null and empty texts. Repeated rows give their pairs once, equal doc_ids with different texts are
-    separate documents, null ids are ids like others, empty tables give none, other columns are ignored.
+    do null and empty texts. Repeated rows give their pairs once; texts that share a doc_id are searched one by
+    one and the pair of highest containment is returned; null ids are ids like others, empty tables give none, other
+    columns are ignored.
     """
     pairs = leaks_by_row(docs, benchmark, least, width)
     return pairs.groupBy("doc_id", "item_id").agg(
@@ -63,7 +66,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT
 
 
 def leaks_by_row(docs: DataFrame, benchmark: DataFrame, least: float, width: int) -> DataFrame:
-    """The pairs by text; _text is the text's hash, which with doc_id names a row."""
+    """The pairs by text; _text holds two hashes of the text, which with doc_id name a row."""
+    with scratch() as keep:
+        return keep(pairs_of(docs, benchmark, least, width))
+
+
+def text_key(text: str = "text") -> Column:
+    """Two independent hashes of a text, of 64 and 32 bits."""
+    return F.struct(F.xxhash64(text).alias("h"), F.crc32(F.coalesce(text, F.lit(""))).alias("c"))
+
+
+def every_width(words: Column, widths: list[int], of: Callable[[Column, int], Column]) -> Column:
+    """(width, v) of the shingles of all widths in one array, so that a text is cut into words once."""
+
+    def sized(k: int) -> Column:
+        return F.transform(of(words, k), lambda v: F.struct(F.lit(k).alias("width"), v.alias("v")))
+
+    return F.explode(F.concat(*map(sized, widths))).alias("x")
+
+
+def pairs_of(docs: DataFrame, benchmark: DataFrame, least: float, width: int) -> DataFrame:
     items = benchmark.select("item_id", words_of(F.col("text")).alias("w"), F.xxhash64("text").alias("_item"))
     items = items.distinct().withColumn("width", F.least(F.size("w"), F.lit(width))).where("width > 0")
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # `width` values at most
@@ -72,7 +94,7 @@ def leaks_by_row(docs: DataFrame, benchmark: DataFrame, least: float, width: int
         for k in widths
     ]
     if not per:
-        empty = docs.select("doc_id", F.lit(0).cast("long").alias("_text")).limit(0)
+        empty = docs.select("doc_id", text_key().alias("_text")).limit(0)
         return empty.select("doc_id", "_text", *[F.lit(None).cast(t).alias(n) for n, t in (("item_id", benchmark.schema["item_id"].dataType), ("n_shingles", "long"), ("n_shared", "long"), ("containment", "double"))])
     all_items = per[0]
     for more in per[1:]:
@@ -82,12 +104,10 @@ def leaks_by_row(docs: DataFrame, benchmark: DataFrame, least: float, width: int
     all_items = durable(all_items.withColumn("n_shingles", F.count("*").over(size)))
     sketch = durable(sketches(all_items.drop("s"), least))
 
-    texts = docs.select("doc_id", F.xxhash64("text").alias("_text"), words_of(F.col("text")).alias("w"))
+    texts = docs.select("doc_id", text_key().alias("_text"), words_of(F.col("text")).alias("w"))
     small = maybe_broadcast(sketch, sketch.count(), BROADCAST_ROWS)
-    hits = None
-    for k in widths:
-        own = texts.select("doc_id", "_text", F.explode(hashes(F.col("w"), k)).alias("h")).join(small.where(F.col("width") == k), "h")
-        hits = own if hits is None else hits.unionByName(own)
+    hits = texts.select("doc_id", "_text", every_width(F.col("w"), widths, hashes)).select("doc_id", "_text", F.col("x.width").alias("width"), F.col("x.v").alias("h"))
+    hits = hits.join(small, ["width", "h"])
     found = (
         hits.groupBy("doc_id", "_text", "item_id", "_item", "need", "h").agg(F.lit(1).alias("one"))
         .groupBy("doc_id", "_text", "item_id", "_item", "need").agg(F.count("*").alias("hits")).where("hits >= need")
@@ -99,10 +119,8 @@ def leaks_by_row(docs: DataFrame, benchmark: DataFrame, least: float, width: int
     rows = rows.select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t"))
     near = texts.join(maybe_broadcast(rows, n_rows), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t")), "left_semi")
     exact = maybe_broadcast(all_items.select("item_id", "_item", "width", "s", "n_shingles"), all_items.count(), BROADCAST_ROWS // 10)
-    shared = None
-    for k in widths:
-        own = near.select("doc_id", "_text", F.explode(F.array_distinct(strings(F.col("w"), k))).alias("s")).join(exact.where(F.col("width") == k), "s")
-        shared = own if shared is None else shared.unionByName(own)
+    shared = near.select("doc_id", "_text", every_width(F.col("w"), widths, lambda w, k: F.array_distinct(strings(w, k)))).select("doc_id", "_text", F.col("x.width").alias("width"), F.col("x.v").alias("s"))
+    shared = shared.join(exact, ["width", "s"])
     # Repeated rows of one text show the same shingles, so shingles are counted once for each text.
     shared = shared.groupBy("doc_id", "_text", "item_id", "_item", "n_shingles", "s").agg(F.lit(1).alias("one"))
     counted = shared.groupBy("doc_id", "_text", "item_id", "_item", "n_shingles").agg(F.count("*").alias("n_shared"))
@@ -111,9 +129,10 @@ def leaks_by_row(docs: DataFrame, benchmark: DataFrame, least: float, width: int
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT, width: int = WIDTH) -> DataFrame:
-    """The documents that contain no benchmark item, with their columns."""
-    rows = durable(leaks_by_row(docs, benchmark, least, width).select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
+    """The documents that contain no benchmark item, with their columns, whatever these are named."""
+    d, t = free_name(docs, "d"), free_name(docs, "t")
+    rows = durable(leaks_by_row(docs.select("doc_id", "text"), benchmark, least, width).select(F.col("doc_id").alias(d), F.col("_text").alias(t)).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(f"{t}.h")) & (F.crc32(F.coalesce("text", F.lit(""))) == F.col(f"{t}.c"))
     return docs.join(maybe_broadcast(rows, rows.count()), same, "left_anti")
 
 
