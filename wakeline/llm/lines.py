@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import durable, maybe_broadcast
+from wakeline.llm.common import durable, free_name, maybe_broadcast
 
 #: Distinct sites from which a line counts as boilerplate.
 MIN_SITES = 10
@@ -37,23 +37,24 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str =
 
     Lines end at a newline and are compared without the white space around them; blank lines always
     stay. A null site is no site. A null text has no lines and stays null; an empty text is one blank
-    line; repeated rows are treated alike; an empty table gives none. Columns of the documents that
-    are named like those added are replaced.
+    line; repeated rows are treated alike; an empty table gives none. Columns of the documents named n_lines or
+    n_removed are replaced, all others stay.
     """
     line = F.regexp_replace(F.col("l"), r"^[ \t\r\x0B\f]+|[ \t\r\x0B\f]+$", "")
-    lines = docs.select(F.xxhash64("text").alias("_t"), F.col(site).cast("string").alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "l"))
-    lines = durable(lines.withColumn("l", line).where("l <> ''").select("_t", "site", "pos", F.xxhash64("l").alias("h")))
+    name = lambda c: F.struct(F.xxhash64(c).alias("h"), F.crc32(c).alias("c"), F.octet_length(c).alias("n"))  # noqa: E731  two hashes and the length
+    lines = docs.select(name("text").alias("_t"), F.col(site).cast("string").alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "l"))
+    lines = durable(lines.withColumn("l", line).where("l <> ''").select("_t", "site", "pos", name("l").alias("h")))
     flagged = durable(spread_lines(lines.select("h", "site"), min_sites))
+    docs = docs.drop("n_lines", "n_removed")
+    t, g = free_name(docs, "t"), free_name(docs, "gone")
     # What goes from a text depends on the text alone, so copies share a row.
-    gone = lines.join(maybe_broadcast(flagged, flagged.count()), "h").groupBy("_t").agg(F.collect_set("pos").alias("_gone"))
-    gone = durable(gone)
-    docs = docs.drop("n_lines", "n_removed", "_t", "_gone").withColumn("_t", F.xxhash64("text"))
+    gone = durable(lines.join(maybe_broadcast(flagged, flagged.count()), "h").groupBy(F.col("_t").alias(t)).agg(F.collect_set("pos").alias(g)))
     # What to remove grows with the documents, so this is a shuffle at every size; hot texts are split by AQE.
-    out = docs.join(gone.hint("merge"), "_t", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda l, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    out = docs.withColumn(t, name("text")).join(gone.hint("merge"), t, "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda l, i: ~F.array_contains(F.col(g), i)), "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    out = out.withColumn("n_lines", n_lines.cast("long")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_t", "_gone")
+    out = out.withColumn("n_lines", n_lines.cast("long")).withColumn("n_removed", F.coalesce(F.size(g), F.lit(0)).cast("long"))
+    return out.withColumn("text", F.when(F.col(g).isNull(), F.col("text")).otherwise(kept)).drop(t, g)
 
 
 ORACLE = rf"""
