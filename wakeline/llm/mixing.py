@@ -7,14 +7,20 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import durable, maybe_broadcast
+from wakeline.llm.common import durable, free_name, maybe_broadcast
 
 #: Most epochs of the most repeated source; the least repeated one runs once.
 MAX_REPEATS = 2.0
-BLOCKS = 256
+#: Rows of a block, which one task sorts, and blocks of a source at least.
+BLOCK_ROWS, LEAST_BLOCKS = 20_000, 256
 SEED = 17
 
 
+def blocks_for(docs: DataFrame) -> int:
+    """Blocks of a source, as many as keep a block small should all rows be of one source."""
+    return max(LEAST_BLOCKS, -(-docs.count() // BLOCK_ROWS))
+
+
 def token_count(text):
     """Runs of characters other than ASCII white space."""
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")).cast("long")
@@ -50,13 +56,13 @@ def find_exponent(totals: DataFrame, max_repeats: float, entropy: float | None,
     return lo if entropy is not None else hi
 
 
-def plan(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None = None, blocks: int = BLOCKS, seed: int = SEED) -> tuple[DataFrame, DataFrame, float]:
+def plan(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None = None, blocks: int = LEAST_BLOCKS, seed: int = SEED) -> tuple[DataFrame, DataFrame, float]:
     """(blocks, boundary, exponent): epochs of every block of every source, and the documents of the
     blocks that the last epoch's budget cuts, if they are in it."""
     rows = docs.select(
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"), block_of(blocks, seed).alias("_block"), token_count(F.col("text")).alias("n")
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"), F.crc32(F.coalesce("text", F.lit(""))).alias("_crc"), block_of(blocks, seed).alias("_block"), token_count(F.col("text")).alias("n")
     )
-    rows = durable(rows.groupBy("_source", "_block", "_doc", "_text").agg(F.sum("n").alias("n")))
+    rows = durable(rows.groupBy("_source", "_block", "_doc", "_text", "_crc").agg(F.sum("n").alias("n")))
     cells = rows.groupBy("_source", "_block").agg(F.sum("n").alias("tokens"))
     cells = durable(cells)
     totals = cells.groupBy("_source").agg(F.sum("tokens").alias("total"))
@@ -79,16 +85,16 @@ def plan(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | Non
     )
     dealt = durable(dealt)
     cut = dealt.where("not full and left > 0")
-    inside = Window.partitionBy("_source", "_block").orderBy(F.xxhash64("_doc", F.lit(seed + 1)), "_doc", "_text").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_source", "_block").orderBy(F.xxhash64("_doc", F.lit(seed + 1)), "_doc", "_text", "_crc").rowsBetween(Window.unboundedPreceding, 0)
     boundary = rows.join(maybe_broadcast(cut, cut.count()), ["_source", "_block"]).withColumn("_sum", F.sum("n").over(inside)).where(F.col("_sum") <= F.col("left"))
-    return dealt, durable(boundary.select("_source", "_doc", "_text")), a
+    return dealt, durable(boundary.select("_source", "_doc", "_text", "_crc")), a
 
 
 def block_of(blocks: int, seed: int):
     return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int")
 
 
-def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None = None, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None = None, blocks: int | None = None, seed: int = SEED) -> DataFrame:
     """All columns, and copies (epochs the document is in), _weight and _order (of its block in its source).
 
     A source's documents fall into blocks by a hash of doc_id, an epoch runs through the blocks in a
@@ -98,18 +104,24 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None
     empty texts have no tokens and run with their block; repeated rows stay together; sources
     without tokens run once; an empty table gives none.
     """
+    blocks = blocks or blocks_for(docs)
     dealt, boundary, _ = plan(docs, max_repeats, entropy, blocks, seed)
-    keyed = docs.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_block": block_of(blocks, seed), "_text": F.xxhash64("text")})
-    cells = dealt.select("_source", "_block", *[F.col(c).alias(f"_{c}") for c in ("whole", "full", "weight", "block_order")])
-    out = keyed.join(maybe_broadcast(cells, dealt.count()), ["_source", "_block"], "left")
-    more = boundary.select(F.col("_source").alias("_s"), F.col("_doc").alias("_d"), F.col("_text").alias("_x"), F.lit(True).alias("_more"))
-    same = (F.col("_source") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_x"))
-    out = out.join(maybe_broadcast(more, boundary.count()), same, "left")
-    copies = F.col("_whole") + F.when(F.col("_full") | F.coalesce("_more", F.lit(False)), 1).otherwise(0)
-    return out.select(*[out[c] for c in docs.columns], copies.cast("int").alias("_copies"), F.col("_weight"), F.col("_block_order").alias("_order"))
+    source, same_source, block, more, d, x, c = (free_name(docs, f"mix_{n}") for n in ("source", "same", "block", "more", "d", "x", "c"))
+    cell = {n: free_name(docs, f"mix_{n}") for n in ("whole", "full", "weight", "block_order")}
+    keyed = docs.withColumns({source: F.coalesce(F.col("source").cast("string"), F.lit("")), block: block_of(blocks, seed)})
+    cells = dealt.select(F.col("_source").alias(source), F.col("_block").alias(block), *[F.col(n).alias(cell[n]) for n in cell])
+    out = keyed.join(maybe_broadcast(cells, dealt.count()), [source, block], "left")
+    last = boundary.select(F.col("_source").alias(same_source), F.col("_doc").alias(d), F.col("_text").alias(x), F.col("_crc").alias(c), F.lit(True).alias(more))
+    same = (F.col(source) == F.col(same_source)) & F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(x)) & (F.crc32(F.coalesce("text", F.lit(""))) == F.col(c))
+    out = out.join(maybe_broadcast(last, boundary.count()), same, "left")
+    copies = F.col(cell["whole"]) + F.when(F.col(cell["full"]) | F.coalesce(more, F.lit(False)), 1).otherwise(0)
+    own = [n for n in docs.columns if n not in ("_copies", "_weight", "_order")]
+    return out.select(*own, copies.cast("int").alias("_copies"), F.col(cell["weight"]).alias("_weight"), F.col(cell["block_order"]).alias("_order"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The columns of the documents, a row for every copy."""
-    out = mix(docs, **options)
-    return out.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The columns of the documents, whatever these are named, a row for every copy."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "source")}
+    out = mix(docs.withColumnsRenamed(names), **options)
+    out = out.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
