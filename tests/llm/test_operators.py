@@ -348,16 +348,17 @@ def test_keep_one(spark, docs):
 
 def bucket(t, f, c):
     n = np.full(len(t), 100)
-    return simhash_docs.Members(t, f, c, n, n, np.ones((len(t), simhash_docs.BINS), np.uint8))
+    return simhash_docs.Members(t, f[:, None], c, n, n, np.ones((len(t), simhash_docs.BINS), np.uint8))
 
 
 def near_pairs(t, f, c):
-    near = np.triu((np.bitwise_count(f[:, None] ^ f[None]) <= simhash_docs.NEAR_BITS) & (c[:, None] != c[None]), 1)
+    near = np.triu((np.bitwise_count(f[:, None] ^ f[None]) <= simhash_docs.WIDE_BITS) & (c[:, None] != c[None]), 1)
     return set(zip(*(x.tolist() for x in np.nonzero(near))))
 
 
 @pytest.mark.parametrize("small", [1024, 7])
-def test_buckets_are_compared_throughout(small):
+def test_buckets_are_compared_throughout(monkeypatch, small):
+    monkeypatch.setattr(simhash_docs, "WIDE_BITS", 16)
     rng = np.random.default_rng(6)
     for n in (1, 2, 7, 400):
         f = np.zeros(n, np.uint64)  # copies of copies: many are near each other and far from the middle
@@ -377,7 +378,7 @@ def test_buckets_are_compared_throughout(small):
 
 def test_bound_on_shared_shingles_is_sound():
     rng = np.random.default_rng(1)
-    zero = np.zeros(2, np.uint64)
+    zero = np.zeros((2, 3), np.uint64)
     for _ in range(300):
         a = set(rng.choice(60, rng.integers(1, 40), replace=False).tolist())
         b = {x for x in a if rng.random() < 0.9} | set(rng.choice(60, rng.integers(0, 6)).tolist()) or {0}
@@ -403,7 +404,7 @@ def test_sketches_keep_similar_sets():
             b = np.concatenate([a[: len(a) - n // 10], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)])  # 0.81 or more
             bins = np.stack([np.frombuffer(simhash_docs.sketch(z), np.uint8) for z in (a, b)])
             size = np.array([n, n])
-            m = simhash_docs.Members(size, size, size, size, size, bins)
+            m = simhash_docs.Members(size, size[:, None], size, size, size, bins)
             missed += not simhash_docs.guesses(m[:1], m[1:])[1][0]
             tried += 1
     assert missed == 0, (missed, tried)
@@ -435,7 +436,7 @@ def test_crowded_buckets_are_split(spark, throughout):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     rows = common.durable(simhash_docs.features(df))
     alive = rows.select("t", "wide", F.lit(bytes([1]) * simhash_docs.BINS).alias("bins"), F.lit(60).cast("long").alias("n"), F.lit(60).cast("long").alias("v"), F.col("t").alias("c"))
-    found = [[tuple(r) for r in simhash_docs.candidates(alive, throughout, block).collect()] for block in (4096, 16)]
+    found = [[tuple(r) for r in simhash_docs.candidates(alive, simhash_docs.spots(alive, block), throughout).collect()] for block in (4096, 16)]
     whole, split = map(set, found)
     if throughout:
         assert len(found[0]) == len(whole) == len(found[1]) and whole == split and len(whole) > 3 * 80 * 79 / 2 * 0.9

@@ -17,8 +17,8 @@ from wakeline.llm.simhash import _with_end, golay, shingle_hashes
 SIMILARITY, VERIFY_WIDTH = 0.8, 5
 #: The wide fingerprint: eight segments of 23 bits over shingles of three words.
 LANES, SEGMENT, FEATURE_WIDTH = 8, 23, 3
-#: Bits by which the first 64 of similar documents may differ: similarity 0.8 has a mean of 6 and 99 % under 13.
-NEAR_BITS = 16
+#: Bits by which 64 bits, and all 192, of similar documents may differ: similarity 0.8 has means of 8 and 20, deviations of 2.3 and 4.
+NEAR_BITS, WIDE_BITS = 16, 44
 #: Bins of the sketch that screens candidates, and the standard errors by which an estimate may fall short of 0.8.
 BINS, ERRORS = 256, 5.0
 TABLES = range(3 * LANES)
@@ -103,6 +103,21 @@ def keys(wide: np.ndarray, tables: range = TABLES) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(rows), np.concatenate(out)
 
 
+def _apart(n: int) -> int:
+    """Which 64 of the 192 bits have least in common with the segments of table n: rows of its bucket agree on these anyway."""
+    used = {23 * lane + i for lane in (n % LANES, (n % LANES + EXACT[n // LANES][0]) % LANES) for i in range(SEGMENT)}
+    return min(range(3), key=lambda k: len(used & set(range(64 * k, 64 * k + 64))))
+
+
+#: By table, the bits by which rows of its buckets are told to be near.
+APART = np.array([_apart(n) for n in TABLES])
+
+
+def words(wide: np.ndarray) -> np.ndarray:
+    """Fingerprints given as rows of 24 bytes as rows of three words."""
+    return np.ascontiguousarray(wide).view(">u8").astype(np.uint64)
+
+
 class Codes:
     """The keys of rows of fingerprints by table, to tell which bucket two rows meet in first."""
 
@@ -157,7 +172,7 @@ def has_neighbour(f: np.ndarray) -> np.ndarray:
 
 
 class Members:
-    """Rows of a bucket, side by side: class, first 64 bits, group, shingles, shingles that others may share, sketch."""
+    """Rows of a bucket, side by side: class, fingerprint of three words, group, shingles, shingles that others may share, sketch."""
 
     def __init__(self, t: np.ndarray, f: np.ndarray, c: np.ndarray, n: np.ndarray, v: np.ndarray, bins: np.ndarray):
         self.t, self.f, self.c, self.n, self.v, self.bins = t, f, c, n, v, bins
@@ -170,10 +185,10 @@ class Members:
 
 
 def possible(a: Members, b: Members) -> np.ndarray:
-    """Which pairs are in different groups, within NEAR_BITS, and can reach the similarity by what they may share: an
+    """Which pairs are in different groups, within WIDE_BITS, and can reach the similarity by what they may share: an
     intersection is no larger than either side's shared shingles, and that bound loses nothing."""
     share = np.minimum(a.v, b.v)
-    return (a.c != b.c) & (np.bitwise_count(a.f ^ b.f) <= NEAR_BITS) & (share >= SIMILARITY * (a.n + b.n - share) - 1e-9)
+    return (a.c != b.c) & (np.bitwise_count(a.f ^ b.f).sum(-1, dtype=np.uint8) <= WIDE_BITS) & (share >= SIMILARITY * (a.n + b.n - share) - 1e-9)
 
 
 def guesses(x: Members, y: Members) -> tuple[np.ndarray, np.ndarray]:
@@ -241,16 +256,17 @@ def partitions(df: DataFrame) -> int:
 
 
 def members(classes: DataFrame) -> DataFrame:
-    """The distinct classes `t` that share a bucket with another one within NEAR_BITS: all ends of candidate pairs."""
+    """The distinct classes `t` that share a bucket with another one within NEAR_BITS of the bits that its table leaves out:
+    all ends of candidate pairs."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = batch.column(0).to_numpy(zero_copy_only=False)
             wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 24)
-            f = np.ascontiguousarray(wide[:, :8]).view(">u8").ravel().astype(np.uint64).view(np.int64)
+            f = words(wide).view(np.int64)
             for lo in range(0, len(t), 4096):
-                row, key = keys(wide[lo : lo + 4096], TABLES)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(t[lo + row]), pa.array(f[lo + row])], ["key", "t", "f"])
+                row, key = keys(wide[lo : lo + 4096])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(t[lo + row]), pa.array(f[lo + row, APART[key >> 22]])], ["key", "t", "f"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, t, f), start, size in runs(batches, 1):
@@ -304,23 +320,27 @@ def sketches(sized: DataFrame) -> DataFrame:
     return sized.select("t", "n", "v", "s").mapInArrow(scan, "t bigint, n bigint, v bigint, bins binary")
 
 
-def candidates(alive: DataFrame, throughout: bool = True, block: int = BLOCK) -> DataFrame:
-    """Distinct candidate pairs (a, b) of classes (t, wide, bins, n, v, c) that share a bucket and are in different groups c:
-    all that may be links, or only the likeliest partner of each class in each bucket.
-
-    A bucket of over `block` rows is compared block against block in as many tasks. A pair comes from one bucket only.
-    """
-    rest = ["t", "wide", "c", "n", "v", "bins"]
+def spots(alive: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, t, parts): the buckets that a class (t, wide) shares with another one, and in how many parts each is compared."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 24)
-            for lo in range(0, len(wide), 1024):
-                row, key = keys(wide[lo : lo + 1024])
-                at = pa.array(lo + row)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(x.take(at) for x in batch.columns)], ["key", *rest])
+            for lo in range(0, len(wide), 4096):
+                row, key = keys(wide[lo : lo + 4096])
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(lo + row))], ["key", "t"])
+
+    rows = durable(alive.select("t", "wide").mapInArrow(index, "key bigint, t bigint"))
+    shared = durable(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    return rows.join(maybe_broadcast(shared, shared.count()), "key")
+
+
+def candidates(alive: DataFrame, where: DataFrame, throughout: bool = True) -> DataFrame:
+    """Distinct candidate pairs (a, b) of classes (t, wide, bins, n, v, c) that share a bucket of `where` and are in different
+    groups c: all that may be links, or only the likeliest partner of each class among the rows of a bucket's part.
+
+    A crowded bucket is compared block against block in as many tasks. A pair comes from one bucket only.
+    """
 
     def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -343,7 +363,7 @@ def candidates(alive: DataFrame, throughout: bool = True, block: int = BLOCK) ->
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (*marks, t, wide, c, n, v, bins), start, size in runs(batches, 3):
-            x = Members(t, np.ascontiguousarray(wide[:, :8]).view(">u8").ravel().astype(np.uint64), c, n, v, bins)
+            x = Members(t, words(wide), c, n, v, bins)
             codes = Codes(wide)
             room = [(z := np.zeros(0, np.int64), z, np.zeros(0))]
             for i, j, g in offered(x, marks, start, size):
@@ -358,16 +378,10 @@ def candidates(alive: DataFrame, throughout: bool = True, block: int = BLOCK) ->
             i, j, _ = (i, j, g) if throughout else kept(t, i, j, g)
             yield out(t[i], t[j])
 
-    rows = alive.select(*rest).mapInArrow(index, "key bigint, t bigint, wide binary, c bigint, n bigint, v bigint, bins binary")
-    heavy = durable(rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > block))
-    if n_heavy := heavy.count():
-        rows = rows.join(maybe_broadcast(heavy, n_heavy), "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("rows") / block), F.lit(1)).cast("int"))
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("t"), "blocks").cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if throughout else F.col("own"))
-        rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", *rest)
-    else:
-        zero = F.lit(0)
-        rows = rows.select("key", zero.alias("lo"), zero.alias("hi"), zero.alias("own"), *rest)
+    own = F.pmod(F.xxhash64("t"), "parts").cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if throughout else F.col("own")
+    rows = where.withColumn("own", own).withColumn("other", other).select("key", "t", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
+    rows = rows.join(alive.select("t", "wide", "c", "n", "v", "bins"), "t").select("key", "lo", "hi", "own", "t", "wide", "c", "n", "v", "bins")
     return rows.repartition(partitions(rows), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(meet, "a bigint, b bigint")
 
 
@@ -404,9 +418,10 @@ def groups(docs: DataFrame) -> DataFrame:
         sets = durable(shingle_sets(docs, durable(classes.select("t", "x").join(near, "t"))))
         room = shared_counts(sets).where((F.col("n") > 0) & (F.col("v") >= SIMILARITY * F.col("n") - 1e-9))
         alive = durable(sketches(sets.join(room, "t")).join(classes.drop("x"), "t"))
+        where = durable(spots(alive))
         links, tried, found = None, None, alive.withColumn("c", F.col("t"))
         for throughout in (False, True):
-            pairs = candidates(found, throughout)
+            pairs = candidates(found, where, throughout)
             pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
             tried = pairs if tried is None else tried.unionByName(pairs)
             new = durable(verified(pairs, sets))
