@@ -1,6 +1,8 @@
 """Hand-computed values, inverse pairs and properties of the operators SQL does not check."""
 
 import math
+import time
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -279,3 +281,59 @@ def test_region_hulls_have_the_true_area(spark):
         assert r.area == pytest.approx(-2 * math.pi * 100**2 * math.log(1 - r.confidence), rel=0.04)
     p = np.random.default_rng(4).normal(size=(20000, 2)) * [3, 0.01]
     assert {tuple(v) for v in D.convex_hull(p)} == {tuple(v) for part in (D.convex_hull(np.vstack([D.convex_hull(x) for x in np.array_split(p, 25)])),) for v in part}
+
+
+def test_long_tracks_take_linear_time(spark):
+    n = 400_000
+    one = spark.range(n).select(F.lit(1).alias("id"), F.col("id").cast("int").alias("time_idx"), F.timestamp_seconds(F.col("id") * 600).alias("ts"), F.when(F.col("id") % 50 == 7, F.col("id").cast("double")).alias("v"), F.rand(1).alias("k"), F.rand(2).alias("dt"))
+    began = time.time()
+    assert tracks.fill_both_ways(one, ["v"]).where("v is null").count() == 0
+    assert tracks.replace_zero_dt(one, "closest", 0.5).where("dt < 0.5").count() == 0
+    assert stats.rolling_correlation(one, "k", "dt", 3).where("rho is null").count() == 0
+    index = windows.forecast_index(one, 16, 4)
+    assert windows.with_gaps(index, one).where("decoder_gap = 0").count() == n - 19
+    assert time.time() - began < 60
+
+
+def test_adjusted_p_values_with_ties(spark):
+    rng = np.random.default_rng(2)
+    p = np.concatenate([rng.random(3000) ** 3, np.repeat([0.2, 1.0], 700)])
+    n = len(p)
+    order = np.argsort(p, kind="stable")
+    q = np.minimum.accumulate((p[order] * n / np.arange(1, n + 1))[::-1])[::-1]
+    want = np.empty(n)
+    want[order] = np.minimum(q, 1)
+    df = spark.createDataFrame(list(enumerate(p.tolist())), "i int, p double").repartition(7)
+    got = {r.i: r.p_adjusted for r in stats.benjamini_hochberg(df, ranges=16).collect()}
+    assert np.allclose([got[i] for i in range(n)], want)
+
+
+def test_folds_are_even(spark):
+    out = stats.folds(spark.range(10007).withColumn("v", F.rand(3)), "v", "id", 5, 10).groupBy("fold").count().collect()
+    assert len(out) == 5 and max(r["count"] for r in out) - min(r["count"] for r in out) <= 10
+    few = spark.range(500).withColumn("v", F.col("id") * 1.0)  # approximate quantiles of few rows are exact
+    fold_of = lambda d: {r.id: r.fold for r in stats.folds(d, "v", "id").collect()}
+    assert fold_of(few) == fold_of(few.repartition(13))
+
+
+def test_bootstrap_acceleration_is_that_of_leaving_one_out(spark):
+    v = np.random.default_rng(5).exponential(size=60)
+    df = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(v)] + [(None, i, float(x)) for i, x in enumerate(v)], "g string, id int, v double")
+    rows = stats.bootstrap(df, "v", ["g"], "id", 20000).collect()
+    left = (v.sum() - v) / (len(v) - 1)
+    d = left.mean() - left
+    a = (d**3).sum() / (6 * (d**2).sum() ** 1.5)
+    rng = np.random.default_rng(0)
+    draws = v[rng.integers(0, 60, (20000, 60))].mean(1)
+    z0 = NormalDist().inv_cdf((draws < v.mean()).mean())
+    q = [NormalDist().cdf(z0 + (z0 + z) / (1 - a * (z0 + z))) for z in (-1.96, 1.96)]
+    lo, hi = np.quantile(draws, q)
+    assert len(rows) == 2
+    for r in rows:
+        assert r.lo == pytest.approx(lo, abs=0.03) and r.hi == pytest.approx(hi, abs=0.03) and r.units == 60
+
+
+def test_leap_segments(spark):
+    df = spark.createDataFrame([(1, f"{y}-06-01 00:00:00") for y in (2019, 2020, 2021)], "id int, t string").select("id", F.to_timestamp("t").alias("ts"))
+    flags = lambda **k: [r.leap for r in tracks.leap_segments(df, **k).orderBy("ts").collect()]
+    assert flags() == [False, True, False] and flags(compat=True) == [False, False, True]

@@ -237,25 +237,50 @@ class Bivariate:
         copula = np.exp(-(r * r * (u * u + v * v) - 2 * r * u * v) / (2 * (1 - r * r))) / math.sqrt(1 - r * r)
         return px * py * copula
 
-    def hull(self, confidence: float, n: int = 1000, seed: int = 0) -> np.ndarray:
-        """Hull of the densest part of a sample."""
-        return self.hulls([confidence], n, seed)[0]
-
-    def hulls(self, confidences, n: int = 1000, seed: int = 0) -> list[np.ndarray]:
-        """Hulls of the densest parts of one sample."""
-        s = self.sample(n, seed)
-        s = s[np.argsort(-self.pdf(s), kind="stable")]
-        return [convex_hull(s[: max(3, int(c * n))]) for c in confidences]
+    def even(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(x, y, density) of n points or a few more that hold equal shares of the mass: m values of x by m of y given x.
+
+        They stand for a sample of as many draws, without its noise.
+        """
+        m = math.ceil(math.sqrt(n))
+        u = (np.arange(m) + 0.5) / m
+        x = self.x.inverse(u)
+        if not self.rho:
+            y = self.y.inverse(u)
+            return np.broadcast_to(x[:, None], (m, m)), np.broadcast_to(y, (m, m)), self.x.pdf(x)[:, None] * self.y.pdf(y)
+        z = normal_ppf(u)
+        y = self.y.inverse(normal_cdf(self.rho * z[:, None] + math.sqrt(1 - self.rho**2) * z).ravel()).reshape(m, m)
+        x = np.broadcast_to(x[:, None], (m, m))
+        return x, y, self.pdf(np.stack([x, y], -1).reshape(-1, 2)).reshape(m, m)
+
+    def hull(self, confidence: float, n: int = 1000) -> np.ndarray:
+        """Hull of the densest part."""
+        return self.hulls([confidence], n)[0]
+
+    def hulls(self, confidences, n: int = 1000) -> list[np.ndarray]:
+        """Hulls of the densest parts."""
+        x, y, density = self.even(n)
+        flat, out = density.ravel(), []
+        kept = [max(3, int(c * flat.size)) for c in confidences]
+        ranked = np.partition(flat, [flat.size - k for k in kept])
+        for k in kept:
+            dense = density >= ranked[flat.size - k]
+            rows = np.flatnonzero(dense.any(1))  # a column of x needs its least and greatest y only
+            low = np.where(dense, y, np.inf)[rows].min(1)
+            high = np.where(dense, y, -np.inf)[rows].max(1)
+            at = x[rows, 0]
+            out.append(convex_hull(np.concatenate([np.stack([at, low], 1), np.stack([at, high], 1)])))
+        return out
 
-    def level(self, confidence: float, n: int = 1000, seed: int = 0) -> float:
+    def level(self, confidence: float, n: int = 1000) -> float:
         """Density of the contour that holds a share of the mass."""
-        return float(np.quantile(self.pdf(self.sample(n, seed)), 1 - confidence))
+        return float(np.quantile(self.even(n)[2], 1 - confidence))
 
-    def contour_area(self, confidence: float, cells: int = 120, n: int = 1000, seed: int = 0) -> float:
+    def contour_area(self, confidence: float, cells: int = 120, n: int = 1000) -> float:
         """km2 on the sphere of the cells denser than the contour."""
         x, y = (np.linspace(d.x[0], d.x[-1], cells + 1) for d in (self.x, self.y))
         cx, cy = (x[1:] + x[:-1]) / 2, (y[1:] + y[:-1]) / 2
-        dense = self.pdf(np.stack(np.meshgrid(cx, cy, indexing="ij"), -1).reshape(-1, 2)).reshape(cells, cells) >= self.level(confidence, n, seed)
+        dense = self.pdf(np.stack(np.meshgrid(cx, cy, indexing="ij"), -1).reshape(-1, 2)).reshape(cells, cells) >= self.level(confidence, n)
         band = -2 * R * np.diff(x)[:, None] * np.diff(1 / (1 + np.exp(2 * y / R)))[None]
         return float((band * dense).sum())
 

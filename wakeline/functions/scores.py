@@ -123,3 +123,21 @@ def widening_quantiles(median: Column, gaps_below: list[Column], gaps_above: lis
         at = at + soft(g)
         above.append(at)
     return [*below, median, *above]
+
+
+def gcd_pinball(lat: Column, lon: Column, lat_q: Column, lon_q: Column, distance: Column, quantile: Column) -> Column:
+    """Pinball loss of both axes, at the median with the great-circle distance in place of the error (Q7)."""
+    loss = pinball(lat, lat_q, quantile) + pinball(lon, lon_q, quantile)
+    return F.when(F.abs(quantile - 0.5) < 1e-9, loss + distance).otherwise(loss)
+
+
+def ellipse_pinball(dx: Column, dy: Column, sxx: Column, syy: Column, sxy: Column, quantile: Column) -> Column:
+    """Pinball loss of an error (dx, dy) along the axes of the ellipse of a covariance, in closed form (Q12).
+
+    The error is turned into the frame of the eigenvectors; either coordinate's size meets the semi-axis there.
+    """
+    half, mean = F.sqrt(F.pow((sxx - syy) / 2, 2) + sxy * sxy), (sxx + syy) / 2
+    turn = 0.5 * F.atan2(2 * sxy, sxx - syy)
+    u, v = F.abs(F.cos(turn) * dx + F.sin(turn) * dy), F.abs(-F.sin(turn) * dx + F.cos(turn) * dy)
+    a, b = F.sqrt(F.greatest(mean + half, F.lit(0.0))), F.sqrt(F.greatest(mean - half, F.lit(0.0)))
+    return pinball(u, a, quantile) + pinball(v, b, quantile)

@@ -93,3 +93,11 @@ def by_edges(df: DataFrame, edges: Sequence[float], column: str, out: str) -> Da
         lower = (F.col(column) >= edges[i]) if i == 0 else (F.col(column) > edges[i])
         code = F.when(lower & (F.col(column) <= edges[i + 1]), i).otherwise(code)
     return df.withColumn(out, code)
+
+
+def aligned_predictions(model: DataFrame, real: DataFrame, base: DataFrame, keys: Sequence[str] = ("id", "time_idx")) -> DataFrame:
+    """Rows that model and reality share, columns of reality and of the baseline suffixed, with the baseline where it has the key."""
+    def named(d, suffix):
+        return d.select(*keys, *[F.col(c).alias(f"{c}_{suffix}") for c in d.columns if c not in keys])
+
+    return model.join(named(real, "real"), list(keys)).join(named(base, "base"), list(keys), "left")

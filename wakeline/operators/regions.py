@@ -25,10 +25,11 @@ def quantile_arrays(x: DataFrame, y: DataFrame, keys: Sequence[str]) -> DataFram
 def evaluate(rows: DataFrame, keys: Sequence[str], confidences: Sequence[float] = scores.CONFIDENCES, kind: str = "hull", rho: float = 0.0, samples: int = 100000) -> DataFrame:
     """area (km2), covered and, for hulls, the ring of every key and confidence.
 
-    Rows hold levels, qx, qy, x and y. Each row is worked on by itself in Arrow batches, so nothing is shuffled;
-    seeds come from the keys. A level past the largest sampled one widens the region by what is missing.
+    Rows hold levels, qx, qy, x and y. Each row is worked on by itself in Arrow batches, and only rows are shuffled. The
+    densest part is that of `samples` points of equal mass. A level past the largest sampled one widens the region by what is missing.
     """
-    own = rows.select(*keys, "levels", "qx", "qy", "x", "y")
+    # A row is work of some milliseconds and a few hundred bytes, so rows are dealt out whatever their size.
+    own = rows.select(*keys, "levels", "qx", "qy", "x", "y").repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys)
     names = [*keys, "confidence", "area", "covered", "ring"]
 
     def work(frames):
@@ -36,11 +37,10 @@ def evaluate(rows: DataFrame, keys: Sequence[str], confidences: Sequence[float]
             out = []
             for row in f.itertuples(index=False):
                 key = row[: len(keys)]
-                seed = abs(hash(tuple(int(k) if isinstance(k, int | np.integer) else sum(map(ord, str(k))) for k in key))) % 2**32
                 dist = D.Bivariate(np.asarray(row.qx), np.asarray(row.qy), np.asarray(row.levels), rho)
                 point = np.array([[row.x, row.y]], float)
                 tops = [min(c, 0.99) for c in confidences]
-                rings = dist.hulls(tops, samples, seed) if kind == "hull" else tops
+                rings = dist.hulls(tops, samples) if kind == "hull" else tops
                 for c, top, ring in zip(confidences, tops, rings):
                     if kind == "hull":
                         centre = ring.mean(0)
@@ -48,7 +48,7 @@ def evaluate(rows: DataFrame, keys: Sequence[str], confidences: Sequence[float]
                         area, hit = D.area_on_sphere(ring), bool(D.inside_ring(point, ring)[0])
                         vertices = [{"x": float(a), "y": float(b)} for a, b in ring]
                     else:
-                        area, hit, vertices = dist.contour_area(c, 60, samples, seed), bool(dist.pdf(point)[0] >= dist.level(c, samples, seed)), []
+                        area, hit, vertices = dist.contour_area(c, 60, samples), bool(dist.pdf(point)[0] >= dist.level(c, samples)), []
                     out.append([*key, float(c), area, int(hit), vertices])
             yield pd.DataFrame(out, columns=names)
 

@@ -176,3 +176,22 @@ def variable_response(df: DataFrame, variables: Sequence[str], actual: str, pred
     code = lambda v: F.greatest(F.lit(-p), F.least(F.lit(p), F.round(F.try_divide(F.col(v) * p, F.col(f"_sd_{v}"))))).cast("int") + p
     flat = own.select(actual, predicted, F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), code(v).alias("bin")) for v in variables])).alias("s"))
     return flat.groupBy("s.variable", "s.bin").agg(F.avg(actual).alias("actual"), F.avg(predicted).alias("predicted"), F.count("*").alias("n"))
+
+
+def learning_curve(scores: DataFrame, value: str, size: str = "n_deleted", seed: str = "seed") -> DataFrame:
+    """Mean over seeds of each cohort size's macro mean, with its normal interval and the seeds' range.
+
+    A seed's score is the mean over animals of each animal's mean.
+    """
+    animals = scores.groupBy(size, seed, "id").agg(F.avg(value).alias("_v"))
+    seeds = animals.groupBy(size, seed).agg(F.avg("_v").alias("_v"))
+    half = 1.959963984540054 * F.stddev_samp("_v") / F.sqrt(F.count("*"))
+    return seeds.groupBy(size).agg(F.avg("_v").alias("mean"), (F.avg("_v") - half).alias("lo"), (F.avg("_v") + half).alias("hi"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.count("*").alias("seeds"))
+
+
+def summary_table(scores: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("model",), unit: str = "id") -> DataFrame:
+    """model, metric, mean, lo and hi: every metric averaged by unit, then over units with a normal interval."""
+    per = scores.groupBy(*keys, unit).agg(*[F.avg(m).alias(m) for m in metrics])
+    long = per.unpivot([*keys, unit], list(metrics), "metric", "_v")
+    half = 1.959963984540054 * F.stddev_samp("_v") / F.sqrt(F.count("_v"))
+    return long.groupBy(*keys, "metric").agg(F.avg("_v").alias("mean"), (F.avg("_v") - half).alias("lo"), (F.avg("_v") + half).alias("hi"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wakeline.operators.tracks import nearest_before
+
 
 def correlations(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Pearson r of every pair of columns and the rows both have, all in one aggregate."""
@@ -50,12 +52,24 @@ def normal_cdf(z):
     return F.when(z >= 0, 1 - upper).otherwise(upper)
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p") -> DataFrame:
-    """p_adjusted: least over higher ranks of p n / rank; a row for each test, so one sorted pass."""
-    n = F.count("*").over(Window.partitionBy())
-    ranked = df.withColumn("_k", F.row_number().over(Window.orderBy(p))).withColumn("_q", F.col(p) * n / F.col("_k"))
-    least = F.min("_q").over(Window.orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("p_adjusted", F.least(F.lit(1.0), least)).drop("_k", "_q")
+def benjamini_hochberg(df: DataFrame, p: str = "p", ranges: int = 512) -> DataFrame:
+    """p_adjusted: least over higher ranks of p n / rank.
+
+    Tests are first counted by distinct p, equal ones share their highest rank; values fall into ranges by approximate
+    quantiles, which are ranked side by side, and only a row for each range passes through one task.
+    """
+    each = df.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c")).where("_p is not null")
+    cuts = each.agg(F.percentile_approx("_p", F.array(*[F.lit(i / ranges) for i in range(1, ranges)])).alias("_cuts"), F.sum("_c").alias("_n"))
+    own = each.join(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda e: F.col("_p") > e)))  # one row
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = own.groupBy("_b").agg(F.sum("_c").alias("_size")).withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    rank = F.sum("_c").over(Window.partitionBy("_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    ranked = own.join(F.broadcast(sizes.select("_b", "_before")), "_b").withColumn("_q", F.col("_p") * F.col("_n") / rank)  # `ranges` rows
+    above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    least = ranked.groupBy("_b").agg(F.min("_q").alias("_m")).withColumn("_above", F.coalesce(F.min("_m").over(above), F.lit(1.0)))
+    inside = F.min("_q").over(Window.partitionBy("_b").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0))
+    adjusted = ranked.join(F.broadcast(least.select("_b", "_above")), "_b").select("_p", F.least(F.lit(1.0), inside, "_above").alias("p_adjusted"))  # `ranges` rows
+    return df.join(adjusted, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def significance(df: DataFrame, level: float = 0.05) -> DataFrame:
@@ -84,11 +98,11 @@ def heatmap(df: DataFrame, x: str, y: str, value: str, edges_x: tuple[float, flo
 
 def rolling_correlation(df: DataFrame, x: str, y: str, half: int, ident: str = "id", order: str = "time_idx") -> DataFrame:
     """Centred rolling r over 2 half + 1 rows; the edges take the nearest full value, short tracks zero."""
-    w = Window.partitionBy(ident).orderBy(order)
+    w, down = Window.partitionBy(ident).orderBy(order), Window.partitionBy(ident).orderBy(F.desc(order))
     frame = w.rowsBetween(-half, half)
     full = F.when(F.count("*").over(frame) == 2 * half + 1, F.corr(x, y).over(frame))
     out = df.withColumns({"_r": full, "_n": F.count("*").over(Window.partitionBy(ident))})
-    near = F.coalesce("_r", F.first("_r", True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    near = F.coalesce("_r", nearest_before(F.col("_r"), down), nearest_before(F.col("_r"), w))
     return out.withColumn("rho", F.when(F.col("_n") < 2 * half, 0.0).otherwise(near)).drop("_r", "_n")
 
 
@@ -108,35 +122,79 @@ def fill_infinite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select([F.when(F.col(c) == inf, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def bootstrap(df: DataFrame, value: str, group: Sequence[str], unit: str, R: int = 1000, alpha: float = 0.05, seed: int = 0, statistic: Callable[[np.ndarray], np.ndarray] | None = None, method: str = "bca") -> DataFrame:
-    """(group, mean, lo, hi) of the mean over units, whole units resampled.
+def bootstrap(df: DataFrame, value: str, group: Sequence[str], unit: str, R: int = 100_000, alpha: float = 0.05, seed: int = 0, method: str = "bca") -> DataFrame:
+    """(group, mean, lo, hi, units) of the mean over units, whole units resampled.
 
-    Units are reduced to one value each before the shuffle; a task then resamples one group's unit
-    values with a seed of its own. `statistic` maps rows of resampled values to numbers.
+    Units are reduced to one value each; then every unit enters each of R replicates with a Poisson weight of mean one,
+    drawn from a hash of unit and replicate, so weighted sums add up over tasks and no task sees a group's units.
+    The bias of `bca` comes from the replicates, its acceleration from the skewness of all units, as leaving one
+    out has for a mean.
     """
+    n_tasks = df.sparkSession.sparkContext.defaultParallelism
     per = df.groupBy(*group, unit).agg(F.avg(value).alias("_v")).where("_v is not null")
-    of = statistic or (lambda a: a.mean(-1))
+    coded = per.select(*group, "_v", F.xxhash64(*group, unit, F.lit(seed)).alias("_h")).repartition(n_tasks, "_h")
+    kinds = [f"{g} {per.schema[g].dataType.simpleString()}" for g in group]
+    poisson = np.searchsorted(np.cumsum(np.exp(-1.0) / np.cumprod([1, *range(1, 9)])), (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)
+
+    def weights(h: np.ndarray, at: int) -> np.ndarray:
+        """Weights of units in replicates 4 at to 4 at + 4: a hash for every four, of 16 bits each."""
+        x = h[:, None] + (np.arange(at, at + 1024, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return poisson[(x ^ (x >> np.uint64(31))).view(np.uint16)]
+
+    def sums(frames):
+        held: dict[tuple, np.ndarray] = {}
+        for f in frames:
+            for key, own in f.groupby(list(group), dropna=False, sort=False):
+                key = tuple(None if k != k else k for k in key)
+                total = held.setdefault(key, np.zeros((2, -(-R // 4096) * 4096)))
+                for lo in range(0, len(own), 512):
+                    h, v = own["_h"].to_numpy()[lo : lo + 512].view(np.uint64), own["_v"].to_numpy()[lo : lo + 512]
+                    two = np.stack([v, np.ones(len(v))])
+                    for at in range(0, total.shape[1], 4096):
+                        total[:, at : at + 4096] += two @ weights(h, at // 4)
+            if len(held) > 64:
+                yield from packed(held)
+                held = {}
+        yield from packed(held)
+
+    def packed(held):
+        for key, total in held.items():
+            yield pd.DataFrame({**{g: [k] * R for g, k in zip(group, key)}, "_r": np.arange(R), "_s": total[0, :R], "_w": total[1, :R]})[[*group, "_r", "_s", "_w"]]
+
+    drawn = coded.mapInPandas(sums, ", ".join([*kinds, "_r int, _s double, _w double"]))
+    drawn = drawn.groupBy(*group, "_r").agg(F.try_divide(F.sum("_s"), F.sum("_w")).alias("_m"))
+    moments = per.groupBy(*group).agg(F.avg("_v").alias("mean"), F.skewness("_v").alias("_skew"), F.count("*").alias("units"))
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    named = moments.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "mean", "_skew", "units")
+    # A group is R replicates here, however many units it has.
+    replicates = drawn.groupBy(*group).agg(F.array_sort(F.collect_list("_m")).alias("_all"))
+    joined = replicates.join(named, _all(same))
     norm = NormalDist()
 
-    def interval(rows: pd.DataFrame) -> pd.DataFrame:
-        v = rows.sort_values(unit)["_v"].to_numpy(float)
-        key = [rows[g].iloc[0] for g in group]
-        rng = np.random.default_rng([seed, len(v), *np.frombuffer(repr(key).encode()[:32].ljust(32), np.uint32)])
-        point = float(of(v[None])[0])
-        draws = np.concatenate([of(v[rng.integers(0, len(v), (min(200, R - at), len(v)))]) for at in range(0, R, 200)])
-        q = np.array([alpha / 2, 1 - alpha / 2])
-        if method == "bca" and len(v) > 2 and draws.std() > 0:
-            share = np.clip((draws < point).mean() + (draws == point).mean() / 2, 1 / R, 1 - 1 / R)
-            z0 = norm.inv_cdf(share)
-            left = np.array([of(np.delete(v, i)[None])[0] for i in range(min(len(v), 2000))])
-            d = left.mean() - left
-            a = (d**3).sum() / (6 * max((d**2).sum(), 1e-300) ** 1.5)
-            q = np.array([norm.cdf(z0 + (z0 + norm.inv_cdf(p)) / (1 - a * (z0 + norm.inv_cdf(p)))) for p in q])
-        lo, hi = np.quantile(draws, q)
-        return pd.DataFrame([[*key, point, lo, hi, len(v)]], columns=[*group, "mean", "lo", "hi", "units"])
-
-    kinds = ", ".join(f"{g} {per.schema[g].dataType.simpleString()}" for g in group)
-    return per.groupBy(*group).applyInPandas(interval, f"{kinds}, mean double, lo double, hi double, units long")
+    def interval(frames):
+        for f in frames:
+            out = []
+            for row in f.to_dict("records"):
+                draws, q = np.asarray(row["_all"], float), np.array([alpha / 2, 1 - alpha / 2])
+                if method == "bca" and row["units"] > 2 and draws.std() > 0:
+                    share = (draws < row["mean"]).mean() + (draws == row["mean"]).mean() / 2
+                    z0 = norm.inv_cdf(float(np.clip(share, 1 / R, 1 - 1 / R)))
+                    a = row["_skew"] / (6 * np.sqrt(row["units"])) if row["_skew"] == row["_skew"] and row["_skew"] is not None else 0.0
+                    q = np.array([norm.cdf(z0 + (z0 + norm.inv_cdf(p)) / (1 - a * (z0 + norm.inv_cdf(p)))) for p in q])
+                lo, hi = np.quantile(draws, q) if len(draws) else (np.nan, np.nan)
+                out.append([*[row[g] for g in group], row["mean"], lo, hi, row["units"]])
+            yield pd.DataFrame(out, columns=[*group, "mean", "lo", "hi", "units"])
+
+    return joined.select(*group, "mean", "_skew", "units", "_all").mapInPandas(interval, ", ".join([*kinds, "mean double, lo double, hi double, units long"]))
+
+
+def _all(conditions: Sequence[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
 
 
 def kernel_density(df: DataFrame, x: str, points: Sequence[float], bandwidth: float, resolution: float = 0.05) -> DataFrame:
@@ -207,9 +265,16 @@ def select_features(df: DataFrame, features: Sequence[str], target: str, most: i
     return chosen
 
 
-def folds(df: DataFrame, target: str, key: str, k: int = 5, bins: int = 10, seed: int = 0) -> DataFrame:
-    """`fold`: rows dealt over k folds within equal-frequency bins of the target."""
-    cuts = df.agg(F.percentile_approx(target, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_c"))
-    coded = df.join(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_c", lambda e: F.col(target) > e)))
-    w = Window.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(seed)), key)
-    return coded.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int")).drop("_c", "_b")
+def folds(df: DataFrame, target: str, key: str, k: int = 5, bins: int = 10, seed: int = 0, buckets: int = 256) -> DataFrame:
+    """`fold`: rows dealt over k folds within equal-frequency bins of the target.
+
+    A bin is numbered in hash buckets side by side, each from where the ones before it end.
+    """
+    cuts = df.agg(F.percentile_approx(target, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_cuts"))
+    mixed = F.xxhash64(key, F.lit(seed))
+    coded = df.join(F.broadcast(cuts)).withColumns({"_bin": F.size(F.filter("_cuts", lambda e: F.col(target) > e)), "_part": F.pmod(mixed, F.lit(buckets))}).drop("_cuts")  # one row
+    before = Window.partitionBy("_bin").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = coded.groupBy("_bin", "_part").agg(F.count("*").alias("_n")).select("_bin", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("_bin", "_part").orderBy(mixed, key)
+    numbered = coded.join(F.broadcast(sizes), ["_bin", "_part"]).withColumn("fold", ((F.row_number().over(w) - 1 + F.col("_before")) % k).cast("int"))  # bins x buckets rows
+    return numbered.select(*df.columns, "fold")

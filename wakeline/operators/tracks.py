@@ -16,6 +16,12 @@ def along(ident: str = "id", order: str = "ts"):
     return Window.partitionBy(ident).orderBy(order)
 
 
+def nearest_before(value: Column, window, upto: int = 0) -> Column:
+    """The last value there is so far in a window's order. What lies ahead is sought in the descending order: a frame
+    that runs to the end would be gone through again for every row."""
+    return F.last(value, True).over(window.rowsBetween(Window.unboundedPreceding, upto))
+
+
 def with_steps(fixes: DataFrame) -> DataFrame:
     """dt in days and step in km from the fix before; null on a track's first fix."""
     w = along()
@@ -32,9 +38,7 @@ def replace_zero_dt(steps: DataFrame, by: str = "mean", threshold: float = 1e-8,
     if by == "mean":
         other = F.avg(good).over(every)
     else:
-        w = along()
-        back = F.last(good, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        ahead = F.first(good, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        back, ahead = nearest_before(good, along(), -1), nearest_before(good, Window.partitionBy("id").orderBy(F.desc("ts")), -1)
         other = F.when(back.isNull() | ahead.isNull(), F.coalesce(back, ahead)).otherwise((back + ahead) / 2)
     return steps.withColumn("dt", F.when(F.col("dt").isNull() | (F.col("dt") >= threshold), F.col("dt")).otherwise(F.coalesce(other, F.lit(fallback))))
 
@@ -83,8 +87,8 @@ def densify(binned: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def fill_both_ways(df: DataFrame, columns: Sequence[str], ident: Sequence[str] = ("id",), order: str = "time_idx") -> DataFrame:
     """Nulls take the value before them, or else the one after."""
-    w = Window.partitionBy(*ident).orderBy(order)
-    fill = lambda c: F.coalesce(F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(c, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    up, down = Window.partitionBy(*ident).orderBy(order), Window.partitionBy(*ident).orderBy(F.desc(order))
+    fill = lambda c: F.coalesce(nearest_before(F.col(c), up), nearest_before(F.col(c), down))
     return df.select([fill(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
@@ -323,3 +327,31 @@ def geodesics(pairs: DataFrame, steps: int) -> DataFrame:
     out = pairs.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     lat, lon = spatial.straight_point(F.radians("lat1"), F.radians("lon1"), F.radians("lat2"), F.radians("lon2"), F.col("step") / (steps + 1))
     return out.withColumns({"lat": F.degrees(lat), "lon": F.degrees(lon)})
+
+
+def local_steps(fixes: DataFrame) -> DataFrame:
+    """south_north and west_east of the next fix in each fix's frame, radians; null on a track's last one (P20)."""
+    w = along()
+    lat, lon = F.radians("lat"), F.radians("lon")
+    ahead = fixes.withColumns({"_lat": F.lead(lat).over(w), "_lon": F.lead(lon).over(w)})
+    sn, we = spatial.log_map_from(lat, lon, F.col("_lat"), F.col("_lon"))
+    there = F.col("_lat").isNotNull()  # the map clamps, which takes a null for a number
+    return ahead.withColumns({"south_north": F.when(there, sn), "west_east": F.when(there, we)}).drop("_lat", "_lon")
+
+
+def leap_segments(fixes: DataFrame, compat: bool = False) -> DataFrame:
+    """`leap`: whether a fix's year is a leap year; `compat` gives each later year of a track the flag of the one before."""
+    year = F.year("ts")
+    leap = spatial.is_leap(year)
+    if not compat:
+        return fixes.withColumn("leap", leap)
+    years = fixes.select("id", year.alias("_y")).distinct()
+    before = F.coalesce(F.lag("_y").over(Window.partitionBy("id").orderBy("_y")), F.col("_y"))
+    return fixes.withColumn("_y", year).join(years.select("id", "_y", spatial.is_leap(before).alias("leap")), ["id", "_y"]).drop("_y")
+
+
+def sampling_step(fixes: DataFrame, unit_minutes: int = 60) -> DataFrame:
+    """`dt_mode`: the commonest step of each track in whole units, the least of equals."""
+    dt = F.round(calendar.days_between(F.lag("ts").over(along()), F.col("ts")) * (1440 / unit_minutes)).cast("int")
+    n = fixes.select("id", dt.alias("dt")).where("dt is not null").groupBy("id", "dt").agg(F.count("*").alias("n"))
+    return n.groupBy("id").agg(F.max(F.struct("n", (-F.col("dt")).alias("d"))).alias("m")).select("id", (-F.col("m.d")).alias("dt_mode"))

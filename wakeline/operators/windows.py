@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.operators.tracks import along, densify, starts
+from wakeline.functions import spatial
+from wakeline.operators.tracks import along, densify, nearest_before, starts
 
 
 def forecast_index(binned: DataFrame, encoder: int, decoder: int, mode: str = "default", shift: int | None = None, compat: bool = False) -> DataFrame:
@@ -28,12 +29,12 @@ def with_gaps(index: DataFrame, binned: DataFrame) -> DataFrame:
 
     The two boundaries meet the track in one merged, ordered pass; no pairs of window and row are formed.
     """
-    w = Window.partitionBy("id").orderBy("t", "kind")
+    up, down = Window.partitionBy("id").orderBy("t", "kind"), Window.partitionBy("id").orderBy(F.desc("t"), F.desc("kind"))
     marks = index.select("id", "start", F.explode(F.array(F.struct(F.col("encoder_end").alias("t"), F.lit("d").alias("which")), F.struct(F.col("decoder_end").alias("t"), F.lit("f").alias("which")))).alias("m"))
     marks = marks.select("id", "start", F.col("m.t").alias("t"), F.col("m.which").alias("which"), F.lit(1).alias("kind"))
     rows = binned.select("id", F.lit(None).cast("int").alias("start"), F.col("time_idx").alias("t"), F.lit(None).cast("string").alias("which"), F.lit(0).alias("kind"))
     seen = F.when(F.col("kind") == 0, F.col("t"))
-    both = marks.unionByName(rows).withColumns({"_before": F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.first(seen, True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    both = marks.unionByName(rows).withColumns({"_before": nearest_before(seen, up), "_after": nearest_before(seen, down, -1)})
     gap = F.coalesce(F.col("_after") - F.col("_before") - 1, F.lit(-1))
     pick = lambda k: F.max(F.when(F.col("which") == k, gap))
     gaps = both.where("kind = 1").groupBy("id", "start").agg(pick("d").alias("decoder_gap"), pick("f").alias("future_gap"))
@@ -135,9 +136,8 @@ def stitch(binned: DataFrame, imputed: DataFrame, columns: Sequence[str]) -> Dat
     return grid.join(own, ["id", "time_idx"], "left").select("id", "time_idx", *[fill(c) for c in columns], "missing")
 
 
-def attention_mask(predict: int, attend: int, causal: bool = True):
+def attention_mask(causal: bool = True):
     """Predicate on (predict_step, attend_step, padded, missing): may not be attended."""
-    del predict, attend
     mask = F.col("padded") | F.col("missing")
     return mask | (F.col("attend_step") >= F.col("predict_step")) if causal else mask
 
@@ -158,3 +158,41 @@ def resample(values, size: int) -> list:
         k = min(int(at), n - 2) if n > 1 else 0
         out.append(values[k] if n == 1 else values[k] + (values[k + 1] - values[k]) * (at - k))
     return out
+
+
+def gap_distances(points: DataFrame, after: str = "decoder") -> DataFrame:
+    """gap and mean_gap in radians of every window: from the last encoder position to the first one of the role `after`,
+    and between the mean positions of both (F12, F13); positions are lat and lon in degrees."""
+    def of(role, f, *args):
+        return {f"_{c}_{role}_{f.__name__}": f(F.when(F.col("role") == role, F.radians(c)), *args) for c in ("lat", "lon")}
+
+    step = F.col("step")
+    own = points.where(F.col("role").isin("encoder", after))
+    last = {k: F.max_by(F.radians(c), F.when(F.col("role") == "encoder", step)).alias(k) for c, k in (("lat", "_a"), ("lon", "_b"))}
+    first = {k: F.min_by(F.radians(c), F.when(F.col("role") == after, step)).alias(k) for c, k in (("lat", "_c"), ("lon", "_d"))}
+    means = [v.alias(k) for role in ("encoder", after) for k, v in of(role, F.avg).items()]
+    wide = own.groupBy("id", "start").agg(*last.values(), *first.values(), *means)
+    far = lambda a, b, c, d: spatial.great_circle(F.col(a), F.col(b), F.col(c), F.col(d))
+    return wide.select("id", "start", far("_a", "_b", "_c", "_d").alias("gap"), far("_lat_encoder_avg", "_lon_encoder_avg", f"_lat_{after}_avg", f"_lon_{after}_avg").alias("mean_gap"))
+
+
+def window_table(points: DataFrame, value: str) -> DataFrame:
+    """One row a window: shape of the encoder, share of missing steps, gap distances and errors of the last value."""
+    w = Window.partitionBy("id", "start").orderBy("time_idx")
+    encoder, decoder = F.col("role") == "encoder", F.col("role") == "decoder"
+    last = F.last(F.when(encoder, F.col(value)), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    own = points.withColumns({"_move": F.col(value) - F.lag(value).over(w), "_error": F.abs(F.col(value) - last)})
+    out = own.groupBy("id", "start").agg(
+        (F.max_by(value, F.when(encoder, F.col("step"))) - F.min_by(value, F.when(encoder, F.col("step")))).alias("net"), F.sum(F.when(encoder, F.abs("_move"))).alias("path"),
+        F.avg(F.when(encoder, F.col("missing").cast("int"))).alias("missing"), F.avg(F.when(decoder, F.col("_error"))).alias("mae"), F.max(F.when(decoder, F.col("_error"))).alias("worst"),
+    )
+    return out.join(gap_distances(points), ["id", "start"])
+
+
+def last_admissible(index: DataFrame, latest: int | None = None) -> DataFrame:
+    """The last start of each track whose gaps are admissible, sought backwards from `latest`; null where there is none.
+
+    `index` holds every start with an `admissible` flag.
+    """
+    good = F.col("admissible") if latest is None else F.col("admissible") & (F.col("start") <= latest)
+    return index.groupBy("id").agg(F.max(F.when(good, F.col("start"))).alias("start"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import calendar, naming, scores, spatial
 from wakeline.operators import binning, joins, regions, reshape, scoring, stats, tracks, windows
-from wakeline.sources import tables
+from wakeline.sources import datasets, tables
 from wakeline.sources.fixtures import binned, fixes, meta, predictions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -483,7 +483,18 @@ def obs_type(spark, d):
     return fixes(spark, d).select("event_id", tracks.observation_type(lc, a, a, a, s, s).alias("kind"))
 
 
-@query()
+@query("fixes", f""", o AS (SELECT *, true AS keep FROM fixes),
+    pw AS (SELECT *, radians(lat) AS a, radians(lon) AS b, lag(radians(lat)) OVER z AS a0, lag(radians(lon)) OVER z AS b0, lead(radians(lat)) OVER z AS a1, lead(radians(lon)) OVER z AS b1,
+      abs(epoch_us(ts) - epoch_us(lag(ts) OVER z)) / 3.6e9 AS h0, abs(epoch_us(lead(ts) OVER z) - epoch_us(ts)) / 3.6e9 AS h1 FROM o WINDOW z AS (PARTITION BY id, keep ORDER BY ts)),
+    pd AS (SELECT *, {gcd('a', 'b', 'a0', 'b0')} * {RADIUS} AS s0, {gcd('a', 'b', 'a1', 'b1')} * {RADIUS} AS s1, {gcd('a0', 'b0', 'a1', 'b1')} * {RADIUS} AS s2 FROM pw),
+    pe AS (SELECT *, degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (s0 * s0 + s1 * s1 - s2 * s2) / nullif(2 * s0 * s1, 0))))) AS angle FROM pd),
+    p AS (SELECT id, ts, event_id, lat, lon, keep AND NOT coalesce((s0 / nullif(h0, 0) > 2000 AND s1 / nullif(h1, 0) > 2000) OR (angle < 15 AND least(s0, s1) > 2.5) OR (angle < 25 AND least(s0, s1) > 5), false) AS keep FROM pe),
+    qw AS (SELECT *, radians(lat) AS a, radians(lon) AS b, lag(radians(lat)) OVER z AS a0, lag(radians(lon)) OVER z AS b0, lead(radians(lat)) OVER z AS a1, lead(radians(lon)) OVER z AS b1,
+      abs(epoch_us(ts) - epoch_us(lag(ts) OVER z)) / 3.6e9 AS h0, abs(epoch_us(lead(ts) OVER z) - epoch_us(ts)) / 3.6e9 AS h1 FROM p WINDOW z AS (PARTITION BY id, keep ORDER BY ts)),
+    qd AS (SELECT *, {gcd('a', 'b', 'a0', 'b0')} * {RADIUS} AS s0, {gcd('a', 'b', 'a1', 'b1')} * {RADIUS} AS s1, {gcd('a0', 'b0', 'a1', 'b1')} * {RADIUS} AS s2 FROM qw),
+    qe AS (SELECT *, degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (s0 * s0 + s1 * s1 - s2 * s2) / nullif(2 * s0 * s1, 0))))) AS angle FROM qd),
+    q AS (SELECT id, ts, event_id, lat, lon, keep AND NOT coalesce((s0 / nullif(h0, 0) > 2000 AND s1 / nullif(h1, 0) > 2000) OR (angle < 15 AND least(s0, s1) > 2.5) OR (angle < 25 AND least(s0, s1) > 5), false) AS keep FROM qe)
+    SELECT event_id, keep FROM q""")
 def speed_outliers(spark, d):
     """The sequential filter in passes."""
     return tracks.speed_outliers(fixes(spark, d), v_max=2000.0, passes=2).select("event_id", "keep")
@@ -952,11 +963,149 @@ def formatted_interval(spark, d):
     return own.select("id", naming.with_interval(F.round("m", 2), F.round(F.col("m") - 1, 2), F.round(F.col("m") + 1, 2)).alias("label"))
 
 
+# Compositions and their parts.
+def _window_points(spark, d, columns):
+    b = binned(spark, d)
+    return windows.window_points(windows.forecast_index(b, E_, D_), b, columns, E_, D_)
+
+
+@query("dense", INDEX + f""", p AS (SELECT idx.id, start, d.time_idx - start AS s, d.value, radians(b.lat) AS lat, radians(b.lon) AS lon, CAST(d.time_idx <> d.src AS INT) AS miss, d.value - lag(d.value) OVER (PARTITION BY idx.id, start ORDER BY d.time_idx) AS move
+      FROM idx JOIN dense d ON d.id = idx.id AND d.time_idx BETWEEN start AND start + {E_ + D_ - 1} JOIN binned b ON b.id = d.id AND b.time_idx = d.src),
+    e AS (SELECT id, start, max(value) FILTER (WHERE s = 0) AS v0, max(value) FILTER (WHERE s = {E_ - 1}) AS v1, sum(abs(move)) FILTER (WHERE s < {E_}) AS path, avg(miss) FILTER (WHERE s < {E_}) AS missing,
+      max(lat) FILTER (WHERE s = {E_ - 1}) AS a, max(lon) FILTER (WHERE s = {E_ - 1}) AS b, max(lat) FILTER (WHERE s = {E_}) AS c, max(lon) FILTER (WHERE s = {E_}) AS d,
+      avg(lat) FILTER (WHERE s < {E_}) AS ma, avg(lon) FILTER (WHERE s < {E_}) AS mb, avg(lat) FILTER (WHERE s >= {E_}) AS mc, avg(lon) FILTER (WHERE s >= {E_}) AS md FROM p GROUP BY ALL),
+    f AS (SELECT p.id, p.start, avg(abs(value - v1)) AS mae, max(abs(value - v1)) AS worst FROM p JOIN e USING (id, start) WHERE s >= {E_} GROUP BY ALL)
+    SELECT id, start, round(v1 - v0, 6) + 0.0 AS net, round(path, 4) + 0.0 AS path, round(missing, 9) AS missing, round(mae, 6) AS mae, round(worst, 6) AS worst,
+      round({gcd('a', 'b', 'c', 'd')}, 6) AS gap, round({gcd('ma', 'mb', 'mc', 'md')}, 6) AS mean_gap FROM e JOIN f USING (id, start)""")
+def window_table(spark, d):
+    """D38, F12, F13."""
+    t = windows.window_table(_window_points(spark, d, ["value", "lat", "lon"]), "value")
+    return t.select("id", "start", r("net").alias("net"), r("path", 4).alias("path"), F.round("missing", 9).alias("missing"), F.round("mae", 6).alias("mae"), F.round("worst", 6).alias("worst"), F.round("gap", 6).alias("gap"), F.round("mean_gap", 6).alias("mean_gap"))
+
+
+@query("centred", """, base AS (SELECT id, time_idx, lag(value, 3) OVER (PARTITION BY id ORDER BY time_idx) AS value FROM binned)
+    SELECT c.id, c.time_idx, c.centre AS value, b.value AS value_real, base.value AS value_base FROM centred c JOIN binned b USING (id, time_idx) LEFT JOIN (SELECT * FROM base WHERE value IS NOT NULL) base USING (id, time_idx) WHERE c.centre IS NOT NULL""")
+def aligned_predictions(spark, d):
+    """S6."""
+    b, w = binned(spark, d).select("id", "time_idx", "value"), tracks.along(order="time_idx")
+    lagged = lambda k: b.withColumn("value", F.lag("value", k).over(w)).where("value is not null")
+    return joins.aligned_predictions(lagged(1), b, lagged(3))
+
+
+GAPS = INDEX + f""", ends AS (SELECT id, start, start + {E_ - 1} AS e, start + {E_ + D_ - 1} AS f FROM idx),
+  g AS (SELECT n.id, n.start, (SELECT min(time_idx) FROM binned b WHERE b.id = n.id AND b.time_idx > n.e) - (SELECT max(time_idx) FROM binned b WHERE b.id = n.id AND b.time_idx <= n.e) - 1 AS decoder_gap FROM ends n)"""
+
+
+@query("binned", GAPS + " SELECT id, max(CASE WHEN decoder_gap = 0 AND start <= 78950 THEN start END) AS start FROM g GROUP BY id")
+def last_window_start(spark, d):
+    """W9."""
+    b = binned(spark, d)
+    index = windows.with_gaps(windows.forecast_index(b, E_, D_), b)
+    return windows.last_admissible(index.withColumn("admissible", F.col("decoder_gap") == 0), 78950)
+
+
+@query("fixes", """, s AS (SELECT (event_id % 3) * 10 AS n_deleted, event_id % 5 AS seed, id, avg(value) AS v FROM fixes GROUP BY ALL), m AS (SELECT n_deleted, seed, avg(v) AS v FROM s GROUP BY ALL)
+    SELECT n_deleted, round(avg(v), 6) AS mean, round(avg(v) - 1.959963984540054::DOUBLE * stddev_samp(v) / sqrt(count(*)), 6) AS lo, round(avg(v) + 1.959963984540054::DOUBLE * stddev_samp(v) / sqrt(count(*)), 6) AS hi, round(min(v), 6) AS least, round(max(v), 6) AS most, count(*) AS seeds FROM m GROUP BY n_deleted""")
+def learning_curve(spark, d):
+    """Cohorts and seeds by remainders of event_id."""
+    own = fixes(spark, d).withColumns({"n_deleted": (F.col("event_id") % 3) * 10, "seed": F.col("event_id") % 5})
+    return scoring.learning_curve(own, "value").select("n_deleted", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi", "least", "most")], "seeds")
+
+
+@query("scored", """, p AS (SELECT confidence, id, avg(length) AS length, avg(covered) AS covered FROM scored GROUP BY ALL), l AS (SELECT confidence, 'length' AS metric, length AS v FROM p UNION ALL SELECT confidence, 'covered', covered FROM p)
+    SELECT confidence, metric, round(avg(v), 6) AS mean, round(avg(v) - 1.959963984540054::DOUBLE * stddev_samp(v) / sqrt(count(v)), 6) + 0.0 AS lo, round(avg(v) + 1.959963984540054::DOUBLE * stddev_samp(v) / sqrt(count(v)), 6) + 0.0 AS hi FROM l GROUP BY ALL""")
+def metric_summary(spark, d):
+    """D25."""
+    own = scoring.summary_table(_scored(spark, d).withColumn("covered", F.col("covered").cast("double")), ["length", "covered"], ["confidence"])
+    return own.select("confidence", "metric", F.round("mean", 6).alias("mean"), r("lo").alias("lo"), r("hi").alias("hi"))
+
+
+def _pinball_sql(v: str, p: str, q: str) -> str:
+    return f"2 * greatest({q} * ({v} - {p}), ({q} - 1) * ({v} - {p}))"  # errors weigh twice their share
+
+
+@query("steps", f""", q(quantile) AS (VALUES (0.05::DOUBLE), (0.5), (0.95)) SELECT event_id, quantile, round({_pinball_sql('lat2', 'lat1', 'quantile')} + {_pinball_sql('lon2', 'lon1', 'quantile')} + CASE WHEN quantile = 0.5 THEN {gcd('lat2', 'lon2', 'lat1', 'lon1')} ELSE 0 END, 6) + 0.0 AS loss FROM steps, q WHERE lat1 IS NOT NULL""")
+def gcd_pinball_loss(spark, d):
+    """Q7: the fix before as prediction of every quantile."""
+    w = tracks.along()
+    own = rad(fixes(spark, d)).withColumns({"_a": F.lag("lat").over(w), "_b": F.lag("lon").over(w)}).where("_a is not null")
+    own = rad_quantiles(own)
+    loss = scores.gcd_pinball(F.col("lat"), F.col("lon"), F.col("_a"), F.col("_b"), spatial.great_circle(F.col("lat"), F.col("lon"), F.col("_a"), F.col("_b")), F.col("quantile"))
+    return own.select("event_id", "quantile", r(loss).alias("loss"))
+
+
+def rad_quantiles(df: DataFrame) -> DataFrame:
+    return df.withColumn("quantile", F.explode(F.array(*[F.lit(q) for q in (0.05, 0.5, 0.95)])))
+
+
+@query("fixes", f""", e AS (SELECT event_id, lat / 10 AS dx, lon / 30 AS dy, 1 + value / 100 AS a, 2 + k / 10 AS b, value / 1000 AS c FROM fixes),
+    f AS (SELECT *, sqrt(pow((a - b) / 2, 2) + c * c) AS half, (a + b) / 2 AS m, 0.5 * atan2(2 * c, a - b) AS t FROM e),
+    g AS (SELECT event_id, abs(cos(t) * dx + sin(t) * dy) AS u, abs(-sin(t) * dx + cos(t) * dy) AS v, sqrt(greatest(m + half, 0)) AS p, sqrt(greatest(m - half, 0)) AS q FROM f)
+    SELECT event_id, round({_pinball_sql('u', 'p', '0.9::DOUBLE')} + {_pinball_sql('v', 'q', '0.9::DOUBLE')}, 6) + 0.0 AS loss FROM g""")
+def ellipse_pinball_loss(spark, d):
+    """Q12."""
+    f = fixes(spark, d)
+    loss = scores.ellipse_pinball(F.col("lat") / 10, F.col("lon") / 30, 1 + F.col("value") / 100, 2 + F.col("k") / 10, F.col("value") / 1000, F.lit(0.9))
+    return f.select("event_id", r(loss).alias("loss"))
+
+
+@query("fixes", """, n AS (SELECT *, radians(lat) AS a, radians(lon) AS b, lead(radians(lat)) OVER w AS c, lead(radians(lon)) OVER w AS d FROM fixes WINDOW w AS (PARTITION BY id ORDER BY ts)),
+    m AS (SELECT event_id, a, c, d - b AS l, acos(least(1.0::DOUBLE, greatest(-1.0::DOUBLE, sin(a) * sin(c) + cos(a) * cos(c) * cos(d - b)))) AS far FROM n WHERE c IS NOT NULL),
+    v AS (SELECT event_id, far, -(cos(a) * sin(c) - sin(a) * cos(c) * cos(l)) AS s, cos(c) * sin(l) AS w FROM m)
+    SELECT event_id, round(far * s / sqrt(s * s + w * w), 5) + 0.0 AS south_north, round(far * w / sqrt(s * s + w * w), 5) + 0.0 AS west_east FROM v""")
+def local_steps(spark, d):
+    """P20: components along the south and the east."""
+    own = tracks.local_steps(fixes(spark, d)).where("south_north is not null")
+    return own.select("event_id", r("south_north", 5).alias("south_north"), r("west_east", 5).alias("west_east"))
+
+
+@query("fixes", "SELECT event_id, (year(ts) % 4 = 0 AND year(ts) % 100 <> 0) OR year(ts) % 400 = 0 AS leap FROM fixes")
+def leap_flags(spark, d):
+    """T2."""
+    return tracks.leap_segments(fixes(spark, d)).select("event_id", "leap")
+
+
+@query("steps", ", n AS (SELECT id, round(dt * 24)::INT AS h, count(*) AS n FROM steps WHERE dt IS NOT NULL GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, h) AS z FROM n) SELECT id, h AS dt_mode FROM k WHERE z = 1")
+def sampling_step(spark, d):
+    """D51."""
+    return tracks.sampling_step(fixes(spark, d))
+
+
+@query("fixes meta", """, a AS (SELECT f.*, species, count(*) OVER (PARTITION BY id) AS n, (max(epoch_us(ts)) OVER (PARTITION BY id) - min(epoch_us(ts)) OVER (PARTITION BY id)) / 8.64e10 AS days FROM fixes f JOIN meta USING (id)),
+    b AS (SELECT * FROM a WHERE n > 40 AND days > 5), c AS (SELECT * FROM b WHERE species IN (SELECT species FROM (SELECT DISTINCT id, species FROM b) GROUP BY species HAVING count(*) >= 3)),
+    g AS (SELECT *, CAST(coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 8.64e10, 0) > 2 AS INT) AS cut FROM c WINDOW w AS (PARTITION BY id ORDER BY ts)),
+    h AS (SELECT *, sum(cut) OVER (PARTITION BY id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS section FROM g)
+    SELECT event_id, species, CASE WHEN max(section) OVER (PARTITION BY id) > 0 THEN section::INT END AS section FROM h""")
+def all_data(spark, d):
+    """S2."""
+    return datasets.load_all(fixes(spark, d), meta(spark, d), None, 40, 5, 3, 0.0, 2.0).select("event_id", "species", "section")
+
+
+@query("steps meta", f""", own AS (SELECT s.*, {STEP} AS step, count(*) OVER (PARTITION BY id) AS n FROM steps s JOIN meta USING (id)),
+    z AS (SELECT *, avg(CASE WHEN dt >= 1e-8 THEN dt END) OVER (PARTITION BY id) AS m FROM own WHERE n > 5), y AS (SELECT * REPLACE (CASE WHEN dt IS NULL OR dt >= 1e-8 THEN dt ELSE coalesce(m, 0.11) END AS dt) FROM z),
+    f AS (SELECT id, CAST(floor(epoch(ts) / 21600) AS INT) AS time_idx, avg(lat) AS lat, avg(value) AS value, avg(dt) AS dt, avg(step / (dt * 24)) AS speed, avg({DAY_SQL}) AS t FROM y GROUP BY ALL)
+    SELECT id, time_idx, round(lat, 6) AS lat, round(value, 6) AS value, round(dt, 8) AS dt, round(speed, 3) AS speed, CASE WHEN floor(t / 31) IN (11, 0, 1) THEN 'winter' WHEN floor(t / 31) <= 4 THEN 'spring' WHEN floor(t / 31) <= 7 THEN 'summer' ELSE 'autumn' END AS season,
+      round(cos(2 * pi() * t / 366), 6) + 0.0 AS cos_t FROM f WHERE dt IS NOT NULL AND speed IS NOT NULL""")
+def feature_table(spark, d):
+    """S3."""
+    own = datasets.load_features(fixes(spark, d), meta(spark, d), ["lat", "lon", "value"])
+    return own.select("id", "time_idx", F.round("lat", 6).alias("lat"), F.round("value", 6).alias("value"), F.round("dt", 8).alias("dt"), F.round("speed", 3).alias("speed"), "season", r("cos_t").alias("cos_t"))
+
+
+@query("dense meta", f""", cut AS (SELECT floor(quantile_cont(time_idx, 0.8)) AS a, floor(quantile_cont(time_idx, 0.9)) AS b FROM binned), lastb AS (SELECT id, max(time_idx) AS last, count(*) FILTER (WHERE time_idx <= a) AS n FROM binned, cut GROUP BY id),
+    idx AS (SELECT b.id, time_idx AS start, CASE WHEN time_idx + {E_} <= cut.a THEN 'train' WHEN time_idx + {E_} <= cut.b THEN 'val' ELSE 'test' END AS split FROM binned b JOIN lastb USING (id), cut WHERE time_idx + {E_ + D_ - 1} <= last AND n >= {E_ + D_})
+    SELECT i.id, i.start, i.split, species, count(*) AS steps, round(avg(d.value), 6) AS value FROM idx i JOIN dense d ON d.id = i.id AND d.time_idx BETWEEN i.start AND i.start + {E_ + D_ - 1} LEFT JOIN meta m ON m.id = i.id GROUP BY ALL""")
+def dataset_windows(spark, d):
+    """Windows of every split, summed up."""
+    own = datasets.load_dataset(binned(spark, d), meta(spark, d), ["value"], E_, D_)
+    return own.groupBy("id", "start", "split", "species").agg(F.count("*").alias("steps"), F.round(F.avg("value"), 6).alias("value"))
+
+
 # Operators that SQL cannot express: random draws, geometry in numpy, models.
 @query()
 def bootstrap_ci(spark, d):
     """Whole tracks resampled."""
-    return stats.bootstrap(_scored(spark, d), "covered", ["confidence"], "id", R=400)
+    return stats.bootstrap(_scored(spark, d), "covered", ["confidence"], "id")
 
 
 @query()
@@ -1020,19 +1169,26 @@ def subsampled_tracks(spark, d):
     return binning.subsample(fixes(spark, d), 0.5).select("event_id", "id")
 
 
-@query()
+@query("binned", """, lastb AS (SELECT id, max(time_idx) AS last FROM binned GROUP BY id), idx AS (SELECT b.id, time_idx AS start, time_idx + 7 AS encoder_end, time_idx + 11 AS decoder_end FROM binned b JOIN lastb USING (id) WHERE time_idx + 19 <= last),
+    g AS (SELECT n.*, (SELECT min(time_idx) FROM binned b WHERE b.id = n.id AND b.time_idx > n.encoder_end) - (SELECT max(time_idx) FROM binned b WHERE b.id = n.id AND b.time_idx <= n.encoder_end) - 1 AS decoder_gap,
+      (SELECT min(time_idx) FROM binned b WHERE b.id = n.id AND b.time_idx > n.decoder_end) - (SELECT max(time_idx) FROM binned b WHERE b.id = n.id AND b.time_idx <= n.decoder_end) - 1 AS future_gap,
+      (SELECT count(*) FROM binned b WHERE b.id = n.id AND b.time_idx BETWEEN n.decoder_end + 1 AND n.decoder_end + 8)::INT AS n_future FROM idx n)
+    SELECT id, start, encoder_end, decoder_end, decoder_gap, future_gap, n_future FROM g WHERE future_gap BETWEEN 0 AND 1 AND decoder_gap = 0 AND n_future >= 1""")
 def imputation_windows(spark, d):
     """D3, D4."""
     return windows.imputation_index(binned(spark, d), 8, 4)
 
 
-@query()
+@query("fixes", """, sd AS (SELECT stddev_samp(lat) AS a, stddev_samp(lon) AS b FROM fixes), l AS (SELECT 'lat' AS variable, greatest(-10, least(10, round(lat * 10 / a)))::INT + 10 AS bin, value, k FROM fixes, sd UNION ALL SELECT 'lon', greatest(-10, least(10, round(lon * 10 / b)))::INT + 10, value, k FROM fixes, sd)
+    SELECT variable, bin, round(avg(value), 6) AS actual, round(avg(k), 6) AS predicted, count(*) AS n FROM l GROUP BY ALL""")
 def variable_response(spark, d):
     """D45."""
-    return scoring.variable_response(fixes(spark, d), ["lat", "lon"], "value", "k", 21)
+    own = scoring.variable_response(fixes(spark, d), ["lat", "lon"], "value", "k", 21)
+    return own.select("variable", "bin", F.round("actual", 6).alias("actual"), F.round("predicted", 6).alias("predicted"), "n")
 
 
-@query()
+@query("fixes", """, b AS (SELECT *, 2 * pi() * (dayofyear(ts) - 81) / 364 AS b FROM fixes)
+    SELECT event_id, round(radians((hour(ts) * 60 + minute(ts) + floor(second(ts)) / 60.0::DOUBLE + 4 * lon + 9.87::DOUBLE * sin(2 * b) - 7.53::DOUBLE * cos(b) - 1.5::DOUBLE * sin(b)) / 4 - 180), 6) + 0.0 AS hour_angle FROM b""")
 def solar_hour_angle(spark, d):
     """T9."""
-    return fixes(spark, d).select("event_id", calendar.hour_angle(F.col("ts"), F.col("lon")).alias("hour_angle"))
+    return fixes(spark, d).select("event_id", r(calendar.hour_angle(F.col("ts"), F.col("lon"))).alias("hour_angle"))
