@@ -9,7 +9,9 @@ from wakeline.llm.common import dense_rank_rows, discard, durable, maybe_broadca
 
 SHARDS = 8
 #: Rounds end when two on end admit no more than one row in this many, or as many as fewest do before STALL on end.
-FEW, STALL = 1000, 4
+FEW, STALL = 200, 4
+#: Labels that are broadcast in a round; more are joined by a shuffle.
+FEW_LABELS = 50_000
 #: Rows of a key that one task joins with the key's label; a more common key is split.
 SPLIT = 2048
 #: Buckets by hash in which rows are numbered side by side.
@@ -66,8 +68,9 @@ def propose(state: DataFrame, turn: int, keys: int, split: int = SPLIT) -> DataF
     votes = ends.groupBy("key", "shard").agg(F.count("*").alias("n"))
     label = votes.groupBy("key").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("top"), F.sum("n").alias("all")).where("all > 1")
     label = label.select("key", F.explode(F.sequence(F.lit(0), parts(F.col("all"), split) - 1)).alias("part"), (-F.col("top.s")).alias("target"), (F.col("top.n") / F.col("all")).alias("w"))
-    label = durable(label)  # so that the join deals its rows by key and part
-    weighed = ends.join(maybe_broadcast(label, keys), ["key", "part"]).groupBy("pos", "shard", "target").agg(F.sum("w").alias("w"))
+    label = F.broadcast(label) if keys <= FEW_LABELS else label.repartition("key", "part")  # else the join would deal by key alone
+    # One exchange by row serves both sums.
+    weighed = ends.join(label, ["key", "part"]).select("pos", "shard", "target", "w").repartition("pos").groupBy("pos", "shard", "target").agg(F.sum("w").alias("w"))
     own = F.sum(F.when(F.col("target") == F.col("shard"), F.col("w")).otherwise(0.0)).alias("own")
     best = weighed.groupBy("pos", "shard").agg(F.max(F.struct("w", (-F.col("target")).alias("t"))).alias("top"), own)
     best = best.select("pos", "shard", (-F.col("top.t")).alias("target"), (F.col("top.w") - F.col("own")).alias("gain"))
