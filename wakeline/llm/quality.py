@@ -67,49 +67,59 @@ def with_short(chunks: np.ndarray, doc: np.ndarray, label: np.ndarray, rng: np.r
     return np.concatenate([chunks, short]), np.concatenate([doc, len(label) + np.arange(len(label))]), np.concatenate([label, label])
 
 
-def train(chunks: np.ndarray, doc: np.ndarray, label: np.ndarray, epochs: int = 9, batch: int = 128, rate: float = 4e-3, seed: int = 11) -> dict[str, np.ndarray]:
-    """Adam on the log loss of whole documents; chunks are sorted by doc, 0 to len(label) - 1."""
+def gradients(p: dict[str, np.ndarray], raw: np.ndarray, seg: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the weighted log loss of documents, given their chunks and the document of each."""
+    half, positions, n = STRIDE * EMBED, CHUNK // STRIDE, len(raw)
+    e = p["emb"][raw].reshape(n, positions, half)
+    wide = np.concatenate([e[:, :-1], e[:, 1:]], axis=2)
+    act = (wide.reshape(-1, 2 * half) @ p["conv"]).reshape(n, positions - 1, FILTERS)
+    top = act.argmax(1)
+    z = np.take_along_axis(act, top[:, None], 1)[:, 0] + p["cb"]
+    zr = np.maximum(z, 0)
+    h = zr @ p["w1"] + p["b1"]
+    hr = np.maximum(h, 0)
+    share = (1 / np.bincount(seg)).astype(np.float32)
+    pooled = np.stack([np.bincount(seg, hr[:, j]) for j in range(HIDDEN)], 1).astype(np.float32) * share[:, None]
+    score = 1 / (1 + np.exp(-np.clip(pooled @ p["w2"] + p["b2"], -30, 30)))
+    gs = ((score - label) * weight).astype(np.float32)
+    g = {"w2": pooled.T @ gs, "b2": gs.sum(keepdims=True)}
+    gh = (gs[seg] * share[seg])[:, None] * p["w2"] * (h > 0)
+    g["w1"], g["b1"] = zr.T @ gh, gh.sum(0)
+    gz = (gh @ p["w1"].T) * (z > 0)
+    g["cb"] = gz.sum(0)
+    best = np.take_along_axis(wide, top[:, :, None], 1)  # n, filters, 2 * half
+    g["conv"] = np.einsum("nf,nfk->kf", gz, best, optimize=True)
+    back = gz[:, :, None] * p["conv"].T[None]  # n, filters, 2 * half
+    start = (top * STRIDE)[:, :, None] + np.arange(2 * STRIDE)
+    hit = raw[np.arange(n)[:, None, None], start].ravel()
+    flat = back.reshape(-1, EMBED)
+    g["emb"] = np.stack([np.bincount(hit, flat[:, j], 256) for j in range(EMBED)], 1).astype(np.float32)
+    return g
+
+
+def train(chunks: np.ndarray, doc: np.ndarray, label: np.ndarray, epochs: int = 9, batch: int = 128, rate: float = 4e-3, seed: int = 11, room: int = 1024) -> dict[str, np.ndarray]:
+    """Adam on the log loss of whole documents; chunks are sorted by doc, 0 to len(label) - 1.
+
+    A batch's gradients are summed over parts of about `room` chunks, so memory does not follow the length of its texts.
+    """
     p, rng = init(), np.random.default_rng(seed)
     chunks, doc, label = with_short(chunks, doc, label, rng)
     first = np.searchsorted(doc, np.arange(len(label) + 1))
+    size = np.diff(first)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     weight = np.where(label == 1, FAVOUR * 0.5 / max(label.mean(), 1e-3), 0.5 / max(1 - label.mean(), 1e-3)).astype(np.float32)
     epochs = max(epochs, -(-LEAST_STEPS * batch // len(label)))
-    step, steps, half = 0, max(1, epochs * -(-len(label) // batch)), STRIDE * EMBED
-    positions = CHUNK // STRIDE
+    step, steps = 0, max(1, epochs * -(-len(label) // batch))
     for _ in range(epochs):
         order = rng.permutation(len(label))
         for lo in range(0, len(label), batch):
             docs = order[lo : lo + batch]
-            own = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
-            seg = np.repeat(np.arange(len(docs)), first[docs + 1] - first[docs])
-            n = len(own)
-            raw = chunks[own]
-            e = p["emb"][raw].reshape(n, positions, half)
-            wide = np.concatenate([e[:, :-1], e[:, 1:]], axis=2)
-            act = wide.reshape(-1, 2 * half) @ p["conv"]
-            act = act.reshape(n, positions - 1, FILTERS)
-            top = act.argmax(1)
-            z = np.take_along_axis(act, top[:, None], 1)[:, 0] + p["cb"]
-            zr = np.maximum(z, 0)
-            h = zr @ p["w1"] + p["b1"]
-            hr = np.maximum(h, 0)
-            share = 1 / np.bincount(seg)
-            pooled = np.stack([np.bincount(seg, hr[:, j]) for j in range(HIDDEN)], 1).astype(np.float32) * share[:, None].astype(np.float32)
-            score = 1 / (1 + np.exp(-np.clip(pooled @ p["w2"] + p["b2"], -30, 30)))
-            gs = ((score - label[docs]) * weight[docs] / len(docs)).astype(np.float32)
-            g = {"w2": pooled.T @ gs, "b2": gs.sum(keepdims=True)}
-            gh = (gs[seg] * share[seg].astype(np.float32))[:, None] * p["w2"] * (h > 0)
-            g["w1"], g["b1"] = zr.T @ gh, gh.sum(0)
-            gz = (gh @ p["w1"].T) * (z > 0)
-            g["cb"] = gz.sum(0)
-            best = np.take_along_axis(wide, top[:, :, None], 1)  # n, filters, 2 * half
-            g["conv"] = np.einsum("nf,nfk->kf", gz, best, optimize=True)
-            back = gz[:, :, None] * p["conv"].T[None]  # n, filters, 2 * half
-            start = (top * STRIDE)[:, :, None] + np.arange(2 * STRIDE)
-            hit = raw[np.arange(n)[:, None, None], start].ravel()
-            flat = back.reshape(-1, EMBED)
-            g["emb"] = np.stack([np.bincount(hit, flat[:, j], 256) for j in range(EMBED)], 1).astype(np.float32)
+            g = {k: np.zeros_like(v) for k, v in p.items()}
+            part = np.cumsum(size[docs]) // room
+            for own in np.split(docs, np.flatnonzero(np.diff(part)) + 1):
+                at = np.concatenate([np.arange(first[d], first[d + 1]) for d in own])
+                for k, v in gradients(p, chunks[at], np.repeat(np.arange(len(own)), size[own]), label[own], weight[own] / len(docs)).items():
+                    g[k] += v
             step += 1
             speed = rate * (1 - 0.9 * step / steps)
             for k in p:
