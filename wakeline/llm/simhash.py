@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import components, durable
+from wakeline.llm.common import components, durable, scratch
 
 WIDTH = 3
 MAX_DIFF = 2
@@ -224,10 +224,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     other columns are ignored. All links between fingerprints are found: two errors leave one of three
     pairs of segments without an error in the first and with at most one in the second.
     """
-    rows = durable(fingerprints(docs, width))
-    classes = durable(rows.groupBy("f").agg(F.min("doc_id").alias("least")))
-    comp = components(linked(classes).distinct())
-    classes = classes.join(comp, classes["f"] == comp["node"], "left").select("f", "least", F.coalesce("component", "f").alias("root"))
-    roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = durable(classes.join(roots, "root").select("f", "component_id"))
-    return rows.join(named, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    with scratch() as keep:
+        rows = durable(fingerprints(docs, width))
+        classes = durable(rows.groupBy("f").agg(F.min("doc_id").alias("least")))
+        comp = components(linked(classes).distinct())
+        classes = classes.join(comp, classes["f"] == comp["node"], "left").select("f", "least", F.coalesce("component", "f").alias("root"))
+        roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = durable(classes.join(roots, "root").select("f", "component_id"))
+        return keep(rows.join(named, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id"))
