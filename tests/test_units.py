@@ -337,3 +337,44 @@ def test_leap_segments(spark):
     df = spark.createDataFrame([(1, f"{y}-06-01 00:00:00") for y in (2019, 2020, 2021)], "id int, t string").select("id", F.to_timestamp("t").alias("ts"))
     flags = lambda **k: [r.leap for r in tracks.leap_segments(df, **k).orderBy("ts").collect()]
     assert flags() == [False, True, False] and flags(compat=True) == [False, False, True]
+
+
+def test_rings_of_lines():
+    t = np.linspace(0, 2 * np.pi, 41)[:-1]
+    circle = np.stack([np.cos(t), np.sin(t)], 1)
+    parts = np.split(circle, [7, 11, 25, 33])
+    ring = D.ring_of_lines([parts[i] for i in (2, 0, 4, 1, 3)])
+    assert len(ring) == 41 and (ring[0] == ring[-1]).all()
+    assert np.hypot(*np.diff(ring, axis=0).T).max() == pytest.approx(2 * np.sin(np.pi / 40))
+    assert len(D.ring_of_lines([circle[:3]])) == 4
+
+
+def test_names_with_future():
+    assert naming.with_future(["sex"], ["future_season", "moon"], {"moon": ["moon_a", "moon_b"]}) == ["sex", "future_season", "moon_a", "moon_b"]
+    levels = naming.levels_with_future({"season": ["winter", None], "sex": ["f", "m"]}, ["future_season"])
+    assert levels["future_season"] == ["winter", None]
+    assert naming.may_be_missing(levels) == ["season", "future_season"]
+
+
+def test_random_lengths_follow_beta(spark):
+    index = spark.range(20000).selectExpr("id", "0 AS start", "19 AS encoder_end", "23 AS decoder_end")
+    got = windows.random_lengths(index, 20, 5, 0.5, 0.5).selectExpr("encoder_end - start + 1 AS n").groupBy("n").count().collect()
+    share = {r.n: r["count"] / 20000 for r in got}
+    want = np.diff([0, *(2 / np.pi * np.arcsin(np.sqrt((np.arange(15) + 0.5) / 15))), 1])
+    assert sum(share.values()) == pytest.approx(1) and all(share[5 + j] == pytest.approx(want[j], abs=0.012) for j in range(16))
+
+
+def test_columns_side_by_side_have_names_of_their_own(spark):
+    df = spark.range(3).withColumn("v", F.lit(1))
+    with pytest.raises(ValueError):
+        joins.side_by_side(df, df, "id")
+
+
+def test_reanchored_tracks_keep_their_steps(spark):
+    fixes = spark.createDataFrame([("a", i, 40 * math.sin(i), 50 * math.cos(2 * i)) for i in range(30)], "id string, ts int, lat double, lon double")
+    own, new = ([(math.radians(r.lat), math.radians(r.lon)) for r in sorted(d.collect(), key=lambda r: r.ts)] for d in (fixes, tracks.reanchor(fixes)))
+    far = lambda p, q: math.acos(max(-1, min(1, math.sin(p[0]) * math.sin(q[0]) + math.cos(p[0]) * math.cos(q[0]) * math.cos(p[1] - q[1]))))
+    assert new[0] == (0, 0)
+    assert [far(*z) for z in zip(new, new[1:])] == pytest.approx([far(*z) for z in zip(own, own[1:])], abs=1e-6)
+    turn = lambda p, q: math.atan2(math.cos(q[0]) * math.sin(q[1] - p[1]), math.cos(p[0]) * math.sin(q[0]) - math.sin(p[0]) * math.cos(q[0]) * math.cos(q[1] - p[1]))
+    assert [math.cos(turn(*z)) for z in zip(new, new[1:])] == pytest.approx([math.cos(turn(*z)) for z in zip(own, own[1:])], abs=1e-6)

@@ -199,6 +199,17 @@ def area_on_sphere(ring: np.ndarray) -> float:
     return float(abs(part.sum()))
 
 
+def ring_of_lines(lines: list[np.ndarray]) -> np.ndarray:
+    """A closed ring of lines in no order: the first one, then always the line left that starts nearest to where the last ends."""
+    first, left, ring = np.array([l[0] for l in lines], float), np.ones(len(lines), bool), []
+    at = 0
+    while left.any():
+        ring.append(lines[at])
+        left[at] = False
+        at = int(np.where(left, np.hypot(*(first - lines[at][-1]).T), np.inf).argmin())
+    return np.concatenate([*ring, ring[0][:1]])
+
+
 def inside_ring(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
     """Whether points lie inside a ring, by crossings."""
     x, y = points[:, :1], points[:, 1:]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +59,18 @@ def bin_label(lo: Column, hi: Column) -> Column:
 
 def chunk_label(ident: Column, chunk: Column) -> Column:
     return F.concat_ws("__", ident, chunk)
+
+
+def with_future(categoricals: Sequence[str], future: Sequence[str], groups: Mapping[str, Sequence[str]]) -> list[str]:
+    """Flat names of categorical features and of the future ones, a group's name standing for its members."""
+    return [*categoricals, *(c for f in future for c in groups.get(f, [f]))]
+
+
+def levels_with_future(levels: Mapping[str, Sequence], future: Sequence[str]) -> dict[str, Sequence]:
+    """Levels of each categorical feature; a future one has those of the feature it is the future of."""
+    return {**levels, **{f: levels[f.replace("future_", "")] for f in future}}
+
+
+def may_be_missing(levels: Mapping[str, Sequence]) -> list[str]:
+    """Categorical features that have a level for missing values."""
+    return [c for c, own in levels.items() if None in own]

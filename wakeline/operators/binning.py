@@ -78,7 +78,7 @@ def commonest_year(fixes: DataFrame) -> DataFrame:
 def subsample(fixes: DataFrame, delete: float, seed: int = 0) -> DataFrame:
     """Drop a share of the ids of each commonest year, by a seeded hash."""
     years = commonest_year(fixes)
-    n = F.row_number().over(Window.partitionBy("year").orderBy(F.xxhash64("id", F.lit(seed)), "id"))
+    n = F.row_number().over(Window.partitionBy("year").orderBy(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), "id"))
     total = F.count("*").over(Window.partitionBy("year"))
     kept = years.withColumn("_n", n).withColumn("_keep", F.greatest(F.lit(1), F.round(total * (1 - delete)))).where("_n <= _keep").select("id")
     return fixes.join(kept, "id", "left_semi")

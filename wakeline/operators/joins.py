@@ -101,3 +101,10 @@ def aligned_predictions(model: DataFrame, real: DataFrame, base: DataFrame, keys
         return d.select(*keys, *[F.col(c).alias(f"{c}_{suffix}") for c in d.columns if c not in keys])
 
     return model.join(named(real, "real"), list(keys)).join(named(base, "base"), list(keys), "left")
+
+
+def side_by_side(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """The columns of both tables, rows met by a key instead of by position (J9); the same name on both sides is an error."""
+    if twice := {c.lower() for c in left.columns} & {c.lower() for c in right.columns} - {on.lower()}:
+        raise ValueError(f"columns on both sides: {sorted(twice)}")
+    return left.join(right, on, "left")

@@ -268,11 +268,13 @@ def select_features(df: DataFrame, features: Sequence[str], target: str, most: i
 def folds(df: DataFrame, target: str, key: str, k: int = 5, bins: int = 10, seed: int = 0, buckets: int = 256) -> DataFrame:
     """`fold`: rows dealt over k folds within equal-frequency bins of the target.
 
-    A bin is numbered in hash buckets side by side, each from where the ones before it end.
+    A bin is numbered in hash buckets side by side, each from where the ones before it end. The order is that of MD5
+    hashes, which any engine can repeat.
     """
     cuts = df.agg(F.percentile_approx(target, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_cuts"))
-    mixed = F.xxhash64(key, F.lit(seed))
-    coded = df.join(F.broadcast(cuts)).withColumns({"_bin": F.size(F.filter("_cuts", lambda e: F.col(target) > e)), "_part": F.pmod(mixed, F.lit(buckets))}).drop("_cuts")  # one row
+    mixed = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    part = F.floor(F.conv(F.substring(mixed, 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int")  # in the order of hashes
+    coded = df.join(F.broadcast(cuts)).withColumns({"_bin": F.size(F.filter("_cuts", lambda e: F.col(target) > e)), "_part": part}).drop("_cuts")  # one row
     before = Window.partitionBy("_bin").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = coded.groupBy("_bin", "_part").agg(F.count("*").alias("_n")).select("_bin", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     w = Window.partitionBy("_bin", "_part").orderBy(mixed, key)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import spatial
+from wakeline.functions.distributions import beta_cdf
 from wakeline.operators.tracks import along, densify, nearest_before, starts
 
 
@@ -61,6 +63,19 @@ def future_counts(index: DataFrame, binned: DataFrame, encoder: int) -> DataFram
     return both.withColumn("n_future", F.coalesce(n, F.lit(0)).cast("int")).where("_w is not null").select("_w.*", "n_future")
 
 
+def random_lengths(index: DataFrame, encoder: int, least: int, a: float, b: float, seed: int = 0) -> DataFrame:
+    """Windows with encoders of `least` steps and a Beta(a, b) share of the rest up to `encoder`, from their end backwards.
+
+    The share is rounded to whole steps, so a draw picks a length by its exact probability; it hangs on id, start and
+    seed alone and is the same in every run. Decoders stay.
+    """
+    more = encoder - least
+    edges = beta_cdf(np.array([(j + 0.5) / more for j in range(more)]), a, b)
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in ("id", "start")], F.lit(str(seed)))), 1, 12), 16, 10).cast("double") / F.lit(2.0**48)
+    extra = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < draw))
+    return index.withColumn("start", (F.col("encoder_end") - least + 1 - extra).cast("int"))
+
+
 def gap_windows(binned: DataFrame, longest: int) -> DataFrame:
     """Every inner gap of at most `longest` bins: (id, gap_start, gap_length)."""
     gap = F.lead("time_idx").over(along(order="time_idx")) - F.col("time_idx") - 1

@@ -89,20 +89,19 @@ def gcd_step(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.col("w.start").alias("bin"), "mean_step_km", "mean_speed", "n")
 
 
-@query("fixes", f"SELECT event_id, round({RADIUS} * radians(lon), 3) + 0.0 AS x, round({RADIUS} * ln(tan(pi() / 4 + radians(lat) / 2)), 3) + 0.0 AS y, round(lat, 6) + 0.0 AS lat_back, round(lon, 6) + 0.0 AS lon_back FROM fixes")
+@query("fixes", f"SELECT event_id, round({RADIUS} * radians(lon), 3) + 0.0 AS x, round({RADIUS} * ln(tan(pi() / 4 + radians(lat) / 2)), 3) + 0.0 AS y, round(degrees(2 * atan(exp(lon * 40 / {RADIUS})) - pi() / 2), 6) + 0.0 AS lat_back, round(degrees(value * 30 / {RADIUS}), 6) + 0.0 AS lon_back FROM fixes")
 def mercator_roundtrip(spark, d):
-    """P9, P10."""
+    """The way back from points of its own."""
     x, y = spatial.mercator(F.radians("lat"), F.radians("lon"))
-    own = fixes(spark, d).select("event_id", x.alias("x"), y.alias("y"))
-    lat, lon = spatial.mercator_inverse(F.col("x"), F.col("y"))
-    return own.select("event_id", r("x", 3).alias("x"), r("y", 3).alias("y"), r(F.degrees(lat)).alias("lat_back"), r(F.degrees(lon)).alias("lon_back"))
+    lat, lon = spatial.mercator_inverse(F.col("value") * 30, F.col("lon") * 40)
+    return fixes(spark, d).select("event_id", r(x, 3).alias("x"), r(y, 3).alias("y"), r(F.degrees(lat)).alias("lat_back"), r(F.degrees(lon)).alias("lon_back"))
 
 
-@query("fixes", "SELECT event_id, round(cos(radians(lat)) * cos(radians(lon)), 9) + 0.0 AS x, round(cos(radians(lat)) * sin(radians(lon)), 9) + 0.0 AS y, round(sin(radians(lat)), 9) + 0.0 AS z, round(lat, 6) + 0.0 AS lat_back FROM fixes")
+@query("fixes", "SELECT event_id, round(cos(radians(lat)) * cos(radians(lon)), 9) + 0.0 AS x, round(cos(radians(lat)) * sin(radians(lon)), 9) + 0.0 AS y, round(sin(radians(lat)), 9) + 0.0 AS z, round(degrees(asin(value / sqrt(lat * lat + lon * lon + value * value))), 6) + 0.0 AS lat_back, round(degrees(atan2(lon, lat)), 6) + 0.0 AS lon_back FROM fixes")
 def cartesian_roundtrip(spark, d):
-    """P7, P8."""
+    """The way back from vectors of its own."""
     v = spatial.to_cartesian(F.radians("lat"), F.radians("lon"))
-    return fixes(spark, d).select("event_id", *[r(c, 9).alias(n) for c, n in zip(v, "xyz")], r(F.degrees(spatial.to_spherical(v)[0])).alias("lat_back"))
+    return fixes(spark, d).select("event_id", *[r(c, 9).alias(n) for c, n in zip(v, "xyz")], *[r(F.degrees(c)).alias(n) for c, n in zip(spatial.to_spherical((F.col("lat"), F.col("lon"), F.col("value"))), ("lat_back", "lon_back"))])
 
 
 @query(
@@ -121,15 +120,14 @@ def logmap_sn_we(spark, d):
     return own.select("event_id", r(sn).alias("sn"), r(we).alias("we"))
 
 
-@query("fixes", "SELECT event_id, round(lat, 5) + 0.0 AS lat_back, round(cos(radians(lon)), 6) + 0.0 AS cos_lon FROM fixes")
+@query("fixes", """, t AS (SELECT event_id, radians(lat) AS s, radians(lon) / 2 AS w, sin(-0.8::DOUBLE) AS sa, cos(-0.8::DOUBLE) AS ca, sin(0.4::DOUBLE) AS sb, cos(0.4::DOUBLE) AS cb FROM fixes), u AS (SELECT *, sqrt(s * s + w * w) AS n FROM t),
+    v AS (SELECT event_id, ca * cb * cos(n) + (s * sa * cb - w * sb) * sin(n) / n AS x, ca * sb * cos(n) + (s * sa * sb + w * cb) * sin(n) / n AS y, sa * cos(n) - s * ca * sin(n) / n AS z FROM u)
+    SELECT event_id, round(degrees(atan2(z, sqrt(x * x + y * y))), 5) + 0.0 AS lat_back, round(x / sqrt(x * x + y * y), 6) + 0.0 AS cos_lon FROM v""")
 def expmap_roundtrip(spark, d):
-    """Back from tangent coordinates to the position."""
-    own = fixes(spark, d)
+    """From tangent coordinates to the position."""
     lat0, lon0 = F.lit(-0.8), F.lit(0.4)
-    sn, we = spatial.log_map_from(lat0, lon0, F.radians("lat"), F.radians("lon"))
-    own = own.select("event_id", sn.alias("sn"), we.alias("we"))
-    lat, lon = spatial.exp_map_from(lat0, lon0, F.col("sn"), F.col("we"))
-    return own.select("event_id", r(F.degrees(lat), 5).alias("lat_back"), r(F.cos(lon)).alias("cos_lon"))
+    lat, lon = spatial.exp_map_from(lat0, lon0, F.radians("lat"), F.radians("lon") / 2)
+    return fixes(spark, d).select("event_id", r(F.degrees(lat), 5).alias("lat_back"), r(F.cos(lon)).alias("cos_lon"))
 
 
 @query(
@@ -687,11 +685,13 @@ def interval_coverage(spark, d):
     return _scored(spark, d).select("id", "time_idx", "confidence", F.round("length", 6).alias("length"), "covered")
 
 
-@query("scored", f"SELECT time_step, confidence, round(avg(covered * covered), 6) AS covered, round(avg(-2 * {RADIUS} * (hi - lo) * (1 / (1 + exp(2 * hi / {RADIUS})) - 1 / (1 + exp(2 * lo / {RADIUS})))), 3) + 0.0 AS area FROM scored GROUP BY ALL")
+@query("scored", f"SELECT time_step, confidence, round(avg(covered * CAST(2 * actual BETWEEN 3 * lo - 40 AND 3 * hi + 25 AS INT)), 6) AS covered, round(avg(-2 * {RADIUS} * (hi - lo) * (1 / (1 + exp(2 * (3 * hi + 25) / {RADIUS})) - 1 / (1 + exp(2 * (3 * lo - 40) / {RADIUS})))), 3) + 0.0 AS area FROM scored GROUP BY ALL")
 def region_coverage_area(spark, d):
-    """Rectangles of the interval with itself."""
+    """Rectangles of the interval and a wider one along the other axis."""
     s = _scored(spark, d)
-    out = scoring.by_step(scoring.regions(s, s, ["id", "time_idx", "time_step"]))
+    lo, hi = F.col("lo") * 3 - 40, F.col("hi") * 3 + 25
+    y = s.withColumns({"lo": lo, "hi": hi, "covered": scores.covered(F.col("actual") * 2, lo, hi)})
+    out = scoring.by_step(scoring.regions(s, y, ["id", "time_idx", "time_step"]))
     return out.select("time_step", "confidence", F.round("covered", 6).alias("covered"), r("area", 3).alias("area"))
 
 
@@ -1004,6 +1004,20 @@ def last_window_start(spark, d):
     return windows.last_admissible(index.withColumn("admissible", F.col("decoder_gap") == 0), 78950)
 
 
+@query("binned", INDEX + f""", u AS (SELECT *, ('0x' || substr(md5(id || ':' || start || ':0'), 1, 12))::BIGINT / pow(2, 48) AS u FROM idx)
+    SELECT id, (start + {E_ - 4} - (SELECT count(*) FROM range(0, 12) t(j) WHERE pow((j + 0.5::DOUBLE) / 12, 2) < u))::INT AS start, start + {E_ - 1} AS encoder_end, start + {E_ + D_ - 1} AS decoder_end FROM u""")
+def random_windows(spark, d):
+    """Shares of Beta(2, 1), whose distribution is a square."""
+    return windows.random_lengths(windows.forecast_index(binned(spark, d), E_, D_), E_, 4, 2, 1)
+
+
+@query("fixes", "SELECT f.event_id, f.lat, g.value FROM fixes f LEFT JOIN (SELECT event_id, value FROM fixes WHERE event_id % 3 > 0) g USING (event_id)")
+def side_by_side(spark, d):
+    """J9."""
+    f = fixes(spark, d)
+    return joins.side_by_side(f.select("event_id", "lat"), f.where("event_id % 3 > 0").select("event_id", "value"), "event_id")
+
+
 @query("fixes", """, s AS (SELECT (event_id % 3) * 10 AS n_deleted, event_id % 5 AS seed, id, avg(value) AS v FROM fixes GROUP BY ALL), m AS (SELECT n_deleted, seed, avg(v) AS v FROM s GROUP BY ALL)
     SELECT n_deleted, round(avg(v), 6) AS mean, round(avg(v) - 1.959963984540054::DOUBLE * stddev_samp(v) / sqrt(count(*)), 6) AS lo, round(avg(v) + 1.959963984540054::DOUBLE * stddev_samp(v) / sqrt(count(*)), 6) AS hi, round(min(v), 6) AS least, round(max(v), 6) AS most, count(*) AS seeds FROM m GROUP BY n_deleted""")
 def learning_curve(spark, d):
@@ -1143,27 +1157,37 @@ def reanchored_tracks(spark, d):
     return tracks.reanchor(fixes(spark, d)).select("event_id", "lat", "lon")
 
 
-@query()
+@query("fixes", """, c AS (SELECT quantile_disc(value, 0.5) AS a, quantile_disc(k, 0.5) AS b, quantile_disc(lat, 0.5) AS c FROM fixes),
+    i AS (SELECT (value > a)::INT AS hit, CASE WHEN k > b THEN 'k=p50 - p100' ELSE 'k=p0 - p50' END AS p, CASE WHEN lat > c THEN 'lat=p50 - p100' ELSE 'lat=p0 - p50' END AS q FROM fixes, c),
+    s AS (SELECT p AS antecedent, NULL AS p, NULL AS q, hit FROM i UNION ALL SELECT q, NULL, NULL, hit FROM i UNION ALL SELECT p || ', ' || q, p, q, hit FROM i),
+    g AS (SELECT antecedent, p, q, sum(hit) / count(*) AS confidence, sum(hit) / (SELECT count(*) FROM fixes) AS support FROM s GROUP BY ALL HAVING sum(hit) / count(*) >= 0.3 AND sum(hit) >= 0.02 * (SELECT count(*) FROM fixes))
+    SELECT antecedent, round(confidence, 9) AS confidence, round(support, 9) AS support FROM g WHERE p IS NULL OR (p NOT IN (SELECT antecedent FROM g) AND q NOT IN (SELECT antecedent FROM g))""")
 def association_rules(spark, d):
     """A27."""
     items = stats.quantile_items(fixes(spark, d), ["value", "k", "lat"], "event_id", 2)
     own = stats.rules(items, "value=p50 - p100", 0.02, 0.3)
-    return own.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    return own.select(F.array_join(F.array_sort("antecedent"), ", ").alias("antecedent"), F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support"))
 
 
-@query()
+TENTHS = ", ".join(f"{i / 10}::DOUBLE" for i in range(1, 10))
+
+
+@query("fixes", f""", f AS (SELECT floor(value) AS value, k FROM fixes), c AS (SELECT quantile_disc(value, [{TENTHS}]) AS a, quantile_disc(k, [{TENTHS}]) AS b FROM f), n AS (SELECT len([e FOR e IN a IF value > e]) AS i, len([e FOR e IN b IF k > e]) AS j, count(*)::DOUBLE AS n FROM f, c GROUP BY ALL),
+    m AS (SELECT n, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY i) AS x, sum(n) OVER (PARTITION BY j) AS y FROM n) SELECT round(sum(n / t * ln(n * t / (x * y))), 9) AS mi FROM m""")
 def mutual_information(spark, d):
-    """A28."""
-    return stats.mutual_information(fixes(spark, d), "value", "k")
+    """Of whole values, since the cuts are approximate by a rank or two and equal values lie on one side."""
+    return stats.mutual_information(fixes(spark, d).withColumn("value", F.floor("value").cast("double")), "value", "k").select(F.round("mi", 9).alias("mi"))
 
 
-@query()
+@query("fixes", f""", c AS (SELECT quantile_disc(floor(value), [{TENTHS}]) AS a FROM fixes), b AS (SELECT event_id, len([e FOR e IN a IF floor(value) > e]) AS bin FROM fixes, c)
+    SELECT event_id, ((row_number() OVER (PARTITION BY bin ORDER BY md5(event_id || ':0'), event_id) - 1) % 5)::INT AS fold FROM b""")
 def stratified_folds(spark, d):
-    """D39."""
-    return stats.folds(fixes(spark, d), "value", "event_id").select("event_id", "fold")
+    """By whole values, as in mutual_information."""
+    return stats.folds(fixes(spark, d).withColumn("value", F.floor("value").cast("double")), "value", "event_id").select("event_id", "fold")
 
 
-@query()
+@query("fixes", """, y AS (SELECT id, year(ts) AS year, count(*) AS n FROM fixes GROUP BY ALL), z AS (SELECT id, year FROM y QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, year) = 1),
+    k AS (SELECT id FROM z QUALIFY row_number() OVER (PARTITION BY year ORDER BY md5(id || ':0'), id) <= greatest(1, round(count(*) OVER (PARTITION BY year) * 0.5))) SELECT event_id, id FROM fixes WHERE id IN (SELECT id FROM k)""")
 def subsampled_tracks(spark, d):
     """D8."""
     return binning.subsample(fixes(spark, d), 0.5).select("event_id", "id")
