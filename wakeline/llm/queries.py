@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import decontaminate, embeddings, html, lines, mixing, quality, secrets, sharding, simhash, tokens
+from wakeline.llm import centroids, chat, decontaminate, embeddings, html, lines, mixing, quality, secrets, sharding, simhash, tokens, whitening
 from wakeline.llm.common import table
 
 
@@ -55,6 +55,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pivot_vectors, op3_html_text, op4_benchmark_leaks, op5_simhash, op6_boilerplate_lines, op7_mixing, op8_secrets, op9_quality, op10_token_counts)}
+def op11_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "\\### Assistant: </turn> ok"
+    one = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat.round_trip(rows.unionByName(one))
+
+
+def op12_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pivot_vectors, op3_html_text, op4_benchmark_leaks, op5_simhash, op6_boilerplate_lines, op7_mixing, op8_secrets, op9_quality, op10_token_counts, op11_chat_tree, op12_hamerly, op13_whitening)}
 
 ORACLES = {"op4_benchmark_leaks": decontaminate.ORACLE, "op6_boilerplate_lines": lines.ORACLE}
