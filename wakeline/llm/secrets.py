@@ -7,7 +7,9 @@ import importlib
 import keyword
 import re
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -89,20 +91,23 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, t
     """Opaque strings after a sensitive word that the primed compressor cannot shorten."""
     if not CONTEXT.search(text):
         return []
-    found, taken = [], sorted((s, e) for s, _, e in base)
+    found, begins = [], sorted(s for s, _, _ in base)
+    # The end furthest right of the spans up to each one, as kinds may overlap.
+    ends = list(accumulate((e for _, e in sorted((s, e) for s, _, e in base)), max))
     for m in CANDIDATE.finditer(text):
         own = m.group()
         if not (re.search(r"\d", own) and re.search(r"[A-Za-z]", own)):
             continue
-        if any(s < m.end() and m.start() < e for s, e in taken):
+        before = bisect_left(begins, m.end())
+        if before and ends[before - 1] > m.start():
             continue
-        if CONTEXT.search(text, max(0, m.start() - window), m.start()) and novelty(text, m.start(), m.end()) >= threshold:
-            found.append((m.start(), 3, m.end()))
+        if CONTEXT.search(text, max(0, m.start() - window), m.start()) and (new := novelty(text, m.start(), m.end())) >= threshold:
+            found.append((m.start(), 3, m.end(), new))
     return found
 
 
 def find_secrets(docs: DataFrame, threshold: float = NOVEL, window: int = 48) -> DataFrame:
-    """Every span of every document: doc_id and an array of (kind, start, end, novelty).
+    """Every span of every document: doc_id and an array of (kind, start, end, novelty); spans of the fixed patterns have no novelty.
 
     Offsets are code points, the end exclusive. A null text is empty, an empty text has no span,
     repeated rows are scanned one by one, an empty table gives none; other columns are ignored.
@@ -116,8 +121,8 @@ def find_secrets(docs: DataFrame, threshold: float = NOVEL, window: int = 48) ->
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                spans = sorted(base + novel_spans(text, base, novelty, threshold, window))
-                out.append([{"kind": KINDS[k], "start": s, "end": e, "novelty": novelty(text, s, e)} for s, k, e in spans])
+                spans = sorted([(*b, None) for b in base] + novel_spans(text, base, novelty, threshold, window), key=lambda s: s[:3])
+                out.append([{"kind": KINDS[k], "start": s, "end": e, "novelty": x} for s, k, e, x in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, SPANS)], ["doc_id", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(
