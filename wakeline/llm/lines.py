@@ -46,15 +46,18 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str =
     lines = durable(lines.withColumn("l", line).where("l <> ''").select("_t", "site", "pos", name("l").alias("h")))
     flagged = durable(spread_lines(lines.select("h", "site"), min_sites))
     docs = docs.drop("n_lines", "n_removed")
-    t, g = free_name(docs, "t"), free_name(docs, "gone")
+    t, g, n = free_name(docs, "t"), free_name(docs, "gone"), free_name(docs, "n_gone")
     # What goes from a text depends on the text alone, so copies share a row.
-    gone = durable(lines.join(maybe_broadcast(flagged, flagged.count()), "h").groupBy(F.col("_t").alias(t)).agg(F.collect_set("pos").alias(g)))
+    gone = lines.join(maybe_broadcast(flagged, flagged.count()), "h").groupBy(F.col("_t").alias(t)).agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    # A byte a line up to the last one that goes, so that a line is looked up in one step.
+    runs = F.zip_with("at", F.concat(F.array(F.lit(-1)), F.slice("at", 1, F.size("at") - 1)), lambda a, b: F.concat(F.repeat(F.lit("0"), a - b - 1), F.lit("1")))
+    gone = durable(gone.select(t, F.size("at").alias(n), F.array_join(runs, "").cast("binary").alias(g)))
     # What to remove grows with the documents, so this is a shuffle at every size; hot texts are split by AQE.
     out = docs.withColumn(t, name("text")).join(gone.hint("merge"), t, "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda l, i: ~F.array_contains(F.col(g), i)), "\n")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda l, i: F.substring(F.col(g), i + 1, F.lit(1)) != F.lit(b"1")), "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    out = out.withColumn("n_lines", n_lines.cast("long")).withColumn("n_removed", F.coalesce(F.size(g), F.lit(0)).cast("long"))
-    return out.withColumn("text", F.when(F.col(g).isNull(), F.col("text")).otherwise(kept)).drop(t, g)
+    out = out.withColumn("n_lines", n_lines.cast("long")).withColumn("n_removed", F.coalesce(F.col(n), F.lit(0)).cast("long"))
+    return out.withColumn("text", F.when(F.col(g).isNull(), F.col("text")).otherwise(kept)).drop(t, g, n)
 
 
 ORACLE = rf"""
