@@ -590,7 +590,7 @@ def test_novel_secrets_precision_and_recall():
             text = f"{around} {rng.choice(['the secret of it is', 'Authorization Bearer', 'login with', 'private key', 'credential'])} {value} {around}"
             at = text.index(value)
             spans = [*secrets.base_spans(text), *secrets.novel_spans(text, [], novelty, secrets.NOVEL, 48)]
-            out.append(any(s < at + len(value) and at < e for s, _, e in spans))
+            out.append(any(s < at + len(value) and at < e for s, _, e, *_ in spans))
     recall, precision = sum(hit) / len(hit), sum(hit) / (sum(hit) + sum(wrong))
     print(f"novel spans: recall {recall:.3f}, precision {precision:.3f}")
     assert recall > 0.9 and precision > 0.9, (recall, precision)
@@ -668,3 +668,41 @@ def test_tokens_of_a_very_long_word_take_bounded_memory():
     assert tracemalloc.get_traced_memory()[1] < 16 << 20
     tracemalloc.stop()
     assert len(trie.best) < 100
+
+
+def seconds(call) -> float:
+    began = time.perf_counter()
+    call()
+    return time.perf_counter() - began
+
+
+def test_secrets_are_linear_in_a_text():
+    """Hashes beside candidates after a sensitive word: four times the text takes about four times the time."""
+    rng = random.Random(3)
+    lock = lambda n: "\n".join(f"token {rng.randbytes(16).hex()} x{rng.randbytes(14).hex().upper()}" for _ in range(n))
+    novelty = secrets.Novelty()
+    one, four = lock(1500), lock(6000)
+    scan = lambda t: secrets.novel_spans(t, secrets.base_spans(t), novelty, secrets.NOVEL, 48)
+    assert len(scan(one)) > 1000
+    assert seconds(lambda: scan(four)) < 9 * seconds(lambda: scan(one))
+
+
+def test_secrets_beside_overlapping_spans():
+    """A candidate counts only where no base span, of whatever kind or length, reaches into it."""
+    rng, novelty = random.Random(8), secrets.Novelty()
+    for _ in range(200):
+        text = " ".join(rng.choice(["password=" + rng.randbytes(20).hex(), rng.randbytes(13).hex(), "AKIA" + "Z9" * 9, "token", "Qx7" + "".join(rng.choices(string.ascii_letters + string.digits, k=20)), "secret: "]) for _ in range(12))
+        base = secrets.base_spans(text)
+        found = secrets.novel_spans(text, base, novelty, 0.0, 48)
+        want = [(m.start(), m.end()) for m in secrets.CANDIDATE.finditer(text) if re.search(r"\d", m.group()) and re.search("[A-Za-z]", m.group()) and not any(s < m.end() and m.start() < e for s, _, e in base) and secrets.CONTEXT.search(text, max(0, m.start() - 48), m.start())]
+        assert [(s, e) for s, _, e, _ in found] == want
+
+
+def test_lines_are_linear_in_a_text(spark):
+    rows = lambda n: spark.createDataFrame([(i, "\n".join(f"line {k}" if k % 3 else f"own {i} {k}" for k in range(n)), "en", f"site{i}", 0, 0.0, 0, "") for i in range(12)], DOC)
+    run = lambda d: {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.remove_boilerplate(d).collect()}
+    out = run(rows(3000))
+    assert out[5] == ("\n".join(f"own 5 {k}" for k in range(0, 3000, 3)), 3000, 2000)
+    small, large = rows(5000), rows(40000)
+    run(small)
+    assert seconds(lambda: run(large)) < 8 * seconds(lambda: run(small)) + 10

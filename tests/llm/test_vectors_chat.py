@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline.llm import centroids, chat, whitening
+from wakeline.llm import centroids, chat, tokens, whitening
 from wakeline.llm.queries import QUERIES
 
 CHAT = "conv_id long, turn long, role string, text string, path string, run long, position double"
@@ -53,27 +53,33 @@ def told(rows):
 KEY = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
 
-@pytest.mark.parametrize("parts", ["1", "8", "40"])
-def test_chat_round_trip(spark, parts):
+VOCABULARY = f"{tokens.VOCAB_DIR}/byte_bpe_50k.tiktoken"
+
+
+@pytest.mark.parametrize("parts,vocabulary", [("1", None), ("8", None), ("40", None), ("8", VOCABULARY)])
+def test_chat_round_trip(spark, parts, vocabulary):
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
         rows = talks()
-        got = [tuple(r[c] for c in KEY) for r in chat.round_trip(spark.createDataFrame(rows, CHAT).repartition(5)).collect()]
+        got = [tuple(r[c] for c in KEY) for r in chat.round_trip(spark.createDataFrame(rows, CHAT).repartition(5), vocabulary).collect()]
         assert Counter(got) == Counter(told(rows))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
-@pytest.mark.parametrize("parts", ["2", "16"])
-def test_chat_layout(spark, parts):
+@pytest.mark.parametrize("parts,vocabulary", [("2", None), ("16", None), ("8", VOCABULARY)])
+def test_chat_layout(spark, parts, vocabulary):
     """Tokens once, without gaps; intervals and positions give every conversation back."""
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
         rows = talks()
-        out = [r for r in chat.packed(spark.createDataFrame(rows, CHAT)).collect()]
+        out = [r for r in chat.packed(spark.createDataFrame(rows, CHAT), vocabulary).collect()]
         nodes = sorted((r for r in out if r.text is not None), key=lambda r: (r.run, r["rank"], r.depth))
-        assert [r.start for r in nodes] == np.cumsum([0] + [len(r.text) for r in nodes])[:-1].tolist()
-        stream = "".join(r.text for r in nodes)
+        own = chat.coder(chat.ranks_of(vocabulary)) if vocabulary else None
+        token = (lambda r: r.ids) if own else (lambda r: list(r.text))
+        said = own.decode if own else "".join
+        assert [r.start for r in nodes] == np.cumsum([0] + [len(token(r)) for r in nodes])[:-1].tolist()
+        stream = [t for r in nodes for t in token(r)]
         by = {}
         for conv, turn, role, text, *_ in rows:
             by.setdefault(conv, []).append((turn is not None, turn or 0, hashlib.md5(piece(role or "", text or "").encode()).hexdigest(), piece(role or "", text or "")))
@@ -81,8 +87,10 @@ def test_chat_layout(spark, parts):
         prefixes = {tuple(turns[: k + 1]) for turns in whole.values() for k in range(len(turns))}
         assert len(nodes) == len(prefixes)
         for r in nodes:
-            before = "".join(stream[a.lo : a.hi] for a in r.attends)
-            assert len(before) == r.position and before + r.text == "".join(whole[r.conv_id][: r.depth + 1])
+            before = [t for a in r.attends for t in stream[a.lo : a.hi]]
+            assert len(before) == r.position and said(before + token(r)) == "".join(whole[r.conv_id][: r.depth + 1])
+            assert (r.loss is None) == (chat.parsed(r.text)[0] != "assistant")
+            assert r.loss is None or chat.unescaped(said(token(r)[r.loss.lo : r.loss.hi])) == chat.parsed(r.text)[1]
             assert all(a.hi < b.lo for a, b in zip(r.attends, r.attends[1:])) and all(a.lo < a.hi <= r.start for a in r.attends)
         assert Counter((r.conv_id, r.depth) for r in out if r.text is None) == Counter((c, len(t)) for c, t in whole.items())
     finally:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -18,8 +19,10 @@ OPEN, CLOSE = "<turn>", "</turn>"
 LEARNED = "assistant"
 #: Bytes of a turn's digest.
 DIGEST = 16
+#: Fixed value: how the public byte-level vocabularies cut a text before they merge bytes.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-NODE = "run int, rank long, depth int, conv_id long, text string, loss boolean, start long, position long, attends array<struct<lo:bigint,hi:bigint>>"
+SPAN = "struct<lo:bigint,hi:bigint>"
 
 
 def escaped(text: Column) -> Column:
@@ -44,27 +47,56 @@ def parsed(piece: str) -> tuple[str, str]:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "~" else m[1], head), unescaped(text)
 
 
-def turn_rows(conversations: DataFrame) -> DataFrame:
-    """conv_id, depth (0, 1, ... in a conversation), digest, n_chars, position (characters before it), text and loss of every turn."""
+def ranks_of(vocabulary: str) -> dict[bytes, int]:
+    """Ranks of a byte-level vocabulary file; it is read on the driver only and goes to the tasks with their code."""
+    with open(vocabulary, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+
+
+def coder(ranks: dict[bytes, int]):
+    import tiktoken
+
+    return tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def turn_rows(conversations: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """conv_id, depth (0, 1, ... in a conversation), digest, n (tokens), position (tokens before it), text and loss of every turn,
+    and with a vocabulary its ids. Marks, role and text are encoded apart, so that `loss`, an interval of the turn's tokens, is exact."""
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    piece = formatted(role, text)
-    rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.md5(piece).alias("digest"),
-        F.char_length(piece).cast("long").alias("n_chars"), piece.alias("text"), (role == LEARNED).alias("loss"),
-    )
+    head, body, whole = F.concat(F.lit(OPEN), F.replace(escaped(role), F.lit("\n"), F.lit("\\~")), F.lit("\n")), escaped(text), formatted(role, text)
+    first = F.char_length(head).cast("long")
+    learned = F.when(role == LEARNED, F.struct(first.alias("lo"), (first + F.char_length(body)).alias("hi")))
+    key = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.md5(whole).alias("digest")]
+    if vocabulary is None:
+        rows = conversations.select(*key, F.char_length(whole).cast("long").alias("n"), whole.alias("text"), learned.alias("loss"))
+    else:
+        ranks = ranks_of(vocabulary)
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = coder(ranks)
+            for b in batches:
+                parts = [[own.encode_ordinary(t) for t in b.column(i).to_pylist()] for i in (3, 4)]
+                tail = own.encode_ordinary(f"{CLOSE}\n")
+                ids = [x + y + tail for x, y in zip(*parts)]
+                loss = [{"lo": len(x), "hi": len(x) + len(y)} if own_role else None for x, y, own_role in zip(*parts, b.column(6).to_pylist())]
+                cols = [*b.columns[:3], pa.array(map(len, ids), pa.int64()), b.column(5), pa.array(loss, pa.struct([("lo", pa.int64()), ("hi", pa.int64())])), pa.array(ids, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(cols, ["conv_id", "turn", "digest", "n", "text", "loss", "ids"])
+
+        cut = conversations.select(*key, head.alias("head"), body.alias("body"), whole.alias("text"), (role == LEARNED).alias("own"))
+        rows = durable(cut.mapInArrow(encode, f"conv_id long, turn long, digest string, n long, text string, loss {SPAN}, ids array<int>"))
     order = Window.partitionBy("conv_id").orderBy("turn", "digest")
-    before = F.coalesce(F.sum("n_chars").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumns({"depth": F.row_number().over(order) - 1, "position": before})
 
 
 def in_order(turns: DataFrame) -> DataFrame:
-    """One row a conversation: run, rank in it, path (the digests of its turns, end to end) and ends (characters up to the end of each turn).
+    """One row a conversation: run, rank in it, path (the digests of its turns, end to end) and ends (tokens up to the end of each turn).
 
     Sorted by path, conversations come in the order in which a walk of the prefix tree, depth first, ends them: what one
     shares with any before it, it shares with the last one. Runs are ranges of that order; a hot first turn, or copies of
     one conversation, spread over as many runs as their number asks for.
     """
-    one = F.array_sort(F.collect_list(F.struct("depth", "digest", (F.col("position") + F.col("n_chars")).alias("end"))))
+    one = F.array_sort(F.collect_list(F.struct("depth", "digest", (F.col("position") + F.col("n")).alias("end"))))
     paths = turns.groupBy("conv_id").agg(one.alias("t"))
     paths = paths.select("conv_id", F.unhex(F.array_join(F.col("t.digest"), "")).alias("path"), F.col("t.end").alias("ends"))
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -166,20 +198,21 @@ def entries(runs: list) -> tuple[dict, list[tuple]]:
     return out, carried
 
 
-def layout(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def layout(conversations: DataFrame, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The nodes of the prefix tree in depth-first order, and (run, depth, start) of nodes that a run needs from earlier ones.
 
     A node is a turn that follows the same turns: conversations that begin alike share the nodes of their common turns.
-    Sorted by (run, rank, depth) the texts of all nodes, end to end, are the token stream, a token being one character.
-    `start` is a node's place in the stream, `position` the place of its first token in the conversation, `attends` the
-    intervals of the stream that hold its ancestors: a token sees those and what precedes it in its own node. `loss`
-    says whether the text between the marks is learned. A row without text ends conversation `conv_id` after `depth` turns.
+    Sorted by (run, rank, depth) the texts of all nodes, end to end, are the token stream, a token being one character; with a
+    `vocabulary`, a file of byte-level ranks, it is that of their `ids`. `start` is a node's place in the stream, `position` that of its
+    first token in the conversation, `attends` the intervals of the stream that hold its ancestors: a token sees those and what
+    precedes it in its own node. `loss` is the interval of the node's tokens that are learned: the text between an assistant's
+    marks. A row without text ends conversation `conv_id` after `depth` turns.
 
     Turns are ordered by `turn` (nulls first), those of one number by their digest; repeated rows are turns of their own. A null
     role or text is empty; rows without conv_id are one conversation; an empty table gives none; other columns are ignored.
     A conversation's digests, 16 bytes a turn, are one row; its texts are not.
     """
-    turns = turn_rows(conversations.select("conv_id", "turn", "role", "text"))
+    turns = turn_rows(conversations.select("conv_id", "turn", "role", "text"), vocabulary)
     ordered = in_order(turns)
     found = sorted_runs(ordered).mapInArrow(summaries, "run int, first binary, ends array<long>, last binary, low long, total long, stack array<struct<turn:bigint,start:bigint>>")
     entry, carried = entries(sorted(found.collect(), key=lambda s: s.run))
@@ -212,32 +245,35 @@ def layout(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         (F.size("seen") > 0) & (last["hi"] == F.col("first")), F.concat(F.slice("seen", 1, F.greatest(F.size("seen") - 1, F.lit(0))), F.array(F.struct(last["lo"].alias("lo"), start.alias("hi"))))
     )
     attends = joined.otherwise(F.concat("seen", F.array(F.struct(F.col("first").alias("lo"), start.alias("hi")))))
-    nodes = met.select("run", "rank", "depth", "conv_id", "text", "loss", start.alias("start"), "position", attends.alias("attends"))
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("text", "string"), ("loss", "boolean"), ("start", "long"), ("position", "long"), ("attends", "array<struct<lo:bigint,hi:bigint>>"))]
+    nodes = met.select("run", "rank", "depth", "conv_id", "text", "loss", start.alias("start"), "position", attends.alias("attends"), *["ids"] * (vocabulary is not None))
+    none = [F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns[4:]]
     ends = placed.select("run", "rank", F.col("n_turns").alias("depth"), F.col("conv").alias("conv_id"), *none)
     stream = nodes.unionByName(ends).repartition("run").sortWithinPartitions("run", "rank", "depth")
     return stream, conversations.sparkSession.createDataFrame(carried, "run int, depth int, start long")
 
 
-def read_back(stream: DataFrame, carried: DataFrame) -> DataFrame:
+def read_back(stream: DataFrame, carried: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars of every conversation, from the layout alone.
 
     Every run is read once, in order, with the current path of the tree as a stack of texts.
     """
+    tokens, ranks = ("text", None) if vocabulary is None else ("ids", ranks_of(vocabulary))
     # `carried` has at most the turns of one conversation for each run.
     before = stream.join(F.broadcast(carried.select(F.col("run").alias("to"), F.col("depth").alias("at"), "start")), "start")
-    before = before.select(F.col("to").alias("run"), F.lit(-1).cast("long").alias("rank"), F.col("at").alias("depth"), "conv_id", "text", "loss")
-    rows = stream.select("run", "rank", "depth", "conv_id", "text", "loss").unionByName(before).repartition("run").sortWithinPartitions("run", "rank", "depth")
+    before = before.select(F.col("to").alias("run"), F.lit(-1).cast("long").alias("rank"), F.col("at").alias("depth"), "conv_id", "loss", tokens)
+    rows = stream.select("run", "rank", "depth", "conv_id", "loss", tokens).unionByName(before).repartition("run").sortWithinPartitions("run", "rank", "depth")
     kinds = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(ranks) if ranks else None
+        said = lambda t: own.decode(t) if own else t
         path: list[tuple] = []
         out: list[dict] = []
-        for _, _, depth, conv, piece, loss in rows_of(batches):
-            if piece is not None:
+        for _, _, depth, conv, loss, node in rows_of(batches):
+            if node is not None:
                 del path[depth:]
-                role, text = parsed(piece)
-                path.append((f"{role}\n{text}\n".encode(), text.encode() if loss else b"", len(text) if loss else 0, len(piece)))
+                piece, learned = said(node), unescaped(said(node[loss["lo"] : loss["hi"]])) if loss else ""
+                path.append(("{}\n{}\n".format(*parsed(piece)).encode(), learned.encode(), len(learned), len(piece)))
                 continue
             told, learned = hashlib.sha256(), hashlib.sha256()
             for whole, text, _, _ in path[:depth]:
@@ -252,14 +288,14 @@ def read_back(stream: DataFrame, carried: DataFrame) -> DataFrame:
     return rows.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def packed(conversations: DataFrame) -> DataFrame:
+def packed(conversations: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """The layout as a table of its own, with what `layout` says of it; intermediate tables are deleted."""
     with scratch() as keep:
-        return keep(layout(conversations)[0])
+        return keep(layout(conversations, vocabulary)[0])
 
 
-def round_trip(conversations: DataFrame) -> DataFrame:
+def round_trip(conversations: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Write the layout, then read every conversation back from it."""
     with scratch() as keep:
-        stream, carried = layout(conversations)
-        return keep(read_back(durable(stream), carried))
+        stream, carried = layout(conversations, vocabulary)
+        return keep(read_back(durable(stream), carried, vocabulary))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.llm import centroids, chat, decontaminate, embeddings, html, lines, mixing, quality, secrets, sharding, simhash, tokens, whitening
-from wakeline.llm.common import table
+from wakeline.llm.common import scratch, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,13 +30,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.remove_boilerplate(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+    with scratch() as keep:
+        out = lines.remove_boilerplate(table(spark, sf_dir, "documents"))
+        return keep(out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5")))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens"), F.col("_copies").alias("copies"), F.round("_weight", 9).alias("weight"), F.col("_order").alias("block_order"))
+    with scratch() as keep:
+        out = mixing.mix(table(spark, sf_dir, "documents"))
+        return keep(out.select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens"), F.col("_copies").alias("copies"), F.round("_weight", 9).alias("weight"), F.col("_order").alias("block_order")))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
