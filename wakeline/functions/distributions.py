@@ -67,6 +67,45 @@ class MonotoneCubic:
         return (lo + hi) / 2
 
 
+def cubic_points(q: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """(mean, median, mode) of the monotone cubic through each row of quantiles: the integral of the distribution function, its
+    inverse and the greatest of its pieces' parabolas, in closed form but for the inverse (D32, D53). What lies beyond the levels is at the ends."""
+    out = np.repeat(q[:, :1].astype(float), 3, 1)
+    at = np.flatnonzero(np.ptp(q, axis=1) > 0)
+    if not len(at):
+        return out
+    x = np.sort(q[at].astype(float), 1)
+    for k in np.flatnonzero((np.diff(x, axis=1) <= 0).any(1)):
+        x[k] = increasing(x[k])
+    rows = [MonotoneCubic(v, levels) for v in x]
+    p, slope = levels, np.stack([r.slope for r in rows])
+    h, d = np.diff(x, axis=1), np.diff(p) / np.diff(x, axis=1)
+    under = (h * (p[1:] + p[:-1]) / 2 + h * h * (slope[:, :-1] - slope[:, 1:]) / 12).sum(1)
+    out[at, 0] = x[:, -1] - under  # the mass under the first level lies at the first value, that over the last one at the last
+    lo, hi = (x[:, i : len(p) - 1 + i][:, min(max(int(np.searchsorted(p, 0.5, "right")) - 1, 0), len(p) - 2)] for i in (0, 1))
+    k = min(max(int(np.searchsorted(p, 0.5, "right")) - 1, 0), len(p) - 2)
+    if p[k] >= 0.5:
+        out[at, 1] = lo
+    else:
+        begin, length, lo, hi = lo, hi - lo, lo.copy(), hi.copy()
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            t = (mid - begin) / length
+            f = (1 + 2 * t) * (1 - t) ** 2 * p[k] + t * (1 - t) ** 2 * length * slope[:, k] + t * t * (3 - 2 * t) * p[k + 1] + t * t * (t - 1) * length * slope[:, k + 1]
+            lo, hi = np.where(f < 0.5, mid, lo), np.where(f < 0.5, hi, mid)
+        out[at, 1] = (lo + hi) / 2
+    s0, s1 = slope[:, :-1], slope[:, 1:]
+    a, b = 3 * s0 + 3 * s1 - 6 * d, 6 * d - 4 * s0 - 2 * s1  # density a t^2 + b t + s0 on a piece
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(a < 0, np.clip(-b / (2 * a), 0, 1), 0.0)
+    at_t = np.stack([np.zeros_like(t), t, np.ones_like(t)], -1)
+    dense = a[..., None] * at_t**2 + b[..., None] * at_t + s0[..., None]
+    dense = dense.reshape(len(x), -1)
+    best = (dense >= dense.max(1, keepdims=True) * (1 - 1e-9)).argmax(1)  # the first of equal ones
+    out[at, 2] = (x[:, :-1, None] + at_t * h[..., None]).reshape(len(x), -1)[np.arange(len(x)), best]
+    return out
+
+
 def beta_cdf(x: np.ndarray, a: float, b: float) -> np.ndarray:
     """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
     x = np.asarray(x, float)
@@ -345,6 +384,10 @@ def reference_box(steps: np.ndarray, horizon: int, alpha: float | np.ndarray, dr
     """Percentile boxes of resampled, summed steps: (lo, hi) of each horizon (D23), first by alpha if that is an array."""
     rng = np.random.default_rng(seed)
     picks = rng.integers(0, len(steps), (draws, horizon)) if replace else np.stack([rng.permutation(len(steps))[:horizon] for _ in range(draws)])
-    paths = np.cumsum(steps[picks], axis=1)
+    paths = np.ascontiguousarray(np.cumsum(steps[picks], axis=1).transpose(1, 2, 0))
     side = 1 - np.sqrt(1 - np.asarray(alpha))
-    return np.quantile(paths, side / 2, axis=0), np.quantile(paths, 1 - side / 2, axis=0)
+    at = np.stack([side / 2, 1 - side / 2]) * (draws - 1)
+    low = np.minimum(np.floor(at).astype(int), draws - 2)
+    ranked = np.partition(paths, np.unique([low, low + 1]), axis=-1)  # once for all levels
+    lo, hi = (np.moveaxis(ranked[..., i] + (ranked[..., i + 1] - ranked[..., i]) * (t - i), (0, 1), (-2, -1)) for i, t in zip(low, at))
+    return lo, hi

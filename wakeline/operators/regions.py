@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.functions import contours as C
 from wakeline.functions import distributions as D
 from wakeline.functions import scores, spatial
 
@@ -22,59 +23,130 @@ def quantile_arrays(x: DataFrame, y: DataFrame, keys: Sequence[str]) -> DataFram
     return side(x, "x").join(side(y, "y").drop("levels"), list(keys))
 
 
-def evaluate(rows: DataFrame, keys: Sequence[str], confidences: Sequence[float] = scores.CONFIDENCES, kind: str = "hull", rho: float = 0.0, samples: int = 100000) -> DataFrame:
-    """area (km2), covered and, for hulls, the ring of every key and confidence.
+RINGS = "array<struct<part:int,hole:boolean,ring:array<struct<x:double,y:double>>>>"
 
-    Rows hold levels, qx, qy, x and y. Each row is worked on by itself in Arrow batches, and only rows are shuffled. The
-    densest part is that of `samples` points of equal mass. A level past the largest sampled one widens the region by what is missing.
+
+def spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows dealt out whatever their size: a row is work of some milliseconds and a few hundred bytes, which size-based partitions would put in one task."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def evaluate(rows: DataFrame, keys: Sequence[str], confidences: Sequence[float] = scores.CONFIDENCES, kind: str = "hull", rho: float = 0.0, samples: int = 100000, grid: int = 120) -> DataFrame:
+    """area (km2), covered and rings of every key and confidence.
+
+    Rows hold levels, qx, qy, x and y. Each row is worked on by itself in Arrow batches, and only rows are shuffled. A `hull` is that of the
+    densest part of `samples` points of equal mass; a `contour` is traced on a grid of the density, with parts and holes; an
+    `alpha` shape is that of the densest of 500 drawn points. A level past the largest sampled one widens a hull by what is
+    missing. A point is covered if it lies in an exterior and in no hole.
     """
-    # A row is work of some milliseconds and a few hundred bytes, so rows are dealt out whatever their size.
-    own = rows.select(*keys, "levels", "qx", "qy", "x", "y").repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys)
-    names = [*keys, "confidence", "area", "covered", "ring"]
+    own = spread(rows.select(*keys, "levels", "qx", "qy", "x", "y"), keys)
+
+    def regions(row):
+        dist = D.Bivariate(np.asarray(row.qx), np.asarray(row.qy), np.asarray(row.levels), rho)
+        tops = [min(c, 0.99) for c in confidences]
+        if kind == "hull":
+            for c, top, ring in zip(confidences, tops, dist.hulls(tops, samples)):
+                centre = ring.mean(0)
+                yield c, [(0, False, centre + (ring - centre) * (1 + c - top))]
+        elif kind == "contour":
+            x, y = (np.linspace(d.x[0], d.x[-1], grid) for d in (dist.x, dist.y))
+            z = np.outer(dist.x.pdf(x), dist.y.pdf(y)) if not rho else dist.pdf(np.stack(np.meshgrid(x, y, indexing="ij"), -1).reshape(-1, 2)).reshape(grid, grid)
+            even = dist.even(samples)[2]
+            for c, level in zip(confidences, np.quantile(even, 1 - np.array(confidences))):
+                yield c, C.level_region(z, x, y, float(level))
+        else:
+            drawn = dist.sample(500)
+            drawn = drawn[np.argsort(-dist.pdf(drawn), kind="stable")]
+            for c in confidences:
+                yield c, C.alpha_region(drawn[: max(3, int(c * len(drawn)))])
+
+    return _regions(own, keys, regions)
+
+
+def _regions(own: DataFrame, keys: Sequence[str], regions, more: Sequence[str] = ()) -> DataFrame:
+    """area, covered and rings of what `regions` yields for each row, and the numbers that it yields besides, named by `more`."""
 
     def work(frames):
         for f in frames:
             out = []
             for row in f.itertuples(index=False):
-                key = row[: len(keys)]
-                dist = D.Bivariate(np.asarray(row.qx), np.asarray(row.qy), np.asarray(row.levels), rho)
                 point = np.array([[row.x, row.y]], float)
-                tops = [min(c, 0.99) for c in confidences]
-                rings = dist.hulls(tops, samples) if kind == "hull" else tops
-                for c, top, ring in zip(confidences, tops, rings):
-                    if kind == "hull":
-                        centre = ring.mean(0)
-                        ring = centre + (ring - centre) * (1 + c - top)
-                        area, hit = D.area_on_sphere(ring), bool(D.inside_ring(point, ring)[0])
-                        vertices = [{"x": float(a), "y": float(b)} for a, b in ring]
-                    else:
-                        area, hit, vertices = dist.contour_area(c, 60, samples), bool(dist.pdf(point)[0] >= dist.level(c, samples)), []
-                    out.append([*key, float(c), area, int(hit), vertices])
-            yield pd.DataFrame(out, columns=names)
+                for c, region, *besides in regions(row):
+                    rings = [{"part": part, "hole": hole, "ring": [{"x": float(a), "y": float(b)} for a, b in ring]} for part, hole, ring in region]
+                    out.append([*row[: len(keys)], float(c), C.region_area(region), int(C.in_region(point, region)[0]), rings, *besides])
+            yield pd.DataFrame(out, columns=[*keys, "confidence", "area", "covered", "rings", *more])
 
-    kinds = ", ".join(f"{k} {own.schema[k].dataType.simpleString()}" for k in keys)
-    return own.mapInPandas(work, f"{kinds}, confidence double, area double, covered int, ring array<struct<x:double,y:double>>")
+    kinds = ", ".join([*(f"{k} {own.schema[k].dataType.simpleString()}" for k in keys), f"confidence double, area double, covered int, rings {RINGS}", *(f"{m} double" for m in more)])
+    return own.mapInPandas(work, kinds)
 
 
-def point_predictions(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean, median and mode of either axis."""
-    own = rows.select(*keys, "levels", "qx", "qy")
+def mixture_regions(rows: DataFrame, keys: Sequence[str], confidences: Sequence[float] = scores.CONFIDENCES, grid: int = 160) -> DataFrame:
+    """area, covered and rings of Gaussian mixtures, and `mass`, that of the part denser than the point.
+
+    Rows hold parts, an array of (weight, mx, my, l11, l22, l21) with the factor's diagonal positive, and the point x, y. The density is
+    taken on a grid four deviations about all parts; its levels are those that hold each share of the grid's mass.
+    """
+    own = spread(rows.select(*keys, "parts", "x", "y"), keys)
+
+    def regions(row):
+        parts = np.array([[p[c] for c in ("weight", "mx", "my", "l11", "l22", "l21")] for p in row.parts], float)
+        dist = D.Mixture(parts)
+        wide = 4 * np.stack([parts[:, 3], np.hypot(parts[:, 4], parts[:, 5])], 1)
+        x, y = (np.linspace((parts[:, 1 + k] - wide[:, k]).min(), (parts[:, 1 + k] + wide[:, k]).max(), grid) for k in range(2))
+        z = dist.pdf(np.stack(np.meshgrid(x, y, indexing="ij"), -1).reshape(-1, 2)).reshape(grid, grid)
+        mass = float(z[z > dist.pdf(np.array([[row.x, row.y]], float))[0]].sum() / z.sum())
+        for c in confidences:
+            yield c, C.level_region(z, x, y, C.mass_level(z, x, y, c)), mass
+
+    return _regions(own, keys, regions, ["mass"])
+
+
+def alpha_shapes(points: DataFrame, key: str, x: str, y: str, cells: int = 24, radius: float | None = None) -> DataFrame:
+    """rings, area (km2), points and cells of the alpha shape of each key's points in the Mercator plane.
+
+    Points are first averaged over a lattice of `cells` by `cells` across the key's range, before and after the shuffle, so a task holds no more
+    than that many of a key whatever its points are.
+    """
+    own = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).alias("x"), F.col(y).alias("y"))
+    box = own.groupBy(key).agg(*[f(c).alias(f"_{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+    cell = lambda c: F.coalesce(F.least(F.floor(F.try_divide(F.col(c) - F.col(f"_lo{c}"), F.col(f"_hi{c}") - F.col(f"_lo{c}")) * cells), F.lit(cells - 1)), F.lit(0))
+    thin = own.join(box, key).groupBy(key, cell("x").alias("_i"), cell("y").alias("_j")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
+    lists = spread(thin.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"), F.sum("n").alias("points")), [key])
 
     def work(frames):
         for f in frames:
             out = []
             for row in f.itertuples(index=False):
-                values = []
-                for q in (row.qx, row.qy):
-                    q = np.asarray(q, float)
-                    if np.ptp(q) == 0:
-                        values += [q[0]] * 3
-                        continue
-                    d = D.MonotoneCubic(q, np.asarray(row.levels))
-                    even = d.inverse((np.arange(200) + 0.5) / 200)
-                    values += [float(even.mean()), float(d.inverse(0.5)), D.mode(d)]
-                out.append([*row[: len(keys)], *values])
-            yield pd.DataFrame(out, columns=[*keys, "x_mean", "x_median", "x_mode", "y_mean", "y_median", "y_mode"])
+                region = C.alpha_region(np.array([[v["x"], v["y"]] for v in row.p]), radius)
+                out.append([row[0], [{"part": part, "hole": hole, "ring": [{"x": float(a), "y": float(b)} for a, b in ring]} for part, hole, ring in region], C.region_area(region), row.points, len(row.p)])
+            yield pd.DataFrame(out, columns=[key, "rings", "area", "points", "cells"])
+
+    return lists.mapInPandas(work, f"{key} {lists.schema[key].dataType.simpleString()}, rings {RINGS}, area double, points long, cells int")
+
+
+def mixtures(points: DataFrame, key: str, part: str, x: str, y: str, least: int = 3) -> DataFrame:
+    """`parts` of a mixture for every key: a Gaussian for each value of `part` with `least` points and spread both ways, weighed by its points."""
+    own = points.groupBy(key, part).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"), F.covar_samp(x, y).alias("vxy"))
+    own = own.where((F.col("n") >= least) & (F.col("vx") > 0)).withColumn("l11", F.sqrt("vx")).withColumn("l21", F.col("vxy") / F.col("l11"))
+    own = own.withColumn("l22", F.sqrt(F.greatest(F.col("vy") - F.col("l21") * F.col("l21"), F.lit(0.0)))).where("l22 > 1e-9 * sqrt(vy)")
+    row = F.struct(F.col(part), F.col("n").cast("double").alias("weight"), "mx", "my", "l11", "l22", "l21")
+    return own.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("parts"))
+
+
+def point_predictions(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean, median and mode of either axis (D32, D53), for all rows of a batch at once."""
+    own = spread(rows.select(*keys, "levels", "qx", "qy"), keys)
+
+    def work(frames):
+        for f in frames:
+            out = f[list(keys)].copy()
+            for axis in "xy":
+                found = np.full((len(f), 3), np.nan)
+                kind = f["levels"].map(lambda p: tuple(p))
+                for levels, at in kind.groupby(kind, sort=False).indices.items():
+                    found[at] = D.cubic_points(np.stack(f[f"q{axis}"].iloc[at].to_list()), np.array(levels, float))
+                out[[f"{axis}_mean", f"{axis}_median", f"{axis}_mode"]] = found
+            yield out
 
     kinds = ", ".join(f"{k} {own.schema[k].dataType.simpleString()}" for k in keys)
     return own.mapInPandas(work, f"{kinds}, x_mean double, x_median double, x_mode double, y_mean double, y_median double, y_mode double")
@@ -83,7 +155,7 @@ def point_predictions(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def reference_areas(steps: DataFrame, horizon: int, confidences: Sequence[float] = scores.CONFIDENCES, draws: int = 10000, replace: bool = True) -> DataFrame:
     """area_ref by id, time_step and confidence: boxes of resampled own steps (dx, dy) about the last position y0."""
     lists = steps.where("dx is not null and dy is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ts", "dx", "dy"))).alias("s"), F.max_by("y", "ts").alias("y0"))
-    own = lists.select("id", "y0", F.transform("s", lambda s: s["dx"]).alias("dx"), F.transform("s", lambda s: s["dy"]).alias("dy"))
+    own = spread(lists.select("id", "y0", F.transform("s", lambda s: s["dx"]).alias("dx"), F.transform("s", lambda s: s["dy"]).alias("dy")), ["id"])
 
     def work(frames):
         for f in frames:

@@ -1139,10 +1139,41 @@ def region_hulls(spark, d):
 
 
 @query()
+def region_contours(spark, d):
+    """Parts, holes and area of the densest region of one axis with itself."""
+    p = predictions(spark, d)
+    out = regions.evaluate(regions.quantile_arrays(p, p, ["id", "time_idx"]), ["id", "time_idx"], (0.5, 0.9), kind="contour", samples=10000, grid=80)
+    count = lambda hole: F.size(F.filter("rings", lambda g: g["hole"] == hole))
+    return out.select("id", "time_idx", "confidence", "area", "covered", count(False).alias("parts"), count(True).alias("holes"))
+
+
+@query()
+def region_alpha_shapes(spark, d):
+    """The alpha shape of every track's fixes."""
+    x, y = spatial.mercator(F.radians("lat"), F.radians("lon"))
+    out = regions.alpha_shapes(fixes(spark, d).select("id", x.alias("x"), y.alias("y")), "id", "x", "y")
+    count = lambda hole: F.size(F.filter("rings", lambda g: g["hole"] == hole))
+    return out.select("id", "points", "cells", "area", count(False).alias("parts"), count(True).alias("holes"))
+
+
+@query()
+def mixture_regions(spark, d):
+    """A Gaussian for each kind of a track's fixes, its regions and the mass of what is denser than its last fix."""
+    own = fixes(spark, d).where("value is not null and k is not null")
+    parts = regions.mixtures(own, "id", "lc", "value", "k")
+    last = own.groupBy("id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("x"), F.max_by("k", F.struct("ts", "event_id")).alias("y"))
+    out = regions.mixture_regions(parts.join(last, "id"), ["id"], (0.5, 0.9))
+    return out.select("id", "confidence", "area", "covered", F.size(F.filter("rings", lambda g: ~g["hole"])).alias("parts"), "mass")
+
+
+@query("predictions", """, c AS (SELECT id, time_idx, max(prediction) FILTER (WHERE quantile = 0.5) AS m FROM predictions GROUP BY ALL),
+    s AS (SELECT *, 60 / (30 / 0.02::DOUBLE + 30 / 0.025::DOUBLE) AS s0, 0.025::DOUBLE AS s1 FROM c), v AS (SELECT *, m - 10 + 10 * (6 * 0.025::DOUBLE - 4 * s0 - 2 * s1) / (2 * (6 * 0.025::DOUBLE - 3 * s0 - 3 * s1)) AS top FROM s)
+    SELECT id, time_idx, round(m, 6) + 0.0 AS x_mean, round(m, 6) + 0.0 AS x_median, round(top, 6) + 0.0 AS x_mode, round(m, 6) + 0.0 AS y_mean, round(m, 6) + 0.0 AS y_median, round(top, 6) + 0.0 AS y_mode FROM v""")
 def distribution_points(spark, d):
-    """D30, D32, D53."""
+    """The stand-ins are even about their median, so that is the mean; of two equal modes the lower one counts."""
     p = predictions(spark, d)
-    return regions.point_predictions(regions.quantile_arrays(p, p, ["id", "time_idx"]), ["id", "time_idx"])
+    out = regions.point_predictions(regions.quantile_arrays(p, p, ["id", "time_idx"]), ["id", "time_idx"])
+    return out.select("id", "time_idx", *[r(f"{a}_{b}").alias(f"{a}_{b}") for a in "xy" for b in ("mean", "median", "mode")])
 
 
 @query()
