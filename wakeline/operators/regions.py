@@ -27,8 +27,10 @@ RINGS = "array<struct<part:int,hole:boolean,ring:array<struct<x:double,y:double>
 
 
 def spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows dealt out whatever their size: a row is work of some milliseconds and a few hundred bytes, which size-based partitions would put in one task."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys)
+    """Rows dealt out whatever their size: a row is work of some milliseconds and a few hundred bytes, which size-based partitions would put in one task.
+
+    By a hash of the keys, as an exchange by the keys themselves would be taken for one that is there already and dropped."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, F.xxhash64(*keys))
 
 
 def evaluate(rows: DataFrame, keys: Sequence[str], confidences: Sequence[float] = scores.CONFIDENCES, kind: str = "hull", rho: float = 0.0, samples: int = 100000, grid: int = 120) -> DataFrame:
@@ -101,17 +103,18 @@ def mixture_regions(rows: DataFrame, keys: Sequence[str], confidences: Sequence[
     return _regions(own, keys, regions, ["mass"])
 
 
-def alpha_shapes(points: DataFrame, key: str, x: str, y: str, cells: int = 24, radius: float | None = None) -> DataFrame:
-    """rings, area (km2), points and cells of the alpha shape of each key's points in the Mercator plane.
+def alpha_shapes(points: DataFrame, key: str, x: str, y: str, cells: int = 16, radius: float | None = None) -> DataFrame:
+    """rings, area (km2), and how many points there were and were kept, of the alpha shape of each key's points in the Mercator plane.
 
-    Points are first averaged over a lattice of `cells` by `cells` across the key's range, before and after the shuffle, so a task holds no more
-    than that many of a key whatever its points are.
+    Of the points in each cell of a lattice of `cells` by `cells` across the key's range, those furthest to either side are kept, by partial
+    aggregation, so a task holds four points a cell of a key whatever its points are, and borders stay where they are.
     """
     own = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).alias("x"), F.col(y).alias("y"))
     box = own.groupBy(key).agg(*[f(c).alias(f"_{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
     cell = lambda c: F.coalesce(F.least(F.floor(F.try_divide(F.col(c) - F.col(f"_lo{c}"), F.col(f"_hi{c}") - F.col(f"_lo{c}")) * cells), F.lit(cells - 1)), F.lit(0))
-    thin = own.join(box, key).groupBy(key, cell("x").alias("_i"), cell("y").alias("_j")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
-    lists = spread(thin.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"), F.sum("n").alias("points")), [key])
+    thin = own.join(box, key).groupBy(key, cell("x").alias("_i"), cell("y").alias("_j")).agg(*[f(F.struct(a, b)).alias(f"_{n}{a}") for a, b in ("xy", "yx") for n, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("n"))
+    ends = F.array(*[F.struct(F.col(f"_{n}{a}.x").alias("x"), F.col(f"_{n}{a}.y").alias("y")) for a in "xy" for n in ("lo", "hi")])
+    lists = spread(thin.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(ends)))).alias("p"), F.sum("n").alias("points")), [key])
 
     def work(frames):
         for f in frames:
@@ -119,9 +122,9 @@ def alpha_shapes(points: DataFrame, key: str, x: str, y: str, cells: int = 24, r
             for row in f.itertuples(index=False):
                 region = C.alpha_region(np.array([[v["x"], v["y"]] for v in row.p]), radius)
                 out.append([row[0], [{"part": part, "hole": hole, "ring": [{"x": float(a), "y": float(b)} for a, b in ring]} for part, hole, ring in region], C.region_area(region), row.points, len(row.p)])
-            yield pd.DataFrame(out, columns=[key, "rings", "area", "points", "cells"])
+            yield pd.DataFrame(out, columns=[key, "rings", "area", "points", "kept"])
 
-    return lists.mapInPandas(work, f"{key} {lists.schema[key].dataType.simpleString()}, rings {RINGS}, area double, points long, cells int")
+    return lists.mapInPandas(work, f"{key} {lists.schema[key].dataType.simpleString()}, rings {RINGS}, area double, points long, kept int")
 
 
 def mixtures(points: DataFrame, key: str, part: str, x: str, y: str, least: int = 3) -> DataFrame:

@@ -273,7 +273,7 @@ def hurst(values: np.ndarray, min_size: int = 10) -> float:
 def hurst_by(points: DataFrame, value: str, order: str = "ts") -> DataFrame:
     """`hurst` of each track's ordered values."""
     lists = points.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias("v"))
-    lists = lists.repartition(points.sparkSession.sparkContext.defaultParallelism, "id")  # lists are small but dear
+    lists = lists.repartition(points.sparkSession.sparkContext.defaultParallelism, F.xxhash64("id"))  # lists are small but dear
 
     @F.pandas_udf("double")
     def of(v: pd.Series) -> pd.Series:

@@ -1122,6 +1122,16 @@ def bootstrap_ci(spark, d):
     return stats.bootstrap(_scored(spark, d), "covered", ["confidence"], "id")
 
 
+@query()
+def bootstrap_medians(spark, d):
+    """The median over tracks of their mean interval length, and the root mean square of their misses, whole tracks resampled."""
+    own = _scored(spark, d)
+    lengths = stats.bootstrap_statistic(own, "length", ["confidence"], "id", "median").withColumn("statistic", F.lit("median length"))
+    miss = own.withColumn("miss", F.greatest(F.col("lo") - F.col("actual"), F.col("actual") - F.col("hi"), F.lit(0.0)))
+    misses = stats.bootstrap_statistic(miss, "miss", ["confidence"], "id", "rms", within="rms").withColumn("statistic", F.lit("rms miss"))
+    return lengths.unionByName(misses)
+
+
 @query()
 def reference_area(spark, d):
     """D23."""
@@ -1153,7 +1163,7 @@ def region_alpha_shapes(spark, d):
     x, y = spatial.mercator(F.radians("lat"), F.radians("lon"))
     out = regions.alpha_shapes(fixes(spark, d).select("id", x.alias("x"), y.alias("y")), "id", "x", "y")
     count = lambda hole: F.size(F.filter("rings", lambda g: g["hole"] == hole))
-    return out.select("id", "points", "cells", "area", count(False).alias("parts"), count(True).alias("holes"))
+    return out.select("id", "points", "kept", "area", count(False).alias("parts"), count(True).alias("holes"))
 
 
 @query()
