@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
@@ -312,15 +313,74 @@ def reanchor(points: DataFrame, order: str = "ts") -> DataFrame:
     return points.groupBy("id").applyInPandas(rule, points.schema)
 
 
-def track_distances(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Least and mean distance in km between all points of the tracks of each stated pair (id_a, id_b).
+#: Powers of two into which latitudes and longitudes are cut, coarse to fine, before points meet.
+CELL_LEVELS = (3, 5, 7, 9, 11, 13)
 
-    The product of two tracks' points is aggregated on the map side, one partial row a pair and task.
+
+def _cells(points: DataFrame, side: str, level: int) -> DataFrame:
+    """The occupied cells of each track at the finest level, or their parents at a coarser one."""
+    shift = CELL_LEVELS[-1] - level
+    return points.select(f"id_{side}", *[F.shiftright(f"{c}_{side}", shift).alias(f"{c}_{side}") for c in "ij"]).distinct()
+
+
+def _located(points: DataFrame, side: str) -> DataFrame:
+    """id, i and j of the finest cell, and radians."""
+    n = 1 << CELL_LEVELS[-1]
+    i = F.least(F.floor((F.col("lat") + 90) / 180 * n), F.lit(n - 1)).cast("int")
+    j = F.least(F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / 360 * n), F.lit(n - 1)).cast("int")
+    own = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    return own.select(F.col("id").alias(f"id_{side}"), i.alias(f"i_{side}"), j.alias(f"j_{side}"), F.radians("lat").alias(f"lat_{side}"), F.radians("lon").alias(f"lon_{side}"))
+
+
+def _cap(side: str, level: int) -> tuple[Column, Column, Column]:
+    """Centre and radius, in radians, of a cap about a cell: along the centre's parallel and then a meridian no point of it is further."""
+    step = math.pi / (1 << level)
+    lat = -math.pi / 2 + (F.col(f"i_{side}") + 0.5) * step
+    return lat, -math.pi + (F.col(f"j_{side}") + 0.5) * 2 * step, step / 2 + F.cos(lat) * step
+
+
+def distance_candidates(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of finest cells (i_a, j_a, i_b, j_b) of each stated pair of tracks that may hold its least distance.
+
+    Level by level, a pair of cells whose caps are further apart than the least that any other pair of the same tracks can be is left out, and
+    only the occupied children of the rest meet at the next level.
+    """
+    left, right = _located(a, "a"), _located(b, "b")
+    front = pairs.join(_cells(left, "a", CELL_LEVELS[0]), "id_a").join(_cells(right, "b", CELL_LEVELS[0]), "id_b")
+    for level, finer in zip(CELL_LEVELS, (*CELL_LEVELS[1:], None)):
+        (lat_a, lon_a, r_a), (lat_b, lon_b, r_b) = _cap("a", level), _cap("b", level)
+        between = spatial.great_circle(lat_a, lon_a, lat_b, lon_b)
+        least = F.min("_hi").over(Window.partitionBy("id_a", "id_b"))
+        front = front.withColumns({"_lo": between - r_a - r_b, "_hi": between + r_a + r_b}).withColumn("_least", least)
+        front = front.where(F.col("_lo") <= F.col("_least") + 1e-9).drop("_lo", "_hi", "_least")
+        if finer is not None:
+            for side, cells in (("a", left), ("b", right)):
+                child = _cells(cells, side, finer)
+                up = [F.shiftright(f"{c}_{side}", finer - level).alias(f"_{c}") for c in "ij"]
+                front = front.withColumnsRenamed({f"{c}_{side}": f"_{c}" for c in "ij"}).join(child.select("*", *up), [f"id_{side}", "_i", "_j"]).drop("_i", "_j")
+    return front
+
+
+def least_distances(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
+    """least_km between the tracks of each stated pair (id_a, id_b), by a hierarchy of cells on the sphere.
+
+    Points of two tracks meet only in pairs of cells that can hold the least distance, so work follows the length of the tracks and not its square.
+    """
+    front = distance_candidates(a, b, pairs)
+    met = front.join(_located(a, "a"), ["id_a", "i_a", "j_a"]).join(_located(b, "b"), ["id_b", "i_b", "j_b"])
+    d = spatial.great_circle(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) * spatial.EARTH_RADIUS
+    return met.groupBy("id_a", "id_b").agg(F.min(d).alias("least_km"))
+
+
+def mean_distances(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
+    """mean_km over all pairs of points of the tracks of each stated pair (id_a, id_b), which is a product by definition.
+
+    Points that fall on one place count once with their number; the product is aggregated on the map side, a partial row a pair and task.
     """
-    left = a.select(F.col("id").alias("id_a"), F.radians("lat").alias("lat_a"), F.radians("lon").alias("lon_a"))
-    right = b.select(F.col("id").alias("id_b"), F.radians("lat").alias("lat_b"), F.radians("lon").alias("lon_b"))
+    side = lambda d, s: d.groupBy(F.col("id").alias(f"id_{s}"), F.radians("lat").alias(f"lat_{s}"), F.radians("lon").alias(f"lon_{s}")).agg(F.count("*").alias(f"n_{s}"))
     d = spatial.great_circle(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) * spatial.EARTH_RADIUS
-    return pairs.join(left, "id_a").join(right, "id_b").groupBy("id_a", "id_b").agg(F.min(d).alias("least_km"), F.avg(d).alias("mean_km"))
+    n = F.col("n_a") * F.col("n_b")
+    return pairs.join(side(a, "a"), "id_a").join(side(b, "b"), "id_b").groupBy("id_a", "id_b").agg((F.sum(d * n) / F.sum(n)).alias("mean_km"))
 
 
 def geodesics(pairs: DataFrame, steps: int) -> DataFrame:

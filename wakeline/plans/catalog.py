@@ -460,10 +460,18 @@ def track_shape(spark, d):
 
 @query("fixes", f"SELECT a.id AS id_a, b.id AS id_b, round(min({gcd('radians(a.lat)', 'radians(a.lon)', 'radians(b.lat)', 'radians(b.lon)')} * {RADIUS}), 2) + 0.0 AS least_km FROM fixes a JOIN fixes b ON b.id = a.id + 1 GROUP BY ALL")
 def track_pair_min_distance(spark, d):
-    """Every track against the one of the next id."""
+    """Every track against the one of the next id."""
     f = fixes(spark, d)
     following = f.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b")).distinct()
-    return tracks.track_distances(f, f, following).select("id_a", "id_b", r("least_km", 2).alias("least_km"))
+    return tracks.least_distances(f, f, following).select("id_a", "id_b", r("least_km", 2).alias("least_km"))
+
+
+@query("fixes", f"SELECT a.id AS id_a, b.id AS id_b, round(avg({gcd('radians(a.lat)', 'radians(a.lon)', 'radians(b.lat)', 'radians(b.lon)')} * {RADIUS}), 2) + 0.0 AS mean_km FROM fixes a JOIN fixes b ON b.id = a.id + 1 GROUP BY ALL")
+def track_pair_mean_distance(spark, d):
+    """P5, J18."""
+    f = fixes(spark, d)
+    following = f.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b")).distinct()
+    return tracks.mean_distances(f, f, following).select("id_a", "id_b", r("mean_km", 2).alias("mean_km"))
 
 
 @query("fixes", "SELECT event_id, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY id ORDER BY ts)) / 1e6 > 3600, true) AS keep FROM fixes")
