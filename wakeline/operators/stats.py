@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from statistics import NormalDist
 
@@ -306,6 +307,75 @@ def kernel_density(df: DataFrame, x: str, points: Sequence[float], bandwidth: fl
     return out.select("at", (F.col("_w") / (F.col("_n") * bandwidth * 2.5066282746310002)).alias("density"))
 
 
+def _spread_along(counts: DataFrame, axis: str, keep: Sequence[str], width: float, bandwidth: float, step: float, reach: float) -> DataFrame:
+    """Kernel sums of counted cells at multiples of `step` along one axis, up to `reach` bandwidths away."""
+    at = F.col(axis) * width
+    to = F.explode(F.sequence(F.ceil((at - reach * bandwidth) / step), F.floor((at + reach * bandwidth) / step))).alias("_to")
+    z = (F.col("_to") * step - at) / bandwidth
+    out = counts.where(F.floor((at + reach * bandwidth) / step) >= F.ceil((at - reach * bandwidth) / step)).select(*keep, axis, "n", to)
+    return out.groupBy(*keep, F.col("_to").alias(f"{axis}_to")).agg(F.sum(F.col("n") * F.exp(-z * z / 2)).alias("n"))
+
+
+def density_grid(df: DataFrame, x: str, y: str, bandwidth: tuple[float, float], step: tuple[float, float], resolution: int = 8, reach: float = 5.0) -> DataFrame:
+    """i, j, x, y and Gaussian density at the multiples of `step`.
+
+    Points are counted on a lattice of 1/resolution bandwidths; the kernel is a product, so counts are spread along one axis and summed, then along
+    the other: the work follows occupied cells and not rows, and no pairs of points are formed. Beyond `reach` bandwidths a point counts as none.
+    """
+    own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    width = [b / resolution for b in bandwidth]
+    counts = own.groupBy(F.floor(F.col(x) / width[0] + 0.5).alias("i"), F.floor(F.col(y) / width[1] + 0.5).alias("j")).agg(F.count("*").alias("n"))
+    total = own.agg(F.count("*").alias("_all"))
+    along_x = _spread_along(counts, "i", ["j"], width[0], bandwidth[0], step[0], reach)
+    both = _spread_along(along_x, "j", ["i_to"], width[1], bandwidth[1], step[1], reach).join(F.broadcast(total))  # one row
+    density = F.col("n") / (F.col("_all") * 2 * math.pi * bandwidth[0] * bandwidth[1])
+    return both.select(F.col("i_to").alias("i"), F.col("j_to").alias("j"), (F.col("i_to") * step[0]).alias("x"), (F.col("j_to") * step[1]).alias("y"), density.alias("density"))
+
+
+def bandwidth_likelihoods(df: DataFrame, columns: Sequence[str], bandwidths: Sequence[Sequence[float]], resolution: int = 4, reach: float = 5.0) -> DataFrame:
+    """candidate, and the leave-one-out log likelihood of a Gaussian density with each candidate's bandwidths, one a column.
+
+    One job for all candidates: rows are counted on each one's lattice of 1/resolution bandwidths, counts are spread along one axis after the other, to
+    occupied places only, and each cell's own point is taken off its sum. A point with no other one in reach has the density of one at its edge.
+    """
+    d, steps = len(columns), int(reach * resolution)
+    rows = df.where(_all([F.col(c).isNotNull() for c in columns])).select(*columns)
+    named = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(float(h)).alias(f"h{i}") for i, h in enumerate(hs)]) for k, hs in enumerate(bandwidths)])).alias("c")
+    cells = rows.select(*columns, named).groupBy(F.col("c.k").alias("candidate"), *[F.floor(F.col(c) * resolution / F.col(f"c.h{i}") + 0.5).alias(f"g{i}") for i, c in enumerate(columns)])
+    cells = cells.agg(F.count("*").cast("double").alias("n"))
+    offset = F.explode(F.sequence(F.lit(-steps), F.lit(steps))).alias("o")
+    sums = cells
+    for i in range(d):
+        own = [c for c in sums.columns if c not in (f"g{i}", "n")]
+        near = sums.select(*own, f"g{i}", "n", offset)
+        near = near.select(*own, (F.col(f"g{i}") + F.col("o")).alias(f"g{i}"), (F.col("n") * F.exp(-F.pow(F.col("o") / resolution, 2) / 2)).alias("n"))
+        seen = ["candidate", *[f"g{j}" for j in range(i + 1)]]  # places where no point shares these are never read
+        sums = near.groupBy(*own, f"g{i}").agg(F.sum("n").alias("n")).join(cells.select(*seen).distinct(), seen, "left_semi")
+    total = rows.agg(F.count("*").cast("double").alias("_all"))
+    volume = F.element_at(F.array(*[F.lit(float(np.prod(hs)) * (2 * math.pi) ** (d / 2)) for hs in bandwidths]), F.col("candidate") + 1)
+    key = ["candidate", *[f"g{i}" for i in range(d)]]
+    each = cells.withColumnRenamed("n", "here").join(sums, key).join(F.broadcast(total))  # one row
+    density = F.greatest(F.col("n") - 1, F.lit(math.exp(-reach * reach / 2))) / ((F.col("_all") - 1) * volume)
+    return each.groupBy("candidate").agg(F.sum(F.col("here") * F.log(density)).alias("log_likelihood"))
+
+
+def best_bandwidth(df: DataFrame, columns: Sequence[str], low: float = 0.1, high: float = 10.0, rounds: int = 3, ways: int = 9, **options) -> list[float]:
+    """Bandwidths, the same share of each column's deviation, of the greatest leave-one-out likelihood (A29; `low` and `high` are such shares).
+
+    `ways` shares, even in their logarithms, are tried in one job; the next round lies between the neighbours of the best. The driver holds `ways` numbers a round.
+    """
+    spread = df.agg(*[F.stddev(c).alias(c) for c in columns]).first()
+    if any(not spread[c] for c in columns):
+        raise ValueError("a bandwidth needs two different values in each column")
+    best = low
+    for _ in range(rounds):
+        shares = np.geomspace(low, high, ways)
+        found = {r.candidate: r.log_likelihood for r in bandwidth_likelihoods(df, columns, [[s * spread[c] for c in columns] for s in shares], **options).collect()}
+        at = max(found, key=lambda k: (found[k], -k))
+        best, low, high = shares[at], shares[max(at - 1, 0)], shares[min(at + 1, ways - 1)]
+    return [float(best * spread[c]) for c in columns]
+
+
 def quantile_items(df: DataFrame, columns: Sequence[str], key: str, bins: int = 4) -> DataFrame:
     """Item sets `feature=pLow - pHigh` of approximate quantile bins."""
     shares = [i / bins for i in range(1, bins)]

@@ -956,6 +956,27 @@ def kernel_density(spark, d):
     return stats.kernel_density(fixes(spark, d), "value", [10.0, 50.0, 200.0], 20.0).select("at", F.round("density", 9).alias("density"))
 
 
+@query("fixes", """, c AS (SELECT floor(value / (20.0::DOUBLE / 8) + 0.5) AS i, floor(k / (15.0::DOUBLE / 8) + 0.5) AS j, count(*) AS n FROM fixes WHERE value IS NOT NULL AND k IS NOT NULL GROUP BY ALL),
+    x AS (SELECT t AS i, j, sum(n * exp(-pow((t * 25 - c.i * 2.5::DOUBLE) / 20, 2) / 2)) AS n FROM c, (SELECT unnest(generate_series(-40, 200)) AS t) WHERE t BETWEEN ceil((c.i * 2.5::DOUBLE - 100) / 25) AND floor((c.i * 2.5::DOUBLE + 100) / 25) GROUP BY ALL),
+    y AS (SELECT i, t AS j, sum(n * exp(-pow((t * 20 - x.j * 1.875::DOUBLE) / 15, 2) / 2)) AS n FROM x, (SELECT unnest(generate_series(-40, 200)) AS t) WHERE t BETWEEN ceil((x.j * 1.875::DOUBLE - 75) / 20) AND floor((x.j * 1.875::DOUBLE + 75) / 20) GROUP BY ALL)
+    SELECT i, j, round(n / ((SELECT count(*) FROM fixes WHERE value IS NOT NULL AND k IS NOT NULL) * 2 * pi() * 300), 12) AS density FROM y""")
+def kernel_density_2d(spark, d):
+    """On a grid of 25 by 20, bandwidths 20 and 15."""
+    return stats.density_grid(fixes(spark, d), "value", "k", (20.0, 15.0), (25.0, 20.0)).select("i", "j", F.round("density", 12).alias("density"))
+
+
+WIDTHS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0)
+
+
+@query("fixes", f""", b AS (SELECT unnest(range({len(WIDTHS)})) AS candidate, unnest({list(WIDTHS)}::DOUBLE[]) AS h), v AS (SELECT value FROM fixes WHERE value IS NOT NULL),
+    c AS (SELECT candidate, h, floor(value * 4 / h + 0.5) AS g, count(*) AS n FROM v, b GROUP BY ALL),
+    f AS (SELECT a.candidate, a.h, a.g, any_value(a.n) AS n, sum(o.n * exp(-pow((a.g - o.g) / 4, 2) / 2)) AS s FROM c a JOIN c o ON o.candidate = a.candidate AND abs(o.g - a.g) <= 20 GROUP BY ALL)
+    SELECT candidate::INT AS candidate, round(sum(n * ln(greatest(s - 1, exp(-12.5::DOUBLE)) / (((SELECT count(*) FROM v) - 1) * h * sqrt(2 * pi())))), 3) AS log_likelihood FROM f GROUP BY candidate""")
+def bandwidth_likelihood(spark, d):
+    """Leave-one-out likelihoods, by which best_bandwidth searches."""
+    return stats.bandwidth_likelihoods(fixes(spark, d), ["value"], [[h] for h in WIDTHS]).select("candidate", F.round("log_likelihood", 3).alias("log_likelihood"))
+
+
 @query("fixes", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'future' ELSE '' END AS period, CASE WHEN event_id % 3 = 0 THEN 'loc' ELSE '' END AS statistic, lc AS base FROM fixes")
 def feature_names(spark, d):
     """X1."""
