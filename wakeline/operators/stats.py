@@ -332,13 +332,15 @@ def density_grid(df: DataFrame, x: str, y: str, bandwidth: tuple[float, float],
     return both.select(F.col("i_to").alias("i"), F.col("j_to").alias("j"), (F.col("i_to") * step[0]).alias("x"), (F.col("j_to") * step[1]).alias("y"), density.alias("density"))
 
 
-def bandwidth_likelihoods(df: DataFrame, columns: Sequence[str], bandwidths: Sequence[Sequence[float]], resolution: int = 4, reach: float = 5.0) -> DataFrame:
+def bandwidth_likelihoods(df: DataFrame, columns: Sequence[str], bandwidths: Sequence[Sequence[float]], resolution: int | None = None, reach: float = 5.0) -> DataFrame:
     """candidate, and the leave-one-out log likelihood of a Gaussian density with each candidate's bandwidths, one a column.
 
     One job for all candidates: rows are counted on each one's lattice of 1/resolution bandwidths, counts are spread along one axis after the other, to
     occupied places only, and each cell's own point is taken off its sum. A point with no other one in reach has the density of one at its edge.
     """
-    d, steps = len(columns), int(reach * resolution)
+    d = len(columns)
+    resolution = resolution or (32 if d == 1 else 8)
+    steps = int(reach * resolution)
     rows = df.where(_all([F.col(c).isNotNull() for c in columns])).select(*columns)
     named = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(float(h)).alias(f"h{i}") for i, h in enumerate(hs)]) for k, hs in enumerate(bandwidths)])).alias("c")
     cells = rows.select(*columns, named).groupBy(F.col("c.k").alias("candidate"), *[F.floor(F.col(c) * resolution / F.col(f"c.h{i}") + 0.5).alias(f"g{i}") for i, c in enumerate(columns)])

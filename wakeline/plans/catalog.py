@@ -974,7 +974,7 @@ WIDTHS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0)
     SELECT candidate::INT AS candidate, round(sum(n * ln(greatest(s - 1, exp(-12.5::DOUBLE)) / (((SELECT count(*) FROM v) - 1) * h * sqrt(2 * pi())))), 3) AS log_likelihood FROM f GROUP BY candidate""")
 def bandwidth_likelihood(spark, d):
     """Leave-one-out likelihoods, by which best_bandwidth searches."""
-    return stats.bandwidth_likelihoods(fixes(spark, d), ["value"], [[h] for h in WIDTHS]).select("candidate", F.round("log_likelihood", 3).alias("log_likelihood"))
+    return stats.bandwidth_likelihoods(fixes(spark, d), ["value"], [[h] for h in WIDTHS], 4).select("candidate", F.round("log_likelihood", 3).alias("log_likelihood"))
 
 
 @query("fixes", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'future' ELSE '' END AS period, CASE WHEN event_id % 3 = 0 THEN 'loc' ELSE '' END AS statistic, lc AS base FROM fixes")
