@@ -71,7 +71,8 @@ def test_runs_and_gaps(spark):
 def test_season_labels(spark):
     r = one(spark, *[calendar.season(calendar.month_index(F.lit(float(t)))) for t in (0, 62, 155, 248)])
     assert r == ("winter", "spring", "summer", "autumn")
-    assert windows.resample([1, 2, 3], 5) == [1, 1.5, 2, 2.5, 3]
+    d = spark.createDataFrame([([1.0, 2.0, 3.0],), ([4.0],), ([],), ([1.0, None],)], "v array<double>")
+    assert [r[0] for r in d.select(windows.resampled(F.col("v"), 5)).collect()] == [[1, 1.5, 2, 2.5, 3], [4] * 5, [], [None] * 5]
 
 
 def test_names(spark):
@@ -185,7 +186,10 @@ def test_readers(spark, tmp_path):
         return spark.range(n)
 
     assert [tables.cached_table(make, spark, str(tmp_path / "cache"), n=3).count() for _ in range(2)] == [3, 3] and calls == [3]
-    assert [len(b) for b in tables.batches(spark.range(5), 2)] == [2, 2, 1]
+    assert tables.cached_table(_three, spark, str(tmp_path / "cache")).count() == 3 == tables.cached_table(_three, spark, str(tmp_path / "cache"), n=3).count()
+    assert len(list((tmp_path / "cache").iterdir())) == 2
+    with pytest.raises(ValueError):
+        tables.cached_table(lambda: spark.range(5), spark, str(tmp_path / "cache"))
 
 
 def test_rules_keep_minimal_sets(spark):
@@ -378,3 +382,77 @@ def test_reanchored_tracks_keep_their_steps(spark):
     assert [far(*z) for z in zip(new, new[1:])] == pytest.approx([far(*z) for z in zip(own, own[1:])], abs=1e-6)
     turn = lambda p, q: math.atan2(math.cos(q[0]) * math.sin(q[1] - p[1]), math.cos(p[0]) * math.sin(q[0]) - math.sin(p[0]) * math.cos(q[0]) * math.cos(q[1] - p[1]))
     assert [math.cos(turn(*z)) for z in zip(new, new[1:])] == pytest.approx([math.cos(turn(*z)) for z in zip(own, own[1:])], abs=1e-6)
+
+
+def _three(n=3):
+    from pyspark.sql import SparkSession
+
+    return SparkSession.getActiveSession().range(n)
+
+
+def test_batches_are_even_and_repeatable(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(n)) for i, n in enumerate(np.minimum(rng.geometric(0.02, 5000), 400))]  # a third or more in a few buckets
+    df = spark.createDataFrame(rows, "id int, n int")
+    out = tables.batch_table(df.repartition(7), ["id"], "n", 32, 16, 1)
+    got = out.collect()
+    assert sorted((r.id, r.n) for r in got) == sorted(rows)
+    assert {tuple(r) for r in got} == {tuple(r) for r in tables.batch_table(df.repartition(3), ["id"], "n", 32, 16, 1).collect()}
+    assert {tuple(r) for r in got} != {tuple(r) for r in tables.batch_table(df, ["id"], "n", 32, 16, 2).collect()}
+    by = {}
+    for r in got:
+        by.setdefault((r.bucket, r.batch), []).append(r)
+    for own in by.values():
+        assert sorted(r.slot for r in own) == list(range(len(own))) and max(r.n for r in own) - min(r.n for r in own) < 16
+    for bucket in {b for b, _ in by}:
+        sizes = [len(by[k]) for k in sorted(k for k in by if k[0] == bucket)]
+        assert set(sizes[:-1]) <= {32} and 0 < sizes[-1] <= 32
+    tables.write_batches(out, str(tmp_path / "b"), 4)
+    back = tables.read_batches(spark, str(tmp_path / "b"))
+    assert back.count() == 5000
+    seen = [set(map(tuple, tables.read_batches(spark, str(tmp_path / "b"), [k]).select("bucket", "batch").collect())) for k in range(4)]
+    assert sum(map(len, seen)) == len(by) == len(set().union(*seen))  # no batch is in two folders
+    order = [(r.bucket, r.batch) for r in spark.read.parquet(str(tmp_path / "b" / "shard=1")).collect()]
+    assert sum(a != b for a, b in zip(order, order[1:])) == len(set(order)) - 1  # a batch's rows follow each other
+    assert tables.batch_table(df.limit(0), ["id"], "n").count() == 0
+
+
+def test_raster_in_tiles_against_a_plain_lookup(spark, tmp_path):
+    from wakeline.operators import grids
+
+    rng = np.random.default_rng(2)
+    raster = np.round(rng.normal(-2000, 900, (36, 72)), 3)  # five degrees, north first
+    (tmp_path / "depth.txt").write_text("\n".join(" ".join(map(str, row)) for row in raster) + "\n\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")  # several blocks
+    try:
+        grid = tables.read_text_grid(spark, str(tmp_path / "depth.txt"), 5.0)
+        assert grid.rdd.getNumPartitions() > 1 or grid.count() == 36 * 72
+        flat = np.minimum(raster, 0.0)
+        assert {(r.lat, r.lon): r.value for r in grid.collect()} == {(90 - (i + 0.5) * 5, -180 + (j + 0.5) * 5): flat[i, j] for i in range(36) for j in range(72)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    south = flat[::-1]
+    p = np.concatenate([rng.uniform([-90, -180], [90, 180], (300, 2)), [[90, 0], [-90, 180], [0, 179.9], [0, -179.9], [2.5, 2.5], [89.9, 177.6]]])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)] + [(-1, None, 1.0)], "n int, lat double, lon double")
+    for size in (4, 7, 64):
+        cut = grids.tiles(grid, 5.0, size)
+        got = {how: {r.n: r.d for r in grids.value_at(df, cut, 5.0, "d", size, how).collect()} for how in ("nearest", "bilinear")}
+        for n, (lat, lon) in enumerate(p):
+            y, x = min(max((lat + 90) / 5 - 0.5, 0), 35), ((lon + 180) / 5 - 0.5) % 72
+            i, j = min(int(y), 34), int(x)
+            a, b, k = y - i, x - j, (j + 1) % 72
+            want = (south[i, j] * (1 - b) + south[i, k] * b) * (1 - a) + (south[i + 1, j] * (1 - b) + south[i + 1, k] * b) * a
+            assert got["bilinear"][n] == pytest.approx(want, abs=1e-6), (size, lat, lon)
+            assert got["nearest"][n] == south[i + (a >= 0.5), k if b >= 0.5 else j]
+        assert got["bilinear"][-1] is None
+    part = grids.tiles(grid.where("lat > 0"), 5.0, 8)
+    out = {r.n: r.d for r in grids.value_at(df, part, 5.0, "d", 8).collect()}
+    assert all(out[n] is None for n, (lat, _) in enumerate(p) if lat < -5) and all(out[n] is not None for n, (lat, _) in enumerate(p) if lat > 5)
+
+
+def test_nearest_grid_takes_the_middle_of_a_cell(spark):
+    rows = [(0.0, lat, v) for lat, v in ((10.1, 1.0), (10.02, 2.0), (9.9, 3.0))] + [(900.0, 10.02, 9.0), (0.0, 10.0, None)]
+    grid = spark.createDataFrame([(s, lat, 20.0, v) for s, lat, v in rows], "s double, lat double, lon double, value double").withColumn("ts", F.timestamp_seconds("s"))
+    fix = spark.createDataFrame([(100.0, 10.05, 20.1)], "s double, lat double, lon double").withColumn("ts", F.timestamp_seconds("s"))
+    for parts in (1, 4):
+        assert joins.nearest_grid(fix, grid.repartition(parts)).first().value == 2.0

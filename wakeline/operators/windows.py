@@ -164,15 +164,47 @@ def aligned_attention(attention: DataFrame) -> DataFrame:
     return own.withColumn("weight", F.col("weight") / total)
 
 
-def resample(values, size: int) -> list:
-    """Linear resampling of a short list to another length."""
-    n = len(values)
-    out = []
-    for i in range(size):
-        at = i * (n - 1) / (size - 1) if size > 1 else 0
-        k = min(int(at), n - 2) if n > 1 else 0
-        out.append(values[k] if n == 1 else values[k] + (values[k + 1] - values[k]) * (at - k))
-    return out
+def resampled(values: Column, size: int) -> Column:
+    """An array brought to `size` values on an even grid from its first to its last one, by straight lines between neighbours.
+
+    An empty array has none. A value next to a null one is null.
+    """
+    n = F.size(values)
+    at = lambda i: i * (n - 1) / F.lit(float(max(size - 1, 1)))
+
+    def one(i: Column) -> Column:
+        k = F.least(F.floor(at(i)), F.greatest(n - 2, F.lit(0))).cast("int")
+        low, high = F.get(values, k), F.get(values, F.least(k + 1, n - 1))
+        return low + (high - low) * (at(i) - k)
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), one)).otherwise(F.array().cast("array<double>"))
+
+
+def common_grid(sequences: DataFrame, keys: Sequence[str], values: str, size: int) -> DataFrame:
+    """keys, position and mean of ragged sequences on one grid of `size` places, and how many had a value there."""
+    own = sequences.select(*keys, F.posexplode(resampled(F.col(values), size)).alias("position", "_v"))
+    return own.groupBy(*keys, "position").agg(F.avg("_v").alias("mean"), F.count("_v").alias("n"))
+
+
+def head_means(attention: DataFrame, keys: Sequence[str], heads: str = "heads", mask: str | None = None) -> DataFrame:
+    """Long weights of nested arrays: keys, step and the mean over heads, each an array of weights by step, without masked steps.
+
+    `mask`, an array of booleans, marks steps that may be attended to; what is left sums to one again over a row's steps.
+    """
+    steps = F.array_max(F.transform(heads, lambda h: F.size(h)))
+    allowed = lambda k: F.coalesce(F.get(mask, k), F.lit(False)) if mask else F.lit(True)
+    mean = lambda k: F.when(allowed(k), F.aggregate(heads, F.lit(0.0), lambda a, h: a + F.coalesce(F.get(h, k), F.lit(0.0))) / F.size(heads)).otherwise(0.0)
+    own = attention.where(F.coalesce(F.size(heads), F.lit(0)) > 0).withColumn("_w", F.transform(F.sequence(F.lit(0), steps - 1), mean))
+    total = F.aggregate("_w", F.lit(0.0), lambda a, w: a + w)
+    return own.withColumn("_t", total).select(*keys, F.posexplode("_w").alias("step", "_w"), "_t").select(*keys, "step", F.try_divide("_w", F.col("_t")).alias("weight"))
+
+
+def length_histogram(sequences: DataFrame, keys: Sequence[str], lengths: dict[str, Column], longest: int) -> DataFrame:
+    """keys, kind, length and n: how many sequences have each length from 0 to `longest`, longer ones counted there; lengths that none has included."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.least(c, F.lit(longest)).cast("int").alias("length")) for k, c in lengths.items()])).alias("_k")
+    found = sequences.select(*keys, kinds).select(*keys, "_k.kind", "_k.length").where("length is not null").groupBy(*keys, "kind", "length").agg(F.count("*").alias("n"))
+    every = found.select(*keys, "kind").distinct().withColumn("length", F.explode(F.sequence(F.lit(0), F.lit(longest))))
+    return every.join(found, [*keys, "kind", "length"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def gap_distances(points: DataFrame, after: str = "decoder") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import calendar, naming, scores, spatial
-from wakeline.operators import binning, joins, regions, reshape, scoring, stats, tracks, windows
+from wakeline.operators import binning, grids, joins, regions, reshape, scoring, stats, tracks, windows
 from wakeline.sources import datasets, tables
 from wakeline.sources.fixtures import binned, fixes, meta, predictions
 
@@ -1144,6 +1144,80 @@ def dataset_windows(spark, d):
     return own.groupBy("id", "start", "split", "species").agg(F.count("*").alias("steps"), F.round(F.avg("value"), 6).alias("value"))
 
 
+CELLS = """, g AS (SELECT floor((lat + 90) / 10)::INT AS i, floor((lon + 180) / 10)::INT % 36 AS j, avg(k) AS v FROM fixes WHERE k IS NOT NULL GROUP BY ALL),
+    p AS (SELECT event_id, id, ts, value, lat, lon, least(greatest((lat + 90) / 10 - 0.5, 0), 17) AS fi, ((lon + 180) / 10 - 0.5 + 36) % 36 AS fj FROM fixes), q AS (SELECT *, least(floor(fi), 16)::INT AS i, floor(fj)::INT AS j FROM p),
+    z AS (SELECT q.*, fi - q.i AS a, fj - q.j AS b, g00.v AS v00, g01.v AS v01, g10.v AS v10, g11.v AS v11 FROM q LEFT JOIN g g00 ON g00.i = q.i AND g00.j = q.j LEFT JOIN g g01 ON g01.i = q.i AND g01.j = (q.j + 1) % 36
+      LEFT JOIN g g10 ON g10.i = q.i + 1 AND g10.j = q.j LEFT JOIN g g11 ON g11.i = q.i + 1 AND g11.j = (q.j + 1) % 36),
+    d AS (SELECT event_id, id, ts, value, lat, lon, CASE WHEN a >= 0.5 THEN CASE WHEN b >= 0.5 THEN v11 ELSE v10 END ELSE CASE WHEN b >= 0.5 THEN v01 ELSE v00 END END AS nearest, coalesce((v00 * (1 - b) + v01 * b) * (1 - a) + (v10 * (1 - b) + v11 * b) * a,
+      CASE WHEN a >= 0.5 THEN CASE WHEN b >= 0.5 THEN v11 ELSE v10 END ELSE CASE WHEN b >= 0.5 THEN v01 ELSE v00 END END) AS depth FROM z)"""
+
+
+def _depths(spark, d, how):
+    """Fixes with a stand-in for depth: the mean of a covariate on a raster of ten degrees, in tiles of four cells."""
+    f = fixes(spark, d)
+    south, west = (F.floor((F.col(c) + e) / 10) * 10 - e + 5 for c, e in (("lat", 90), ("lon", 180)))
+    raster = f.where("k is not null").groupBy(south.alias("lat"), west.alias("lon")).agg(F.avg("k").alias("value"))
+    return grids.value_at(f, grids.tiles(raster, 10.0, 4), 10.0, "depth", 4, how)
+
+
+@query("fixes", CELLS + " SELECT event_id, round(nearest, 4) + 0.0 AS nearest, round(depth, 4) + 0.0 AS depth FROM d")
+def raster_depth(spark, d):
+    """Nearest and bilinear values of a raster in tiles."""
+    near = _depths(spark, d, "nearest").select("event_id", r("depth", 4).alias("nearest"))
+    return near.join(_depths(spark, d, "bilinear").select("event_id", r("depth", 4).alias("depth")), "event_id")
+
+
+@query("steps", CELLS + f""", e AS (SELECT d.depth, {STEP} / (s.dt * 24) AS speed, d.value FROM d JOIN steps s USING (event_id) WHERE s.dt > 0)
+    SELECT greatest(ceil((depth - 0) / 10) - 1, 0)::INT AS i, greatest(ceil((speed - 0) / 100) - 1, 0)::INT AS j, round(avg(value), 6) AS mean, count(*) AS n FROM e WHERE depth BETWEEN 0 AND 100 AND speed BETWEEN 0 AND 1000 GROUP BY ALL""")
+def depth_speed_bins(spark, d):
+    """A mean by bins of depth and speed."""
+    own = tracks.with_speed(tracks.with_steps(_depths(spark, d, "bilinear"))).where("dt > 0")
+    out = stats.heatmap(own, "depth", "speed", "value", (0.0, 100.0, 10), (0.0, 1000.0, 10))
+    return out.select("i", "j", F.round("mean", 6).alias("mean"), "n")
+
+
+@query("fixes", """, s AS (SELECT id, list(value ORDER BY ts, event_id) AS v FROM fixes WHERE value IS NOT NULL GROUP BY id), k AS (SELECT id % 3 AS part, v, len(v) AS n, unnest(range(12)) AS p FROM s),
+    a AS (SELECT *, p * (n - 1) / 11.0::DOUBLE AS x, least(floor(p * (n - 1) / 11.0::DOUBLE), greatest(n - 2, 0))::INT AS c FROM k)
+    SELECT part, p::INT AS position, round(avg(v[c + 1] + (v[least(c + 2, n)] - v[c + 1]) * (x - c)), 6) + 0.0 AS mean, count(*) AS n FROM a GROUP BY ALL""")
+def resampled_sequences(spark, d):
+    """Tracks of unlike length on a grid of twelve places."""
+    lists = fixes(spark, d).where("value is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
+    own = lists.select((F.col("id") % 3).alias("part"), F.transform("s", lambda e: e["value"]).alias("v"))
+    return windows.common_grid(own, ["part"], "v", 12).select("part", "position", r("mean").alias("mean"), "n")
+
+
+@query("binned", INDEX + f""", w AS (SELECT idx.id, start, count(b.time_idx) FILTER (WHERE b.time_idx < start + {E_}) AS e, count(b.time_idx) FILTER (WHERE b.time_idx >= start + {E_}) AS d FROM idx JOIN binned b ON b.id = idx.id AND b.time_idx BETWEEN start AND start + {E_ + D_ - 1} GROUP BY ALL),
+    l AS (SELECT 'encoder' AS kind, e AS length FROM w UNION ALL SELECT 'decoder', d FROM w), g AS (SELECT kind, length, count(*) AS n FROM l GROUP BY ALL)
+    SELECT k.kind, t.length::INT AS length, coalesce(g.n, 0)::BIGINT AS n FROM (SELECT DISTINCT kind FROM l) k, range(0, {E_ + D_ + 1}) t(length) LEFT JOIN g ON g.kind = k.kind AND g.length = t.length""")
+def length_histograms(spark, d):
+    """Observed steps of the encoders and decoders of all windows."""
+    points = _window_points(spark, d, ["value"])
+    seen = lambda role: F.count(F.when((F.col("role") == role) & ~F.col("missing"), 1)).alias(role)
+    own = points.groupBy("id", "start").agg(seen("encoder"), seen("decoder"))
+    return windows.length_histogram(own, [], {k: F.col(k) for k in ("encoder", "decoder")}, E_ + D_)
+
+
+@query("binned", """, l AS (SELECT id, time_idx, value, k, row_number() OVER (PARTITION BY id ORDER BY time_idx) AS n FROM binned), h AS (SELECT id, list(abs(value) ORDER BY n) AS a, list(coalesce(abs(k), 0) ORDER BY n) AS b, list(time_idx % 4 <> 0 ORDER BY n) AS m FROM l WHERE n <= 20 GROUP BY id),
+    w AS (SELECT id, s, CASE WHEN m[s + 1] THEN (a[s + 1] + b[s + 1]) / 2 ELSE 0 END AS w FROM (SELECT *, unnest(range(len(a))) AS s FROM h))
+    SELECT id, s::INT AS step, round(w / nullif(sum(w) OVER (PARTITION BY id), 0), 9) AS weight FROM w""")
+def masked_head_means(spark, d):
+    """Two stand-in heads over a track's first twenty bins, one bin in four masked."""
+    w = Window.partitionBy("id").orderBy("time_idx")
+    own = binned(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 20")
+    lists = own.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", F.abs("value").alias("a"), F.coalesce(F.abs("k"), F.lit(0.0)).alias("b"), (F.col("time_idx") % 4 != 0).alias("m")))).alias("s"))
+    head = lambda c: F.transform("s", lambda e: e[c])
+    out = windows.head_means(lists.select("id", F.array(head("a"), head("b")).alias("heads"), head("m").alias("mask")), ["id"], "heads", "mask")
+    return out.select("id", "step", F.round("weight", 9).alias("weight"))
+
+
+@query("binned", """, n AS (SELECT id, time_idx, count(*) OVER (PARTITION BY id ORDER BY time_idx) AS length FROM binned), b AS (SELECT *, floor(length / 8)::INT AS bucket, row_number() OVER (PARTITION BY floor(length / 8) ORDER BY md5(id || ':' || time_idx || ':3'), id, time_idx) - 1 AS place FROM n)
+    SELECT id, time_idx, bucket, place // 32 AS batch, (place % 32)::INT AS slot FROM b""")
+def batch_assignment(spark, d):
+    """Seeded batches of like lengths, here of the history before every bin."""
+    own = binned(spark, d).withColumn("length", F.count("*").over(Window.partitionBy("id").orderBy("time_idx").rowsBetween(Window.unboundedPreceding, 0)))
+    return tables.batch_table(own, ["id", "time_idx"], "length", 32, 8, 3).select("id", "time_idx", "bucket", "batch", "slot")
+
+
 # Operators that SQL cannot express: random draws, geometry in numpy, models.
 @query()
 def bootstrap_ci(spark, d):
