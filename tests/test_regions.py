@@ -191,3 +191,42 @@ def test_contour_query_against_cells(spark):
             at = np.array([[own["actual"].iloc[0]] * 2])
             density, level = dist.pdf(at)[0], dist.level(c, 100000)
             assert abs(density / level - 1) < 0.1 or r.covered == (density > level)
+
+
+def test_quantile_density_with_tails(spark):
+    """Against one row at a time by the definition; mass one within the data, known quantiles of a normal sample."""
+    levels = np.linspace(0.02, 0.98, 49)
+    q = D.normal_ppf(levels) * 2 + 7
+    skew = np.exp(D.normal_ppf(levels))
+    rows = [(1, levels.tolist(), q.tolist()), (2, levels.tolist(), skew.tolist()), (3, levels.tolist(), [4.0] * 49), (4, [0.1, 0.5, 0.9], [1.0, 2.0, 5.0])]
+    out = {r.id: r for r in regions.quantile_density(spark.createDataFrame(rows, "id int, levels array<double>, qx array<double>"), ["id"]).collect()}
+    for r in out.values():
+        assert r.cdf[0] == 0 and r.cdf[-1] == pytest.approx(1) and (np.diff(r.edges) >= 0).all() and (np.diff(r.cdf) >= 0).all()
+        assert (r.edges[0], r.edges[-1]) == (min(rows[r.id - 1][2]), max(rows[r.id - 1][2]))
+    inside = lambda p: 0.02 + 0.96 * p  # noqa: E731  the range holds 0.96 of the mass
+    for p in (0.1, 0.25, 0.5, 0.8):
+        assert np.interp(p, out[1].cdf, out[1].edges) == pytest.approx(float(D.normal_ppf(np.array([inside(p)]))[0] * 2 + 7), abs=0.08)
+        assert np.interp(p, out[2].cdf, out[2].edges) == pytest.approx(float(np.exp(D.normal_ppf(np.array([inside(p)]))[0])), rel=0.08)
+    for key, own in ((2, skew), (4, np.array([1.0, 2.0, 5.0]))):
+        at = np.array(rows[key - 1][1])
+        dx = np.diff(own)
+        fit = lambda p, d, to: float(np.polyval(np.polyfit(p, d, 1), to))
+        k = min(3, len(dx))
+        low, high = fit(at[:k], dx[:k], 0), fit(at[-k:], dx[-k:], 1)
+        low, high = (dx[:2].sum() if low < dx[0] else low), (dx[-2:].sum() if high < dx[-1] else high)
+        wide = np.concatenate([[own[0] - low], own, [own[-1] + high]])
+        hd = np.concatenate([[wide[0]], D.harrell_davis_weights(len(wide), np.arange(1, 1000) / 1000) @ wide, [wide[-1]]])
+        keep = np.flatnonzero((hd > own[0]) & (hd < own[-1]))
+        assert out[key].edges[1:-1] == pytest.approx(hd[keep])
+    df = spark.createDataFrame([(1, out[1].edges, out[1].cdf, x) for x in (7.0, 6.0, -50.0, out[1].edges[-1])], "id int, edges array<double>, cdf array<double>, x double")
+    got = [r[0] for r in df.select(regions.density_at(F.col("edges"), F.col("cdf"), F.col("x"))).collect()]
+    normal = lambda z: math.exp(-z * z / 2) / math.sqrt(2 * math.pi) / 2 / 0.96
+    assert got[0] == pytest.approx(normal(0), rel=0.06) and got[1] == pytest.approx(normal(0.5), rel=0.06) and got[2] == 0 and got[3] > 0
+    assert df.select(regions.density_quantile(F.col("edges"), F.col("cdf"), 0.5)).first()[0] == pytest.approx(7, abs=0.01)
+
+
+def test_quantile_density_query(spark):
+    """The stand-ins are even about their median."""
+    rows = QUERIES["quantile_density"](spark, SF).collect()
+    assert rows and all(r.q25 < r.median < r.q75 and abs(r.q25 + r.q75 - 2 * r.median) < 2e-5 and r.density >= 0 for r in rows)
+    assert max(r.density for r in rows) < 0.1

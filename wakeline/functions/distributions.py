@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -139,6 +140,53 @@ def harrell_davis_weights(n: int, levels: np.ndarray) -> np.ndarray:
     return np.stack([np.diff(beta_cdf(edges, (n + 1) * p, (n + 1) * (1 - p))) for p in levels])
 
 
+@lru_cache(maxsize=64)
+def even_weights(n: int, bins: int) -> np.ndarray:
+    """Harrell-Davis weights of n ordered values for evenly spaced inner levels, one matrix for each n."""
+    return harrell_davis_weights(n, np.arange(1, bins) / bins)
+
+
+def plausible_ends(x: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of quantiles, a value below and one above: steps between the outer three are followed along a line to levels 0 and 1; a step
+    shorter than the last one, which would raise the density outwards, becomes the last two together (D31)."""
+    def beyond(steps: np.ndarray, at: np.ndarray, to: float) -> np.ndarray:
+        off = at - at.mean()
+        slope = ((steps - steps.mean(1, keepdims=True)) * off).sum(1) / (off * off).sum()
+        step = steps.mean(1) + slope * (to - at.mean())
+        return step
+
+    d = np.diff(x, axis=1)
+    k = min(3, d.shape[1])
+    two = min(2, d.shape[1])
+    low = beyond(d[:, :k], levels[:k], 0.0) if k > 1 else d[:, 0]
+    high = beyond(d[:, -k:], levels[-k:], 1.0) if k > 1 else d[:, -1]
+    low = np.where(low < d[:, 0] * (1 - 1e-9), d[:, :two].sum(1), low)
+    high = np.where(high < d[:, -1] * (1 - 1e-9), d[:, -two:].sum(1), high)
+    return x[:, 0] - low, x[:, -1] + high
+
+
+def tailed_density(x: np.ndarray, levels: np.ndarray, bins: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(edges, cdf) of the step density through Harrell-Davis estimates of each row of quantiles (D31; Akinshin 2024).
+
+    Rows are padded by plausible ends, which the estimates lean on, then cut to their own range; what mass is left is made one.
+    """
+    x = np.sort(np.asarray(x, float), 1)
+    low, high = plausible_ends(x, levels)
+    wide = np.concatenate([low[:, None], x, high[:, None]], 1)
+    inner = wide @ even_weights(wide.shape[1], bins).T
+    at = np.concatenate([wide[:, :1], inner, wide[:, -1:]], 1)
+    p, out = np.linspace(0, 1, bins + 1), []
+    for row, own in zip(at, x):
+        if own[0] == own[-1]:
+            out.append((own[[0, -1]], np.array([0.0, 1.0])))
+            continue
+        ends = np.interp(own[[0, -1]], row, p)
+        keep = (row > own[0]) & (row < own[-1])
+        cdf = (np.concatenate([ends[:1], p[keep], ends[1:]]) - ends[0]) / (ends[1] - ends[0])
+        out.append((np.concatenate([own[:1], row[keep], own[-1:]]), cdf))
+    return out
+
+
 class SmoothedQuantiles:
     """Step density through Harrell-Davis estimates of evenly spaced levels."""
 

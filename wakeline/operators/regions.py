@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions import contours as C
@@ -155,6 +155,37 @@ def point_predictions(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return own.mapInPandas(work, f"{kinds}, x_mean double, x_median double, x_mode double, y_mean double, y_median double, y_mode double")
 
 
+def quantile_density(rows: DataFrame, keys: Sequence[str], values: str = "qx", bins: int = 1000) -> DataFrame:
+    """edges and cdf, arrays of a step density within the range of each key's quantiles (D31), all rows of a batch at once."""
+    own = spread(rows.select(*keys, "levels", values), keys)
+
+    def work(frames):
+        for f in frames:
+            edges, cdf = np.empty(len(f), object), np.empty(len(f), object)
+            kind = f["levels"].map(lambda p: tuple(p))
+            for levels, at in kind.groupby(kind, sort=False).indices.items():
+                for k, (e, c) in zip(at, D.tailed_density(np.stack(f[values].iloc[at].to_list()), np.array(levels, float), bins)):
+                    edges[k], cdf[k] = e, c
+            yield f[list(keys)].assign(edges=edges, cdf=cdf)
+
+    kinds = ", ".join(f"{k} {own.schema[k].dataType.simpleString()}" for k in keys)
+    return own.mapInPandas(work, f"{kinds}, edges array<double>, cdf array<double>")
+
+
+def density_at(edges: Column, cdf: Column, x: Column) -> Column:
+    """The step density at a value, zero outside; the last edge belongs to the last step."""
+    k = F.least(F.size(F.filter(edges, lambda e: e <= x)), F.size(edges) - 1)
+    step = lambda a: F.get(a, k) - F.get(a, k - 1)
+    return F.when((x >= F.get(edges, F.lit(0))) & (x <= F.get(edges, F.size(edges) - 1)), F.try_divide(step(cdf), step(edges))).otherwise(0.0)
+
+
+def density_quantile(edges: Column, cdf: Column, p: float) -> Column:
+    """The value of a level."""
+    k = F.greatest(F.least(F.size(F.filter(cdf, lambda c: c <= p)), F.size(cdf) - 1), F.lit(1))
+    share = F.try_divide(F.lit(p) - F.get(cdf, k - 1), F.get(cdf, k) - F.get(cdf, k - 1))
+    return F.get(edges, k - 1) + F.coalesce(share, F.lit(0.0)) * (F.get(edges, k) - F.get(edges, k - 1))
+
+
 def reference_areas(steps: DataFrame, horizon: int, confidences: Sequence[float] = scores.CONFIDENCES, draws: int = 10000, replace: bool = True) -> DataFrame:
     """area_ref by id, time_step and confidence: boxes of resampled own steps (dx, dy) about the last position y0."""
     lists = steps.where("dx is not null and dy is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ts", "dx", "dy"))).alias("s"), F.max_by("y", "ts").alias("y0"))

@@ -95,6 +95,55 @@ def window_points(index: DataFrame, binned: DataFrame, columns: Sequence[str], e
     return out.join(dense, ["id", "time_idx"]).select("id", "start", "role", "step", "time_idx", "relative_time", "missing", *columns)
 
 
+def _framed(index: DataFrame, frames: DataFrame) -> DataFrame:
+    """Windows with what the densified row of their start holds."""
+    return index.join(frames.withColumnRenamed("time_idx", "start"), ["id", "start"])
+
+
+def encoder_scales(index: DataFrame, binned: DataFrame, columns: Sequence[str], encoder: int) -> DataFrame:
+    """Centre and scale of every column over each window's encoder (D1, D6), as `window_scale` of its steps.
+
+    A densified track has one row a step, so a window is a frame of rows from its start on: the track is shuffled by id once, and what meets the
+    windows is one row a step instead of a row for every step of every window.
+    """
+    w = along(order="time_idx").rowsBetween(0, encoder - 1)
+    frames = densify(binned, columns).select("id", "time_idx", *[f(c).over(w).alias(f"{c}_{n}") for c in columns for f, n in ((F.avg, "center"), (F.stddev_samp, "scale"))])
+    return _framed(index.select("id", "start"), frames)
+
+
+def last_values(index: DataFrame, binned: DataFrame, columns: Sequence[str], encoder: int) -> DataFrame:
+    """The last encoder value of every window (D11, D50), by the same frames."""
+    ahead = along(order="time_idx")
+    return _framed(index.select("id", "start"), densify(binned, columns).select("id", "time_idx", *[F.lead(c, encoder - 1).over(ahead).alias(c) for c in columns]))
+
+
+def window_features(index: DataFrame, binned: DataFrame, value: str, encoder: int, decoder: int) -> DataFrame:
+    """One row a window (D38): net and path of the encoder, its share of missing steps, observed ones and the run of missing ones at its end, the
+    mean and worst error of its last value in the decoder, and the distances, in radians, between encoder and decoder (F12, F13).
+
+    Positions are lat and lon in degrees. All are frames of the densified track from the window's start on, partitioned by id once.
+    """
+    w = along(order="time_idx")
+    inside, later = w.rowsBetween(0, encoder - 1), w.rowsBetween(encoder, encoder + decoder - 1)
+    dense = densify(binned, [value, "lat", "lon"])
+    dense = dense.withColumns({"_move": F.abs(F.col(value) - F.lag(value).over(w)), "lat": F.radians("lat"), "lon": F.radians("lon")})
+    at = lambda c, k: F.lead(c, k).over(w)
+    frames = dense.select(
+        "id", "time_idx", (at(value, encoder - 1) - F.col(value)).alias("net"), F.sum("_move").over(w.rowsBetween(1, encoder - 1)).alias("path"), F.avg(F.col("missing").cast("int")).over(inside).alias("missing"),
+        F.sum((~F.col("missing")).cast("int")).over(inside).cast("int").alias("observed"), (F.col("time_idx") + encoder - 1 - F.max(F.when(~F.col("missing"), F.col("time_idx"))).over(inside)).alias("end_run"),
+        F.last(value, True).over(inside).alias("_last"), F.collect_list(value).over(later).alias("_later"), *[at(c, encoder - 1 + k).alias(f"_{c}{k}") for c in ("lat", "lon") for k in (0, 1)],
+        *[F.avg(c).over(f).alias(f"_{c}_{n}") for c in ("lat", "lon") for n, f in (("e", inside), ("d", later))],
+    )
+    error = F.transform("_later", lambda v: F.abs(v - F.col("_last")))
+    far = lambda a, b, c, d: spatial.great_circle(F.col(a), F.col(b), F.col(c), F.col(d))
+    out = _framed(index.select("id", "start"), frames).withColumn("_error", error)
+    mean = F.when(F.size("_error") > 0, F.aggregate("_error", F.lit(0.0), lambda a, e: a + e) / F.size("_error"))
+    return out.select(
+        "id", "start", "net", "path", "missing", "observed", "end_run", mean.alias("mae"), F.array_max("_error").alias("worst"),
+        far("_lat0", "_lon0", "_lat1", "_lon1").alias("gap"), far("_lat_e", "_lon_e", "_lat_d", "_lon_d").alias("mean_gap"),
+    )
+
+
 def window_scale(points: DataFrame, columns: Sequence[str], roles: Sequence[str] = ("encoder",)) -> DataFrame:
     """Centre and scale of every column over a window's encoder (and future) steps."""
     own = points.where(F.col("role").isin(list(roles)))

@@ -646,13 +646,15 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
 @query("binned", POINTS + f" SELECT id, start, round(avg(value), 9) AS center, round(stddev_samp(value), 9) AS scale FROM pts WHERE s < {E_} GROUP BY ALL")
 def encoder_scale(spark, d):
     """D1, D6."""
-    return windows.window_scale(_points(spark, d), ["value"]).select("id", "start", F.round("value_center", 9).alias("center"), F.round("value_scale", 9).alias("scale"))
+    b = binned(spark, d)
+    return windows.encoder_scales(windows.forecast_index(b, E_, D_), b, ["value"], E_).select("id", "start", F.round("value_center", 9).alias("center"), F.round("value_scale", 9).alias("scale"))
 
 
 @query("binned", POINTS + f" SELECT id, start, round(arg_max(value, s), 6) AS value FROM pts WHERE s < {E_} GROUP BY ALL")
 def naive_last_obs(spark, d):
     """D11, D50."""
-    return windows.naive_last(_points(spark, d), ["value"]).select("id", "start", F.round("value", 6).alias("value"))
+    b = binned(spark, d)
+    return windows.last_values(windows.forecast_index(b, E_, D_), b, ["value"], E_).select("id", "start", F.round("value", 6).alias("value"))
 
 
 @query("binned", POINTS + f", e AS (SELECT id, start, max(value) FILTER (WHERE s = {E_ - 1}) AS a, max(value) FILTER (WHERE s = {E_ + D_ - 1}) AS b FROM pts GROUP BY ALL) SELECT id, start, i::INT AS step, round(a + (b - a) * (i + 1) / {D_}.0::DOUBLE, 9) + 0.0 AS value FROM e, range({D_ - 1}) t(i)")
@@ -1000,16 +1002,17 @@ def _window_points(spark, d, columns):
 
 @query("dense", INDEX + f""", p AS (SELECT idx.id, start, d.time_idx - start AS s, d.value, radians(b.lat) AS lat, radians(b.lon) AS lon, CAST(d.time_idx <> d.src AS INT) AS miss, d.value - lag(d.value) OVER (PARTITION BY idx.id, start ORDER BY d.time_idx) AS move
       FROM idx JOIN dense d ON d.id = idx.id AND d.time_idx BETWEEN start AND start + {E_ + D_ - 1} JOIN binned b ON b.id = d.id AND b.time_idx = d.src),
-    e AS (SELECT id, start, max(value) FILTER (WHERE s = 0) AS v0, max(value) FILTER (WHERE s = {E_ - 1}) AS v1, sum(abs(move)) FILTER (WHERE s < {E_}) AS path, avg(miss) FILTER (WHERE s < {E_}) AS missing,
+    e AS (SELECT id, start, max(value) FILTER (WHERE s = 0) AS v0, max(value) FILTER (WHERE s = {E_ - 1}) AS v1, sum(abs(move)) FILTER (WHERE s < {E_}) AS path, avg(miss) FILTER (WHERE s < {E_}) AS missing, count(*) FILTER (WHERE s < {E_} AND miss = 0)::INT AS observed, ({E_ - 1} - max(s) FILTER (WHERE s < {E_} AND miss = 0))::INT AS end_run,
       max(lat) FILTER (WHERE s = {E_ - 1}) AS a, max(lon) FILTER (WHERE s = {E_ - 1}) AS b, max(lat) FILTER (WHERE s = {E_}) AS c, max(lon) FILTER (WHERE s = {E_}) AS d,
       avg(lat) FILTER (WHERE s < {E_}) AS ma, avg(lon) FILTER (WHERE s < {E_}) AS mb, avg(lat) FILTER (WHERE s >= {E_}) AS mc, avg(lon) FILTER (WHERE s >= {E_}) AS md FROM p GROUP BY ALL),
     f AS (SELECT p.id, p.start, avg(abs(value - v1)) AS mae, max(abs(value - v1)) AS worst FROM p JOIN e USING (id, start) WHERE s >= {E_} GROUP BY ALL)
-    SELECT id, start, round(v1 - v0, 6) + 0.0 AS net, round(path, 4) + 0.0 AS path, round(missing, 9) AS missing, round(mae, 6) AS mae, round(worst, 6) AS worst,
+    SELECT id, start, round(v1 - v0, 6) + 0.0 AS net, round(path, 4) + 0.0 AS path, round(missing, 9) AS missing, observed, end_run, round(mae, 6) AS mae, round(worst, 6) AS worst,
       round({gcd('a', 'b', 'c', 'd')}, 6) AS gap, round({gcd('ma', 'mb', 'mc', 'md')}, 6) AS mean_gap FROM e JOIN f USING (id, start)""")
 def window_table(spark, d):
     """D38, F12, F13."""
-    t = windows.window_table(_window_points(spark, d, ["value", "lat", "lon"]), "value")
-    return t.select("id", "start", r("net").alias("net"), r("path", 4).alias("path"), F.round("missing", 9).alias("missing"), F.round("mae", 6).alias("mae"), F.round("worst", 6).alias("worst"), F.round("gap", 6).alias("gap"), F.round("mean_gap", 6).alias("mean_gap"))
+    b = binned(spark, d)
+    t = windows.window_features(windows.forecast_index(b, E_, D_), b, "value", E_, D_)
+    return t.select("id", "start", r("net").alias("net"), r("path", 4).alias("path"), F.round("missing", 9).alias("missing"), "observed", "end_run", F.round("mae", 6).alias("mae"), F.round("worst", 6).alias("worst"), F.round("gap", 6).alias("gap"), F.round("mean_gap", 6).alias("mean_gap"))
 
 
 @query("centred", """, base AS (SELECT id, time_idx, lag(value, 3) OVER (PARTITION BY id ORDER BY time_idx) AS value FROM binned)
@@ -1289,6 +1292,15 @@ def distribution_points(spark, d):
     return out.select("id", "time_idx", *[r(f"{a}_{b}").alias(f"{a}_{b}") for a in "xy" for b in ("mean", "median", "mode")])
 
 
+@query()
+def quantile_density(spark, d):
+    """Quantiles and density, at the actual value, of the step density through each prediction's quantiles."""
+    rows = regions.quantile_arrays(predictions(spark, d), predictions(spark, d), ["id", "time_idx"])
+    out = regions.quantile_density(rows, ["id", "time_idx"]).join(rows.select("id", "time_idx", "x"), ["id", "time_idx"])
+    level = lambda p: r(regions.density_quantile(F.col("edges"), F.col("cdf"), p))
+    return out.select("id", "time_idx", level(0.25).alias("q25"), level(0.5).alias("median"), level(0.75).alias("q75"), r(regions.density_at(F.col("edges"), F.col("cdf"), F.col("x")), 9).alias("density"))
+
+
 @query()
 def hurst_exponent(spark, d):
     """F4."""
