@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import calendar, distributions as D, naming, scores, spatial
 from wakeline.operators import binning, joins, regions, reshape, scoring, stats, tracks, windows
-from wakeline.sources import tables
+from wakeline.sources import datasets, tables
 from wakeline.streaming.tracks import stream_bins, stream_chunks
 
 
@@ -456,3 +456,43 @@ def test_nearest_grid_takes_the_middle_of_a_cell(spark):
     fix = spark.createDataFrame([(100.0, 10.05, 20.1)], "s double, lat double, lon double").withColumn("ts", F.timestamp_seconds("s"))
     for parts in (1, 4):
         assert joins.nearest_grid(fix, grid.repartition(parts)).first().value == 2.0
+
+
+def test_encoder_hurst_and_frames_against_single_windows(spark):
+    rng = np.random.default_rng(11)
+    rows = [(k, int(t), float(v), float(v * 3 % 80), float(v * 7 % 170)) for k in (1, 2) for t, v in enumerate(np.cumsum(rng.normal(size=60))) if t % 9 != 4]
+    b = spark.createDataFrame(rows, "id int, time_idx int, v double, lat double, lon double")
+    index = windows.forecast_index(b, 20, 4)
+    points = windows.window_points(index, b, ["v", "lat", "lon"], 20, 4)
+    got = {(r.id, r.start): r.hurst for r in windows.encoder_hurst(index, b, "v", 20).collect()}
+    for (i, start), own in points.where("role = 'encoder'").toPandas().sort_values("time_idx").groupby(["id", "start"]):
+        assert got[i, start] == pytest.approx(tracks.hurst(own["v"].to_numpy()), nan_ok=True)
+    shapes = {(r.id, r.start): r for r in windows.encoder_shapes(index, b, "lon", "lat", 20).collect()}
+    for r in tracks.shape(points.where("role = 'encoder'"), ["id", "start"], "time_idx", "lon", "lat").collect():
+        own = shapes[r.id, r.start]
+        for name in ("net_x", "net_y", "path_x", "path_y", "direction", "turning"):
+            assert own[name] == pytest.approx(r[name], abs=1e-9), name
+    for frames, joined in ((windows.encoder_scales(index, b, ["v"], 20), windows.window_scale(points, ["v"])), (windows.last_values(index, b, ["v"], 20), windows.naive_last(points, ["v"]))):
+        cols = joined.columns
+        key = lambda d: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.select(cols).collect())  # noqa: E731, B023
+        assert key(frames) == key(joined)
+    new = {(r.id, r.start): r for r in windows.window_features(index, b, "v", 20, 4).collect()}
+    for r in windows.window_table(points, "v").collect():
+        for name in ("net", "path", "missing", "mae", "worst", "gap", "mean_gap"):
+            assert new[r.id, r.start][name] == pytest.approx(r[name], abs=1e-9), name
+    table = windows.error_table(index, b, "v", b.select("id", "time_idx", (F.col("v") - 1).alias("lo"), F.col("v").alias("median"), (F.col("v") + 3).alias("hi"), F.col("v").alias("actual")), 20, 4)
+    first = table.first()
+    assert table.count() == index.count() and (first.length, first.covered, first.asymmetry, first.right_tail) == (4, 1, 3, 1)
+
+
+def test_scaled_windows_take_covariates_and_unseen_labels(spark):
+    b = spark.createDataFrame([(i, t, float(t * i)) for i in (1, 2) for t in range(40)] + [(3, t, 5.0) for t in range(33, 40)], "id int, time_idx int, v double")
+    m = spark.createDataFrame([(1, "b", 1.0), (2, "a", 2.0), (3, "z", 3.0)], "id int, kind string, w double")
+    weather = spark.createDataFrame([(1, t, t / 2) for t in range(40)], "id int, time_idx int, rain double")
+    out = datasets.load_scaled(b, m, ["v"], 4, 2, ["kind"], weather, minima={"train": 0}).collect()
+    assert {(r.id, r.kind) for r in out} == {(1, 2), (2, 1), (3, 0)}  # z is in no training window
+    assert {r.v for r in out if r.id == 3} == {None} and all(r.rain == r.time_idx / 2 for r in out if r.id == 1) and {r.rain for r in out if r.id == 2} == {None}
+    sd = np.std(np.arange(4), ddof=1)
+    assert all(r.v == pytest.approx((r.time_idx - r.start - 1.5) / sd) for r in out if r.id in (1, 2))
+    plain = datasets.load_scaled(b, m, ["v"], 4, 2, minima={"train": 0}, scaled=False).where("id = 2").first()
+    assert plain.v == 2 * plain.time_idx

@@ -237,7 +237,8 @@ def shape(points: DataFrame, keys: Sequence[str] = ("id",), order: str = "ts", x
     moved = points.withColumns({"_dx": dx, "_dy": dy})
     px, py = F.lag("_dx").over(w), F.lag("_dy").over(w)
     size = F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
-    turned = moved.withColumn("_turn", F.acos(spatial.clamp(F.try_divide(F.col("_dx") * px + F.col("_dy") * py, size * F.sqrt(px * px + py * py)))))
+    cosine = F.try_divide(F.col("_dx") * px + F.col("_dy") * py, size * F.sqrt(px * px + py * py))
+    turned = moved.withColumn("_turn", F.when(cosine.isNotNull(), F.acos(spatial.clamp(cosine))))  # the clamp takes a null for a number
     return turned.groupBy(*keys).agg(
         (F.max_by(x, order) - F.min_by(x, order)).alias("net_x"), (F.max_by(y, order) - F.min_by(y, order)).alias("net_y"),
         F.sum(F.abs("_dx")).alias("path_x"), F.sum(F.abs("_dy")).alias("path_y"), F.avg(F.atan2("_dy", "_dx")).alias("direction"), F.avg("_turn").alias("turning"), F.count("*").alias("length"),

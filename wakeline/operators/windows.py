@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import spatial
 from wakeline.functions.distributions import beta_cdf
-from wakeline.operators.tracks import along, densify, nearest_before, starts
+from wakeline.operators.tracks import along, densify, hurst, nearest_before, starts
 
 
 def forecast_index(binned: DataFrame, encoder: int, decoder: int, mode: str = "default", shift: int | None = None, compat: bool = False) -> DataFrame:
@@ -144,6 +145,60 @@ def window_features(index: DataFrame, binned: DataFrame, value: str, encoder: in
     )
 
 
+def encoder_shapes(index: DataFrame, binned: DataFrame, x: str, y: str, encoder: int) -> DataFrame:
+    """Net movement, path length by axis, mean direction and mean turning angle of every window's encoder (D38, F1 to F5), by frames of the track."""
+    w = along(order="time_idx")
+    dense = densify(binned, [x, y])
+    moved = dense.withColumns({"_dx": F.col(x) - F.lag(x).over(w), "_dy": F.col(y) - F.lag(y).over(w)})
+    px, py = F.lag("_dx").over(w), F.lag("_dy").over(w)
+    size = lambda a, b: F.sqrt(a * a + b * b)
+    cosine = F.try_divide(F.col("_dx") * px + F.col("_dy") * py, size(F.col("_dx"), F.col("_dy")) * size(px, py))
+    # The clamp would take a null for a number.
+    turned = moved.withColumns({"_turn": F.when(cosine.isNotNull(), F.acos(spatial.clamp(cosine))), "_way": F.atan2("_dy", "_dx")})
+    steps, turns = w.rowsBetween(1, encoder - 1), w.rowsBetween(2, encoder - 1)
+    frames = turned.select(
+        "id", "time_idx", *[(F.lead(c, encoder - 1).over(w) - F.col(c)).alias(f"net_{n}") for c, n in ((x, "x"), (y, "y"))], *[F.sum(F.abs(f"_d{n}")).over(steps).alias(f"path_{n}") for n in "xy"],
+        F.avg("_way").over(steps).alias("direction"), F.avg("_turn").over(turns).alias("turning"),
+    )
+    return _framed(index.select("id", "start"), frames)
+
+
+def encoder_hurst(index: DataFrame, binned: DataFrame, value: str, encoder: int) -> DataFrame:
+    """`hurst` of each window's encoder values (D38, F4): a frame's values are one array, taken in Arrow batches."""
+    frames = densify(binned, [value]).select("id", "time_idx", F.collect_list(value).over(along(order="time_idx").rowsBetween(0, encoder - 1)).alias("_v"))
+    own = _framed(index.select("id", "start"), frames)
+
+    @F.pandas_udf("double")
+    def of(v: pd.Series) -> pd.Series:
+        return v.map(lambda a: hurst(np.asarray(a, float)))
+
+    return own.select("id", "start", of("_v").alias("hurst"))
+
+
+def decoder_intervals(index: DataFrame, bounds: DataFrame, encoder: int, decoder: int) -> DataFrame:
+    """Mean length, coverage, asymmetry and how often the upper side is longer of the intervals (lo, median, hi, actual) by id and time_idx that lie in each window's
+    decoder, and how many there are (D38, A26): a range frame over the merged starts and intervals, so no pairs of window and step are formed."""
+    own = bounds.select(
+        "id", F.col("time_idx").alias("t"), (F.col("hi") - F.col("lo")).alias("length"), F.col("actual").between(F.col("lo"), F.col("hi")).cast("int").alias("covered"),
+        F.try_divide(F.greatest(F.col("hi") - F.col("median"), F.col("median") - F.col("lo")), F.least(F.col("hi") - F.col("median"), F.col("median") - F.col("lo"))).alias("asymmetry"),
+        (F.col("hi") - F.col("median") > F.col("median") - F.col("lo")).cast("int").alias("right_tail"), F.lit(False).alias("_mark"),
+    )
+    marks = index.select("id", F.col("start").alias("t"), F.lit(True).alias("_mark"))
+    w = Window.partitionBy("id").orderBy("t").rangeBetween(encoder, encoder + decoder - 1)
+    names = ["length", "covered", "asymmetry", "right_tail"]
+    both = own.unionByName(marks, allowMissingColumns=True)
+    out = both.select("id", F.col("t").alias("start"), "_mark", *[F.avg(c).over(w).alias(c) for c in names], F.count("length").over(w).alias("intervals"))
+    return out.where("_mark").drop("_mark")
+
+
+def error_table(index: DataFrame, binned: DataFrame, value: str, bounds: DataFrame, encoder: int, decoder: int, with_hurst: bool = True) -> DataFrame:
+    """All columns of the error analysis, one row a window (D38): `window_features`, the shape of the encoder's course in degrees, the intervals of its
+    decoder and the exponent of its values. `bounds` has one interval by id and time_idx; windows without one keep nulls there."""
+    out = window_features(index, binned, value, encoder, decoder).join(encoder_shapes(index, binned, "lon", "lat", encoder), ["id", "start"])
+    out = out.join(decoder_intervals(index, bounds, encoder, decoder), ["id", "start"])
+    return out.join(encoder_hurst(index, binned, value, encoder), ["id", "start"]) if with_hurst else out
+
+
 def window_scale(points: DataFrame, columns: Sequence[str], roles: Sequence[str] = ("encoder",)) -> DataFrame:
     """Centre and scale of every column over a window's encoder (and future) steps."""
     own = points.where(F.col("role").isin(list(roles)))

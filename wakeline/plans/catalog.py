@@ -1221,6 +1221,38 @@ def batch_assignment(spark, d):
     return tables.batch_table(own, ["id", "time_idx"], "length", 32, 8, 3).select("id", "time_idx", "bucket", "batch", "slot")
 
 
+@query("scored dense", INDEX + f""", m AS (SELECT *, lon - lag(lon) OVER w AS dx, lat - lag(lat) OVER w AS dy FROM (SELECT d.id, d.time_idx, b.lat, b.lon FROM dense d JOIN binned b ON b.id = d.id AND b.time_idx = d.src) WINDOW w AS (PARTITION BY id ORDER BY time_idx)),
+    t AS (SELECT *, (dx * lag(dx) OVER w + dy * lag(dy) OVER w) / nullif(sqrt(dx * dx + dy * dy) * sqrt(pow(lag(dx) OVER w, 2) + pow(lag(dy) OVER w, 2)), 0) AS c FROM m WINDOW w AS (PARTITION BY id ORDER BY time_idx)),
+    e AS (SELECT idx.id, start, max(lon) FILTER (WHERE time_idx = start + {E_ - 1}) - max(lon) FILTER (WHERE time_idx = start) AS net_x, max(lat) FILTER (WHERE time_idx = start + {E_ - 1}) - max(lat) FILTER (WHERE time_idx = start) AS net_y,
+      sum(abs(dx)) FILTER (WHERE time_idx > start) AS path_x, sum(abs(dy)) FILTER (WHERE time_idx > start) AS path_y, avg(atan2(dy, dx)) FILTER (WHERE time_idx > start) AS direction, avg(acos(least(1.0::DOUBLE, greatest(-1.0::DOUBLE, c)))) FILTER (WHERE time_idx > start + 1 AND c IS NOT NULL) AS turning
+      FROM idx JOIN t ON t.id = idx.id AND t.time_idx BETWEEN start AND start + {E_ - 1} GROUP BY ALL),
+    v AS (SELECT s.id, s.time_idx, s.length, s.covered, greatest(hi - p.prediction, p.prediction - lo) / nullif(least(hi - p.prediction, p.prediction - lo), 0) AS a FROM scored s JOIN predictions p ON p.id = s.id AND p.time_idx = s.time_idx AND abs(p.quantile - 0.25) < 1e-9 WHERE confidence = 0.9),
+    i AS (SELECT idx.id, start, avg(length) AS length, avg(covered) AS covered, avg(a) AS asymmetry, count(length) AS intervals FROM idx LEFT JOIN v ON v.id = idx.id AND v.time_idx BETWEEN start + {E_} AND start + {E_ + D_ - 1} GROUP BY ALL)
+    SELECT id, start, round(net_x, 6) + 0.0 AS net_x, round(net_y, 6) + 0.0 AS net_y, round(path_x, 4) + 0.0 AS path_x, round(path_y, 4) + 0.0 AS path_y, round(direction, 6) + 0.0 AS direction, round(turning, 5) + 0.0 AS turning, round(length, 6) AS length, round(covered, 6) AS covered, round(asymmetry, 6) AS asymmetry, intervals FROM e JOIN i USING (id, start)""")
+def error_features(spark, d):
+    """The course of every encoder and the intervals of its decoder; the lower quartile stands in for a median off the middle."""
+    b = binned(spark, d)
+    index = windows.forecast_index(b, E_, D_)
+    off = predictions(spark, d).where("abs(quantile - 0.25) < 1e-9").select("id", "time_idx", F.col("prediction").alias("median"))
+    bounds = _scored(spark, d).where("confidence = 0.9").join(off, ["id", "time_idx"])
+    out = windows.error_table(index, b, "value", bounds, E_, D_, with_hurst=False)
+    return out.select("id", "start", *[r(c).alias(c) for c in ("net_x", "net_y")], *[r(c, 4).alias(c) for c in ("path_x", "path_y")], r("direction").alias("direction"), r("turning", 5).alias("turning"), *[F.round(c, 6).alias(c) for c in ("length", "covered", "asymmetry")], "intervals")
+
+
+@query("dense meta", f""", cut AS (SELECT floor(quantile_cont(time_idx, 0.8)) AS a, floor(quantile_cont(time_idx, 0.9)) AS b FROM binned), lastb AS (SELECT id, max(time_idx) AS last, count(*) FILTER (WHERE time_idx <= a) AS n FROM binned, cut GROUP BY id),
+    idx AS (SELECT b.id, time_idx AS start, CASE WHEN time_idx + {E_} <= cut.a THEN 'train' WHEN time_idx + {E_} <= cut.b THEN 'val' ELSE 'test' END AS split FROM binned b JOIN lastb USING (id), cut WHERE time_idx + {E_ + D_ - 1} <= last AND n >= {E_ + D_}),
+    p AS (SELECT i.id, i.start, i.split, d.time_idx, d.value, avg(CASE WHEN d.time_idx < i.start + {E_} THEN d.value END) OVER w AS m, stddev_samp(CASE WHEN d.time_idx < i.start + {E_} THEN d.value END) OVER w AS sd FROM idx i JOIN dense d ON d.id = i.id AND d.time_idx BETWEEN i.start AND i.start + {E_ + D_ - 1} WINDOW w AS (PARTITION BY i.id, i.start)),
+    c AS (SELECT label, row_number() OVER (ORDER BY label) AS code FROM (SELECT DISTINCT species AS label FROM meta WHERE id IN (SELECT id FROM idx WHERE split = 'train') AND species IS NOT NULL)),
+    base AS (SELECT id, time_idx, lag(value) OVER (PARTITION BY id ORDER BY time_idx) AS value FROM binned)
+    SELECT p.id, p.start, p.split, p.time_idx, round((p.value - m) / nullif(sd, 0), 6) + 0.0 AS value, round((base.value - m) / nullif(sd, 0), 6) + 0.0 AS value_base, coalesce(c.code, 0)::INT AS species FROM p LEFT JOIN base ON base.id = p.id AND base.time_idx = p.time_idx LEFT JOIN meta ON meta.id = p.id LEFT JOIN c ON c.label = meta.species""")
+def scaled_windows(spark, d):
+    """Scaled steps of all windows with a label's codes and a baseline, here the bin before."""
+    b = binned(spark, d)
+    base = b.select("id", "time_idx", F.lag("value").over(tracks.along(order="time_idx")).alias("value"))
+    out = datasets.load_scaled(b, meta(spark, d), ["value"], E_, D_, ["species"], baseline=base)
+    return out.select("id", "start", "split", "time_idx", r("value").alias("value"), r("value_base").alias("value_base"), "species")
+
+
 # Operators that SQL cannot express: random draws, geometry in numpy, models.
 @query()
 def bootstrap_ci(spark, d):

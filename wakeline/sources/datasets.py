@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import calendar
@@ -39,6 +39,57 @@ def load_features(fixes: DataFrame, meta: DataFrame, columns: Sequence[str] = ("
     return binning.calendar_features(binning.mean_by_bin(own, [*features, "t"]))
 
 
+def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """name, label and code, from 1 in the order of labels, of every label there is in some columns; 0 is kept for labels unseen or null.
+
+    Labels of a column are numbered in one task, so these are columns of few labels, as an embedding needs them.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("label")) for c in columns])).alias("e")).select("e.*").where("label is not null").distinct()
+    return long.withColumn("code", F.row_number().over(Window.partitionBy("name").orderBy("label")))
+
+
+def encoded(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns with the codes of their labels in their place."""
+    out = df
+    for c in columns:
+        own = joins.small(codes.where(F.col("name") == c).select(F.col("label").alias("_label"), F.col("code").alias("_code")))
+        out = out.join(own, F.col(c).cast("string") == F.col("_label"), "left").withColumn(c, F.coalesce("_code", F.lit(0))).drop("_label", "_code")
+    return out
+
+
+def load_scaled(
+    features: DataFrame, meta: DataFrame, columns: Sequence[str], encoder: int, decoder: int, categoricals: Sequence[str] = (), covariates: DataFrame | None = None, baseline: DataFrame | None = None,
+    shares: Sequence[float] = (0.8, 0.9, 1.0), minima: dict[str, int] | None = None, min_days: float = 0, mode: str = "default", scaled: bool = True,
+) -> DataFrame:
+    """`load_dataset` as a network takes it (S4): columns less each window's encoder mean over its deviation (which stay as `_center` and `_scale`),
+    static labels as codes, covariates such as weather by id and time_idx, and a baseline's values, suffixed `_base`, on the scale of the window.
+
+    Codes are fitted on tracks that have training windows; a label that only others have is 0. A column that does not vary over
+    an encoder has no scaled values. Covariates and baseline columns are null where they have no row.
+    """
+    steps = load_dataset(features, meta, columns, encoder, decoder, shares, minima, min_days, mode)
+    if scaled or baseline is not None:
+        index = steps.select("id", "start").distinct()
+        # Scales are frames of the whole track: a window's encoder may lie in an earlier split than its decoder.
+        steps = steps.join(windows.encoder_scales(index, features, columns, encoder), ["id", "start"])
+    scale = (lambda c, v: F.try_divide(v - F.col(f"{c}_center"), F.when(F.col(f"{c}_scale") > 0, F.col(f"{c}_scale")))) if scaled else (lambda c, v: v)
+    if covariates is not None:
+        steps = steps.join(covariates, ["id", "time_idx"], "left")
+    if baseline is not None:
+        own = baseline.select("id", "time_idx", *[F.col(c).alias(f"_{c}") for c in columns if c in baseline.columns])
+        steps = steps.join(own, ["id", "time_idx"], "left").withColumns({f"{c}_base": scale(c, F.col(f"_{c}")) for c in columns if c in baseline.columns}).drop(*[f"_{c}" for c in columns])
+    if scaled:
+        steps = steps.withColumns({c: scale(c, F.col(c)) for c in columns})
+    if categoricals:
+        train = steps.where("split = 'train'").select("id").distinct()
+        static = [c for c in categoricals if c in meta.columns]
+        codes = category_codes(meta.join(train, "id", "left_semi"), static)
+        if extra := [c for c in categoricals if c not in static]:
+            codes = codes.unionByName(category_codes(steps.where("split = 'train'"), extra))
+        steps = encoded(steps, codes, categoricals)
+    return steps
+
+
 def load_dataset(features: DataFrame, meta: DataFrame, columns: Sequence[str], encoder: int, decoder: int, shares: Sequence[float] = (0.8, 0.9, 1.0), minima: dict[str, int] | None = None, min_days: float = 0, mode: str = "default") -> DataFrame:
     """Window steps of every split with static labels: split by time, eligible ids, windows of each split.
 
