@@ -1253,6 +1253,118 @@ def scaled_windows(spark, d):
     return out.select("id", "start", "split", "time_idx", r("value").alias("value"), r("value_base").alias("value_base"), "species")
 
 
+@query("scored", "SELECT confidence, round(1 - sqrt(confidence), 9) AS side_error, round((1 - sqrt(confidence)) / 2, 9) AS low, round((1 + sqrt(confidence)) / 2, 9) AS high, round(avg(covered), 9) AS covered, round(pow(avg(covered), 2), 9) AS joint FROM scored GROUP BY confidence")
+def joint_levels(spark, d):
+    """Q1, Q2: the error and levels of either axis for each joint confidence, beside what two independent axes of the stand-in cover."""
+    own = _scored(spark, d).groupBy("confidence").agg(F.avg("covered").alias("covered"))
+    levels = F.create_map(*[x for c in scores.CONFIDENCES for x in (F.lit(c), F.array(*[F.lit(q) for q in scores.exact_quantiles(c)]))])
+    at = F.element_at(levels, F.col("confidence"))
+    return own.select("confidence", F.round(scores.alpha_1d(1 - F.col("confidence")), 9).alias("side_error"), F.round(at[0], 9).alias("low"), F.round(at[1], 9).alias("high"), F.round("covered", 9).alias("covered"), F.round(F.col("covered") * F.col("covered"), 9).alias("joint"))
+
+
+@query("binned", """, m AS (SELECT id, avg(value) AS m, stddev_samp(value) / sqrt(count(*)) AS se FROM binned GROUP BY id HAVING count(*) > 1)
+    SELECT id, round(m - 1.959963984540054 * se, 6) AS lo, round(m + 1.959963984540054 * se, 6) AS hi, round(sqrt(-2 * ln(0.05::DOUBLE)) * se, 6) AS axis FROM m""")
+def normal_intervals(spark, d):
+    """Q17, Q18: a mean's normal interval, and the half-axis of a confidence ellipse with its error."""
+    own = binned(spark, d).groupBy("id").agg(F.avg("value").alias("m"), (F.stddev_samp("value") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n")).where("n > 1")
+    half = scores.normal_halfwidth(F.col("se"), 0.05)
+    return own.select("id", F.round(F.col("m") - half, 6).alias("lo"), F.round(F.col("m") + half, 6).alias("hi"), F.round(scores.ellipse_axis(F.col("se"), 0.05), 6).alias("axis"))
+
+
+@query("binned", """, s AS (SELECT id, time_idx, value AS m, ln(1 + exp(k / 50)) AS a, ln(1 + exp(lat / 50)) AS b, ln(1 + exp(lon / 90)) AS c FROM binned WHERE k IS NOT NULL)
+    SELECT id, time_idx, round(m - a - b, 6) + 0.0 AS q1, round(m - b, 6) + 0.0 AS q2, round(m, 6) + 0.0 AS q3, round(m + c, 6) + 0.0 AS q4, true AS ordered FROM s""")
+def widening_quantiles(spark, d):
+    """Q13, Q20: quantiles built outwards from a median, which are in order as they come."""
+    own = binned(spark, d).where("k is not null")
+    q = scores.widening_quantiles(F.col("value"), [F.col("k") / 50, F.col("lat") / 50], [F.col("lon") / 90])
+    out = own.select("id", "time_idx", *[x.alias(f"q{i}") for i, x in enumerate(q, 1)])
+    names = ["q1", "q2", "q3", "q4"]
+    return out.select("id", "time_idx", *[r(n).alias(n) for n in names], (scores.monotone(F.array(*names)) == F.array(*names)).alias("ordered"))
+
+
+@query("scored", """SELECT id, time_idx, confidence, round((lo + hi) / 2 - length * 0.6, 6) + 0.0 AS x0, round((lo + hi) / 2 + length * 0.6, 6) + 0.0 AS x1, round(1.44 * length * length / 2, 4) AS area FROM scored""")
+def expanded_rings(spark, d):
+    """A rectangle of intervals, one side half as long, a fifth larger about its middle."""
+    ring = scores.expand_ring(scores.rectangle(F.col("lo"), F.col("hi"), F.lit(0.0), F.col("length") / 2), F.lit(0.2))
+    own = _scored(spark, d).withColumn("ring", ring)
+    xs = F.transform("ring", lambda p: p["x"])
+    return own.select("id", "time_idx", "confidence", r(F.array_min(xs)).alias("x0"), r(F.array_max(xs)).alias("x1"), F.round(F.abs(spatial.ring_area(F.col("ring"))), 4).alias("area"))
+
+
+@query("steps", f"""SELECT event_id, round({gcd('lat1', 'lon1', 'lat2', 'lon2')} * {RADIUS}, 2) + 0.0 AS km, round(value / 100 * sin(lat2) * cos(lon2) - k / 100 * sin(lon2), 9) + 0.0 AS vx, round(value / 100 * sin(lat2) * sin(lon2) + k / 100 * cos(lon2), 9) + 0.0 AS vy,
+    round(-value / 100 * cos(lat2), 9) + 0.0 AS vz FROM steps WHERE lat1 IS NOT NULL AND k IS NOT NULL""")
+def transported_vectors(spark, d):
+    """Tangent vectors carried to the next fix with their components, and the step's length by way of unit vectors."""
+    w = tracks.along()
+    own = rad(fixes(spark, d)).withColumns({"lat1": F.lag("lat").over(w), "lon1": F.lag("lon").over(w)}).where("lat1 is not null and k is not null")
+    here, there = [F.col("lat1"), F.col("lon1")], [F.col("lat"), F.col("lon")]
+    v = spatial.transport(*here, *there, spatial.from_local((F.lit(0.0), F.col("value") / 100, F.col("k") / 100), *here))
+    km = spatial.great_circle_cartesian(spatial.to_cartesian(*here), spatial.to_cartesian(*there)) * spatial.EARTH_RADIUS
+    return own.select("event_id", r(km, 2).alias("km"), *[r(c, 9).alias(n) for c, n in zip(v, ("vx", "vy", "vz"))])
+
+
+@query("fixes", f"""SELECT event_id, round(exp(2 * y / {RADIUS}) / pow(1 + exp(2 * y / {RADIUS}), 2), 9) AS density, round(2 * (50 + value) * sqrt(0.75::DOUBLE) * 4 * exp(2 * (y + 20) / {RADIUS}) / pow(1 + exp(2 * (y + 20) / {RADIUS}), 2), 6) AS slice
+    FROM (SELECT event_id, value, {RADIUS} * ln(tan(pi() / 4 + radians(lat) / 2)) AS y FROM fixes)""")
+def ellipse_slices(spark, d):
+    """The sphere's area by Mercator height, and the width of an ellipse half-way up times that."""
+    own = fixes(spark, d).withColumn("y", spatial.mercator(F.radians("lat"), F.radians("lon"))[1])
+    cut = spatial.ellipse_slice(F.lit(20.0), 50 + F.col("value"), F.lit(40.0), F.col("y"))
+    return own.select("event_id", F.round(spatial.area_density(F.col("y")), 9).alias("density"), F.round(cut, 6).alias("slice"))
+
+
+@query("fixes", "SELECT event_id, lc || '_{' || id || '}^{2} [km]' AS markup, lc || '<sub>' || id || '</sub><sup>2</sup>' AS bare, split_part(lc, '_', 1) AS token FROM fixes")
+def label_parts(spark, d):
+    """Markup to plain text, a label without its unit, a token of a file's name."""
+    label = F.concat("lc", F.lit("<sub>"), F.col("id").cast("string"), F.lit("</sub><sup>2</sup> [km]"))
+    path = F.concat(F.lit("/models/v1_2/rw_test_"), "lc", F.lit("_"), F.col("event_id").cast("string"), F.lit(".csv"))
+    return fixes(spark, d).select("event_id", naming.plain_markup(label).alias("markup"), naming.without_unit(label).alias("bare"), naming.file_token(path, 3).alias("token"))
+
+
+@query("fixes", f""", d AS (SELECT event_id, ts, {DAY_SQL} AS day, lag({DAY_SQL}) OVER (PARTITION BY id ORDER BY ts, event_id) AS before FROM fixes)
+    SELECT event_id, round((((day - before) % 365) + 365) % 365, 8) AS gap, round(((((day - before) % 365) + 365) % 365) * 86400, 3) AS seconds, ts + to_hours((event_id % 5 + 6)::INT) AS valid FROM d WHERE before IS NOT NULL""")
+def day_gaps(spark, d):
+    """Days between days of the year, in seconds, and the time at which a forecast step is valid."""
+    day = calendar.day_of_year(F.col("ts"))
+    own = fixes(spark, d).withColumns({"day": day, "before": F.lag(day).over(Window.partitionBy("id").orderBy("ts", "event_id"))}).where("before is not null")
+    gap = calendar.day_difference(F.col("day"), F.col("before"))
+    steps = F.concat_ws("-", (F.col("event_id") % 5).cast("string"), (F.col("event_id") % 5 + 6).cast("string"))
+    return own.select("event_id", F.round(gap, 8).alias("gap"), F.round(calendar.days_to_seconds(gap), 3).alias("seconds"), calendar.valid_time(F.col("ts"), steps).alias("valid"))
+
+
+@query("binned", """, n AS (SELECT id, abs(value) / 1000 AS w, row_number() OVER (PARTITION BY id ORDER BY time_idx) - 1 AS s, id % 4 AS p FROM binned), a AS (SELECT id, s - p AS step, w FROM n WHERE w >= 1e-5 AND s - p >= 0)
+    SELECT id, step, round(w / sum(w) OVER (PARTITION BY id), 9) AS weight FROM a""")
+def aligned_attention(spark, d):
+    """Stand-in weights of right-aligned windows moved to the left by their padding."""
+    own = binned(spark, d).select("id", F.lit(0).alias("start"), (F.abs("value") / 1000).alias("weight"), (F.row_number().over(tracks.along(order="time_idx")) - 1).cast("long").alias("step"), (F.col("id") % 4).alias("padding"))
+    return windows.aligned_attention(own).select("id", "step", F.round("weight", 9).alias("weight"))
+
+
+@query("dense", INDEX + f""", p AS (SELECT idx.id, start, d.time_idx - start AS s, d.time_idx <> d.src AS miss FROM idx JOIN dense d ON d.id = idx.id AND d.time_idx BETWEEN start AND start + {E_ + D_ - 1})
+    SELECT id, start, s AS attend_step, ((s % 3 = 0) OR miss OR s >= {E_ + 1}) AS causal, ((s % 3 = 0) OR miss) AS full_view FROM p""")
+def attention_masks(spark, d):
+    """What the second decoder step may not attend to, one step in three being padding."""
+    points = _window_points(spark, d, ["value"])
+    own = points.select("id", "start", (F.col("time_idx") - F.col("start")).alias("attend_step"), "missing").withColumns({"predict_step": F.lit(E_ + 1), "padded": F.col("attend_step") % 3 == 0})
+    return own.select("id", "start", "attend_step", windows.attention_mask().alias("causal"), windows.attention_mask(False).alias("full_view"))
+
+
+@query("scored", """SELECT id, time_idx, confidence, CASE WHEN id % 5 <> 0 AND time_step < 20 THEN covered END AS covered, CASE WHEN id % 5 <> 0 AND time_step < 20 THEN round(length, 6) END AS length FROM scored""")
+def masked_scores(spark, d):
+    """Scores of missing steps and of steps past a decoder's length are null."""
+    own = _scored(spark, d).withColumns({"missing": F.col("id") % 5 == 0, "own_length": F.lit(20)})
+    return scoring.mask_missing(own, ["covered", "length"], "missing", "own_length").select("id", "time_idx", "confidence", "covered", F.round("length", 6).alias("length"))
+
+
+@query("centred", """, e AS (SELECT id, time_idx, time_step, abs(actual - centre) AS e, abs(actual - lag(centre) OVER (PARTITION BY id ORDER BY time_idx)) AS b FROM centred WHERE centre IS NOT NULL)
+    SELECT time_step, round(quantile_cont((b - e) / nullif(b, 0), 0.5), 6) + 0.0 AS improvement FROM e WHERE b IS NOT NULL GROUP BY time_step""")
+def relative_improvement(spark, d):
+    """The last bin's value against the one before it."""
+    w = tracks.along(order="time_idx")
+    own = predictions(spark, d).where("abs(quantile - 0.5) < 1e-9").withColumn("older", F.lag("prediction").over(w))
+    error = lambda c: own.where(f"{c} is not null").select("id", "time_idx", "time_step", F.abs(F.col("actual") - F.col(c)).alias("km"))
+    return scoring.relative_improvement(error("prediction"), error("older"), ["id", "time_idx", "time_step"]).select("time_step", r("improvement").alias("improvement"))
+
+
 # Operators that SQL cannot express: random draws, geometry in numpy, models.
 @query()
 def bootstrap_ci(spark, d):
