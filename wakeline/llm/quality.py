@@ -20,6 +20,8 @@ TRAIN_DOCS, TRAIN_BYTES = 4000, 1 << 15
 #: Steps of training at least, however few labels there are.
 LEAST_STEPS = 300
 THRESHOLD = 0.7
+#: Bytes of texts scored at a time; a longer text is scored alone.
+SCORED = 1 << 17
 #: How much dearer it is to reject a good document than to keep a bad one.
 FAVOUR = 3.0
 NAMES = ("emb", "conv", "cb", "w1", "b1", "w2", "b2")
@@ -217,7 +219,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], name: str = "score") ->
             for value in batch.column(at):
                 room.append((value.as_py() or "").encode("utf-8", "replace"))
                 held += len(room[-1]) + CHUNK
-                if held > 1 << 20:
+                if held > SCORED:
                     out.append(scorer(room))
                     room, held = [], 0
             out.append(scorer(room))
