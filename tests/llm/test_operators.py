@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from html import unescape
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -706,3 +707,19 @@ def test_lines_are_linear_in_a_text(spark):
     small, large = rows(5000), rows(40000)
     run(small)
     assert seconds(lambda: run(large)) < 8 * seconds(lambda: run(small)) + 10
+
+
+def test_batches_handed_to_python_are_small(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for own, then in (("64m", str(common.BATCH_BYTES)), ("-1", str(common.BATCH_BYTES)), ("1m", "1m")):
+            spark.conf.set(key, own)
+            common.small_batches(spark)
+            assert spark.conf.get(key) == then
+        spark.conf.set(key, "1m")
+        long = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("text"))
+        sizes = long.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n bigint").collect()
+        assert len(sizes) > 9 and max(r.n for r in sizes) < 1.2 * (1 << 20)
+    finally:
+        spark.conf.set(key, before)

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Rows of a lookup table that may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
+#: Bytes of an Arrow batch that a Python worker is handed; a single longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,9 +41,22 @@ def shared_dir(spark: SparkSession) -> str:
 _written: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("written", default=None)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python at most BATCH_BYTES at once.
+
+    An executor holds a batch several times over for every task, on both sides of the socket and outside its heap, and
+    what Spark hands out by default (64 MB) adds up to hundreds of MB. A lower setting of the session's own stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, None) or "-1")
+    if not 0 < own <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends, a lost executor loses nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/wakeline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wakeline.llm.common import free_name
+from wakeline.llm.common import free_name, small_batches
 
 #: Bytes embedded at a time, bytes between window starts, bytes of a chunk, bytes between chunks.
 EMBED, STRIDE, CHUNK, HOP = 8, 4, 256, 128
@@ -211,6 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, most_by
 def score(docs: DataFrame, model: dict[str, np.ndarray], name: str = "score") -> DataFrame:
     """All columns plus a score (double) of a `name` they don't have. Scores depend on the text alone; a null text scores as an empty one."""
     at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
