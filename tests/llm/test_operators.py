@@ -713,8 +713,8 @@ def test_batches_handed_to_python_are_small(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
     try:
-        for own, then in (("64m", str(common.BATCH_BYTES)), ("-1", str(common.BATCH_BYTES)), ("1m", "1m")):
-            spark.conf.set(key, own)
+        for own, then in (("64m", str(common.BATCH_BYTES)), (None, str(common.BATCH_BYTES)), ("1m", "1m")):
+            spark.conf.set(key, own) if own else spark.conf.unset(key)
             common.small_batches(spark)
             assert spark.conf.get(key) == then
         spark.conf.set(key, "1m")

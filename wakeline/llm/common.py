@@ -48,7 +48,7 @@ def small_batches(spark: SparkSession) -> None:
     what Spark hands out by default (64 MB) adds up to hundreds of MB. A lower setting of the session's own stays.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    own = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, None) or "-1")
+    own = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, None) or "0")
     if not 0 < own <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
