@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 from html import unescape
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -227,6 +228,57 @@ def test_html_on_layouts_written_by_hand():
     assert hit / found > 0.97 and hit / there > 0.97, (hit / found, hit / there)
 
 
+#: Layouts whose names point to the wrong side, or say nothing.
+HOSTILE = [
+    '<body><nav><a href=/>Home</a></nav><article class="post social">{}</article><footer>us</footer></body>',
+    '<body><header><h2>Site</h2></header><article><section class="form">{}</section></article><footer>us</footer></body>',
+    '<body><nav><a href=/>Home</a></nav><article><section class="alert">{}</section></article></body>',
+    '<body class="page-with-sidebar"><main><div class="sidebar-left related">{}</div></main><footer>us</footer></body>',
+    '<body><div class="menu-open"><nav><ul><li><a href=/>Home</a></ul></nav><article class="comment-on-events">{}</article></div></body>',
+    '<body><nav><a href=/>Home</a></nav><article>{}</article><section class="user-area"><h2>Comments</h2><p>I do not agree at all.</p><p>Nor do I.</p></section></body>',
+    '<body><article>{}<section class="zone"><h3>Reader comments</h3><p>I do not agree at all.</p><p>Nor do I.</p></section></article><footer>us</footer></body>',
+    '<body><nav><a href=/>Home</a></nav><article>{}</article><div><a href=/x>One more story</a> <a href=/y>Two more</a></div><footer>us</footer></body>',
+    '<body><nav><a href=/>Home</a></nav><article>{}<p>The end <span class="advert">buy it now</span></p></article><footer>us</footer></body>',
+    '<body><div class="popup"><p>Take our letter every week.</p></div><article id="search">{}</article><div class="promo"><p>Half the price</p></div></body>',
+    '<body><ul class="tabs"><li><a href=1>One</a><li><a href=2>Two</a></ul><main class="newsletter-archive">{}</main><aside><p>About us and our paper.</p></aside></body>',
+    '<body><header class="article-header"><p>The Daily Post</p></header><article class="share">{}</article><section class="story-list related"><a href=/1>Next</a></section></body>',
+    '<body><nav class="content"><ul><li><a href=/>Home</a></li><li><a href=/b>B</a></li></ul></nav><main><article class="dialog">{}</article></main><footer class="main">us</footer></body>',
+    '<body><article><div class="ad-free legal">{}</div></article><div class="comments"><p>First!</p></div></body>',
+]
+
+
+def test_html_on_hostile_names():
+    pages = [(layout.format(body), text + (" The end" if "The end" in layout else "")) for layout in HOSTILE for body, text in BODIES]
+    hit = found = there = 0
+    for got, (_, want) in zip(html.extract_texts([p for p, _ in pages], html.model()), pages):
+        both = sum((Counter(got.split()) & Counter(want.split())).values())
+        hit, found, there = hit + both, found + len(got.split()), there + len(want.split())
+    assert hit / found > 0.97 and hit / there > 0.97, (hit / found, hit / there)
+
+
+def test_html_inline_insets_and_titles():
+    page = html.Page("<p>a <span class='ad'>b <i>c</i></span> d</p><div><h3>Comments</h3><p>e</p></div>")
+    assert [n for n, _ in page.name] == ["body", "p", "#inline", "div", "h3", "p"] and page.titled == {3: frozenset({5})}
+    assert page.main_text(np.array([1, 1, 0, 0, 0, 0])) == "a d" and page.main_text(np.ones(6)) == "a b c d Comments e"
+    assert html.Page("<p>one<span class='ad'>two</span>three").main_text(np.ones(3)) == "onetwothree"
+
+
+def test_html_expected_pairs_are_exact():
+    page = html.Page("<div><p>a b c</p><ul><li>d</ul></div><p>e")
+    model, forest = html.model(), html.Forest([page])
+    z = forest.features @ model.weights
+    total, pairs, ones = 0.0, np.zeros((2, 2)), np.zeros(len(z))
+    for state in product((0, 1), repeat=len(z)):
+        met = [(state[forest.parent[i]], state[i]) for i in range(1, len(z))]
+        weight = np.exp(sum(z[i] for i in range(len(z)) if state[i]) + sum(model.pair[m] for m in met))
+        total += weight
+        ones += weight * np.array(state)
+        for m in met:
+            pairs[m] += weight
+    p, got = model.statistics(forest)
+    assert np.allclose(p, ones / total) and np.allclose(got, pairs / total)
+
+
 def test_html_on_table():
     import duckdb
 

@@ -19,12 +19,13 @@ RAW = frozenset("script style title textarea template".split())
 CHOICE = frozenset("select datalist".split())
 BLOCK = (
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption "
-    "header footer nav aside form fieldset address details summary dialog center hgroup menu search caption"
+    "header footer nav aside form fieldset address details summary dialog center hgroup menu search caption #inline"
 ).split()
 BLOCK_ID = {name: i for i, name in enumerate(BLOCK)}
 CLOSES_P = frozenset(BLOCK) - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ROWS = frozenset("tr tbody thead tfoot".split())
+MAIN = frozenset({"article", "main"})
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPE = frozenset("ul ol dl table html body article section div main aside nav form header footer menu".split())
 
@@ -35,13 +36,17 @@ HINTS = (
     ("footer copyright legal colophon imprint", 2),
     ("sidebar aside widget related recommended", 3),
     ("ad ads advert advertisement sponsor sponsored promo promotion promoted", 4),
-    ("comment comments reply replies discussion disqus respond", 5),
+    ("comment comments reply replies response responses discussion disqus respond feedback", 5),
     ("notice cookie cookies consent gdpr alert popup modal overlay dialog paywall", 6),
     ("form search login signup subscribe newsletter share social sharing", 7),
     ("article post entry story content main body text prose", 8),
 )
 HINT = {word: group for words, group in HINTS for word in words.split()}
 N_HINTS = len(HINTS)
+#: Groups whose words make a block of an inline element, named #inline: adverts and comments.
+INSETS = frozenset({4, 5})
+#: A heading of at most so many words names the block that it is in.
+TITLE_WORDS = 4
 
 #: Comments, declarations, CDATA, stray ends, tags. A quotation mark opens a value only after an equals sign.
 TAG = re.compile(
@@ -52,7 +57,7 @@ NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^'
 PIECES = re.compile(r"[a-z]+")
 OPTIONS = re.compile(r"(?:[^<]|<(?:/?(?:option|optgroup|hr)\b[^>]*>|!--.*?-->|[^a-zA-Z/!?]))*", re.I | re.S)
 
-N_FEATURES = len(BLOCK) + 2 * (N_HINTS + 1) + 10
+N_FEATURES = len(BLOCK) + 3 * N_HINTS + 2 + 12
 
 
 class Open:
@@ -96,7 +101,7 @@ class Open:
 class Page:
     """Blocks of a page in document order, each with its parent, and the text pieces in page order."""
 
-    __slots__ = ("links", "name", "own", "parent", "pieces")
+    __slots__ = ("links", "name", "own", "parent", "pieces", "titled")
 
     def __init__(self, source: str):
         self.parent, self.name, self.links, self.own = [-1], [("body", frozenset())], [0], [0]
@@ -151,15 +156,33 @@ class Page:
                     opened.close(CLOSED_BY[name])
                 if name in HEADINGS and opened.items[-1][0] in HEADINGS:
                     opened.cut(len(opened.items) - 1)
-                self.parent.append(opened.items[-1][1])
-                self.name.append((name, self.hints(attrs)))
-                self.links.append(0)
-                self.own.append(0)
-                block = len(self.parent) - 1
+                block = self.block(opened.items[-1][1], name, self.hints(attrs))
                 self.gap(block)
                 opened.push(name, block)
             elif not attrs.endswith("/"):
-                opened.push(name, block)
+                hints = self.hints(attrs)
+                opened.push(name, self.block(block, "#inline", hints) if hints & INSETS else block)
+        self.titled = self.titles()
+
+    def block(self, parent: int, name: str, hints: frozenset) -> int:
+        self.parent.append(parent)
+        self.name.append((name, hints))
+        self.links.append(0)
+        self.own.append(0)
+        return len(self.parent) - 1
+
+    def titles(self) -> dict[int, frozenset]:
+        """Hints in the brief headings of a block, by block. The page's own title, h1, is none of them."""
+        heads: dict[int, str] = {}
+        for block, text in self.pieces:
+            if self.name[block][0] in HEADINGS and self.name[block][0] != "h1" and len(heads.get(block, "")) < 80:
+                heads[block] = heads.get(block, "") + text[:80]
+        out: dict[int, frozenset] = {}
+        for block, text in heads.items():
+            words = PIECES.findall(text.lower())
+            if len(words) <= TITLE_WORDS and (found := frozenset(HINT[w] for w in words if w in HINT)):
+                out[self.parent[block]] = out.get(self.parent[block], frozenset()) | found
+        return out
 
     @staticmethod
     def hints(attrs: str) -> frozenset:
@@ -220,29 +243,38 @@ class Forest:
         for level in reversed(self.levels):
             np.add.at(below, self.parent[level], below[level])
             np.add.at(below_links, self.parent[level], below_links[level])
+        prose = below - below_links
+        part = prose / np.maximum(np.repeat(prose[self.start[:-1]], size), 1)
+        bulk = (part > 0.5).tolist()
         f = np.zeros((n, N_FEATURES), np.float32)
         tags, at = len(BLOCK), 0
         for p in pages:
             seen: list[frozenset] = []
+            titled: list[frozenset] = []
             inside: list[bool] = []
-            marked = any(name in ("article", "main") for name, _ in p.name)
+            marked = any(name in MAIN and 5 not in hints for name, hints in p.name)
             for i, (name, hints) in enumerate(p.name):
-                inside.append(name in ("article", "main") or i > 0 and inside[p.parent[i]])
+                inside.append(name in MAIN and 5 not in hints or i > 0 and inside[p.parent[i]])
                 f[at, -1] = marked and not inside[i]
                 f[at, BLOCK_ID[name]] = 1
                 up = seen[p.parent[i]] if i else frozenset()
+                over = titled[p.parent[i]] if i else frozenset()
                 if name in ROLE:
                     hints = hints | ROLE[name]
                 for h in hints:
                     f[at, tags + h] = 1
                 if not hints:
                     f[at, tags + N_HINTS] = 1
-                seen.append(up | hints)
+                # What holds most of a page's prose passes on that it is the article, or comments, and no other hint.
+                seen.append(up | (hints & LASTING if bulk[at] else hints))
+                titled.append(over if bulk[at] else over | p.titled.get(i, frozenset()))
                 for h in up | hints:
                     f[at, tags + N_HINTS + 1 + h] = 1
+                for h in titled[i]:
+                    f[at, tags + 2 * N_HINTS + 2 + h] = 1
                 at += 1
         share = below_links / np.maximum(below, 1)
-        m = tags + 2 * (N_HINTS + 1)
+        m = tags + 3 * N_HINTS + 2
         f[:, m] = 1
         f[:, m + 1] = np.log1p(own) / 4
         f[:, m + 2] = np.log1p(below) / 6
@@ -252,11 +284,16 @@ class Forest:
         f[:, m + 6] = links > 0.6 * np.maximum(own, 1)
         f[:, m + 7] = np.minimum(depth, 8) / 8
         f[:, m + 8] = below == 0
+        f[:, m + 9] = part
+        f[:, m + 10] = part > 0.5
         self.features = f
 
 
 ROLE = {"article": frozenset({8}), "main": frozenset({8}), "nav": frozenset({0}), "header": frozenset(), "footer": frozenset({2}), "aside": frozenset({3}), "form": frozenset({7}), "dialog": frozenset({6}), "search": frozenset({7}), "menu": frozenset({0})}
 
+#: Groups that reach below a block of most of the prose: comments and the article.
+LASTING = frozenset({5, 8})
+
 
 class TreeModel:
     """Two states for each block; unary potentials from features, a 2 x 2 table on every parent-child edge."""
@@ -264,8 +301,8 @@ class TreeModel:
     def __init__(self, weights: np.ndarray, pair: np.ndarray):
         self.weights, self.pair = weights, pair
 
-    def marginals(self, forest: Forest) -> np.ndarray:
-        """P(content) of every block, exactly: messages upward level by level, then downward."""
+    def messages(self, forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Messages upward level by level, then downward: what each block gathers, sends to its parent, and is told."""
         z = forest.features @ self.weights
         unary = np.stack([np.zeros_like(z), z], 1).astype(float)
         up = unary.copy()  # a block's own potential and its children's messages
@@ -284,40 +321,45 @@ class TreeModel:
         for i in forest.deep:
             rest = up[forest.parent[i]] + down[forest.parent[i]] - sent[i]
             down[i] = np.logaddexp(rest[0] + self.pair[0], rest[1] + self.pair[1])
+        return up, sent, down
+
+    def marginals(self, forest: Forest) -> np.ndarray:
+        """P(content) of every block, exactly."""
+        up, _, down = self.messages(forest)
         both = up + down
         return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -500, 500)))
 
+    def statistics(self, forest: Forest) -> tuple[np.ndarray, np.ndarray]:
+        """P(content) of every block, and the expected number of parent-child pairs in each two states."""
+        up, sent, down = self.messages(forest)
+        both = up + down
+        child = np.flatnonzero(forest.parent >= 0)
+        above = forest.parent[child]
+        joint = (both[above] - sent[child])[:, :, None] + self.pair + up[child][:, None, :]
+        joint = np.exp(joint - joint.max((1, 2), keepdims=True))
+        return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -500, 500))), (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+
     @classmethod
-    def train(cls, pages: list[Page], labels: list[np.ndarray], steps: int = 500, rate: float = 0.05, decay: float = 2e-4) -> TreeModel:
-        """Maximum likelihood: observed minus expected statistics, the expectation taken by
-        pseudo-likelihood: each block given its features and the labels of its parent and children."""
+    def train(cls, pages: list[Page], labels: list[np.ndarray], steps: int = 400, rate: float = 0.1, decay: float = 5e-5) -> TreeModel:
+        """Maximum likelihood: observed minus expected statistics, the expectation exact from the messages."""
         forest, y = Forest(pages), np.concatenate(labels).astype(float)
         child = np.flatnonzero(forest.parent >= 0)
-        above = forest.parent[child]
         x, yi = forest.features.astype(float), y.astype(int)
+        met = np.bincount(2 * yi[forest.parent[child]] + yi[child], minlength=4).reshape(2, 2)
         values = np.zeros(N_FEATURES + 4)  # feature weights, then the pair table
         first, second = np.zeros_like(values), np.zeros_like(values)
         for step in range(1, steps + 1):
-            w, pair = values[:-4], values[-4:].reshape(2, 2)
-            z = x @ w
-            z[child] += (pair[:, 1] - pair[:, 0])[yi[above]]
-            np.add.at(z, above, pair[1, yi[child]] - pair[0, yi[child]])
-            r = y - 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            g = np.zeros((2, 2))
-            for a in (0, 1):
-                up, down = r[child[yi[above] == a]].sum(), r[above[yi[child] == a]].sum()
-                g[a] += (-up, up)
-                g[:, a] += (-down, down)
-            grad = np.concatenate([x.T @ r, g.ravel()]) / len(y) - decay * values
+            p, pairs = cls(values[:-4], values[-4:].reshape(2, 2)).statistics(forest)
+            grad = np.concatenate([x.T @ (y - p), (met - pairs).ravel()]) / len(y) - decay * values
             first += 0.1 * (grad - first)
             second += 0.01 * (grad**2 - second)
             values = values + rate * (1 - 0.9 * step / steps) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
-        w, pair = values[:-4], values[-4:].reshape(2, 2)
-        return cls(w.astype(np.float32), pair)
+        return cls(values[:-4].astype(np.float32), values[-4:].reshape(2, 2))
 
 
-def labelled_pages(n: int = 1200, seed: int = 5) -> tuple[list[Page], list[np.ndarray]]:
-    """Training pages drawn from a grammar of common layouts; every block knows whether it is article text."""
+def labelled_pages(n: int = 1200, seed: int = 5, mislead: float = 0.0) -> tuple[list[Page], list[np.ndarray]]:
+    """Training pages drawn from a grammar of common layouts; every block knows whether it is article text.
+    `mislead` is the share of names that say nothing or point to the wrong side."""
     rng = np.random.default_rng(seed)
     pick = lambda *x: x[rng.integers(len(x))]
     odds = lambda p: rng.random() < p
@@ -329,11 +371,13 @@ def labelled_pages(n: int = 1200, seed: int = 5) -> tuple[list[Page], list[np.nd
         return "".join(f"<{tag}><a href='/'>{words(1, 4)}</a></{tag}>" for _ in range(k))
 
     def named(*values: str) -> str:
+        if odds(mislead):  # names that say nothing, or the wrong thing
+            return pick("", "", f' class="{pick("block", "item", "c12", "inner", "panel-x")}"', f' class="{pick(*HINT)}"')
         return pick(f' class="{pick(*values)}"', f' id="{pick(*values)}"', f' class="{pick("box", "col", "wrap")} {pick(*values)}"')
 
     def menu() -> str:
         body = f"<ul>{links(rng.integers(3, 9))}</ul>"
-        return pick(f"<nav>{body}</nav>", f"<div{named('nav', 'menu', 'navbar', 'breadcrumb')}>{body}</div>", f"<header>{pick('', '<h1>' + words(1, 3) + '</h1>')}<nav>{body}</nav></header>", f"<nav>{links(4, 'p')}</nav>")
+        return pick(f"<nav>{body}</nav>", f"<div{named('nav', 'menu', 'navbar', 'breadcrumb')}>{body}</div>", f"<header>{pick('', '<h1>' + words(1, 3) + '</h1>')}<nav>{body}</nav></header>", f"<nav>{links(4, 'p')}</nav>", f"<div>{links(rng.integers(2, 7), pick('span', 'p', 'div'))}</div>")
 
     def head() -> str:
         return pick(f"<header><div{named('logo', 'branding')}>{words(1, 4)}</div><p>{words(3, 9)}</p></header>", f"<div{named('header', 'masthead', 'banner')}><h1>{words(1, 4)}</h1><p>{words(2, 12)}</p></div>")
@@ -360,7 +404,9 @@ def labelled_pages(n: int = 1200, seed: int = 5) -> tuple[list[Page], list[np.nd
 
     def comments() -> str:
         one = lambda: pick(f"<p>{words(3, 60)}</p>", f"<div class='comment'><p>{words(3, 60)}</p></div>", f"<article class='comment'><h4>{words(1, 3)}</h4><p>{words(3, 60)}</p></article>", f"<li><p>{words(3, 40)}</p></li>")
-        body = pick("", f"<h3>{words(1, 3)}</h3>") + "".join(one() for _ in range(rng.integers(1, 6)))
+        body = pick("", f"<h3>{words(1, 3)}</h3>", f"<h{(k := pick(2, 3, 4))}>{pick('Comments', '3 comments', 'Reader comments', 'Replies', 'Discussion', '7 responses')}</h{k}>") + "".join(one() for _ in range(rng.integers(1, 6)))
+        if body.startswith(("<h2", "<h4")) and odds(0.5):
+            return f"<{(t := pick('section', 'div'))}{pick('', ' class=box', ' class=user-area', ' id=c2')}>{body}</{t}>"
         return pick(f"<section{named('comments', 'discussion', 'replies', 'reader-comments')}>{body}</section>", f"<div{named('comments', 'comment-list', 'respond')}>{body}</div>", f"<ul class='comments'>{body}</ul>")
 
     def junk() -> str:
@@ -378,6 +424,9 @@ def labelled_pages(n: int = 1200, seed: int = 5) -> tuple[list[Page], list[np.nd
                     f"<blockquote>{words(5, 50)}</blockquote>", f"<pre>{words(3, 30)}</pre>", f"<table><tr><td>{words(1, 6)}</td><td>{words(1, 6)}</td></tr></table>", f"<figure><figcaption>{words(3, 14)}</figcaption></figure>", f"<div>{words(10, 90)}</div>", f"<section><h3>{words(1, 6)}</h3><p>{words(9, 80)}</p></section>",
                 )
             )
+            if odds(0.05):
+                mark = pick("advert", "ad", "sponsored", "promo", "comment", "comments-count")
+                out.append(f"<p>{words(5, 40)} \x00<{(t := pick('span', 'a', 'b'))} class='{mark}'>{words(1, 9)}</{t}>\x01 {words(5, 40)}</p>")
             if inner and odds(0.2):
                 out.append("\x00" + pick(advert, side, form, notice)() + "\x01")
         return "".join(out)
@@ -385,10 +434,14 @@ def labelled_pages(n: int = 1200, seed: int = 5) -> tuple[list[Page], list[np.nd
     pages, labels = [], []
     for _ in range(n):
         body = prose()
+        if odds(mislead):  # a frame with a name of the other side
+            body = f"<{(t := pick('section', 'div'))} {pick('class', 'id')}='{pick(*HINT)}'>{body}</{t}>"
         main = pick(
             f"<article>{body}</article>", f"<article>{body}</article>", f"<main>{body}</main>", f"<main><article>{body}</article></main>", f"<div{named('content', 'post', 'article', 'entry', 'story', 'main')}>{body}</div>",
             f"<div class='wrap'><article{named('post', 'entry')}><div class='body'>{body}</div></article></div>", f"<div>{body}</div>", f"<section{named('content', 'story')}>{body}</section>", body, words(20, 120),
         )
+        if odds(mislead):
+            main = main.replace("<article>", f"<article class='post {pick(*HINT)}'>", 1)
         if odds(0.25):
             main = main.replace("</article>", "\x00" + comments() + "\x01</article>", 1)
         parts = ["\x00" + junk() + "\x01" for _ in range(rng.integers(0, 4))] + ["\x02" + main + "\x03"] + ["\x00" + pick(junk, comments, foot)() + "\x01" for _ in range(rng.integers(0, 4))]
@@ -419,7 +472,7 @@ def labelled_pages(n: int = 1200, seed: int = 5) -> tuple[list[Page], list[np.nd
 
 @lru_cache(1)
 def model() -> TreeModel:
-    return TreeModel.train(*labelled_pages())
+    return TreeModel.train(*labelled_pages(mislead=0.1))
 
 
 def extract_texts(sources: list[str], tree: TreeModel) -> list[str]:
