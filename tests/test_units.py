@@ -496,3 +496,57 @@ def test_scaled_windows_take_covariates_and_unseen_labels(spark):
     assert all(r.v == pytest.approx((r.time_idx - r.start - 1.5) / sd) for r in out if r.id in (1, 2))
     plain = datasets.load_scaled(b, m, ["v"], 4, 2, minima={"train": 0}, scaled=False).where("id = 2").first()
     assert plain.v == 2 * plain.time_idx
+
+
+def test_states_in_every_coordinate_system(spark):
+    import datetime as dt
+    import math
+
+    from wakeline.functions import spatial
+    from wakeline.sources import datasets
+
+    at = lambda h: dt.datetime(2020, 3, 1) + dt.timedelta(hours=h)
+    places = [(-50.0, 179.0), (-50.5, 179.8), (-51.0, -179.6), (-51.0, -179.6), (-52.0, -178.0), (-52.2, -177.0), (-52.1, -177.5)]
+    fixes = spark.createDataFrame([(1, at(6 * i), a, b, float(i)) for i, (a, b) in enumerate(places)], "id long, ts timestamp, lat double, lon double, wind0 double")
+    meta = spark.createDataFrame([(1, "seal", 3.0)], "id long, species string, weight double")
+    grid = fixes.select("lat", "lon", "ts", F.col("wind0").alias("wind"), (F.col("wind0") * 2).alias("wave"))
+
+    def states(system, **options):
+        own = datasets.load_states(fixes, meta, system, velocity="components", weather=grid, weather_columns=["wind", "wave"], cell=0.1, static=["species"], **options)
+        return own.orderBy("time_idx").collect()
+
+    def step(a, b):  # north and east of b seen from a, by bearing and angle
+        (la, lo), (lb, lp) = ([math.radians(v) for v in z] for z in (a, b))
+        north, east = math.sin(lb) * math.cos(la) - math.cos(lb) * math.sin(la) * math.cos(lp - lo), math.cos(lb) * math.sin(lp - lo)
+        angle = math.acos(min(1.0, math.sin(la) * math.sin(lb) + math.cos(la) * math.cos(lb) * math.cos(lp - lo)))
+        bearing = math.atan2(east, north)
+        return (angle * math.cos(bearing), angle * math.sin(bearing)) if a != b else (0.0, 0.0)
+
+    centre = tuple(sum(z) / len(z) for z in zip(*places))
+    near = lambda got, want: math.isclose(got, want, abs_tol=1e-6)
+    v = [[c * 4 for c in step(a, b)] for a, b in zip(places, places[1:])]
+    v.append([sum(z) / len(z) for z in zip(*v)])
+    for rows in (states("spherical"), states("spherical", delta=None)):
+        assert {z.species for z in rows} == {"seal"} and [(z.wind, z.wave) for z in rows] == [(i, 2 * i) for i in range(7)]
+        summed = [(0.0, 0.0)]
+        for a, b in zip([centre, *places], places):
+            n, e = step(a, b)
+            summed.append((summed[-1][0] - n, summed[-1][1] + e))
+        assert all(near(z.sn, w[0]) and near(z.we, w[1]) for z, w in zip(rows, summed[1:]))
+        assert all(near(z.v_sn, w[0]) and near(z.v_we, w[1]) and near(z.dt, 0.25) for z, w in zip(rows, v))
+    for z, p in zip(states("spherical-ref-point"), places):
+        n, e = step(centre, p)
+        assert near(z.sn, -n) and near(z.we, e)
+    moved = states("spherical-dx")
+    assert (moved[0].dlat, moved[0].dlon) == (0, 0) and near(moved[3].dlat, 0) and near(moved[3].dlon, 0)
+    assert all(near(z.x, math.cos(math.radians(a)) * math.cos(math.radians(b))) and near(z.z, math.sin(math.radians(a))) for z, (a, b) in zip(moved, places))
+    # The increment's angle is that of the step, whatever the frame.
+    assert all(near(math.cos(math.radians(z.dlat)) * math.cos(math.radians(z.dlon)), math.cos(math.hypot(*step(a, b)))) for z, a, b in zip(moved[1:], places, places[1:]))
+    assert len(states("mercator", bins=1460)) == 7
+    with pytest.raises(ValueError):
+        datasets.coordinates(fixes, "polar")
+    with pytest.raises(ValueError):
+        datasets.steps_ahead(fixes, "squared")
+    ends = fixes.limit(1).select(*spatial.step_between(F.lit(0.1), F.lit(0.2), F.lit(0.1), F.lit(0.2)), spatial.step_between(F.lit(0.1), F.lit(0.2), F.lit(None).cast("double"), F.lit(0.2))[0]).first()
+    assert tuple(ends) == (0.0, 0.0, None)
+    assert datasets.flat(fixes, ["wind0"]).columns == ["id", "lat", "lon", "day", "year", "wind0"]

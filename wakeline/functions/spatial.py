@@ -108,6 +108,16 @@ def log_map_from(lat0: Column, lon0: Column, lat: Column, lon: Column) -> tuple[
     return s, w
 
 
+def step_between(lat: Column, lon: Column, lat2: Column, lon2: Column) -> tuple[Column, Column]:
+    """(north, east) components of the tangent vector from a point to another, as `log_map_from` without vectors: one short expression for
+    steps along tracks (P12, P15). Equal points give zero, a missing one null."""
+    turn = lon2 - lon
+    east, north = F.cos(lat2) * F.sin(turn), F.sin(lat2) * F.cos(lat) - F.cos(lat2) * F.sin(lat) * F.cos(turn)
+    size = F.hypot(east, north)
+    grow = F.when(size > 0, F.atan2(size, F.sin(lat) * F.sin(lat2) + F.cos(lat) * F.cos(lat2) * F.cos(turn)) / size).when(size == 0, 0.0)
+    return grow * north, grow * east
+
+
 def exp_map_from(lat0: Column, lon0: Column, sn: Column, we: Column) -> tuple[Column, Column]:
     """(lat, lon) from (sn, we) about a reference point, the inverse of `log_map_from`."""
     v = from_local((F.lit(0.0), sn, we), lat0, lon0)

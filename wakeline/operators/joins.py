@@ -70,16 +70,16 @@ def asof(left: DataFrame, right: DataFrame, values: Sequence[str], hours: float,
     return out.where("_left").select(*left.columns, *[f"{v}_base" for v in values], "base_gap_hours")
 
 
-def nearest_grid(fixes: DataFrame, grid: DataFrame, cell: float = 0.25, value: str = "value") -> DataFrame:
-    """The grid value of the nearest hour and cell, ties to the lower latitude and longitude index.
+def nearest_grid(fixes: DataFrame, grid: DataFrame, cell: float = 0.25, value: str | Sequence[str] = "value") -> DataFrame:
+    """The grid value, or several ones, of the nearest hour and cell, ties to the lower latitude and longitude index.
 
     Both sides round to the same hour and cell, which makes an equi join of what is a nearest-neighbour search. Of a finer grid, the value
     nearest to the middle of the cell and hour counts, and of equally near ones the least.
     """
     key = lambda d: {"_h": F.round(F.unix_timestamp("ts") / 3600).cast("long"), "_i": F.round(d["lat"] / cell).cast("int"), "_j": F.pmod(F.round(d["lon"] / cell).cast("int"), F.lit(int(360 / cell)))}
     off = F.abs(F.col("lat") / cell - F.round(F.col("lat") / cell)) + F.abs(F.col("lon") / cell - F.round(F.col("lon") / cell)) + F.abs(F.unix_timestamp("ts") / 3600 - F.col("_h"))
-    best = F.min(F.when(F.col(value).isNotNull(), F.struct(off.alias("off"), F.col(value).alias("v"))))
-    g = grid.withColumns(key(grid)).groupBy("_h", "_i", "_j").agg(best["v"].alias(value))
+    best = lambda v: F.min(F.when(F.col(v).isNotNull(), F.struct(off.alias("off"), F.col(v).alias("v"))))["v"].alias(v)
+    g = grid.withColumns(key(grid)).groupBy("_h", "_i", "_j").agg(*[best(v) for v in ([value] if isinstance(value, str) else value)])
     return fixes.withColumns(key(fixes)).join(g, ["_h", "_i", "_j"], "left").drop("_h", "_i", "_j")
 
 

@@ -1138,6 +1138,66 @@ def feature_table(spark, d):
     return own.select("id", "time_idx", F.round("lat", 6).alias("lat"), F.round("value", 6).alias("value"), F.round("dt", 8).alias("dt"), F.round("speed", 3).alias("speed"), "season", r("cos_t").alias("cos_t"))
 
 
+AHEAD = f""", ahead AS (SELECT f.*, m.species, lead(radians(lat)) OVER w AS lat2, lead(radians(lon)) OVER w AS lon2, radians(lat) AS lat1, radians(lon) AS lon1, lag(radians(lat)) OVER w AS lat0, lag(radians(lon)) OVER w AS lon0,
+      (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 8.64e10 AS dt, lead(ts) OVER w IS NULL AS final, CAST(floor(epoch(ts) / 21600) AS INT) AS time_idx, {DAY_SQL} AS day, count(*) OVER (PARTITION BY f.id) AS n
+      FROM fixes f JOIN meta m ON m.id = f.id WINDOW w AS (PARTITION BY f.id ORDER BY ts)),
+    mended AS (SELECT * REPLACE (CASE WHEN dt IS NULL OR dt >= 1e-8 THEN dt ELSE coalesce(avg(CASE WHEN dt >= 1e-8 THEN dt END) OVER (PARTITION BY id), 0.11) END AS dt) FROM ahead WHERE n > 5)"""
+#: A value, or at the end of a track the mean of the ten before it.
+FILLED = "CASE WHEN final AND {0} IS NULL THEN avg({0}) OVER (PARTITION BY id ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) ELSE {0} END AS {0}"
+SEASON = "CASE WHEN floor(t / 31) IN (11, 0, 1) THEN 'winter' WHEN floor(t / 31) <= 4 THEN 'spring' WHEN floor(t / 31) <= 7 THEN 'summer' ELSE 'autumn' END AS season"
+
+
+def _weather(spark, d):
+    """A grid of 30 degrees and an hour with two values, from the fixes."""
+    key = {"h": F.round(F.unix_timestamp("ts") / 3600).cast("long"), "i": F.round(F.col("lat") / 30).cast("int"), "j": F.pmod(F.round(F.col("lon") / 30).cast("int"), F.lit(12))}
+    cells = fixes(spark, d).withColumns(key).groupBy("h", "i", "j").agg(F.avg("value").alias("wind"), F.avg("event_id").alias("wave"))
+    return cells.select(F.timestamp_seconds(F.col("h") * 3600).alias("ts"), (F.col("i") * 30.0).alias("lat"), (F.col("j") * 30.0).alias("lon"), "wind", "wave")
+
+
+@query("fixes meta", f"""{AHEAD}, moved AS (SELECT *, {gcd('lat1', 'lon1', 'lat2', 'lon2')} * {RADIUS} / nullif(dt * 24, 0) AS speed, round(epoch(date_trunc('second', ts)) / 3600) AS h, round(lat / 30) AS i, ((CAST(round(lon / 30) AS INT) % 12) + 12) % 12 AS j FROM mended),
+    keyed AS (SELECT value, event_id, round(epoch(date_trunc('second', ts)) / 3600) AS h, round(lat / 30) AS i, ((CAST(round(lon / 30) AS INT) % 12) + 12) % 12 AS j FROM fixes), g AS (SELECT h, i, j, avg(value) AS wind, avg(event_id) AS wave FROM keyed GROUP BY ALL),
+    f AS (SELECT id, ts, time_idx, species, day, lat1, lon1, h, i, j, {FILLED.format('dt')}, {FILLED.format('speed')} FROM moved),
+    b AS (SELECT id, time_idx, species, avg({RADIUS} * lon1) AS x, avg({RADIUS} * ln(tan(pi() / 4 + lat1 / 2))) AS y, avg(wind) AS wind, avg(wave) AS wave, avg(dt) AS dt, avg(speed) AS speed, avg(day) AS t FROM f LEFT JOIN g USING (h, i, j) GROUP BY ALL)
+    SELECT id, time_idx, species, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(wind, 9) AS wind, round(wave, 7) AS wave, round(dt, 7) AS dt, round(speed, 3) AS speed, {SEASON} FROM b WHERE dt IS NOT NULL AND speed IS NOT NULL AND wind IS NOT NULL""")
+def mercator_states(spark, d):
+    """Projected states with weather, static labels, and steps to the next fix."""
+    own = datasets.load_states(fixes(spark, d), meta(spark, d), weather=_weather(spark, d), weather_columns=["wind", "wave"], cell=30.0, static=["species"])
+    return own.select("id", "time_idx", "species", r("x", 3).alias("x"), r("y", 3).alias("y"), F.round("wind", 9).alias("wind"), F.round("wave", 7).alias("wave"), F.round("dt", 7).alias("dt"), F.round("speed", 3).alias("speed"), "season")
+
+
+def _local(a: str, b: str, c: str, e: str) -> str:
+    """SQL of a step's angle over the length of its unscaled components, and of these to the east and north."""
+    east, north = f"(cos({c}) * sin({e} - {b}))", f"(sin({c}) * cos({a}) - cos({c}) * sin({a}) * cos({e} - {b}))"
+    return f"atan2(sqrt({east} * {east} + {north} * {north}), cos({a}) * cos({c}) * cos({e} - {b}) + sin({a}) * sin({c})) / nullif(sqrt({east} * {east} + {north} * {north}), 0) AS turn, {east} AS e, {north} AS nn"
+
+
+@query("fixes meta", f"""{AHEAD}, p AS (SELECT avg(lat1) AS a, avg(lon1) AS b FROM mended), v AS (SELECT mended.*, {_local('lat1', 'lon1', 'lat2', 'lon2')} FROM mended), v2 AS (SELECT * EXCLUDE (turn, e, nn), turn * nn / dt AS v_sn, turn * e / dt AS v_we FROM v),
+    q AS (SELECT v2.*, coalesce(lat0, p.a) AS pa, coalesce(lon0, p.b) AS pb FROM v2, p), s AS (SELECT q.*, {_local('pa', 'pb', 'lat1', 'lon1')} FROM q),
+    f AS (SELECT id, ts, time_idx, {FILLED.format('dt')}, {FILLED.format('v_sn')}, {FILLED.format('v_we')}, sum(coalesce(-turn * nn, 0)) OVER w AS sn, sum(coalesce(turn * e, 0)) OVER w AS we FROM s WINDOW w AS (PARTITION BY id ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+    b AS (SELECT id, time_idx, avg(sn) AS sn, avg(we) AS we, avg(dt) AS dt, avg(v_sn) AS v_sn, avg(v_we) AS v_we FROM f GROUP BY ALL)
+    SELECT id, time_idx, round(sn, 6) + 0.0 AS sn, round(we, 6) + 0.0 AS we, round(dt, 7) AS dt, round(v_sn, 4) + 0.0 AS v_sn, round(v_we, 4) + 0.0 AS v_we FROM b WHERE dt IS NOT NULL AND v_sn IS NOT NULL AND v_we IS NOT NULL""")
+def tangent_states(spark, d):
+    """S3: summed tangent steps from the mean place, velocity in components."""
+    own = datasets.load_states(fixes(spark, d), meta(spark, d), "spherical", velocity="components")
+    return own.select("id", "time_idx", r("sn").alias("sn"), r("we").alias("we"), F.round("dt", 7).alias("dt"), r("v_sn", 4).alias("v_sn"), r("v_we", 4).alias("v_we"))
+
+
+@query("fixes meta", f"""{AHEAD}, c AS (SELECT *, cos(lat1) * cos(lon1 - lon0) AS a, cos(lat1) * sin(lon1 - lon0) AS b, sin(lat1) AS z FROM mended), g AS (SELECT *, a * cos(lat0) + z * sin(lat0) AS gx, z * cos(lat0) - a * sin(lat0) AS gz FROM c),
+    f AS (SELECT id, time_idx, lat1, lon1, coalesce(degrees(asin(gz)), 0) AS dlat, coalesce(degrees(atan2(b, gx)), 0) AS dlon FROM g),
+    m AS (SELECT id, time_idx, avg(lat1) AS la, CASE WHEN max(lon1) > 2 AND min(lon1) < -2 THEN atan2(avg(sin(lon1)), avg(cos(lon1))) ELSE avg(lon1) END AS lo, avg(dlat) AS dlat, avg(dlon) AS dlon FROM f GROUP BY ALL)
+    SELECT id, time_idx, round(cos(la) * cos(lo), 8) + 0.0 AS x, round(cos(la) * sin(lo), 8) + 0.0 AS y, round(sin(la), 8) + 0.0 AS z, round(dlat, 5) + 0.0 AS dlat, round(dlon, 5) + 0.0 AS dlon FROM m""")
+def origin_states(spark, d):
+    """S3, A3: unit vectors of mean places, increments seen from the fix before."""
+    own = datasets.load_states(fixes(spark, d), meta(spark, d), "spherical-dx", velocity=None, add_dt=False, add_hour_angle=False)
+    return own.select("id", "time_idx", *[r(c, 8).alias(c) for c in "xyz"], r("dlat", 5).alias("dlat"), r("dlon", 5).alias("dlon"))
+
+
+@query("fixes", f"SELECT id, event_id, round(lat, 6) AS lat, round(lon, 6) AS lon, round({DAY_SQL}, 8) AS day, CAST(year(ts) AS INT) AS year, value FROM fixes")
+def flat_fixes(spark, d):
+    """The expanded form."""
+    return datasets.flat(fixes(spark, d), ["event_id", "value"]).select("id", "event_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("day", 8).alias("day"), "year", "value")
+
+
 @query("dense meta", f""", cut AS (SELECT floor(quantile_cont(time_idx, 0.8)) AS a, floor(quantile_cont(time_idx, 0.9)) AS b FROM binned), lastb AS (SELECT id, max(time_idx) AS last, count(*) FILTER (WHERE time_idx <= a) AS n FROM binned, cut GROUP BY id),
     idx AS (SELECT b.id, time_idx AS start, CASE WHEN time_idx + {E_} <= cut.a THEN 'train' WHEN time_idx + {E_} <= cut.b THEN 'val' ELSE 'test' END AS split FROM binned b JOIN lastb USING (id), cut WHERE time_idx + {E_ + D_ - 1} <= last AND n >= {E_ + D_})
     SELECT i.id, i.start, i.split, species, count(*) AS steps, round(avg(d.value), 6) AS value FROM idx i JOIN dense d ON d.id = i.id AND d.time_idx BETWEEN i.start AND i.start + {E_ + D_ - 1} LEFT JOIN meta m ON m.id = i.id GROUP BY ALL""")

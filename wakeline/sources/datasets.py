@@ -7,17 +7,108 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.functions import calendar
+from wakeline.functions import calendar, spatial
 from wakeline.operators import binning, joins, tracks, windows
+from wakeline.sources import tables
 
 
-def load_all(fixes: DataFrame, meta: DataFrame, species: Sequence[str] | None = None, min_len: int = 50, min_days: float = 5, min_tracks: int = 10, min_dt: float = 0.0, max_dt: float | None = 7.0) -> DataFrame:
-    """Thinned, pruned fixes with their species, and `section` where `max_dt` splits tracks at long gaps."""
+def load_all(
+    fixes: DataFrame, meta: DataFrame, species: Sequence[str] | None = None, min_len: int = 50, min_days: float = 5, min_tracks: int = 10, min_dt: float = 0.0, max_dt: float | None = 7.0,
+    weather: DataFrame | None = None, weather_columns: Sequence[str] = (), cell: float = 0.25,
+) -> DataFrame:
+    """Thinned, pruned fixes with their species, `section` where `max_dt` splits tracks at long gaps, and the weather of the nearest hour and cell."""
     own = tracks.thin_native(fixes, min_dt) if min_dt > 0 else fixes
     own = tracks.prune(own, meta, species, min_len, min_days, min_tracks)
+    if weather is not None:
+        own = joins.nearest_grid(own, weather, cell, weather_columns)
     return own if max_dt is None else tracks.chunks(own, max_dt)
 
 
+def flat(fixes: DataFrame, covariates: Sequence[str] = ()) -> DataFrame:
+    """id, lat, lon, day (of the year, fractional, from 0), year and covariates of every fix: the expanded form."""
+    return fixes.select("id", "lat", "lon", calendar.day_of_year(F.col("ts")).alias("day"), F.year("ts").alias("year"), *covariates)
+
+
+#: The columns of a place, and those to predict where they are others, by coordinate system.
+SYSTEMS = {"mercator": (("x", "y"), ()), "spherical": (("sn", "we"), ()), "spherical-ref-point": (("sn", "we"), ()), "spherical-dx": (("x", "y", "z"), ("dlat", "dlon"))}
+
+
+def coordinates(fixes: DataFrame, system: str) -> DataFrame:
+    """The columns of a coordinate system beside each fix.
+
+    mercator: x and y in km. spherical-ref-point: the tangent vector (sn, we) to the fix at the mean of all fixes. spherical: the sum of the tangent
+    vectors of the steps so far, the first from that mean. spherical-dx: lat_r and lon_r in radians, and dlat and dlon, the degrees of a fix when the one before is
+    turned to (0, 0); zero for a track's first. sn is as in `spatial.log_map_from`.
+    """
+    lat, lon, w = F.radians("lat"), F.radians("lon"), tracks.along()
+    if system == "mercator":
+        x, y = spatial.mercator(lat, lon)
+        return fixes.withColumns({"x": x, "y": y})
+    if system == "spherical-dx":
+        own = fixes.withColumns({"lat_r": lat, "lon_r": lon}).withColumns({"_lat": F.lag("lat_r").over(w), "_lon": F.lag("lon_r").over(w)})
+        turned = spatial.to_spherical(spatial.shift_to_origin(spatial.to_cartesian(F.col("lat_r"), F.col("lon_r")), F.col("_lat"), F.col("_lon")))
+        return own.withColumns({n: F.when(F.col("_lat").isNull(), 0.0).otherwise(F.degrees(c)) for n, c in zip(("dlat", "dlon"), turned)}).drop("_lat", "_lon")
+    if system not in SYSTEMS:
+        raise ValueError(f"no coordinate system {system}: one of {sorted(SYSTEMS)}")
+    own = fixes.join(F.broadcast(tables.reference_point(fixes)))  # one row
+    if system == "spherical-ref-point":
+        sn, we = spatial.log_map_from(F.col("lat0"), F.col("lon0"), lat, lon)
+        return own.withColumns({"sn": sn, "we": we}).drop("lat0", "lon0")
+    own = own.withColumns({"_lat": F.coalesce(F.lag(lat).over(w), "lat0"), "_lon": F.coalesce(F.lag(lon).over(w), "lon0")})
+    north, east = spatial.step_between(F.col("_lat"), F.col("_lon"), lat, lon)
+    own = own.withColumns({"_sn": -north, "_we": east})
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    return own.withColumns({"sn": F.sum("_sn").over(so_far), "we": F.sum("_we").over(so_far)}).drop("lat0", "lon0", "_lat", "_lon", "_sn", "_we")
+
+
+def steps_ahead(fixes: DataFrame, velocity: str | None = "norm", delta: int | None = 10) -> DataFrame:
+    """dt in days to the next fix, and the velocity towards it: `speed` in km an hour ("norm") or v_sn and v_we in radians a day, north and east
+    ("components"). A track's last fix has the mean of the `delta` before it, or of all of them (S3, T5, N2)."""
+    w = tracks.along()
+    lat, lon = F.radians("lat"), F.radians("lon")
+    own = fixes.withColumns({"_lat": F.lead(lat).over(w), "_lon": F.lead(lon).over(w), "dt": calendar.days_between(F.col("ts"), F.lead("ts").over(w))})
+    own = tracks.replace_zero_dt(own)
+    if velocity == "norm":
+        made = {"speed": F.try_divide(spatial.great_circle(lat, lon, F.col("_lat"), F.col("_lon")) * spatial.EARTH_RADIUS, F.col("dt") * 24)}
+    elif velocity == "components":
+        made = {n: F.try_divide(c, F.col("dt")) for n, c in zip(("v_sn", "v_we"), spatial.step_between(lat, lon, F.col("_lat"), F.col("_lon")))}
+    elif velocity is None:
+        made = {}
+    else:
+        raise ValueError(f"no velocity {velocity}: norm, components or None")
+    own = own.withColumns(made)
+    for c in ("dt", *made):
+        own = tracks.fill_last(own, c, -Window.unboundedPreceding if delta is None else delta)
+    return own.drop("_lat", "_lon")
+
+
+def load_states(
+    fixes: DataFrame, meta: DataFrame, system: str = "mercator", covariates: Sequence[str] = (), velocity: str | None = "norm", species: Sequence[str] | None = None, hours: int = 6, bins: int | None = None,
+    add_hour_angle: bool = True, add_dt: bool = True, delta: int | None = 10, weather: DataFrame | None = None, weather_columns: Sequence[str] = (), cell: float = 0.25, static: Sequence[str] = (), min_len: int = 5,
+) -> DataFrame:
+    """Means by id and time_idx of coordinates, covariates, weather, dt to the next fix, velocity and hour angle, with t, year, calendar and static columns (S3).
+
+    Bins are of `hours` since the epoch, or, with `bins`, equal parts of the days of a year. Bins that lack a value are left out.
+    Longitudes are averaged on the circle in spherical-dx, whose x, y and z are those of the mean place.
+    """
+    own = coordinates(load_all(fixes, meta, species, min_len, 0, 0, 0.0, None, weather, weather_columns, cell), system)
+    places, ahead = SYSTEMS[system]
+    features = [*(("lat_r", "lon_r") if ahead else places), *ahead, *covariates, *(weather_columns if weather is not None else ())]
+    if add_dt or velocity is not None:
+        own = steps_ahead(own, velocity, delta)
+        features += ["dt"] * add_dt + {"norm": ["speed"], "components": ["v_sn", "v_we"], None: []}[velocity]
+    if add_hour_angle:
+        angle = calendar.hour_angle(F.col("ts"), F.col("lon"))
+        own = own.withColumns({"sin_h": F.sin(angle), "cos_h": F.cos(angle)})
+        features += ["sin_h", "cos_h"]
+    own = own.withColumn("time_idx", F.floor(F.unix_timestamp("ts") / (3600 * hours)).cast("int")) if bins is None else binning.year_bins(own, bins)
+    own = own.withColumns({"t": calendar.day_of_year(F.col("ts")), "year": F.year("ts")})
+    out = binning.calendar_features(binning.mean_by_bin(own, [*features, "t", "year"], ("lon_r",)))
+    if ahead:
+        out = out.withColumns(dict(zip(places, spatial.to_cartesian(F.col("lat_r"), F.col("lon_r"))))).drop("lat_r", "lon_r")
+    return joins.with_static(out, meta, list(static)) if static else out
+
+
 def load_features(fixes: DataFrame, meta: DataFrame, columns: Sequence[str] = ("lat", "lon"), species: Sequence[str] | None = None, hours: int = 6, min_len: int = 5, velocity: bool = True, add_hour_angle: bool = True, add_dt: bool = True) -> DataFrame:
     """Binned means of positions and features by id and time_idx since the epoch, with calendar features (S3).
 
