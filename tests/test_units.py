@@ -550,3 +550,22 @@ def test_states_in_every_coordinate_system(spark):
     ends = fixes.limit(1).select(*spatial.step_between(F.lit(0.1), F.lit(0.2), F.lit(0.1), F.lit(0.2)), spatial.step_between(F.lit(0.1), F.lit(0.2), F.lit(None).cast("double"), F.lit(0.2))[0]).first()
     assert tuple(ends) == (0.0, 0.0, None)
     assert datasets.flat(fixes, ["wind0"]).columns == ["id", "lat", "lon", "day", "year", "wind0"]
+
+
+def test_rules_without_conditions_that_add_nothing(spark):
+    rng = np.random.default_rng(3)
+    sets = {tuple(sorted(rng.choice(list("abcdefgh"), rng.integers(1, 6), False))) for _ in range(60)}
+    own = spark.createDataFrame([(list(z), float(i)) for i, z in enumerate(sorted(sets))], "antecedent array<string>, confidence double")
+    want = {z for z in sets if not any(set(y) < set(z) for y in sets)}
+    assert {tuple(z.antecedent) for z in stats.simplest(own).collect()} == want
+    assert stats.simplest(own.limit(0)).count() == 0
+
+
+def test_prune_by_number_of_tracks(spark):
+    fixes = spark.sql("SELECT id, timestamp_seconds(i * 86400) AS ts, 1.0D AS lat, 2.0D AS lon FROM range(1, 7) t(id), range(10) s(i)")
+    meta = spark.sql("SELECT * FROM VALUES (1L, 'a'), (2L, 'a'), (3L, 'a'), (4L, 'b'), (5L, 'b'), (6L, NULL) t(id, species)")
+    ids = lambda *args, **options: {z.id for z in tracks.prune(fixes, meta, None, 5, 2, *args, **options).select("id").distinct().collect()}
+    assert (ids(0), ids(2), ids(3), ids(4)) == ({1, 2, 3, 4, 5}, {1, 2, 3, 4, 5}, {1, 2, 3}, set())
+    assert ids(3, null_as="b") == {1, 2, 3, 4, 5, 6} and ids(3, apply=lambda d: d.withColumn("species", F.lit("c"))) == {1, 2, 3, 4, 5, 6}
+    plan = tracks.prune(fixes, meta, None, 5, 2, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [species" in plan

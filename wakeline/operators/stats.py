@@ -396,12 +396,20 @@ def rules(items: DataFrame, target: str, support: float = 0.05, confidence: floa
     from pyspark.ml.fpm import FPGrowth
 
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items.select("items")).associationRules
-    own = found.where((F.get("consequent", F.lit(0)) == target) & (F.size("antecedent") < longest)).select("antecedent", "confidence", "lift", "support")
-    size = lambda d: F.size(d)
-    item = own.select(F.col("antecedent").alias("_big"), F.explode("antecedent").alias("i"))
-    small = own.select(F.col("antecedent").alias("_small"), F.explode("antecedent").alias("i"))
-    inside = item.join(small, "i").groupBy("_big", "_small").agg(F.count("*").alias("n")).where((F.col("n") == size("_small")) & (size("_big") > F.col("n")))
-    return own.join(inside.select(F.col("_big").alias("antecedent")).distinct(), "antecedent", "left_anti")
+    own = found.where((F.get("consequent", F.lit(0)) == target) & (F.size("antecedent") < longest)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "lift", "support")
+    return simplest(own)
+
+
+def simplest(rules: DataFrame) -> DataFrame:
+    """The rules (sorted antecedent and others) of which no part of the antecedent is a rule's antecedent too.
+
+    Each part is looked up by equality, so an item that many rules share is no key; a rule of n conditions has 2 ** n parts, which `longest` bounds.
+    """
+    n = F.size("antecedent")
+    masks = F.expr("explode(sequence(1L, shiftleft(1L, size(antecedent)) - 2L))")
+    parts = rules.where(n > 1).select(F.col("antecedent").alias("_big"), masks.alias("_mask")).select("_big", F.expr("filter(_big, (e, i) -> getbit(_mask, i) = 1)").alias("_part"))
+    longer = parts.join(rules.select(F.col("antecedent").alias("_part")), "_part", "left_semi").select(F.col("_big").alias("antecedent")).distinct()
+    return rules.join(longer, "antecedent", "left_anti")
 
 
 def mutual_information(df: DataFrame, a: str, b: str, bins: int = 10) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import calendar, spatial
+from wakeline.operators import joins
 
 
 def along(ident: str = "id", order: str = "ts"):
@@ -191,8 +192,13 @@ def prune(fixes: DataFrame, meta: DataFrame, values: Iterable | None = None, min
         out = out.replace(mapping, subset=["species"])
     if vertices:
         out = inside_polygon_run(out, vertices)
-    common = out.select("id", "species").distinct().groupBy("species").agg(F.count("*").alias("_tracks")).where(F.col("_tracks") >= min_tracks)
-    return out.join(common.select("species"), "species", "left_semi").drop("_n", "_days")
+    out = out.drop("_n", "_days")
+    if min_tracks <= 1:  # every species that is there has a track
+        return out.where("species is not null")
+    common = out.select("id", "species").distinct().groupBy("species").agg(F.count("*").alias("_tracks")).where(F.col("_tracks") >= min_tracks).select("species")
+    # A few labels are all the keys there are: fixes are not shuffled by them where the metadata bound their number.
+    few = apply is None and joins.estimated_bytes(meta) <= joins.SMALL_BYTES
+    return out.join(F.broadcast(common) if few else common, "species", "left_semi")
 
 
 def duplicate_times(fixes: DataFrame, min_seconds: float = 60) -> DataFrame:
