@@ -95,7 +95,8 @@ def block_of(blocks: int, seed: int):
 
 
 def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None = None, blocks: int | None = None, seed: int = SEED) -> DataFrame:
-    """All columns, and copies (epochs the document is in), _weight and _order (of its block in its source).
+    """All columns, and _copies (epochs the document is in), _weight and _order (of its block in its source),
+    which take the place of columns of these three names; `mixed_rows` keeps those as well.
 
     A source's documents fall into blocks by a hash of doc_id, an epoch runs through the blocks in a
     hashed order, and the last, partial epoch takes whole blocks and then documents of the block
