@@ -230,3 +230,39 @@ def test_quantile_density_query(spark):
     rows = QUERIES["quantile_density"](spark, SF).collect()
     assert rows and all(r.q25 < r.median < r.q75 and abs(r.q25 + r.q75 - 2 * r.median) < 2e-5 and r.density >= 0 for r in rows)
     assert max(r.density for r in rows) < 0.1
+
+
+def test_ranks_of_products_are_those_of_all_products():
+    rng = np.random.default_rng(2)
+    for a, b in ((rng.random(40), rng.random(30)), (rng.integers(0, 4, 25) * 1.0, rng.integers(0, 3, 50) * 0.5), (np.ones(9), np.ones(9)), (np.zeros(3), rng.random(5))):
+        every = np.sort(np.outer(a, b), axis=None)
+        ranks = list(range(0, len(every), 7)) + [len(every) - 1]
+        assert D.product_ranks(a, b, ranks) == every[ranks].tolist()
+
+
+def test_hulls_of_independent_axes_are_those_of_all_points():
+    """The hull and the levels are found from the axes alone, without the grid of their products."""
+    rng = np.random.default_rng(4)
+    levels = np.array([0.025, 0.05, 0.25, 0.5, 0.75, 0.95, 0.975])
+    for qx, qy in ((levels * 60, levels * 60), (np.sort(rng.normal(size=7)) * 50, np.sort(rng.normal(size=7)) * 80)):
+        dist = D.Bivariate(qx, qy, levels)
+        x, y, z = dist.even(10000)
+        for c, hull in zip((0.5, 0.9), dist.hulls((0.5, 0.9), 10000)):
+            dense = z >= np.sort(z, axis=None)[z.size - int(c * z.size)]
+            want = D.convex_hull(np.stack([x[dense], y[dense]], 1))
+            assert D.area_on_sphere(hull) == pytest.approx(D.area_on_sphere(want), rel=1e-12)
+        assert dist.levels((0.5, 0.9), 10000) == pytest.approx(np.quantile(z, [0.5, 0.1]).tolist(), rel=1e-12)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(D.Bivariate, "even", None)
+            dist.hulls((0.5,), 10000)
+
+
+def test_regions_without_their_rings(spark):
+    rows = [(k, [0.1, 0.5, 0.9], [k - 1.0, k + 0.0, k + 2.0], [k - 1.0, k + 0.0, k + 2.0], 0.0, 0.0) for k in range(70)]
+    df = spark.createDataFrame(rows, "id int, levels array<double>, qx array<double>, qy array<double>, x double, y double")
+    for kind in ("hull", "contour"):
+        full = regions.evaluate(df, ["id"], (0.5, 0.9), kind=kind, samples=1000, grid=30)
+        bare = regions.evaluate(df, ["id"], (0.5, 0.9), kind=kind, samples=1000, grid=30, rings=False)
+        assert bare.columns == ["id", "confidence", "area", "covered", "parts", "holes"]
+        assert sorted(bare.collect()) == sorted(full.select(*bare.columns).collect())
+        assert full.where("parts <> size(filter(rings, g -> not g.hole)) or holes <> size(filter(rings, g -> g.hole))").count() == 0

@@ -57,15 +57,25 @@ class MonotoneCubic:
         return np.where((x < self.x[0]) | (x > self.x[-1]), 0.0, np.maximum(out, 0.0))
 
     def inverse(self, p) -> np.ndarray:
-        """Values of levels, by bisection; levels outside the points give the ends."""
+        """Values of levels, by Newton steps within brackets that are halved where a step would leave them; levels outside the points give the ends."""
         p = np.clip(np.asarray(p, float), self.p[0], self.p[-1])
         i = np.clip(np.searchsorted(self.p, p, "right") - 1, 0, len(self.p) - 2)
-        lo, hi = self.x[i].copy(), self.x[i + 1].copy()
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            low = self.cdf(mid) < p
-            lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
-        return (lo + hi) / 2
+        h, d = self.x[i + 1] - self.x[i], self.p[i + 1] - self.p[i]
+        s0, s1, under = self.slope[i] * h, self.slope[i + 1] * h, p - self.p[i]
+        a, b = s0 + s1 - 2 * d, 3 * d - 2 * s0 - s1  # the level over the piece's first one is ((a t + b) t + s0) t
+        t, lo, hi = under / d, np.zeros(p.shape), np.ones(p.shape)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for _ in range(60):
+                f = ((a * t + b) * t + s0) * t - under
+                low = f < 0
+                lo, hi = np.where(low, t, lo), np.where(low, hi, t)
+                step = t - f / ((3 * a * t + 2 * b) * t + s0)
+                step = np.where(f == 0, t, np.where((step >= lo) & (step <= hi), step, (lo + hi) / 2))
+                far = np.abs(step - t).max(initial=0.0)
+                t = step
+                if far < 1e-15:
+                    break
+        return self.x[i] + t * h
 
 
 def cubic_points(q: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -242,22 +252,67 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
     p = np.asarray(points, float)
     if len(p) > 1000:
         p = outer(p)
-    p = np.unique(p, axis=0)
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
+    p = p[np.concatenate([[True], (np.diff(p, axis=0) != 0).any(1)])] if len(p) else p
     if len(p) < 3:
         return p
 
     def half(rows):
-        out: list[np.ndarray] = []
-        for q in rows:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+        out: list[tuple[float, float]] = []
+        for x, y in rows:
+            while len(out) > 1:
+                (ax, ay), (bx, by) = out[-2], out[-1]
+                if (bx - ax) * (y - ay) - (by - ay) * (x - ax) > 0:
+                    break
                 out.pop()
-            out.append(q)
+            out.append((x, y))
         return out
 
-    low, high = half(p), half(p[::-1])
+    rows = p.tolist()
+    low, high = half(rows), half(rows[::-1])
     return np.array(low[:-1] + high[:-1])
 
 
+def hull_of_columns(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """`convex_hull` of the points (x, low) and (x, high), x in ascending order."""
+    first = np.flatnonzero(np.concatenate([[True], np.diff(x) > 0]))
+    x, low, high = x[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+
+    def outside(y: np.ndarray) -> np.ndarray:
+        """The points that lie under the lines between their neighbours; others are on no lower chain."""
+        p = np.stack([x, y], 1)
+        for _ in range(20):
+            d = np.diff(p, axis=0)
+            keep = np.ones(len(p), bool)
+            keep[1:-1] = d[:-1, 0] * d[1:, 1] > d[:-1, 1] * d[1:, 0]
+            if keep.all():
+                break
+            p = p[keep]
+        return p
+
+    return convex_hull(np.concatenate([outside(low), outside(-high) * [1, -1]]))
+
+
+def product_ranks(a: np.ndarray, b: np.ndarray, ranks) -> list[float]:
+    """Values of some ranks, from 0 upwards, among all products of two lists of numbers not below zero; only those next to a rank are formed."""
+    a, b, out = np.sort(a), np.sort(b), []
+    at = lambda t, side: np.searchsorted(b, t / a, side)
+    for rank in ranks:
+        lo, hi = 0.0, float(a[-1] * b[-1]) * (1 + 1e-9)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for _ in range(12):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if at(mid, "left").sum() <= rank else (lo, mid)
+            # A hair wider, since a quotient is not the product to the last digit.
+            begin = at(lo * (1 - 1e-9), "left") if lo > 0 else np.zeros(len(a), int)
+            end = at(hi * (1 + 1e-9), "right") if hi > 0 else np.full(len(a), len(b))
+        n = end - begin
+        first = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        near, k = np.repeat(a, n) * b[first], rank - int(begin.sum())
+        out.append(float(np.partition(near, k)[k]))
+    return out
+
+
 def clip_convex(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
     """Part of a polygon inside a counter-clockwise convex one (P34; Sutherland and Hodgman 1974)."""
     out = [np.asarray(p, float) for p in subject]
@@ -277,13 +332,17 @@ def area_on_sphere(ring: np.ndarray) -> float:
     """km2 on the sphere of a simple ring of the Mercator plane."""
     if len(ring) < 3:
         return 0.0
-    x, y = np.asarray(ring, float).T
-    dx, dy = np.roll(x, -1) - x, np.roll(y, -1) - y
+    a = np.asarray(ring, float)
+    return float(abs(strips_on_sphere(a, np.concatenate([a[1:], a[:1]])).sum()))
+
+
+def strips_on_sphere(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What each edge from a to b gives to the area on the sphere of the ring it belongs to."""
+    y, (dx, dy) = a[:, 1], (b - a).T
     g = lambda v: -2 * R / (1 + np.exp(2 * v / R))
     f = lambda v: -R * R * (2 * v / R - np.log1p(np.exp(2 * v / R)))
     flat = np.abs(dy) < 1e-6
-    part = np.where(flat, g(y + dy / 2) * dx, dx * (f(y + dy) - f(y)) / np.where(flat, 1.0, dy))
-    return float(abs(part.sum()))
+    return np.where(flat, g(y + dy / 2) * dx, dx * (f(y + dy) - f(y)) / np.where(flat, 1.0, dy))
 
 
 def ring_of_lines(lines: list[np.ndarray]) -> np.ndarray:
@@ -299,12 +358,17 @@ def ring_of_lines(lines: list[np.ndarray]) -> np.ndarray:
 
 def inside_ring(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
     """Whether points lie inside a ring, by crossings."""
+    a = np.asarray(ring, float)
+    return crossings(points, a, np.concatenate([a[1:], a[:1]])) % 2 == 1
+
+
+def crossings(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many edges from a to b a ray to the right of each point meets."""
     x, y = points[:, :1], points[:, 1:]
-    ax, ay = np.asarray(ring, float).T
-    bx, by = np.roll(ax, -1), np.roll(ay, -1)
+    (ax, ay), (bx, by) = a.T, b.T
     with np.errstate(divide="ignore", invalid="ignore"):
         at = ax + (y - ay) * (bx - ax) / (by - ay)
-    return (((y < ay) != (y < by)) & (x < at)).sum(1) % 2 == 1
+    return (((y < ay) != (y < by)) & (x < at)).sum(1)
 
 
 class Bivariate:
@@ -317,7 +381,9 @@ class Bivariate:
                 return MonotoneCubic(q[0] + np.linspace(-margin, margin, len(q)), np.linspace(0, 1, len(q)))
             return MonotoneCubic(q, levels)
 
-        self.x, self.y, self.rho = marginal(qx), marginal(qy), float(np.clip(rho, -0.999, 0.999))
+        self.x = marginal(qx)
+        self.y = self.x if np.array_equal(qx, qy) else marginal(qy)
+        self.rho = float(np.clip(rho, -0.999, 0.999))
 
     def sample(self, n: int, seed: int = 0) -> np.ndarray:
         rng = np.random.default_rng(seed)
@@ -357,6 +423,8 @@ class Bivariate:
 
     def hulls(self, confidences, n: int = 1000) -> list[np.ndarray]:
         """Hulls of the densest parts."""
+        if not self.rho:
+            return self._product_hulls(confidences, n)
         x, y, density = self.even(n)
         flat, out = density.ravel(), []
         kept = [max(3, int(c * flat.size)) for c in confidences]
@@ -370,6 +438,49 @@ class Bivariate:
             out.append(convex_hull(np.concatenate([np.stack([at, low], 1), np.stack([at, high], 1)])))
         return out
 
+    def _even_sides(self, n: int):
+        """x, their densities, y and theirs, of `even` for independent axes."""
+        m = math.ceil(math.sqrt(n))
+        u = (np.arange(m) + 0.5) / m
+        x = self.x.inverse(u)
+        px = self.x.pdf(x)
+        if self.y is self.x:
+            return x, px, x, px
+        y = self.y.inverse(u)
+        return x, px, y, self.y.pdf(y)
+
+    def _product_hulls(self, confidences, n: int) -> list[np.ndarray]:
+        """`hulls` of independent axes, whose density is a product: for each x the dense y are the first ones by their own density."""
+        x, px, y, py = self._even_sides(n)
+        size, order, out = len(x) * len(y), np.argsort(-py, kind="stable"), []
+        down = py[order]
+        least, most = np.minimum.accumulate(y[order]), np.maximum.accumulate(y[order])
+        up = np.append(down, -np.inf)
+        for level in product_ranks(px, py, [size - max(3, int(c * size)) for c in confidences]):
+            if level > 0:
+                with np.errstate(divide="ignore"):
+                    count = np.searchsorted(-down, -level / px, "right")
+                while (more := (px > 0) & (px * up[count] >= level)).any():  # a quotient may be off by a last digit
+                    count = count + more
+                while (less := (count > 0) & (px * down[count - 1] < level)).any():
+                    count = count - less
+            else:
+                count = np.full(len(x), len(y))
+            rows = count > 0
+            at, last = x[rows], count[rows] - 1
+            out.append(hull_of_columns(at, least[last], most[last]))
+        return out
+
+    def levels(self, confidences, n: int = 1000) -> list[float]:
+        """Densities of the contours that hold shares of the mass: quantiles of those of an even sample, interpolated."""
+        if self.rho:
+            return np.quantile(self.even(n)[2], 1 - np.array(confidences)).tolist()
+        _, px, _, py = self._even_sides(n)
+        at = (1 - np.array(confidences, float)) * (len(px) * len(py) - 1)
+        low = np.floor(at).astype(int)
+        ranked = product_ranks(px, py, np.stack([low, np.minimum(low + 1, len(px) * len(py) - 1)], 1).ravel().tolist())
+        return [a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t) for a, b, t in zip(ranked[::2], ranked[1::2], (at - low).tolist())]
+
     def level(self, confidence: float, n: int = 1000) -> float:
         """Density of the contour that holds a share of the mass."""
         return float(np.quantile(self.even(n)[2], 1 - confidence))

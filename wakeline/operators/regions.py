@@ -33,8 +33,8 @@ def spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, F.xxhash64(*keys))
 
 
-def evaluate(rows: DataFrame, keys: Sequence[str], confidences: Sequence[float] = scores.CONFIDENCES, kind: str = "hull", rho: float = 0.0, samples: int = 100000, grid: int = 120) -> DataFrame:
-    """area (km2), covered and rings of every key and confidence.
+def evaluate(rows: DataFrame, keys: Sequence[str], confidences: Sequence[float] = scores.CONFIDENCES, kind: str = "hull", rho: float = 0.0, samples: int = 100000, grid: int = 120, rings: bool = True) -> DataFrame:
+    """area (km2), covered, parts, holes and, if asked for, rings of every key and confidence.
 
     Rows hold levels, qx, qy, x and y. Each row is worked on by itself in Arrow batches, and only rows are shuffled. A `hull` is that of the
     densest part of `samples` points of equal mass; a `contour` is traced on a grid of the density, with parts and holes; an
@@ -52,38 +52,52 @@ def evaluate(rows: DataFrame, keys: Sequence[str], confidences: Sequence[float]
                 yield c, [(0, False, centre + (ring - centre) * (1 + c - top))]
         elif kind == "contour":
             x, y = (np.linspace(d.x[0], d.x[-1], grid) for d in (dist.x, dist.y))
-            z = np.outer(dist.x.pdf(x), dist.y.pdf(y)) if not rho else dist.pdf(np.stack(np.meshgrid(x, y, indexing="ij"), -1).reshape(-1, 2)).reshape(grid, grid)
-            even = dist.even(samples)[2]
-            for c, level in zip(confidences, np.quantile(even, 1 - np.array(confidences))):
-                yield c, C.level_region(z, x, y, float(level))
+            z = np.outer(dist.x.pdf(x), dist.y.pdf(y)) if not dist.rho else dist.pdf(np.stack(np.meshgrid(x, y, indexing="ij"), -1).reshape(-1, 2)).reshape(grid, grid)
+            for c, level in zip(confidences, dist.levels(confidences, samples)):
+                yield c, C.level_region(z, x, y, level)
         else:
             drawn = dist.sample(500)
             drawn = drawn[np.argsort(-dist.pdf(drawn), kind="stable")]
             for c in confidences:
                 yield c, C.alpha_region(drawn[: max(3, int(c * len(drawn)))])
 
-    return _regions(own, keys, regions)
+    return _regions(own, keys, regions, rings=rings)
 
 
-def _regions(own: DataFrame, keys: Sequence[str], regions, more: Sequence[str] = ()) -> DataFrame:
-    """area, covered and rings of what `regions` yields for each row, and the numbers that it yields besides, named by `more`."""
+#: Rows of an Arrow batch that are worked on before their results are handed on: a row's rings may be some hundred KB of Python objects.
+PIECE = 64
+
+
+def _pieces(frames):
+    """Batches of rows cut into short ones, so that a task holds the results of few rows at a time."""
+    for f in frames:
+        for at in range(0, len(f), PIECE):
+            yield f.iloc[at : at + PIECE]
+
+
+def _as_rows(region) -> list[dict]:
+    return [{"part": part, "hole": hole, "ring": [{"x": a, "y": b} for a, b in np.asarray(ring, float).tolist()]} for part, hole, ring in region]
+
+
+def _regions(own: DataFrame, keys: Sequence[str], regions, more: Sequence[str] = (), rings: bool = True) -> DataFrame:
+    """area, covered, parts, holes and rings of what `regions` yields for each row, and the numbers that it yields besides, named by `more`."""
 
     def work(frames):
-        for f in frames:
+        for f in _pieces(frames):
             out = []
             for row in f.itertuples(index=False):
                 point = np.array([[row.x, row.y]], float)
                 for c, region, *besides in regions(row):
-                    rings = [{"part": part, "hole": hole, "ring": [{"x": float(a), "y": float(b)} for a, b in ring]} for part, hole, ring in region]
-                    out.append([*row[: len(keys)], float(c), C.region_area(region), int(C.in_region(point, region)[0]), rings, *besides])
-            yield pd.DataFrame(out, columns=[*keys, "confidence", "area", "covered", "rings", *more])
+                    holes = sum(hole for _, hole, _ in region)
+                    out.append([*row[: len(keys)], float(c), C.region_area(region), int(C.in_region(point, region)[0]), len(region) - holes, holes, *([_as_rows(region)] * rings), *besides])
+            yield pd.DataFrame(out, columns=[*keys, "confidence", "area", "covered", "parts", "holes", *["rings"] * rings, *more])
 
-    kinds = ", ".join([*(f"{k} {own.schema[k].dataType.simpleString()}" for k in keys), f"confidence double, area double, covered int, rings {RINGS}", *(f"{m} double" for m in more)])
+    kinds = ", ".join([*(f"{k} {own.schema[k].dataType.simpleString()}" for k in keys), "confidence double, area double, covered int, parts int, holes int", *[f"rings {RINGS}"] * rings, *(f"{m} double" for m in more)])
     return own.mapInPandas(work, kinds)
 
 
-def mixture_regions(rows: DataFrame, keys: Sequence[str], confidences: Sequence[float] = scores.CONFIDENCES, grid: int = 160) -> DataFrame:
-    """area, covered and rings of Gaussian mixtures, and `mass`, that of the part denser than the point.
+def mixture_regions(rows: DataFrame, keys: Sequence[str], confidences: Sequence[float] = scores.CONFIDENCES, grid: int = 160, rings: bool = True) -> DataFrame:
+    """area, covered, parts, holes and, if asked for, rings of Gaussian mixtures, and `mass`, that of the part denser than the point.
 
     Rows hold parts, an array of (weight, mx, my, l11, l22, l21) with the factor's diagonal positive, and the point x, y. The density is
     taken on a grid four deviations about all parts; its levels are those that hold each share of the grid's mass.
@@ -100,7 +114,7 @@ def mixture_regions(rows: DataFrame, keys: Sequence[str], confidences: Sequence[
         for c in confidences:
             yield c, C.level_region(z, x, y, C.mass_level(z, x, y, c)), mass
 
-    return _regions(own, keys, regions, ["mass"])
+    return _regions(own, keys, regions, ["mass"], rings)
 
 
 def alpha_shapes(points: DataFrame, key: str, x: str, y: str, cells: int = 16, radius: float | None = None) -> DataFrame:
