@@ -266,3 +266,20 @@ def test_regions_without_their_rings(spark):
         assert bare.columns == ["id", "confidence", "area", "covered", "parts", "holes"]
         assert sorted(bare.collect()) == sorted(full.select(*bare.columns).collect())
         assert full.where("parts <> size(filter(rings, g -> not g.hole)) or holes <> size(filter(rings, g -> g.hole))").count() == 0
+
+
+def test_density_summary_is_that_of_the_steps(spark):
+    """Quantiles and density as from the arrays of `quantile_density`, without a row of them leaving the task."""
+    rng = np.random.default_rng(6)
+    levels = [0.025, 0.05, 0.25, 0.5, 0.75, 0.95, 0.975]
+    rows = [(k, levels, [float(v) for v in np.sort(rng.normal(size=7)) * 20], float(x)) for k, x in enumerate(rng.normal(size=80) * 20)]
+    rows += [(100, levels, [3.0] * 7, 3.0), (101, levels, [3.0] * 7, 4.0), (102, levels, rows[0][2], rows[0][2][-1]), (103, levels, rows[0][2], None)]
+    df = spark.createDataFrame(rows, "id int, levels array<double>, qx array<double>, x double")
+    edges, cdf = F.col("edges"), F.col("cdf")
+    steps = regions.quantile_density(df, ["id"]).join(df.select("id", "x"), "id")
+    want = steps.select("id", *[regions.density_quantile(edges, cdf, p) for p in (0.25, 0.5, 0.75)], regions.density_at(edges, cdf, F.col("x"))).collect()
+    got = {r.id: (*r.quantiles, None if r.density != r.density else r.density) for r in regions.density_summary(df, ["id"], (0.25, 0.5, 0.75)).collect()}
+    assert len(want) == len(got) == len(rows)
+    for k, *numbers in want:
+        assert [v is None for v in got[k]] == [v is None for v in numbers]
+        assert [v for v in got[k] if v is not None] == pytest.approx([v for v in numbers if v is not None], rel=1e-12)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -197,6 +198,24 @@ def tailed_density(x: np.ndarray, levels: np.ndarray, bins: int) -> list[tuple[n
     return out
 
 
+def step_quantiles(edges: np.ndarray, cdf: np.ndarray, p: Sequence[float]) -> np.ndarray:
+    """Values of levels; of a level that a flat part has, the value where it ends."""
+    p = np.asarray(p, float)
+    k = np.clip(np.searchsorted(cdf, p, "right"), 1, len(cdf) - 1)
+    rise = cdf[k] - cdf[k - 1]
+    share = np.where(rise > 0, p - cdf[k - 1], 0.0) / np.where(rise > 0, rise, 1.0)
+    return edges[k - 1] + share * (edges[k] - edges[k - 1])
+
+
+def step_density(edges: np.ndarray, cdf: np.ndarray, x: float) -> float:
+    """The density at a value, zero outside and nan at a step without width; the last edge belongs to the last step."""
+    if not edges[0] <= x <= edges[-1]:
+        return 0.0
+    k = min(int(np.searchsorted(edges, x, "right")), len(edges) - 1)
+    width = edges[k] - edges[k - 1]
+    return float((cdf[k] - cdf[k - 1]) / width) if width else math.nan
+
+
 class SmoothedQuantiles:
     """Step density through Harrell-Davis estimates of evenly spaced levels."""
 
