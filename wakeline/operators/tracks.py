@@ -402,9 +402,8 @@ def local_steps(fixes: DataFrame) -> DataFrame:
     w = along()
     lat, lon = F.radians("lat"), F.radians("lon")
     ahead = fixes.withColumns({"_lat": F.lead(lat).over(w), "_lon": F.lead(lon).over(w)})
-    sn, we = spatial.log_map_from(lat, lon, F.col("_lat"), F.col("_lon"))
-    there = F.col("_lat").isNotNull()  # the map clamps, which takes a null for a number
-    return ahead.withColumns({"south_north": F.when(there, sn), "west_east": F.when(there, we)}).drop("_lat", "_lon")
+    north, east = spatial.step_between(lat, lon, F.col("_lat"), F.col("_lon"))
+    return ahead.withColumns({"south_north": -north, "west_east": east}).drop("_lat", "_lon")
 
 
 def leap_segments(fixes: DataFrame, compat: bool = False) -> DataFrame:
