@@ -1,5 +1,7 @@
 """Least distances by cells against all pairs of points."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -54,3 +56,14 @@ def test_candidates_follow_the_length(spark):
 
     small, large = met(400), met(4000)
     assert small < 400 * 20 and large < 4000 * 20, (small, large)
+
+
+def test_short_tracks_meet_without_cells(spark, monkeypatch):
+    """Both ways give the same least distances; pairs of short tracks go through no cells."""
+    rng = random.Random(8)
+    rows = [(k, rng.uniform(-80, 80), rng.uniform(-180, 180)) for k in range(4) for _ in range(30)]
+    df = spark.createDataFrame(rows, "id int, lat double, lon double")
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (0, 3)], "id_a int, id_b int")
+    found = [{(r.id_a, r.id_b): r.least_km for r in tracks.least_distances(df, df, pairs, direct=n).collect()} for n in (0, 900)]
+    assert len(found[0]) == 4
+    assert found[1] == pytest.approx(found[0])

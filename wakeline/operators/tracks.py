@@ -293,31 +293,44 @@ def hurst_by(points: DataFrame, value: str, order: str = "ts") -> DataFrame:
 def reanchor(points: DataFrame, order: str = "ts") -> DataFrame:
     """Tracks rebuilt from their first point's frame at the origin: each step keeps its local components."""
 
-    def local(lat1, lon1, lat2, lon2):
-        p = np.array([np.cos(lat1) * np.cos(lon1), np.cos(lat1) * np.sin(lon1), np.sin(lat1)])
-        q = np.array([np.cos(lat2) * np.cos(lon2), np.cos(lat2) * np.sin(lon2), np.sin(lat2)])
-        u = q - (p @ q) * p
-        size = np.linalg.norm(u)
-        v = np.arctan2(size, p @ q) * u / size if size > 0 else u * 0
-        return v @ [np.sin(lat1) * np.cos(lon1), np.sin(lat1) * np.sin(lon1), -np.cos(lat1)], v @ [-np.sin(lon1), np.cos(lon1), 0]
+    # Rows come by track in order, marked where a track begins; what is carried from one batch to the next is one place.
+    own = points.withColumn("_first", F.row_number().over(along(order=order)) == 1)
+
+    def local(lat, lon):
+        """Components to the south and the east of the step to each place from the one before."""
+        lat1, lat2, turn = lat[:-1], lat[1:], np.diff(lon)
+        east, north = np.cos(lat2) * np.sin(turn), np.sin(lat2) * np.cos(lat1) - np.cos(lat2) * np.sin(lat1) * np.cos(turn)
+        size = np.hypot(east, north)
+        angle = np.arctan2(size, np.sin(lat1) * np.sin(lat2) + np.cos(lat1) * np.cos(lat2) * np.cos(turn))
+        grow = np.where(size > 0, angle / np.where(size > 0, size, 1.0), np.where(np.isnan(size), np.nan, 0.0))
+        return (-grow * north).tolist(), (grow * east).tolist()
 
     def move(lat, lon, s, w):
-        v = s * np.array([np.sin(lat) * np.cos(lon), np.sin(lat) * np.sin(lon), -np.cos(lat)]) + w * np.array([-np.sin(lon), np.cos(lon), 0])
-        p = np.array([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
-        size = np.linalg.norm(v)
-        p = p * np.cos(size) + (v * np.sin(size) / size if size > 0 else 0)
-        return np.arctan2(p[2], np.hypot(p[0], p[1])), np.arctan2(p[1], p[0])
-
-    def rule(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values(order, kind="stable").copy()
-        lat, lon = np.radians(track["lat"].to_numpy()), np.radians(track["lon"].to_numpy())
-        out = [(0.0, 0.0)]
-        for i in range(1, len(lat)):
-            out.append(move(*out[-1], *local(lat[i - 1], lon[i - 1], lat[i], lon[i])))
-        track["lat"], track["lon"] = np.degrees([p[0] for p in out]), np.degrees([p[1] for p in out])
-        return track
-
-    return points.groupBy("id").applyInPandas(rule, points.schema)
+        size = math.hypot(s, w)
+        if not size > 0:
+            return (lat, lon) if size == 0 else (math.nan, math.nan)
+        sin_lat, cos_lat, ahead, turn = math.sin(lat), math.cos(lat), math.cos(size), math.sin(size) / size
+        # In the frame of the place: along its radius and to the south and east of it.
+        out, z = cos_lat * ahead + sin_lat * s * turn, sin_lat * ahead - cos_lat * s * turn
+        east = w * turn
+        x, y = math.cos(lon) * out - math.sin(lon) * east, math.sin(lon) * out + math.cos(lon) * east
+        return math.atan2(z, math.hypot(x, y)), math.atan2(y, x)
+
+    def work(frames):
+        before, at = (math.nan, math.nan), (0.0, 0.0)
+        for f in frames:
+            lat, lon = np.radians(f["lat"].to_numpy(float)), np.radians(f["lon"].to_numpy(float))
+            if not len(f):
+                continue
+            out = []
+            for first, s, w in zip(f["_first"].tolist(), *local(np.append(before[0], lat), np.append(before[1], lon))):
+                at = (0.0, 0.0) if first else move(*at, s, w)
+                out.append(at)
+            before = lat[-1], lon[-1]
+            moved = np.degrees(np.array(out))
+            yield f.drop(columns="_first").assign(lat=moved[:, 0], lon=moved[:, 1])
+
+    return own.mapInPandas(work, points.schema)
 
 
 #: Powers of two into which latitudes and longitudes are cut, coarse to fine, before points meet.
@@ -368,13 +381,27 @@ def distance_candidates(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFra
     return front
 
 
-def least_distances(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
-    """least_km between the tracks of each stated pair (id_a, id_b), by a hierarchy of cells on the sphere.
+#: Pairs of points up to which two tracks meet as they are; cells would cost more exchanges than they save distances.
+DIRECT_PAIRS = 100_000
+
 
-    Points of two tracks meet only in pairs of cells that can hold the least distance, so work follows the length of the tracks and not its square.
+def least_distances(a: DataFrame, b: DataFrame, pairs: DataFrame, direct: int = DIRECT_PAIRS) -> DataFrame:
+    """least_km between the tracks of each stated pair (id_a, id_b).
+
+    All points of two tracks meet if that makes up to `direct` pairs, which go into the least distance where they are made. Those of longer tracks meet
+    only in pairs of cells of a hierarchy on the sphere that can hold the least distance, so their work does not follow the square of their length.
     """
-    front = distance_candidates(a, b, pairs)
-    met = front.join(_located(a, "a"), ["id_a", "i_a", "j_a"]).join(_located(b, "b"), ["id_b", "i_b", "j_b"])
+    size = lambda d, side: _located(d, side).groupBy(f"id_{side}").agg(F.count("*").alias(f"_n_{side}"))
+    sized = pairs.join(size(a, "a"), "id_a").join(size(b, "b"), "id_b").withColumn("_few", F.col("_n_a") * F.col("_n_b") <= direct)
+    few, many = (sized.where(c).select(*pairs.columns) for c in (F.col("_few"), ~F.col("_few")))
+    point = lambda d, side: _located(d, side).select(f"id_{side}", f"lat_{side}", f"lon_{side}")
+    own = _least(few.join(point(a, "a"), "id_a").join(point(b, "b"), "id_b"))
+    front = distance_candidates(a, b, many)
+    return own.unionByName(_least(front.join(_located(a, "a"), ["id_a", "i_a", "j_a"]).join(_located(b, "b"), ["id_b", "i_b", "j_b"])))
+
+
+def _least(met: DataFrame) -> DataFrame:
+    """least_km of the pairs of points that met."""
     d = spatial.great_circle(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) * spatial.EARTH_RADIUS
     return met.groupBy("id_a", "id_b").agg(F.min(d).alias("least_km"))
 
