@@ -131,11 +131,11 @@ def alpha_shapes(points: DataFrame, key: str, x: str, y: str, cells: int = 16, r
     lists = spread(thin.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(ends)))).alias("p"), F.sum("n").alias("points")), [key])
 
     def work(frames):
-        for f in frames:
+        for f in _pieces(frames):
             out = []
             for row in f.itertuples(index=False):
                 region = C.alpha_region(np.array([[v["x"], v["y"]] for v in row.p]), radius)
-                out.append([row[0], [{"part": part, "hole": hole, "ring": [{"x": float(a), "y": float(b)} for a, b in ring]} for part, hole, ring in region], C.region_area(region), row.points, len(row.p)])
+                out.append([row[0], _as_rows(region), C.region_area(region), row.points, len(row.p)])
             yield pd.DataFrame(out, columns=[key, "rings", "area", "points", "kept"])
 
     return lists.mapInPandas(work, f"{key} {lists.schema[key].dataType.simpleString()}, rings {RINGS}, area double, points long, kept int")
