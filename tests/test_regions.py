@@ -283,3 +283,22 @@ def test_density_summary_is_that_of_the_steps(spark):
     for k, *numbers in want:
         assert [v is None for v in got[k]] == [v is None for v in numbers]
         assert [v for v in got[k] if v is not None] == pytest.approx([v for v in numbers if v is not None], rel=1e-12)
+
+
+def test_regions_are_handed_on_in_pieces():
+    """A batch of many rows does not hold all their rings at once."""
+    import pandas as pd
+
+    sizes = [len(f) for f in regions._pieces([pd.DataFrame({"k": range(1000)}), pd.DataFrame({"k": []})])]
+    assert sum(sizes) == 1000 and max(sizes) <= 64
+
+
+def test_reference_boxes_are_those_of_their_draws():
+    steps = np.random.default_rng(1).normal(size=(40, 2))
+    lo, hi = D.reference_box(steps, 6, np.array([0.1, 0.5]), 2000)
+    paths = np.cumsum(steps[np.random.default_rng(0).integers(0, 40, (2000, 6))], axis=1)
+    for k, alpha in enumerate((0.1, 0.5)):
+        side = 1 - math.sqrt(1 - alpha)
+        assert lo[k] == pytest.approx(np.quantile(paths, side / 2, axis=0))
+        assert hi[k] == pytest.approx(np.quantile(paths, 1 - side / 2, axis=0))
+    assert D.resampled_places(40, 6, 2000, 0, True) is D.resampled_places(40, 6, 2000, 0, True)
