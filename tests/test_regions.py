@@ -302,3 +302,42 @@ def test_reference_boxes_are_those_of_their_draws():
         assert lo[k] == pytest.approx(np.quantile(paths, side / 2, axis=0))
         assert hi[k] == pytest.approx(np.quantile(paths, 1 - side / 2, axis=0))
     assert D.resampled_places(40, 6, 2000, 0, True) is D.resampled_places(40, 6, 2000, 0, True)
+
+
+def test_regions_that_lie_alike_are_made_once(spark):
+    """Rows moved about share a region, and each has the area, coverage and rings that it has by itself."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    levels = [0.025, 0.05, 0.25, 0.5, 0.75, 0.95, 0.975]
+    shapes = [([-30.0, -20, -10, 0, 10, 20, 30], [-30.0, -20, -10, 0, 10, 20, 30], levels), ([-9.0, -3, -1, 0, 4, 5, 8], [-30.0, -20, -10, 0, 10, 20, 30], levels), ([-8.0, -7, -3, 0, 2, 5, 11], [-5.0, -3, -2, 0, 4, 5, 7], levels), ([-4.0, 0, 5], [-1.0, 0, 9], [0.1, 0.5, 0.9])]
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(240):
+        qx, qy, p = shapes[k % 4]
+        x, y = (rng.random(2) * 300).tolist()
+        rows.append((k, p, [x + v for v in qx], [(x if k % 4 == 0 else y) + v for v in qy], x + float(rng.normal()) * 9, (x if k % 4 == 0 else y) + float(rng.normal()) * 9))
+    names = ["id", "levels", "qx", "qy", "x", "y"]
+    df = spark.createDataFrame(rows, "id int, levels array<double>, qx array<double>, qy array<double>, x double, y double")
+    frame = pd.DataFrame([tuple(np.array(v) if isinstance(v, list) else v for v in row) for row in rows], columns=names)
+    made, whole = [], D.Bivariate
+    local = SimpleNamespace(schema=df.schema, mapInPandas=lambda work, kinds: pd.concat(list(work(iter([frame])))))
+    for kind in ("hull", "contour"):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(regions, "spread", lambda rows, keys: local)
+            m.setattr(D, "Bivariate", lambda *a, **k: made.append(a) or whole(*a, **k))
+            out = regions.evaluate(df, ["id"], (0.5, 0.9), kind=kind, samples=2500, grid=40)
+        assert len(out) == 480
+        for r in out.sample(80, random_state=1).itertuples():
+            _, p, qx, qy, x, y = rows[r.id]
+            dist = whole(np.array(qx), np.array(qy), np.array(p))
+            if kind == "hull":
+                region = [(0, False, dist.hulls([r.confidence], 2500)[0])]
+            else:
+                sides = [np.linspace(d.x[0], d.x[-1], 40) for d in (dist.x, dist.y)]
+                region = C.level_region(np.outer(dist.x.pdf(sides[0]), dist.y.pdf(sides[1])), *sides, dist.levels([r.confidence], 2500)[0])
+            assert r.area == pytest.approx(C.region_area(region), rel=2e-3)  # points of equal density may fall to either side of a level by a last digit
+            assert r.area == pytest.approx(C.region_area([(g["part"], g["hole"], np.array([[v["x"], v["y"]] for v in g["ring"]])) for g in r.rings]), rel=1e-6)
+            assert r.covered == C.in_region(np.array([[x, y]]), region)[0] and (r.parts, r.holes) == (sum(not h for _, h, _ in region), sum(h for _, h, _ in region))
+    assert len(made) == 8

@@ -355,9 +355,9 @@ def area_on_sphere(ring: np.ndarray) -> float:
     return float(abs(strips_on_sphere(a, np.concatenate([a[1:], a[:1]])).sum()))
 
 
-def strips_on_sphere(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """What each edge from a to b gives to the area on the sphere of the ring it belongs to."""
-    y, (dx, dy) = a[:, 1], (b - a).T
+def strips_on_sphere(a: np.ndarray, b: np.ndarray, up: np.ndarray | float = 0.0) -> np.ndarray:
+    """What each edge from a to b gives to the area on the sphere of the ring it belongs to, which may be moved up."""
+    y, (dx, dy) = a[:, 1] + up, (b - a).T
     g = lambda v: -2 * R / (1 + np.exp(2 * v / R))
     f = lambda v: -R * R * (2 * v / R - np.log1p(np.exp(2 * v / R)))
     flat = np.abs(dy) < 1e-6

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,11 +16,13 @@ from wakeline.functions import scores, spatial
 
 
 def quantile_arrays(x: DataFrame, y: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row a key with the sorted levels and quantiles of both axes and the actual point."""
+    """One row a key with the sorted levels and quantiles of both axes and the actual point; an axis with itself is gathered once."""
     def side(d, n):
         own = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("quantile", "prediction"))).alias("q"), F.max("actual").alias(f"{n}"))
         return own.select(*keys, n, F.transform("q", lambda s: s["quantile"]).alias("levels"), F.transform("q", lambda s: s["prediction"]).alias(f"q{n}"))
 
+    if y is x:
+        return side(x, "x").withColumns({"qy": F.col("qx"), "y": F.col("x")})
     return side(x, "x").join(side(y, "y").drop("levels"), list(keys))
 
 
@@ -36,43 +39,76 @@ def spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def evaluate(rows: DataFrame, keys: Sequence[str], confidences: Sequence[float] = scores.CONFIDENCES, kind: str = "hull", rho: float = 0.0, samples: int = 100000, grid: int = 120, rings: bool = True) -> DataFrame:
     """area (km2), covered, parts, holes and, if asked for, rings of every key and confidence.
 
-    Rows hold levels, qx, qy, x and y. Each row is worked on by itself in Arrow batches, and only rows are shuffled. A `hull` is that of the
+    Rows hold levels, qx, qy, x and y. Rows are worked on in Arrow batches, and only rows are shuffled. A `hull` is that of the
     densest part of `samples` points of equal mass; a `contour` is traced on a grid of the density, with parts and holes; an
     `alpha` shape is that of the densest of 500 drawn points. A level past the largest sampled one widens a hull by what is
     missing. A point is covered if it lies in an exterior and in no hole.
+
+    A region moves with its quantiles, so it is made once for all rows of a task whose quantiles lie alike about their own place, and moved to each.
     """
     own = spread(rows.select(*keys, "levels", "qx", "qy", "x", "y"), keys)
 
-    def regions(row):
-        dist = D.Bivariate(np.asarray(row.qx), np.asarray(row.qy), np.asarray(row.levels), rho)
+    def regions(dist):
         tops = [min(c, 0.99) for c in confidences]
         if kind == "hull":
             for c, top, ring in zip(confidences, tops, dist.hulls(tops, samples)):
                 centre = ring.mean(0)
-                yield c, [(0, False, centre + (ring - centre) * (1 + c - top))]
+                yield [(0, False, centre + (ring - centre) * (1 + c - top))]
         elif kind == "contour":
             x, y = (np.linspace(d.x[0], d.x[-1], grid) for d in (dist.x, dist.y))
             z = np.outer(dist.x.pdf(x), dist.y.pdf(y)) if not dist.rho else dist.pdf(np.stack(np.meshgrid(x, y, indexing="ij"), -1).reshape(-1, 2)).reshape(grid, grid)
-            for c, level in zip(confidences, dist.levels(confidences, samples)):
-                yield c, C.level_region(z, x, y, level)
+            for level in dist.levels(confidences, samples):
+                yield C.level_region(z, x, y, level)
         else:
             drawn = dist.sample(500)
             drawn = drawn[np.argsort(-dist.pdf(drawn), kind="stable")]
             for c in confidences:
-                yield c, C.alpha_region(drawn[: max(3, int(c * len(drawn)))])
+                yield C.alpha_region(drawn[: max(3, int(c * len(drawn)))])
+
+    def work(frames):
+        @lru_cache(maxsize=64)
+        def shape(levels, qx, qy):
+            return list(regions(D.Bivariate(np.frombuffer(qx), np.frombuffer(qy), np.frombuffer(levels), rho)))
 
-    return _regions(own, keys, regions, rings=rings)
+        for f in _pieces(frames, PIECE if rings else 1024):
+            out = []
+            for at, levels, qx, qy in _alike(f):
+                place = f[list(keys)].iloc[at]
+                moved = np.stack([v[len(v) // 2] for n in ("qx", "qy") for v in f[n].iloc[at]]).reshape(2, -1).T
+                point = f[["x", "y"]].iloc[at].to_numpy(float) - moved
+                for c, region in zip(confidences, shape(levels, qx, qy)):
+                    holes = sum(hole for _, hole, _ in region)
+                    own = place.assign(confidence=float(c), area=C.region_areas(region, moved[:, 1]), covered=C.in_region(point, region).astype(int), parts=len(region) - holes, holes=holes)
+                    out.append(own.assign(rings=[_as_rows([(part, hole, ring + by) for part, hole, ring in region]) for by in moved]) if rings else own)
+            yield pd.concat(out)
+
+    return own.mapInPandas(work, _region_kinds(own, keys, rings))
+
+
+def _alike(f: pd.DataFrame):
+    """Which rows share their levels and their quantiles about the middle one, and those, as bytes. Quantiles are alike to 2^-40 of their spread: their own places round them by more than nothing."""
+    for _, at in f["levels"].map(len).pipe(lambda n: n.groupby(n).indices).items():
+        wide = [np.stack(f["levels"].iloc[at].to_list()).astype(float)]
+        for n in ("qx", "qy"):
+            q = np.stack(f[n].iloc[at].to_list()).astype(float)
+            q = q - q[:, [q.shape[1] // 2]]
+            size = np.ptp(q, axis=1, keepdims=True)
+            unit = np.exp2(np.floor(np.log2(np.where(size > 0, size, 1.0))) - 40)
+            wide.append(np.rint(q / unit) * unit + 0.0)
+        wide, k = np.concatenate(wide, 1), wide[0].shape[1]
+        for row, own in pd.Series([v.tobytes() for v in wide]).pipe(lambda v: v.groupby(v, sort=False).indices).items():
+            yield at[own], *(row[8 * i * k : 8 * (i + 1) * k] for i in range(3))
 
 
 #: Rows of an Arrow batch that are worked on before their results are handed on: a row's rings may be some hundred KB of Python objects.
 PIECE = 64
 
 
-def _pieces(frames):
+def _pieces(frames, piece: int = PIECE):
     """Batches of rows cut into short ones, so that a task holds the results of few rows at a time."""
     for f in frames:
-        for at in range(0, len(f), PIECE):
-            yield f.iloc[at : at + PIECE]
+        for at in range(0, len(f), piece):
+            yield f.iloc[at : at + piece]
 
 
 def _as_rows(region) -> list[dict]:
@@ -92,8 +128,11 @@ def _regions(own: DataFrame, keys: Sequence[str], regions, more: Sequence[str] =
                     out.append([*row[: len(keys)], float(c), C.region_area(region), int(C.in_region(point, region)[0]), len(region) - holes, holes, *([_as_rows(region)] * rings), *besides])
             yield pd.DataFrame(out, columns=[*keys, "confidence", "area", "covered", "parts", "holes", *["rings"] * rings, *more])
 
-    kinds = ", ".join([*(f"{k} {own.schema[k].dataType.simpleString()}" for k in keys), "confidence double, area double, covered int, parts int, holes int", *[f"rings {RINGS}"] * rings, *(f"{m} double" for m in more)])
-    return own.mapInPandas(work, kinds)
+    return own.mapInPandas(work, _region_kinds(own, keys, rings, more))
+
+
+def _region_kinds(own: DataFrame, keys: Sequence[str], rings: bool, more: Sequence[str] = ()) -> str:
+    return ", ".join([*(f"{k} {own.schema[k].dataType.simpleString()}" for k in keys), "confidence double, area double, covered int, parts int, holes int", *[f"rings {RINGS}"] * rings, *(f"{m} double" for m in more)])
 
 
 def mixture_regions(rows: DataFrame, keys: Sequence[str], confidences: Sequence[float] = scores.CONFIDENCES, grid: int = 160, rings: bool = True) -> DataFrame:
