@@ -341,3 +341,10 @@ def test_regions_that_lie_alike_are_made_once(spark):
             assert r.area == pytest.approx(C.region_area([(g["part"], g["hole"], np.array([[v["x"], v["y"]] for v in g["ring"]])) for g in r.rings]), rel=1e-6)
             assert r.covered == C.in_region(np.array([[x, y]]), region)[0] and (r.parts, r.holes) == (sum(not h for _, h, _ in region), sum(h for _, h, _ in region))
     assert len(made) == 8
+
+
+def test_a_level_of_zero_holds_the_whole_grid():
+    z, x, y = grid(lambda x, y: np.maximum(1 - np.hypot(x, y), 0), -2, 2, 50)
+    for level in (0.0, 1e-9):
+        region = C.level_region(z, x, y, level)
+        assert flat(region) == pytest.approx(16.0 if level == 0 else math.pi, rel=0.08)
