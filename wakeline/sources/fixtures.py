@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wakeline.operators import stats
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,9 +25,9 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def binned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean position and covariates by id and six-hour bin since the epoch."""
+    """Mean position and covariates by id and six-hour bin since the epoch, added in the order of events."""
     bin_of = F.floor(F.unix_timestamp("ts") / 21600).cast("int")
-    return fixes(spark, sf_dir).groupBy("id", bin_of.alias("time_idx")).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.avg("value").alias("value"), F.avg("k").alias("k"))
+    return stats.ordered_means(fixes(spark, sf_dir).withColumn("time_idx", bin_of), ["id", "time_idx"], ["lat", "lon", "value", "k"], "event_id")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
