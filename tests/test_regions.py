@@ -348,3 +348,28 @@ def test_a_level_of_zero_holds_the_whole_grid():
     for level in (0.0, 1e-9):
         region = C.level_region(z, x, y, level)
         assert flat(region) == pytest.approx(16.0 if level == 0 else math.pi, rel=0.08)
+
+
+@pytest.mark.parametrize("radius", [None, 0.05])
+def test_alpha_shapes_of_large_keys_are_those_of_all_their_points(spark, radius):
+    """Tile by tile as from all points at once: even points, a dense nest with a few far ones, points of a lattice, a line; every point counts."""
+    rng = np.random.default_rng(11)
+    nest = np.concatenate([rng.normal(size=(500, 2)) * 0.01, rng.normal(size=(60, 2)) * 3, [[40.0, 7.0]]])
+    t = rng.random(500) * 2 * np.pi
+    sets = {"even": rng.random((600, 2)) * [10, 300], "nest": nest, "lattice": np.round(rng.random((900, 2)) * 24), "ring": np.stack([np.cos(t), np.sin(t)], 1) * rng.uniform(0.8, 1, (500, 1)), "line": np.stack([np.arange(200.0)] * 2, 1)}
+    rows = [(k, float(x), float(y)) for k, p in sets.items() for x, y in p] + [("few", 0.0, 0.0), ("few", 0.0, 2.0), ("few", 2.0, 0.0), ("few", 2.0, math.nan)]
+    df = spark.createDataFrame(rows, "id string, x double, y double").repartition(5)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(regions, "TILE", 25)
+        out = {r.id: r for r in regions.alpha_shapes(df, "id", "x", "y", radius, whole=100).collect()}
+    edges = lambda rings: {(tuple(a), tuple(b)) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1])}
+    assert set(out) == {*sets, "few"} and out["few"].points == 3
+    for k, p in sets.items():
+        want = [ring.tolist() for _, _, ring in C.alpha_region(p, radius)]
+        got = [[[v.x, v.y] for v in g.ring] for g in out[k].rings]
+        assert edges(got) == edges(want), k
+        assert out[k].points == len(p) and out[k].kept == len({a for a, _ in edges(want)}) and bool(want) == (k != "line")
+    # A cell's inner points count too: the whole shape of a track is that of all its points.
+    dent = np.concatenate([rng.random((300, 2)), rng.random((700, 2)) * 0.06])
+    one = regions.alpha_shapes(spark.createDataFrame([(1, float(x), float(y)) for x, y in dent], "id int, x double, y double"), "id", "x", "y", 0.03).first()
+    assert one.area == pytest.approx(C.region_area(C.alpha_region(dent, 0.03)), rel=1e-9)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -156,28 +157,131 @@ def mixture_regions(rows: DataFrame, keys: Sequence[str], confidences: Sequence[
     return _regions(own, keys, regions, ["mass"], rings)
 
 
-def alpha_shapes(points: DataFrame, key: str, x: str, y: str, cells: int = 16, radius: float | None = None) -> DataFrame:
-    """rings, area (km2), and how many points there were and were kept, of the alpha shape of each key's points in the Mercator plane.
+#: Keys of up to that many points are worked on as one row, those of more in tiles; and points of a tile at the start.
+WHOLE, TILE = 2000, 500
 
-    Of the points in each cell of a lattice of `cells` by `cells` across the key's range, those furthest to either side are kept, by partial
-    aggregation, so a task holds four points a cell of a key whatever its points are, and borders stay where they are.
-    """
-    own = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).alias("x"), F.col(y).alias("y"))
-    box = own.groupBy(key).agg(*[f(c).alias(f"_{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
-    cell = lambda c: F.coalesce(F.least(F.floor(F.try_divide(F.col(c) - F.col(f"_lo{c}"), F.col(f"_hi{c}") - F.col(f"_lo{c}")) * cells), F.lit(cells - 1)), F.lit(0))
-    thin = own.join(box, key).groupBy(key, cell("x").alias("_i"), cell("y").alias("_j")).agg(*[f(F.struct(a, b)).alias(f"_{n}{a}") for a, b in ("xy", "yx") for n, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("n"))
-    ends = F.array(*[F.struct(F.col(f"_{n}{a}.x").alias("x"), F.col(f"_{n}{a}.y").alias("y")) for a in "xy" for n in ("lo", "hi")])
-    lists = spread(thin.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(ends)))).alias("p"), F.sum("n").alias("points")), [key])
 
-    def work(frames):
-        for f in _pieces(frames):
-            out = []
-            for row in f.itertuples(index=False):
-                region = C.alpha_region(np.array([[v["x"], v["y"]] for v in row.p]), radius)
-                out.append([row[0], _as_rows(region), C.region_area(region), row.points, len(row.p)])
-            yield pd.DataFrame(out, columns=[key, "rings", "area", "points", "kept"])
+def alpha_shapes(points: DataFrame, key: str, x: str, y: str, radius: float | None = None, whole: int = WHOLE) -> DataFrame:
+    """rings, area (km2), how many points there were, and how many were kept as corners, of the alpha shape of all points of each key in the Mercator plane.
 
-    return lists.mapInPandas(work, f"{key} {lists.schema[key].dataType.simpleString()}, rings {RINGS}, area double, points long, kept int")
+    Keys of up to `whole` points are a row each; no task holds all points of a larger one (`_tiled_edges`), whose shape is the same.
+    """
+    finite = lambda c: F.abs(F.col(c)) < math.inf
+    own = points.where(finite(x) & finite(y)).select(key, F.col(x).alias("x"), F.col(y).alias("y"))
+    sizes = own.groupBy(key).agg(F.count("*").alias("points"))
+    large = sizes.where(F.col("points") > whole)
+    kinds = f"{key} {own.schema[key].dataType.simpleString()}, rings {RINGS}, area double, points long, kept int"
+
+    def shapes(make):
+        def work(frames):
+            for f in _pieces(frames):
+                out = []
+                for row in f.itertuples(index=False):
+                    region = make(row)
+                    out.append([row[0], _as_rows(region), C.region_area(region), row.points, len({tuple(v) for _, _, ring in region for v in ring.tolist()})])
+                yield pd.DataFrame(out, columns=[key, "rings", "area", "points", "kept"])
+
+        return work
+
+    place = lambda v, names: np.array([[p[n] for n in names] for p in v], float).reshape(-1, len(names))
+    some = not large.isEmpty()
+    few = own.join(large, key, "left_anti") if some else own
+    lists = spread(few.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("x", "y"))).alias("p"), F.count("*").alias("points")), [key])
+    out = lists.mapInPandas(shapes(lambda row: C.alpha_region(place(row.p, "xy"), radius)), kinds)
+    if not some:
+        return out
+    edges = _tiled_edges(own.join(large.select(key), key), key, radius)
+    sides = edges.groupBy(key).agg(F.collect_list(F.struct("x", "y", "x1", "y1")).alias("e"))
+    rows = spread(large.join(sides, key, "left").select(key, "points", F.coalesce("e", F.array().cast("array<struct<x:double,y:double,x1:double,y1:double>>")).alias("e")), [key])
+
+    def traced(row):
+        e = place(row.e, ("x", "y", "x1", "y1"))
+        return C.region_of_edges(e[:, :2], e[:, 2:])
+
+    return out.unionByName(rows.mapInPandas(shapes(traced), kinds))
+
+
+def _tiled(state: DataFrame) -> DataFrame:
+    """Points in the tile, four radii `r` wide, that is their own and in those that begin within two radii. Places are x / sx and y / sy."""
+    at = lambda c, by: F.floor((F.col(c) / F.col(f"s{c}") + by * F.col("r")) / (4 * F.col("r")))
+    near = lambda c: F.explode(F.sequence(at(c, -2.001), at(c, 2.001)))
+    own = state.withColumn("_i", near("x")).withColumn("_j", near("y"))
+    return own.withColumn("core", (F.col("_i") == at("x", 0.0)) & (F.col("_j") == at("y", 0.0)))
+
+
+def _tiled_edges(own: DataFrame, key: str, radius: float | None) -> DataFrame:
+    """The directed edges (x, y, x1, y1) about the alpha shape of each key's points, by tiles of the plane.
+
+    What a circle of radius r through a point meets lies within 2 r of it, so a tile and its rim tell every triangle of up to r at its points. r doubles until each point is a
+    corner of one. On the way a point may go that no empty circle of r touches even beside only the points of its own cell, a cell being less than r across: an
+    empty circle of r or more about the points that stay is one about all (a circle that holds a point of the cell can be moved off it, away from a point of the
+    cell that it does not hold, and the last one it leaves is touched). So triangles over r, and the edges of shapes of r or more, are those of all points, while tiles stay small.
+    """
+    box = own.groupBy(key).agg(*[f(c).alias(f"_{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))], F.min(F.struct("x", "y")).alias("_a"), F.max(F.struct("x", "y")).alias("_b"), F.count("*").alias("_n"))
+    wide = lambda c: F.col(f"_hi{c}") - F.col(f"_lo{c}")
+    box = box.where((wide("x") > 0) & (wide("y") > 0)).withColumns({"sx": wide("x"), "sy": wide("y")})
+    off = lambda c, p: (F.col(f"{p}.{c}" if p else c) - F.col(f"_a.{c}")) / F.col(f"s{c}")
+    flat = own.join(box, key).groupBy(key).agg(F.max(F.abs(off("x", "_b") * off("y", "") - off("y", "_b") * off("x", ""))).alias("_far"))
+    box = box.join(flat.where("_far > 1e-12").select(key), key)
+    state = own.distinct().join(box.select(key, "sx", "sy", F.pow(F.lit(2.0), F.floor(F.log2(F.sqrt(TILE / 16.0 / F.col("_n"))))).alias("r")), key).localCheckpoint()
+    while True:  # radii at whose start no tile is too full, eight at a time
+        level = state.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("_r", F.col("r") * F.pow(F.lit(2.0), -F.col("_l")))
+        full = level.groupBy(key, "_l", *[F.floor(F.col(c) / F.col(f"s{c}") / (4 * F.col("_r"))).alias(f"_{c}") for c in "xy"]).agg(F.count("*").alias("_n")).groupBy(key, "_l").agg(F.max("_n").alias("_n"))
+        best = full.groupBy(key).agg(F.min(F.when(F.col("_n") <= 2 * TILE, F.col("_l"))).alias("_l"))
+        state = state.join(best, key).withColumn("r", F.col("r") * F.pow(F.lit(2.0), -F.coalesce("_l", F.lit(8)))).localCheckpoint()
+        if state.where("_l is null and r > 1e-12").isEmpty():
+            break
+        state = state.drop("_l")
+    state = state.select(key, "x", "y", "sx", "sy", "r", F.lit(None).cast("double").alias("g"), F.lit(None).cast("double").alias("top"))
+    columns, done = [key, "x", "y", "sx", "sy", "r", "g", "top"], []
+    if radius is not None:
+        done.append(state.where(F.col("r") > radius))
+        state = state.where(F.col("r") <= radius)
+    kinds = ", ".join(f"{c} {state.schema[c].dataType.simpleString()}" for c in columns)
+
+    def local(f):
+        f = f.sample(frac=1, random_state=0)
+        return f, f[["x", "y"]].to_numpy() / f[["sx", "sy"]].to_numpy(), float(f["r"].iloc[0])
+
+    def grow(f):
+        f, p, r = local(f)
+        core = f["core"].to_numpy()
+        if not core.any():
+            return f.iloc[:0][columns].assign(stays=True)
+        g = f["g"].to_numpy(float)
+        if radius is None and np.isnan(g[core]).any():
+            tri = C.triangles(p, r)
+            size = C.radii(p, tri)
+            least = C.least_radii(len(p), tri[size <= r * C.ALIKE], size[size <= r * C.ALIKE])
+            g = np.where(np.isnan(g) & np.isfinite(least), least, g)
+        own, p, g = f[core], p[core], g[core]
+        stays = np.ones(len(p), bool)
+        for at in pd.DataFrame(np.floor(p / (r / 2))).groupby([0, 1]).indices.values():
+            if len(at) > 3:
+                stays[at] = C.touched(p[at], r)
+        known = np.concatenate([g, own["top"].to_numpy(float)])
+        return own[columns].assign(g=g, top=np.nanmax(known) if not np.isnan(known).all() else np.nan, stays=stays | np.isnan(g) * (radius is None))
+
+    def edges(f):
+        f, p, r = local(f)
+        if not f["core"].any() or len(p) < 3:
+            return pd.DataFrame(columns=[key, "x", "y", "x1", "y1"])
+        tri = C.triangles(p, r)
+        e = C.rim(tri[C.radii(p, tri) <= r * C.ALIKE], len(p))
+        e = e[f["core"].to_numpy()[e[:, 0]]]
+        begin, end = (f[["x", "y"]].to_numpy()[e[:, k]] for k in range(2))
+        return pd.DataFrame({key: f[key].iloc[0], "x": begin[:, 0], "y": begin[:, 1], "x1": end[:, 0], "y1": end[:, 1]})
+
+    while not state.isEmpty():
+        grown = _tiled(state).groupBy(key, "_i", "_j").applyInPandas(grow, f"{kinds}, stays boolean").localCheckpoint()
+        known = grown.groupBy(key).agg(F.max(F.nanvl("top", F.lit(None))).alias("_top"), F.max(F.isnan(F.coalesce("g", F.lit(math.nan)))).alias("_open"), F.max("r").alias("_r"))
+        going = F.col("_open") & (F.col("_r") < 32) if radius is None else F.col("_r") * 2 <= radius
+        grown = grown.join(known.withColumn("_going", going), key)
+        done.append(grown.where("not _going").select(*columns[:-1], F.col("_top").alias("top")))
+        state = grown.where("_going and stays").select(*columns).withColumn("r", F.col("r") * 2).localCheckpoint()
+    whole = reduce(DataFrame.unionByName, done)
+    whole = whole.withColumn("r", F.lit(float(radius)) if radius is not None else F.col("top") * 1.5).where("r is not null")
+    return _tiled(whole).groupBy(key, "_i", "_j").applyInPandas(edges, f"{key} {own.schema[key].dataType.simpleString()}, x double, y double, x1 double, y1 double")
 
 
 def mixtures(points: DataFrame, key: str, part: str, x: str, y: str, least: int = 3) -> DataFrame:
