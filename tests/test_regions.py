@@ -373,3 +373,16 @@ def test_alpha_shapes_of_large_keys_are_those_of_all_their_points(spark, radius)
     dent = np.concatenate([rng.random((300, 2)), rng.random((700, 2)) * 0.06])
     one = regions.alpha_shapes(spark.createDataFrame([(1, float(x), float(y)) for x, y in dent], "id int, x double, y double"), "id", "x", "y", 0.03).first()
     assert one.area == pytest.approx(C.region_area(C.alpha_region(dent, 0.03)), rel=1e-9)
+
+
+def test_holes_that_meet_their_exterior_stay():
+    """The area of an alpha shape is that of its triangles, also where a hole touches the rim in a point."""
+    for seed in range(60):
+        p = np.random.default_rng(seed).random((70, 2))
+        p = p / np.ptp(p, axis=0)
+        tri = C.triangles(p)
+        r = C.radii(p, tri)
+        radius = float(np.median(r)) * 1.6
+        a, b, c = (p[tri[r <= radius * C.ALIKE][:, k]] for k in range(3))
+        whole = np.abs((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0]).sum() / 2
+        assert flat(C.alpha_region(p, radius)) == pytest.approx(whole, rel=1e-9)
